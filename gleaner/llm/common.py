@@ -8,12 +8,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.ship import ship
+
 #: Rows up to which an id-only side may be broadcast (8 to 24 bytes each, so at most about 24 MB).
 BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +36,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.at = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.at = ship(spark), f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"

@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import metric, minhash
 from .common import table
 
 
+def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of equal labels at a cosine of 0.93 or more; no SQL: tested against brute force."""
+    return metric.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at a similarity of 0.75 or more on five-word shingles; no SQL: tested against brute force."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -17,6 +22,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_metric_join": op7_metric_join,
         "op10_minhash": op10_minhash,
     }
 
