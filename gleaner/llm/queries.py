@@ -6,8 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import metric, minhash
-from .common import table
+from . import bitpack, metric, minhash, packing
+from .common import Scratch, table
+
+
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 ids, at most 64 pieces each; no SQL: tested against the library's ids and the limits."""
+    return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0)
+
+
+def op5_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes and reads back the id files; no SQL: tested by an exact round trip."""
+    folder = Scratch(spark, "token-ids").root
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    written = bitpack.write_ids(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), 1, "words", files)
+    return bitpack.read_ids(spark, folder, written)
 
 
 def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +41,8 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_packing": op4_packing,
+        "op5_bitpack": op5_bitpack,
         "op7_metric_join": op7_metric_join,
         "op10_minhash": op10_minhash,
     }
