@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, metric, minhash, packing
+from . import bitpack, metric, minhash, packing, suffixes
 from .common import Scratch, table
 
 
@@ -29,6 +29,11 @@ def op5_bitpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitpack.read_ids(spark, folder, written)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removes what a 200-byte string covers that also starts elsewhere; no SQL: tested against brute force."""
+    return suffixes.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of equal labels at a cosine of 0.93 or more; no SQL: tested against brute force."""
     return metric.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
@@ -43,6 +48,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_packing": op4_packing,
         "op5_bitpack": op5_bitpack,
+        "op6_suffix_dedup": op6_suffix_dedup,
         "op7_metric_join": op7_metric_join,
         "op10_minhash": op10_minhash,
     }
