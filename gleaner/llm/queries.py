@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, metric, minhash, packing, suffixes
+from . import bitpack, chat, metric, minhash, packing, suffixes, toxicity
 from .common import Scratch, table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores every document; no SQL: tested by accuracy on held-out labels."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -39,6 +44,28 @@ def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+_CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes every conversation as an event log, folds and renders it, and reads the output back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", _CONTROL_TEXT), (-7, 1, "assistant", _CONTROL_TEXT)], turns.schema)
+    return chat.report(chat.messages(chat.log_of(turns.unionByName(extra))))
+
+
+OP9_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_CONTROL_TEXT}' UNION ALL SELECT -7, 1, 'assistant', '{_CONTROL_TEXT}')
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  cast(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(24 + 2 * length(role || text) - length(regexp_replace(role || text, '[\\\\<\\[]', '', 'g'))) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id"""
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at a similarity of 0.75 or more on five-word shingles; no SQL: tested against brute force."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -46,13 +73,17 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op4_packing": op4_packing,
         "op5_bitpack": op5_bitpack,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_metric_join": op7_metric_join,
+        "op9_chat_format": op9_chat_format,
         "op10_minhash": op10_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op9_chat_format": OP9_SQL,
+    }
