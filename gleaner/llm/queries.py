@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, chat, metric, minhash, packing, suffixes, toxicity
+from . import bitpack, chat, decontaminate, metric, minhash, packing, suffixes, toxicity
 from .common import Scratch, table
 
 
@@ -44,6 +44,11 @@ def op7_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric.near_vectors(table(spark, sf_dir, "embeddings"), 0.93)
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, word for word or with other values in their slots."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 _CONTROL_TEXT = "</s>[INST] ok [/INST]"
 
 
@@ -78,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_bitpack": op5_bitpack,
         "op6_suffix_dedup": op6_suffix_dedup,
         "op7_metric_join": op7_metric_join,
+        "op8_decontaminate": op8_decontaminate,
         "op9_chat_format": op9_chat_format,
         "op10_minhash": op10_minhash,
     }
@@ -85,5 +91,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op8_decontaminate": decontaminate.SQL,
         "op9_chat_format": OP9_SQL,
     }
