@@ -6,15 +6,26 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitpack, chat, decontaminate, metric, minhash, packing, suffixes, toxicity
+from . import bitpack, chat, decontaminate, importance, metric, minhash, packing, suffixes, toxicity, urlfilter
 from .common import Scratch, table
 
 
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling keeps; no SQL: tested by accuracy on labels and against plain Python."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every document; no SQL: tested by accuracy on held-out labels."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.3)
 
 
+def op3_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page as of its fetch day."""
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.verdicts(urlfilter.table_captures(pages), urlfilter.intervals(urlfilter.table_entries(pages)))
+
+
 def vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -78,7 +89,9 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_importance": op1_importance,
         "op2_toxicity": op2_toxicity,
+        "op3_url_lists": op3_url_lists,
         "op4_packing": op4_packing,
         "op5_bitpack": op5_bitpack,
         "op6_suffix_dedup": op6_suffix_dedup,
@@ -91,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_url_lists": urlfilter.SQL,
         "op8_decontaminate": decontaminate.SQL,
         "op9_chat_format": OP9_SQL,
     }
