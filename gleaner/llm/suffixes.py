@@ -15,7 +15,8 @@ offsets around the anchor: whole runs (if all the bytes that a run's suffixes co
 repeats as a whole), then steps of STEP suffixes, where the bytes common to a step's suffixes are the
 new bucket and the bytes that the step covers finish it as repeated, then single suffixes with their
 LENGTH bytes. Of equal members one stays as the others' partner. So a group of m copies is m rows,
-once. Identifiers after the first are 128-bit hashes of the very bytes; no step is capped or sampled.
+once. Identifiers after the first hash the
+very bytes; two strings count as equal by at least 128 bits (those of the bucket and of the whole); no step is capped or sampled.
 """
 
 from __future__ import annotations
@@ -30,13 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import Scratch, small
+from .common import Scratch
 
 LENGTH = 200
 Q = 64
 STEP = 12
 #: Suffixes that can share an anchor: distances 0 to SPREAD - 1.
 SPREAD = LENGTH - Q + 1
+#: Longs up to which the documents' lists may be broadcast (16 MB).
+BROADCAST_LONGS = 2_000_000
 _POSITION = np.uint64((1 << 24) - 1)
 
 
@@ -90,102 +93,122 @@ def _names(raw: memoryview, a: list[int], b: list[int]) -> np.ndarray:
     return np.frombuffer(b"".join([digest(raw[i:j]) for i, j in zip(a, b, strict=True)]), "<i8").reshape(-1, 2)
 
 
-def _record(columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()], list(columns))
+class _Rows:
+    """Gathers columns of several documents into one batch."""
 
+    def __init__(self, schema: str):
+        self.names, self.parts, self.n = [x.split()[0] for x in schema.split(", ")], [], 0
 
-RUN = "doc_id long, anchor long, back int, ahead int, gram long, one long, two long"
+    def add(self, *columns: np.ndarray) -> None:
+        self.parts.append(columns)
+        self.n += len(columns[0])
+
+    def taken(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if self.n >= least:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([p[k] for p in self.parts])) for k in range(len(self.names))], self.names)
+            self.parts, self.n = [], 0
+
+
+# A place packs a run into one long. Of a run of one anchor: anchor, distances back and ahead (8 bits
+# each) from the anchor to the run's first and last suffix, and whether the run is known to repeat. Of a step:
+# first suffix, further suffixes (4 bits), known. Of a suffix: its position and known.
+RUN = "doc_id long, place long, bucket long, full long"
+STEPS = RUN
+SUFFIX = "doc_id long, place long, bucket long, full long"
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """back, ahead: distances from the anchor of the run's first and last suffix; one, two: the bytes that the run covers."""
+    """bucket: the anchor's Q-gram; full: the bytes that the run covers."""
+    rows = _Rows(RUN)
     for batch in batches:
         for i, data, offsets in grams.slices(batch.column(1)):
-            parts = []
             for k in range(len(offsets) - 1):
                 doc = batch.column(0)[i + k].as_py()
                 own = data[offsets[k] : offsets[k + 1]]
                 if doc is None or len(own) < LENGTH:
                     continue
                 first, last, anchor, gram = _runs(own)
-                names = _names(memoryview(own.tobytes()), first.tolist(), (last + LENGTH).tolist())
-                parts.append((np.full(len(first), doc), anchor, (anchor - first).astype(np.int32), (anchor - last).astype(np.int32), gram.view(np.int64), names[:, 0], names[:, 1]))
-            if parts:
-                columns = [np.concatenate([p[c] for p in parts]) for c in range(7)]
-                yield _record(dict(zip([x.split()[0] for x in RUN.split(", ")], columns, strict=True)))
-
-
-STEPS = "doc_id long, from long, to long, known boolean, gram long, core1 long, core2 long, full1 long, full2 long"
+                name = _names(memoryview(own), first.tolist(), (last + LENGTH).tolist())[:, 0]
+                # Equal covered bytes are equal runs only if the anchor stands at the same place in them.
+                name = name ^ grams.mix((anchor - first).astype(np.uint64) << np.uint64(8) | (last - first).astype(np.uint64)).view(np.int64)
+                place = anchor << 17 | (anchor - first) << 9 | (anchor - last) << 1
+                rows.add(np.full(len(first), doc), place, gram.view(np.int64), name)
+            yield from rows.taken(50_000)
+    yield from rows.taken()
 
 
 def _step_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input: doc_id, text, runs array<struct<anchor, back, ahead, known>>."""
+    """Input: doc_id, text, places of runs. bucket: the bytes common to a step's suffixes; full: those that it covers."""
+    rows = _Rows(STEPS)
     for batch in batches:
         for k in range(batch.num_rows):
             raw = (batch.column(1)[k].as_py() or "").encode()
-            view, n = memoryview(raw), len(raw)
-            lo, hi, known, a, b, c, d, steps = [], [], [], [], [], [], [], []
+            n, place, a, b, c, d, steps = len(raw), [], [], [], [], [], []
             for run in batch.column(2)[k].as_py():
-                at = run["anchor"]
-                for step in range(run["ahead"] // STEP, run["back"] // STEP + 1):
+                at, back, ahead, known = run >> 17, run >> 9 & 255, run >> 1 & 255, run & 1
+                for step in range(ahead // STEP, back // STEP + 1):
                     near, far = step * STEP, min(step * STEP + STEP, SPREAD) - 1
-                    lo.append(at - min(far, run["back"]))
-                    hi.append(at - max(near, run["ahead"]))
-                    known.append(run["known"])
+                    first, last = at - min(far, back), at - max(near, ahead)
+                    place.append(first << 5 | last - first << 1 | known)
                     steps.append(step)
                     a.append(at - near)
                     b.append(at - far + LENGTH)
                     whole = at >= far and at - near + LENGTH <= n
-                    c.append(at - far if whole else lo[-1])
-                    d.append(at - near + LENGTH if whole else hi[-1] + LENGTH)
-            if lo:
-                core, full = _names(view, a, b), _names(view, c, d)
-                # A step's number is part of the bucket, and the covered bytes' length part of their name.
-                mark = np.array(steps, np.int64)
-                size = np.array(d, np.int64) - np.array(c, np.int64)
-                yield _record(
-                    {"doc_id": np.full(len(lo), batch.column(0)[k].as_py()), "from": np.array(lo, np.int64), "to": np.array(hi, np.int64), "known": np.array(known), "core1": core[:, 0] ^ mark, "core2": core[:, 1], "full1": full[:, 0] ^ size, "full2": full[:, 1]}
-                )
+                    c.append(at - far if whole else first)
+                    d.append(at - near + LENGTH if whole else last + LENGTH)
+            if place:
+                core, full = _names(memoryview(raw), a, b)[:, 0], _names(memoryview(raw), c, d)[:, 0]
+                # A step's number is part of the bucket; where its covered bytes begin and end in it, part of their name.
+                mark = grams.mix(np.array(steps, np.uint64) + np.uint64(1)).view(np.int64)
+                cut = (np.array(a) - np.array(c)) << 8 | (np.array(d) - np.array(c))
+                rows.add(np.full(len(place), batch.column(0)[k].as_py()), np.array(place), core ^ mark, full ^ grams.mix(cut.astype(np.uint64)).view(np.int64))
+            yield from rows.taken(50_000)
+    yield from rows.taken()
 
 
 def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input: doc_id, text, runs array<struct<from, to, known>>."""
+    """Input: doc_id, text, places of steps. bucket and full: the 128-bit name of a suffix's LENGTH bytes."""
+    rows = _Rows(SUFFIX)
     for batch in batches:
         for k in range(batch.num_rows):
-            view = memoryview((batch.column(1)[k].as_py() or "").encode())
-            at, known = [], []
-            for run in batch.column(2)[k].as_py():
-                own = range(run["from"], run["to"] + 1)
-                at += own
-                known += [run["known"]] * len(own)
-            if at:
-                names = _names(view, at, [x + LENGTH for x in at])
-                yield _record({"doc_id": np.full(len(at), batch.column(0)[k].as_py()), "from": np.array(at, np.int64), "known": np.array(known), "full1": names[:, 0], "full2": names[:, 1]})
+            raw = memoryview((batch.column(1)[k].as_py() or "").encode())
+            steps = np.array(batch.column(2)[k].as_py(), np.int64)
+            size = (steps >> 1 & 15) + 1
+            at = np.repeat(steps >> 5, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            if len(at):
+                names = _names(raw, at.tolist(), (at + LENGTH).tolist())
+                rows.add(np.full(len(at), batch.column(0)[k].as_py()), at << 1 | np.repeat(steps & 1, size), names[:, 0], names[:, 1])
+            yield from rows.taken(50_000)
+    yield from rows.taken()
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Input: doc_id, spans (first suffix << 32 | last suffix) in any order. Joins spans that touch; ends are of covered bytes."""
+    for batch in batches:
+        out = []
+        for spans in batch.column(1):
+            spans = np.sort(spans.values.to_numpy())
+            first, end = spans >> 32, np.maximum.accumulate((spans & 0xFFFFFFFF) + LENGTH)
+            apart = np.flatnonzero(np.append(True, first[1:] > end[:-1]))
+            out.append(first[apart] << 32 | end[np.append(apart[1:], len(end)) - 1])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "spans"])
 
 
-def _covered(intervals: list[dict], n: int) -> list[tuple[int, int]]:
-    """Maximal byte runs covered by the LENGTH bytes of every suffix from `from` to `to`."""
-    out: list[list[int]] = []
-    for a, b in sorted((x["from"], x["to"] + LENGTH) for x in intervals):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return [(a, min(b, n)) for a, b in out]
+def _pieces(spans: list[int] | None) -> list[tuple[int, int]]:
+    return [(x >> 32, x & 0xFFFFFFFF) for x in spans or []]
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, text, runs in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            raw = (text or "").encode()
-            spans = _covered(runs or [], len(raw))
-            kept, at = hashlib.sha256(), 0
+        for k in range(batch.num_rows):
+            raw = (batch.column(1)[k].as_py() or "").encode()
+            spans, kept, at = _pieces(batch.column(2)[k].as_py()), hashlib.sha256(), 0
             for a, b in spans:
                 kept.update(raw[at:a])
                 at = b
             kept.update(raw[at:])
-            rows.append((doc, len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
+            rows.append((batch.column(0)[k].as_py(), len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         kinds = [pa.int64()] * 4 + [pa.string()]
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(5)], names)
@@ -194,9 +217,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = []
-        for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for k in range(batch.num_rows):
+            text = batch.column(1)[k].as_py()
             raw, out, at = (text or "").encode(), [], 0
-            for a, b in _covered(runs or [], len(raw)):
+            for a, b in _pieces(batch.column(2)[k].as_py()):
                 while a < b and raw[a] & 0xC0 == 0x80:
                     a += 1
                 while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
@@ -207,51 +231,61 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
 
-def _repeated(rows: DataFrame, bucket: list[str], full: list[str], order: list[str], scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+def _repeated(rows: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """Splits rows by their bucket: (rows that repeat as a whole and weren't known to, rows to refine).
 
-    Rows alone in their bucket are dropped. Equal rows send one partner on, and only if the bucket has
-    others. Counts use partial aggregates; they meet the rows in joins whose hot keys can be split.
+    Rows alone in their bucket are dropped. Equal rows send one partner on (the one of least tag), and
+    only if the bucket has others. Counts use partial aggregates of plain numbers; they meet the rows in
+    joins whose hot keys can be split.
     """
-    groups = rows.groupBy(*bucket, *full).agg(F.count("*").alias("n"), F.min(F.struct(*order)).alias("first"))
+    tag, known = F.xxhash64("doc_id", "place"), F.col("place").bitwiseAND(1) == 1
+    groups = rows.groupBy("bucket", "full").agg(F.count("*").alias("n"), F.min(tag).alias("tag"))
     groups = scratch.save(groups, f"{name}-groups")
-    buckets = groups.groupBy(*bucket).agg(F.sum("n").alias("members"), F.count("*").alias("kinds")).where("members > 1")
-    groups = groups.join(buckets, bucket)
-    found = scratch.save(rows.join(groups, [*bucket, *full]), name)
-    done = found.where("n > 1 and not known")
-    more = found.where((F.col("kinds") > 1) & ((F.col("n") == 1) | (F.struct(*order) == F.col("first"))))
-    return done, more.withColumn("known", F.col("known") | (F.col("n") > 1))
+    buckets = groups.groupBy("bucket").agg(F.sum("n").alias("members"), F.count("*").alias("kinds")).where("members > 1")
+    groups = groups.join(buckets, "bucket").select("bucket", "full", "n", "tag", (F.col("kinds") > 1).alias("mixed"))
+    found = scratch.save(rows.join(groups, ["bucket", "full"]).select("doc_id", "place", "n", "tag", "mixed"), name)
+    scratch.drop(f"{name}-groups")
+    more = found.where(F.col("mixed") & ((F.col("n") == 1) | (F.col("tag") == tag)))
+    more = more.select("doc_id", F.when(F.col("n") > 1, F.col("place").bitwiseOR(F.lit(1))).otherwise(F.col("place")).alias("place"))
+    return found.where((F.col("n") > 1) & ~known), more
+
+
+def _lists(rows: DataFrame, value: str) -> DataFrame:
+    return rows.groupBy("doc_id").agg(F.collect_list(value).alias("list"))
 
 
-def _lists(rows: DataFrame, *columns: str) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_list(F.struct(*columns)).alias("runs"))
+def _with(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+    """docs with their lists of longs; broadcast only if there are few numbers in all of them."""
+    n = lists.agg(F.coalesce(F.sum(F.size(F.col(lists.columns[1])) + 4), F.lit(0))).first()[0]
+    return docs.join(F.broadcast(lists) if n <= BROADCAST_LONGS else lists, "doc_id", how).select("doc_id", "text", lists.columns[1])
 
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, runs array<struct<from, to>>): the suffixes whose LENGTH bytes also start elsewhere.
+    """(doc_id, spans array<long>): the bytes (first << 32 | end) that repeat, in order, apart from each other.
 
     docs: doc_id and text, ids unique.
     """
-    runs = scratch.save(docs.mapInArrow(_run_rows, RUN).withColumn("known", F.lit(False)), "runs")
-    done, more = _repeated(runs, ["gram"], ["one", "two"], ["doc_id", "anchor"], scratch, "first")
-    repeated = [done.select("doc_id", (F.col("anchor") - F.col("back")).alias("from"), (F.col("anchor") - F.col("ahead")).alias("to"))]
-    open_runs = scratch.save(_lists(more, "anchor", "back", "ahead", "known"), "open-runs")
-    texts = docs.join(small(open_runs, 200_000), "doc_id")
-    steps = texts.select("doc_id", "text", "runs").mapInArrow(_step_rows, STEPS.replace("gram long, ", ""))
-    steps = scratch.save(steps, "steps")
-    scratch.drop("runs", "first-groups")
-    done, more = _repeated(steps, ["core1", "core2"], ["full1", "full2"], ["doc_id", "from"], scratch, "second")
-    repeated.append(done.select("doc_id", "from", "to"))
-    open_steps = scratch.save(_lists(more, "from", "to", "known"), "open-steps")
-    texts = docs.join(small(open_steps, 200_000), "doc_id")
-    last = texts.select("doc_id", "text", "runs").mapInArrow(_suffix_rows, "doc_id long, from long, known boolean, full1 long, full2 long")
-    last = scratch.save(last, "suffixes")
-    scratch.drop("steps", "second-groups")
-    counts = last.groupBy("full1", "full2").agg(F.count("*").alias("n")).where("n > 1")
-    done = last.where("not known").join(counts, ["full1", "full2"])
-    repeated.append(done.select("doc_id", "from", F.col("from").alias("to")))
-    out = repeated[0].unionByName(repeated[1]).unionByName(repeated[2])
-    out = scratch.save(_lists(out, "from", "to"), "repeats")
+    runs = scratch.save(docs.mapInArrow(_run_rows, RUN), "runs")
+    done, more = _repeated(runs, scratch, "first")
+    p = F.col("place")
+    bits = lambda shift: F.shiftright(p, shift).bitwiseAND(255)
+    span = lambda a, b: (F.shiftleft(a, 32) + b).alias("span")
+    anchor = F.shiftright(p, 17)
+    found = [done.select("doc_id", span(anchor - bits(9), anchor - bits(1)))]
+    scratch.drop("runs")
+    open_runs = scratch.save(_lists(more, "place"), "open-runs")
+    steps = scratch.save(_with(docs, open_runs).mapInArrow(_step_rows, STEPS), "steps")
+    done, more = _repeated(steps, scratch, "second")
+    first = F.shiftright(p, 5)
+    found.append(done.select("doc_id", span(first, first + F.shiftright(p, 1).bitwiseAND(15))))
+    scratch.drop("steps")
+    open_steps = scratch.save(_lists(more, "place"), "open-steps")
+    last = scratch.save(_with(docs, open_steps).mapInArrow(_suffix_rows, SUFFIX), "suffixes")
+    counts = last.groupBy("bucket", "full").agg(F.count("*").alias("n")).where("n > 1")
+    done = last.where(p.bitwiseAND(1) == 0).join(counts, ["bucket", "full"])
+    found.append(done.select("doc_id", span(F.shiftright(p, 1), F.shiftright(p, 1))))
+    out = _lists(found[0].unionByName(found[1]).unionByName(found[2]), "span")
+    out = scratch.save(out.mapInArrow(_joined, "doc_id long, spans array<long>"), "repeats")
     scratch.drop("first", "second", "suffixes", "open-runs", "open-steps")
     return out
 
@@ -269,7 +303,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = _prepared(docs, id_col, text_col)
     found = repeats(docs, Scratch(docs.sparkSession, "suffixes"))
-    return docs.join(small(found, 200_000), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(
+    return _with(docs, found, "left").mapInArrow(
         _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     )
 
@@ -278,4 +312,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc_id, text) without the repeated bytes; a character that is only partly covered stays. Null stays null."""
     docs = _prepared(docs, id_col, text_col)
     found = repeats(docs, Scratch(docs.sparkSession, "suffixes"))
-    return docs.join(small(found, 200_000), "doc_id", "left").select("doc_id", "text", "runs").mapInArrow(_cleaned, "doc_id long, text string")
+    return _with(docs, found, "left").mapInArrow(_cleaned, "doc_id long, text string")
