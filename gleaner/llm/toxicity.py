@@ -24,8 +24,8 @@ BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 DIMENSIONS = 4
 #: Labelled texts to learn from, at most, and characters of all of them together.
-SAMPLE_ROWS = 5_000
-SAMPLE_CHARS = 20_000_000
+SAMPLE_ROWS = 4_000
+SAMPLE_CHARS = 14_000_000
 EPOCHS = 10
 #: A row must occur in this many texts of the sample to be learned; others are ignored.
 LEAST_TEXTS = 10
@@ -85,11 +85,11 @@ def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rows, counts, at = [], [], [0]
     for text in texts:
         r, c = np.unique(rows_of(text_words(text))[0], return_counts=True)
-        rows.append(r)
-        counts.append(c)
+        rows.append(r.astype(np.int32))
+        counts.append(c.astype(np.float32))
         at.append(at[-1] + len(r))
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *rows]), np.concatenate([none, *counts]).astype(float), np.array(at)
+    none = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+    return np.concatenate(none[0] + rows), np.concatenate(none[1] + counts), np.array(at)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
@@ -103,11 +103,16 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     known = np.bincount(rows, minlength=BUCKETS) >= LEAST_TEXTS
     weight = np.where(known, np.minimum(1.0, np.sqrt(1e-5 * total.sum() / np.maximum(total, 1.0))), 0.0)
     keep = known[rows]
-    owner = np.repeat(np.arange(len(texts)), np.diff(at))[keep]
-    ids, used = np.unique(rows[keep], return_inverse=True)
-    each = counts[keep] * weight[rows[keep]]
-    each /= (np.bincount(owner, each, len(texts)) + NEUTRAL)[owner]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at))[keep]
+    rows, counts = rows[keep], counts[keep]
+    ids = np.flatnonzero(known)
+    place = np.zeros(BUCKETS, np.int32)
+    place[ids] = np.arange(len(ids))
+    used = place[rows]
+    each = counts * weight.astype(np.float32)[rows]
+    each /= (np.bincount(owner, each, len(texts)) + NEUTRAL).astype(np.float32)[owner]
     at = np.searchsorted(owner, np.arange(len(texts) + 1))
+    del rows, counts, keep, owner
     random = np.random.default_rng(seed)
     e = random.normal(0, 1.0 / DIMENSIONS, (len(ids), DIMENSIONS))
     w, b = np.zeros((DIMENSIONS, 2)), np.log(np.array([1 - rate, rate]))
