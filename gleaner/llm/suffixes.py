@@ -214,21 +214,29 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(5)], names)
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = []
-        for k in range(batch.num_rows):
-            text = batch.column(1)[k].as_py()
-            raw, out, at = (text or "").encode(), [], 0
-            for a, b in _pieces(batch.column(2)[k].as_py()):
-                while a < b and raw[a] & 0xC0 == 0x80:
-                    a += 1
-                while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
-                    b -= 1
-                out.append(raw[at:a])
-                at = max(at, b)
-            texts.append(b"".join([*out, raw[at:]]).decode() if text is not None else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+def _cleaned(text_col: str) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, spans = batch.schema.get_field_index(text_col), batch.column(batch.num_columns - 1)
+            texts = [_without(batch.column(at)[k].as_py(), _pieces(spans[k].as_py())) for k in range(batch.num_rows)]
+            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return run
+
+
+def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
+    if not spans:
+        return text
+    raw, out, at = text.encode(), [], 0
+    for a, b in spans:
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while a < b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        out.append(raw[at:a])
+        at = max(at, b)
+    return b"".join([*out, raw[at:]]).decode()
 
 
 def _repeated(rows: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
@@ -309,7 +317,12 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) without the repeated bytes; a character that is only partly covered stays. Null stays null."""
-    docs = _prepared(docs, id_col, text_col)
-    found = repeats(docs, Scratch(docs.sparkSession, "suffixes"))
-    return _with(docs, found, "left").mapInArrow(_cleaned, "doc_id long, text string")
+    """The rows with their columns, the text without the repeated bytes; a character that is only partly covered stays.
+
+    Rows stay even if nothing of their text does. Nulls, short texts and ids as in removal_report.
+    """
+    found = repeats(_prepared(docs, id_col, text_col), Scratch(docs.sparkSession, "suffixes"))
+    n = found.agg(F.coalesce(F.sum(F.size("spans") + 4), F.lit(0))).first()[0]
+    found = found.select(F.col("doc_id").alias("_gleaner_id"), F.col("spans").alias("_gleaner_spans"))
+    joined = docs.join(F.broadcast(found) if n <= BROADCAST_LONGS else found, docs[id_col].cast("long") == found["_gleaner_id"], "left")
+    return joined.drop("_gleaner_id").mapInArrow(_cleaned(text_col), docs.schema)
