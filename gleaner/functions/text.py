@@ -88,9 +88,9 @@ def sentences(text: Column) -> Column:
 
     A full stop after a token of at most 3 characters that begins in upper case is an abbreviation. At most 64.
     """
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r'([.?!]) (?=[A-Z0-9"(])', "$1\n")
-    rejoined = F.regexp_replace(marked, r"((?:^|\s)[A-Z][^\s]{0,2}\.)\n", "$1 ")
-    return F.split(rejoined, "\n", 64)
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), r'([.?!]) (?=[A-Z0-9"(])', "$1\x01")
+    rejoined = F.regexp_replace(marked, r"((?:^|\s)[A-Z][^\s]{0,2}\.)\x01", "$1 ")
+    return F.split(rejoined, "\x01", 64)
 
 
 def packed_sentences(text: Column, most: int = 600) -> Column:
