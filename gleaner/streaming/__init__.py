@@ -1 +1 @@
-
+"""Micro-batch serving."""
