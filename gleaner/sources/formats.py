@@ -64,7 +64,7 @@ def parse_tests(lines: DataFrame) -> DataFrame:
 
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece): the line number is the id. A vocabulary is one small file, read as a whole."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim(F.col("value")), "\r?\n")).alias("id", "piece"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"(\r?\n)+$", ""), "\r?\n")).alias("id", "piece"))
     return lines.select(F.col("id").cast("long").alias("id"), "piece")
 
 
