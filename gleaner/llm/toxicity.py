@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
-A word counts as itself and as its character n-grams (3 to 5, with word ends marked), hashed into
+A word counts as itself and as its character n-grams (4 to 7 bytes, with word ends marked), hashed into
 BUCKETS rows of an embedding table, so an unseen misspelling shares most rows with the words that it
 comes from. A text is the weighted average of its rows; frequent rows weigh less, by the usual
 word-vector subsampling rate sqrt(t / frequency). Embeddings and softmax are trained together by
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from . import grams
 
 BUCKETS = 1 << 18
-GRAMS = (3, 4, 5)
+GRAMS = (4, 5, 6, 7)
 DIMENSIONS = 4
 #: Labelled texts to learn from, at most, and characters of all of them together.
 SAMPLE_ROWS = 4_000
