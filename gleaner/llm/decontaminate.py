@@ -3,8 +3,8 @@
 Texts become lower-case word tokens; numbers, units after a number and names (capitalised words after a
 lower-case letter or a comma) become typed placeholders that keep their value on the side. Windows of
 WINDOW template tokens are hash-joined between benchmark and documents. Matches of one item on one
-diagonal (document position minus item position) that cover at least LEAST_TOKENS tokens, or the
-whole of a shorter item, are aligned token by token, and their slots must be consistent: within a
+diagonal (document position minus item position) that cover at least LEAST_TOKENS tokens, or all
+but EDGE of a shorter item, are aligned token by token, and their slots must be consistent: within a
 type, one item value goes with one document value and the other way round. A verbatim copy maps every
 value to itself; a re-parameterised question maps, say, every 12 to 15.
 
@@ -22,6 +22,8 @@ from .common import Scratch, small
 WINDOW = 8
 LEAST_TOKENS = 13
 LEAST_WORDS = 4
+#: Tokens of a short item that may read otherwise at its ends, where a sentence's first word can look like a name.
+EDGE = 2
 #: Unit words that are placeholders after a number.
 UNITS = ("mm cm m km mg g kg ml l s ms min h hz w kw v a pa mph kmh inch inches foot feet mile miles metre metres meter meters gram grams "
          "kilo kilos litre litres second seconds minute minutes hour hours day days week weeks month months year years percent euro euros dollar dollars").split()
@@ -96,7 +98,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     seen = seen.select("doc_id", F.col("s.width").alias("width"), F.posexplode("s.hs").alias("pos", "h"))
     found = seen.join(small(grams, 100_000), ["h", "width"]).groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"))
     found = found.agg(F.count("*").alias("n_windows"), F.max("item_tokens").alias("item_tokens"), F.max("width").alias("width"))
-    found = found.where(F.col("n_windows") + F.col("width") - 1 >= F.least("item_tokens", F.lit(LEAST_TOKENS)))
+    found = found.where(F.col("n_windows") + F.col("width") - 1 >= F.greatest("width", F.least(F.col("item_tokens") - EDGE, F.lit(LEAST_TOKENS))))
     found = scratch.save(found.select("doc_id", "item_id", "diagonal", "n_windows"), "found")
     wanted = small(found.select("doc_id").distinct())
     texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
@@ -156,7 +158,7 @@ g AS (SELECT * FROM g2 WHERE rich OR item_id NOT IN (SELECT item_id FROM g2 WHER
 s AS (SELECT id AS doc_id, w, unnest(range(n - w + 1)) AS pos, t FROM d, (SELECT DISTINCT w FROM g) WHERE n >= w),
 f AS (SELECT doc_id, item_id, pos - b_pos AS diagonal, count(*) AS n_windows, max(n) AS n, max(g.w) AS w
     FROM (SELECT doc_id, w, pos, t[(pos + 1):(pos + w)] AS gram FROM s) AS x JOIN g USING (gram) GROUP BY ALL),
-f2 AS (SELECT * FROM f WHERE n_windows + w - 1 >= least(n, {LEAST_TOKENS})),
+f2 AS (SELECT * FROM f WHERE n_windows + w - 1 >= greatest(w, least(n - {EDGE}, {LEAST_TOKENS}))),
 p AS (SELECT f2.doc_id, f2.item_id, diagonal, n_windows, f2.n, list_filter(list_transform(range(1, f2.n + 1),
     lambda i: {{'it': b.t[i], 'dt': CASE WHEN i + diagonal >= 1 THEN d.t[i + diagonal] END, 'iv': b.v[i], 'dv': CASE WHEN i + diagonal >= 1 THEN d.v[i + diagonal] END}}),
     lambda x: x.it = x.dt) AS same FROM f2 JOIN d ON d.id = f2.doc_id JOIN b ON b.id = f2.item_id),
