@@ -20,7 +20,7 @@ import pyarrow as pa
 
 from . import grams
 
-#: Distinct pre-tokens kept before the cache starts anew; bounds it at about 150 MB.
+#: Distinct pre-tokens kept before the cache starts anew; bounds it at about 100 MB.
 CACHE = 800_000
 #: Characters of text handled at once; a longer text is handled alone.
 SLICE_CHARS = 1 << 19
@@ -47,6 +47,41 @@ _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _STAND_IN = {b: chr(b) if b in _KEPT else chr(256 + sum(x not in _KEPT for x in range(b))) for b in range(256)}
 
 
+class _Table:
+    """A hash table from 64-bit keys to numbers in flat arrays, 12 bytes a slot, looked up for many keys at once."""
+
+    def __init__(self, most: int):
+        self.mask = (1 << (2 * most).bit_length()) - 1
+        self.keys, self.values, self.used = np.zeros(self.mask + 1, np.uint64), np.zeros(self.mask + 1, np.int32), 0
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys & np.uint64(self.mask)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key; -1 for unknown ones. Keys aren't 0."""
+        out, at, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), self._slots(keys)
+        while len(at):
+            there = self.keys[slot]
+            hit = there == keys[at]
+            out[at[hit]] = self.values[slot[hit]]
+            on = ~hit & (there != 0)
+            at, slot = at[on], (slot[on] + 1) & self.mask
+        return out
+
+    def add(self, keys: np.ndarray, first: int) -> None:
+        """Numbers different unknown keys from first on."""
+        at, slot = np.arange(len(keys)), self._slots(keys)
+        self.used += len(keys)
+        while len(at):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            won = free[one]
+            self.keys[slot[won]], self.values[slot[won]] = keys[at[won]], first + at[won]
+            on = np.ones(len(at), bool)
+            on[won] = False
+            at, slot = at[on], (slot[on] + 1) & self.mask
+
+
 class Encoder:
     """kind: "bytes" (a leading space belongs to its word) or "words" (lower case, white space dropped)."""
 
@@ -60,21 +95,22 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = _Table(CACHE + SLICE_CHARS)
+        self.n = 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, key: int, word: str) -> int:
+    def _learn(self, word: str) -> None:
         text = word.encode().decode("latin-1").translate(_STAND_IN)
-        ids, k = [x.id for x in self.model.tokenize(text)], len(self.known)
+        ids, k = [x.id for x in self.model.tokenize(text)], self.n
         if k == len(self.start):
             self.start, self.count = np.resize(self.start, 2 * k), np.resize(self.count, 2 * k)
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.start[k], self.count[k], self.known[key] = self.used, len(ids), k
+        self.start[k], self.count[k] = self.used, len(ids)
         self.used += len(ids)
-        return k
+        self.n += 1
 
     def _cut(self, code: np.ndarray, kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of pre-tokens; at: where texts start, and the end."""
@@ -112,7 +148,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32."""
-        if len(self.known) > CACHE:
+        if self.n > CACHE:
             self.clear()
         code = np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.uint32(_END))
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
@@ -124,15 +160,23 @@ class Encoder:
         up, down = grams._powers(len(code))
         total = np.zeros(len(code) + 1, np.uint64)
         np.cumsum(_VALUE[code] * up, out=total[1:])
-        group, keys = pd.factorize(grams.mix((total[end] - total[begin]) * down[begin]))
-        found = list(map(self.known.get, keys.tolist()))
-        if None in found:
+        hashed = grams.mix((total[end] - total[begin]) * down[begin])
+        group, keys = pd.factorize(np.where(hashed == 0, np.uint64(1), hashed))
+        found = self.known.find(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            if self.n + len(new) > CACHE + SLICE_CHARS:  # one text with very many pre-tokens
+                self.clear()
+                found[:], new = -1, np.arange(len(keys))
+                if len(keys) > CACHE + SLICE_CHARS:
+                    self.known = _Table(len(keys))
             first = np.zeros(len(keys), np.int64)
             first[group[::-1]] = np.arange(len(group))[::-1]
-            for k in [k for k, x in enumerate(found) if x is None]:
-                i = first[k]
-                found[k] = self._learn(int(keys[k]), code[begin[i] : end[i]].tobytes().decode("utf-32-le"))
-        which = np.array(found, np.int64)[group] if len(group) else np.zeros(0, np.int64)
+            found[new] = self.n + np.arange(len(new))
+            self.known.add(keys[new], self.n)
+            for i in first[new].tolist():
+                self._learn(code[begin[i] : end[i]].tobytes().decode("utf-32-le"))
+        which = found[group] if len(group) else np.zeros(0, np.int64)
         count = self.count[which]
         ends = np.concatenate([[0], np.cumsum(count)])
         flat = self.ids[np.repeat(self.start[which] - ends[:-1], count) + np.arange(ends[-1])]
