@@ -262,10 +262,14 @@ def _lists(rows: DataFrame, value: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.collect_list(value).alias("list"))
 
 
+def _few(lists: DataFrame) -> bool:
+    """There are few enough numbers in all lists together to broadcast them."""
+    return lists.agg(F.coalesce(F.sum(F.size(F.col(lists.columns[1])) + 4), F.lit(0))).first()[0] <= BROADCAST_LONGS
+
+
 def _with(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
-    """docs with their lists of longs; broadcast only if there are few numbers in all of them."""
-    n = lists.agg(F.coalesce(F.sum(F.size(F.col(lists.columns[1])) + 4), F.lit(0))).first()[0]
-    return docs.join(F.broadcast(lists) if n <= BROADCAST_LONGS else lists, "doc_id", how).select("doc_id", "text", lists.columns[1])
+    """docs with their lists of longs."""
+    return docs.join(F.broadcast(lists) if _few(lists) else lists, "doc_id", how).select("doc_id", "text", lists.columns[1])
 
 
 def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -282,19 +286,21 @@ def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     found = [done.select("doc_id", span(anchor - bits(9), anchor - bits(1)))]
     scratch.drop("runs")
     open_runs = scratch.save(_lists(more, "place"), "open-runs")
-    steps = scratch.save(_with(docs, open_runs).mapInArrow(_step_rows, STEPS), "steps")
+    # Where lists are too many to broadcast, texts without open runs are shuffled once and not again.
+    texts = docs if _few(open_runs) else scratch.save(docs.join(open_runs.select("doc_id"), "doc_id", "left_semi"), "texts")
+    steps = scratch.save(_with(texts, open_runs).mapInArrow(_step_rows, STEPS), "steps")
     done, more = _repeated(steps, scratch, "second")
     first = F.shiftright(p, 5)
     found.append(done.select("doc_id", span(first, first + F.shiftright(p, 1).bitwiseAND(15))))
     scratch.drop("steps")
     open_steps = scratch.save(_lists(more, "place"), "open-steps")
-    last = scratch.save(_with(docs, open_steps).mapInArrow(_suffix_rows, SUFFIX), "suffixes")
+    last = scratch.save(_with(texts, open_steps).mapInArrow(_suffix_rows, SUFFIX), "suffixes")
     counts = last.groupBy("bucket", "full").agg(F.count("*").alias("n")).where("n > 1")
     done = last.where(p.bitwiseAND(1) == 0).join(counts, ["bucket", "full"])
     found.append(done.select("doc_id", span(F.shiftright(p, 1), F.shiftright(p, 1))))
     out = _lists(found[0].unionByName(found[1]).unionByName(found[2]), "span")
     out = scratch.save(out.mapInArrow(_joined, "doc_id long, spans array<long>"), "repeats")
-    scratch.drop("first", "second", "suffixes", "open-runs", "open-steps")
+    scratch.drop("first", "second", "suffixes", "open-runs", "open-steps", "texts")
     return out
 
 
@@ -322,7 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Rows stay even if nothing of their text does. Nulls, short texts and ids as in removal_report.
     """
     found = repeats(_prepared(docs, id_col, text_col), Scratch(docs.sparkSession, "suffixes"))
-    n = found.agg(F.coalesce(F.sum(F.size("spans") + 4), F.lit(0))).first()[0]
+    few = _few(found)
     found = found.select(F.col("doc_id").alias("_gleaner_id"), F.col("spans").alias("_gleaner_spans"))
-    joined = docs.join(F.broadcast(found) if n <= BROADCAST_LONGS else found, docs[id_col].cast("long") == found["_gleaner_id"], "left")
+    joined = docs.join(F.broadcast(found) if few else found, docs[id_col].cast("long") == found["_gleaner_id"], "left")
     return joined.drop("_gleaner_id").mapInArrow(_cleaned(text_col), docs.schema)
