@@ -14,8 +14,20 @@ from gleaner.ship import ship
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of an Arrow batch between Spark and a Python worker; bounds both sides' buffers when texts are long.
+BATCH_BYTES = 4 << 20
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    """Ships this package and lowers the size of Arrow batches, unless the user has set it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "").rstrip("bB") in ("", str(64 << 20)):
+        spark.conf.set(key, str(BATCH_BYTES))
+    return ship(spark)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +48,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.root, self.at = ship(spark), f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", {}
+        self.spark, self.root, self.at = prepared(spark), f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
