@@ -60,3 +60,23 @@ def first_passages(passages: DataFrame) -> DataFrame:
 def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What a resumed run still has to do."""
     return rows.join(done.select(key).distinct(), key, "left_anti")
+
+
+def complete_prefix(rows: DataFrame, done: DataFrame) -> DataFrame:
+    """(passage_id, article_id, row, new_article): what a partly finished run leaves whole.
+
+    rows: passage_id, article_id, row, part; done: part, n (rows finished at the front of that part). Articles with an
+    unfinished passage go. Articles are numbered anew from 0 in the order of their first row: inside ranges of
+    4,096 rows, after a running sum over the ranges.
+    """
+    start = rows.groupBy("part").agg(F.min("row").alias("start"))
+    marked = rows.join(F.broadcast(start), "part").join(F.broadcast(done), "part", "left")
+    marked = marked.withColumn("finished", F.coalesce(F.col("row") - F.col("start") < F.col("n"), F.lit(False)))
+    whole = marked.groupBy("article_id").agg(F.min("row").alias("first"), F.min("finished").alias("whole")).where("whole")
+    whole = whole.select("article_id", "first", F.floor(F.col("first") / 4096).alias("range"))
+    ranges = whole.groupBy("range").agg(F.count("*").alias("m"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy("first")) - 1
+    numbered = whole.withColumn("own", own).join(F.broadcast(ranges), "range").select("article_id", (F.col("base") + F.col("own")).alias("new_article"))
+    return marked.join(numbered, "article_id").select("passage_id", "article_id", "row", "new_article")

@@ -121,3 +121,14 @@ def resume_remaining(spark, sf_dir):
     """What is left after a run that had finished every third article."""
     rows = passages(spark, sf_dir)
     return C.remaining(rows, rows.where(F.col("article_id") % 3 == 0), "passage_id").select("passage_id")
+
+
+@query("complete_prefix", f"""WITH {PASSAGES}, o AS (SELECT passage_id, article_id, row_number() OVER (ORDER BY (article_id * 2654435761) % 4294967296, article_id, passage_id) - 1 AS row FROM passages),
+p AS (SELECT *, (row // ((SELECT count(*) + 3 FROM passages) // 4))::INT AS part FROM o), s AS (SELECT *, row - min(row) OVER (PARTITION BY part) AS in_part FROM p),
+w AS (SELECT article_id, min(row) AS first FROM s GROUP BY ALL HAVING bool_and(in_part < 100 + 50 * part)), n AS (SELECT article_id, row_number() OVER (ORDER BY first) - 1 AS new_article FROM w)
+SELECT passage_id, article_id, row, new_article FROM s JOIN n USING (article_id)""")
+def complete_prefix(spark, sf_dir):
+    """Part k has finished its first 100 + 50 k rows."""
+    rows = passages(spark, sf_dir)
+    done = spark.createDataFrame([(k, 100 + 50 * k) for k in range(4)], "part int, n long")
+    return C.complete_prefix(C.parts(C.shuffled(rows), 4, rows.count()), done)

@@ -212,3 +212,22 @@ def interleave_two(spark, sf_dir):
     first = R.top_k(rows.withColumn("score", F.col("a")), 8)
     second = R.top_k(rows.withColumn("score", -F.col("b")), 8)
     return R.interleaved(first, second).withColumn("rank", F.col("rank").cast("long"))
+
+
+_SENT = """sent AS (SELECT question_id, passage_id, question, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS place FROM (SELECT item_id AS question_id, doc_id AS passage_id, b.text AS question,
+  string_split(regexp_replace(regexp_replace(d.text[1:2000], '([.?!]) ([A-Z0-9"(])', '\\1' || chr(1) || '\\2', 'g'), '((?:^|\\s)[A-Z]\\S{0,2}\\.)\x01', '\\1 ', 'g'), chr(1)) AS s
+  FROM benchmark b JOIN documents d ON d.doc_id = b.item_id) WHERE len(s) < 64),
+pairs AS (SELECT question_id, passage_id * 64 + place AS passage_id, question, text FROM sent)"""
+
+
+@query("best_sentence", f"""WITH {_coverage_sql(False).replace(_PAIR, _SENT)}, c AS (SELECT question_id, passage_id // 64 AS passage_id, passage_id % 64 AS place, text, round(coalesce(coverage, 1.0), 9) AS coverage FROM pairs LEFT JOIN cov USING (question_id, passage_id)),
+l AS (SELECT *, lag(text) OVER w AS b, lead(text) OVER w AS a FROM c WINDOW w AS (PARTITION BY question_id, passage_id ORDER BY place))
+SELECT question_id, passage_id, place::INT AS place, md5(text) AS best, md5(concat_ws(' ', b, text)) AS with_previous, md5(concat_ws(' ', text, a)) AS with_next FROM l QUALIFY row_number() OVER (PARTITION BY question_id, passage_id ORDER BY coverage DESC, place) = 1""")
+def best_sentence(spark, sf_dir):
+    """The reader's windows over the first 2,000 characters of each benchmark id's document, where those have at most 64 sentences."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    tf = L.term_frequencies(docs)
+    pairs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.col("item_id").alias("passage_id"))
+    pairs = pairs.join(docs.withColumn("text", F.substring("text", 1, 2000)), "passage_id").where(F.size(T.sentences(F.col("text"))) < 64)
+    found = R.best_sentences(pairs, L.document_frequencies(tf), tf.agg(F.count_distinct("passage_id").alias("n")))
+    return found.select("question_id", "passage_id", "place", F.md5("best").alias("best"), F.md5("with_previous").alias("with_previous"), F.md5("with_next").alias("with_next"))
