@@ -21,7 +21,7 @@ BATCH_BYTES = 4 << 20
 def prepared(spark: SparkSession) -> SparkSession:
     """Ships this package and lowers the size of Arrow batches, unless the user has set it."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "").rstrip("bB") in ("", str(64 << 20)):
+    if spark.conf.get(key).rstrip("bB") == str(64 << 20):
         spark.conf.set(key, str(BATCH_BYTES))
     return ship(spark)
 
