@@ -10,7 +10,7 @@ from gleaner.functions import vectors as V
 from gleaner.operators import lexical as L
 from gleaner.operators import retrieve as R
 
-from .binding import PASSAGES, TF, sql_question_terms, sql_related, sql_tokens, strings, table
+from .binding import sql_question_terms, sql_related, sql_tokens, strings, table
 from .lexical import BM25
 from .registry import query
 

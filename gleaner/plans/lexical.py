@@ -9,7 +9,7 @@ from gleaner.functions import text as T
 from gleaner.operators import lexical as L
 from gleaner.operators import retrieve as R
 
-from .binding import PASSAGES, STRIDE, TF, articles, passages, questions, sql_question_terms, sql_related, sql_tokens, strings, table
+from .binding import PASSAGES, TF, articles, passages, questions, sql_question_terms, sql_related, sql_tokens, strings, table
 from .registry import query
 
 
