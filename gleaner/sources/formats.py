@@ -90,8 +90,8 @@ def read_matrix(spark: SparkSession, path: str, dimensions: int) -> DataFrame:
 
         for batch in batches:
             for content in batch.column(0):
-                x = np.frombuffer(content.as_py(), "<f4")
-                x = x[: len(x) // dimensions * dimensions].reshape(-1, dimensions)
+                raw = content.as_py()
+                x = np.frombuffer(raw, "<f4", len(raw) // (4 * dimensions) * dimensions).reshape(-1, dimensions)
                 yield pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int64()), pa.array(list(x), pa.list_(pa.float32()))], ["row", "v"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row long, v array<float>")
