@@ -84,7 +84,10 @@ def _runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     if not first:
         none = np.zeros(0, np.int64)
         return none, none, none, none.astype(np.uint64)
-    return np.concatenate(first), np.concatenate(last), np.concatenate(anchor), np.concatenate(gram)
+    first, last, anchor, gram = (np.concatenate(x) for x in (first, last, anchor, gram))
+    # A window's end may split a run: both parts have one anchor and are one run again.
+    new = np.append(True, anchor[1:] != anchor[:-1])
+    return first[new], last[np.append(new[1:], True)], anchor[new], gram[new]
 
 
 def _names(raw: memoryview, a: list[int], b: list[int]) -> np.ndarray:

@@ -219,6 +219,17 @@ def test_windows_of_long_texts(monkeypatch):
     assert ((anchor >= last) & (anchor + suffixes.Q <= first + 200)).all()
 
 
+def test_windows_do_not_split_runs(spark, monkeypatch):
+    data = np.random.default_rng(6).integers(97, 123, grams.SLICE_BYTES + 60_000).astype(np.uint8)
+    rows = [(1, data.tobytes().decode()), (2, data[grams.SLICE_BYTES - 900 : grams.SLICE_BYTES - 500].tobytes().decode())]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removal_report(documents(spark, rows)).collect()}
+    assert got == brute_removal(rows)
+    data = data[:9000]
+    whole = suffixes._runs(data)
+    monkeypatch.setattr(grams, "SLICE_BYTES", 500)
+    assert all((a == b).all() for a, b in zip(suffixes._runs(data), whole, strict=True))
+
+
 def test_remove_repeats_keeps_columns_and_characters(spark):
     frame = documents(spark, [(1, "ä" * 150 + "1"), (2, "xx" + "ä" * 150), (3, None), (None, "ä" * 150)])
     got = {r.doc_id: r for r in suffixes.remove_repeats(frame).collect()}
