@@ -3,13 +3,13 @@
 Texts become lower-case word tokens; numbers, units after a number and names (capitalised words after a
 lower-case letter or a comma) become typed placeholders that keep their value on the side. Windows of
 WINDOW template tokens are hash-joined between benchmark and documents. Matches of one item on one
-diagonal (document position minus item position) that cover at least LEAST_TOKENS tokens, or all
-but EDGE of a shorter item, are aligned token by token, and their slots must be consistent: within a
+diagonal (document position minus item position) are aligned token by token. Their windows must cover
+at least LEAST_TOKENS tokens, or all but EDGE of a shorter item, and their slots must be consistent: within a
 type, one item value goes with one document value and the other way round. A verbatim copy maps every
 value to itself; a re-parameterised question maps, say, every 12 to 15.
 
-Benchmark windows with fewer than LEAST_WORDS literal tokens are left to their neighbours, since
-placeholders alone match anything; an item that has none other keeps them all.
+Benchmark windows with fewer than LEAST_WORDS literal tokens are not joined, since placeholders alone
+match anything; they count where a neighbour has found the diagonal. An item that has none other keeps them all.
 """
 
 from __future__ import annotations
@@ -70,6 +70,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per leaked (doc_id, item_id): n_windows, matched_tokens, item_tokens, n_slots, changed_slots.
 
     The values are those of the pair's best diagonal: most matched tokens, then the smallest diagonal.
+    n_windows counts the joined windows.
     changed_slots counts distinct slots whose value differs. Null and empty texts leak nothing; null ids
     are left out. Repeated rows of one id count once. Empty tables give no rows; clashing names of other
     columns don't matter. The benchmark side is broadcast only if it is small by count.
@@ -87,8 +88,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     grams = items.select("item_id", "item_tokens", "item_template", at).select("*", F.slice("item_template", F.col("at") + 1, width).alias("gram"))
     words = F.size(F.filter("gram", lambda t: F.substring(t, 1, 1) != _MARK))
     grams = grams.select("item_id", "item_tokens", "at", F.size("gram").alias("width"), F.xxhash64("gram").alias("h"), (words >= LEAST_WORDS).alias("rich"))
-    some = grams.groupBy("item_id").agg(F.max("rich").alias("any_rich"))
-    grams = grams.join(some, "item_id").where("rich or not any_rich").select("h", "width", "item_id", "item_tokens", "at")
+    some = grams.groupBy("item_id").agg(F.max("rich").alias("any_rich"), F.count(F.when(~F.col("rich"), 1)).alias("poor"))
+    some = some.select("item_id", "any_rich", F.when(F.col("any_rich"), F.col("poor")).otherwise(0).alias("left_out"))
+    grams = grams.join(some, "item_id").where("rich or not any_rich").select("h", "width", "item_id", "item_tokens", "left_out", "at")
     grams = scratch.save(grams, "grams")
     widths = [r.width for r in grams.select("width").distinct().collect()]  # at most WINDOW of them
     hashed = lambda values: bound(template(values), lambda t: F.array(*(F.struct(F.lit(w).alias("width"), _windows(t, w).alias("hs")) for w in widths)))
@@ -97,9 +99,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     seen = docs.select("doc_id", F.explode(bound(value_tokens(F.col("text")), hashed)).alias("s"))
     seen = seen.select("doc_id", F.col("s.width").alias("width"), F.posexplode("s.hs").alias("pos", "h"))
     found = seen.join(small(grams, 100_000), ["h", "width"]).groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"))
-    found = found.agg(F.count("*").alias("n_windows"), F.max("item_tokens").alias("item_tokens"), F.max("width").alias("width"))
-    found = found.where(F.col("n_windows") + F.col("width") - 1 >= F.greatest("width", F.least(F.col("item_tokens") - EDGE, F.lit(LEAST_TOKENS))))
-    found = scratch.save(found.select("doc_id", "item_id", "diagonal", "n_windows"), "found")
+    found = found.agg(
+        F.count("*").alias("n_windows"), F.max("item_tokens").alias("item_tokens"), F.max("width").alias("width"), F.max("left_out").alias("left_out")
+    )
+    enough = lambda n: n + F.col("width") - 1 >= F.greatest("width", F.least(F.col("item_tokens") - EDGE, F.lit(LEAST_TOKENS)))
+    # Even if all windows that were left out match, the others can't reach the bound.
+    found = found.where(enough(F.col("n_windows") + F.col("left_out")))
+    found = scratch.save(found.select("doc_id", "item_id", "diagonal", "n_windows", "width"), "found")
     wanted = small(found.select("doc_id").distinct())
     texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
     texts = texts.select("doc_id", value_tokens(F.col("text")).alias("doc_values"))
@@ -112,7 +118,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         F.get("doc_values", i + F.col("diagonal")).alias("dv"),
     )
     pairs = F.transform(F.sequence(F.lit(0), F.col("item_tokens") - 1), pair)
-    both = both.select("doc_id", "item_id", "diagonal", "n_windows", "item_tokens", F.filter(pairs, lambda p: p.it == p.dt).alias("same"))
+    both = both.select("doc_id", "item_id", "diagonal", "n_windows", "item_tokens", "width", pairs.alias("pairs"))
+    equal = F.transform("pairs", lambda p: F.coalesce(p.it == p.dt, F.lit(False)))
+    both = scratch.save(both.select("*", equal.alias("equal")), "aligned")
+    starts = F.filter(F.sequence(F.lit(0), F.col("item_tokens") - F.col("width")), lambda i: F.forall(F.slice("equal", i + 1, F.col("width")), lambda e: e))
+    both = both.where(enough(F.size(starts))).select("*", F.filter("pairs", lambda p: p.it == p.dt).alias("same"))
     slots = F.filter("same", lambda p: F.substring(p.it, 1, 1) == _MARK)
     both = both.select("*", F.array_distinct(F.transform(slots, lambda p: F.struct(p.it.alias("k"), p.iv.alias("i"), p.dv.alias("d")))).alias("slots"))
     one_way = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p.k, p[side]))))

@@ -491,6 +491,15 @@ def test_leaks(spark):
     assert decontaminate.leaks(documents(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_items_with_many_numbers(spark):
+    item = "Find the mean of the numbers 3, 7, 8, 12, 15, 18, 21, 24."
+    other = "Find the mean of the numbers 4, 9, 2, 11, 16, 19, 22, 25."
+    rows = [(1, item), (2, "so, " + item + " and more"), (3, other), (4, "Find the mean of the numbers 3, 7 and then stop reading here"), (5, "1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15")]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    assert set(got) == {1, 2, 3} and got[1].changed_slots == 0 and got[3].changed_slots == 8
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, sf, name):
     assert same(spark, sf, queries.queries()[name], queries.oracle_sql()[name])
