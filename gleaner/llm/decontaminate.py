@@ -4,9 +4,10 @@ Texts become lower-case word tokens; numbers, units after a number and names (ca
 lower-case letter or a comma) become typed placeholders that keep their value on the side. Windows of
 WINDOW template tokens are hash-joined between benchmark and documents. Matches of one item on one
 diagonal (document position minus item position) are aligned token by token. Their windows must cover
-at least LEAST_TOKENS tokens, or all but EDGE of a shorter item, and their slots must be consistent: within a
-type, one item value goes with one document value and the other way round. A verbatim copy maps every
-value to itself; a re-parameterised question maps, say, every 12 to 15.
+at least LEAST_TOKENS tokens, or all but EDGE of a shorter item, and the windows' slots must be consistent: within
+a type, one item value goes with one document value and the other way round. A verbatim copy maps every
+value to itself; a re-parameterised question maps, say, every 12 to 15. LEAST_TOKENS tokens in a row with
+equal values leak whatever the other slots say; a unit after an altered number is altered with it.
 
 Benchmark windows with fewer than LEAST_WORDS literal tokens are not joined, since placeholders alone
 match anything; they count where a neighbour has found the diagonal. An item that has none other keeps them all.
@@ -70,7 +71,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """One row per leaked (doc_id, item_id): n_windows, matched_tokens, item_tokens, n_slots, changed_slots.
 
     The values are those of the pair's best diagonal: most matched tokens, then the smallest diagonal.
-    n_windows counts the joined windows.
+    n_windows counts the joined windows. Slots are those inside matched windows.
     changed_slots counts distinct slots whose value differs. Null and empty texts leak nothing; null ids
     are left out. Repeated rows of one id count once. Empty tables give no rows; clashing names of other
     columns don't matter. The benchmark side is broadcast only if it is small by count.
@@ -112,6 +113,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     texts = scratch.save(texts.select("*", template(F.col("doc_values")).alias("doc_template")), "texts")
     both = found.join(texts, "doc_id").join(small(items, 10_000), "item_id")
     pair = lambda i: F.struct(
+        i.alias("at"),
         F.get("item_template", i).alias("it"),
         F.get("doc_template", i + F.col("diagonal")).alias("dt"),
         F.get("item_values", i).alias("iv"),
@@ -120,13 +122,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     pairs = F.transform(F.sequence(F.lit(0), F.col("item_tokens") - 1), pair)
     both = both.select("doc_id", "item_id", "diagonal", "n_windows", "item_tokens", "width", pairs.alias("pairs"))
     equal = F.transform("pairs", lambda p: F.coalesce(p.it == p.dt, F.lit(False)))
-    both = scratch.save(both.select("*", equal.alias("equal")), "aligned")
+    literal = F.transform("pairs", lambda p: F.coalesce((p.it == p.dt) & (p.iv == p.dv), F.lit(False)))
+    both = scratch.save(both.select("*", equal.alias("equal"), literal.alias("literal")), "aligned")
     starts = F.filter(F.sequence(F.lit(0), F.col("item_tokens") - F.col("width")), lambda i: F.forall(F.slice("equal", i + 1, F.col("width")), lambda e: e))
-    both = both.where(enough(F.size(starts))).select("*", F.filter("pairs", lambda p: p.it == p.dt).alias("same"))
-    slots = F.filter("same", lambda p: F.substring(p.it, 1, 1) == _MARK)
-    both = both.select("*", F.array_distinct(F.transform(slots, lambda p: F.struct(p.it.alias("k"), p.iv.alias("i"), p.dv.alias("d")))).alias("slots"))
+    # A unit belongs to the number before it: after an altered number it isn't literal.
+    literal = F.transform("pairs", lambda p: F.get("literal", p.at) & ((p.it != f"{_MARK}u") | F.coalesce(F.get("literal", p.at - 1), F.lit(False))))
+    both = scratch.save(both.select("*", starts.alias("starts"), literal.alias("own")), "matched").where(enough(F.size("starts")))
+    copied = F.exists(F.sequence(F.lit(0), F.col("item_tokens") - LEAST_TOKENS), lambda i: F.forall(F.slice("own", i + 1, LEAST_TOKENS), lambda e: e))
+    both = both.select("*", F.when(F.col("item_tokens") >= LEAST_TOKENS, copied).otherwise(False).alias("copied"), F.filter("pairs", lambda p: p.it == p.dt).alias("same"))
+    inside = lambda p: F.exists("starts", lambda i: (i <= p.at) & (p.at < i + F.col("width")))
+    slots = F.filter("same", lambda p: (F.substring(p.it, 1, 1) == _MARK) & inside(p))
+    both = scratch.save(both.select("*", F.array_distinct(F.transform(slots, lambda p: F.struct(p.it.alias("k"), p.iv.alias("i"), p.dv.alias("d")))).alias("slots")), "slots")
     one_way = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p.k, p[side]))))
-    both = both.where((one_way("i") == F.size("slots")) & (one_way("d") == F.size("slots")))
+    both = both.where(F.col("copied") | ((one_way("i") == F.size("slots")) & (one_way("d") == F.size("slots"))))
     best = both.select(
         "doc_id",
         "item_id",

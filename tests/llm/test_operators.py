@@ -500,6 +500,15 @@ def test_leaks_of_items_with_many_numbers(spark):
     assert set(got) == {1, 2, 3} and got[1].changed_slots == 0 and got[3].changed_slots == 8
 
 
+def test_leaks_with_conflicts_outside_the_copy(spark):
+    item = "Every morning 12 buses leave the depot and each of them carries many people to the city, where 12 shops open and 30 clerks wait for them"
+    part = item[: item.index(", where")]
+    rows = [(1, part + " until 15 trams come and 12 drivers rest"), (2, item.replace("12 shops", "15 shops")), (3, part.replace("12", "40") + " until 15 trams come")]
+    rows += [(4, item.replace("12 buses leave the depot and", "15 buses leave a depot but").replace("the city, where 12 shops", "a city, where 12 shops"))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(documents(spark, rows), bench).collect()} == {1, 2, 3}
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_equals_sql(spark, sf, name):
     assert same(spark, sf, queries.queries()[name], queries.oracle_sql()[name])
