@@ -186,6 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands = (
         features.select("doc_id", "bands", *same)
         .join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *same])
+        .dropDuplicates(["doc_id", *same])  # repeated rows would cancel in the buckets' xors
         .select("doc_id", F.posexplode("bands").alias("band", "key"))
     )
     buckets = bands.groupBy("band", "key").agg(

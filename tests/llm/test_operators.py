@@ -117,6 +117,16 @@ def test_minhash_equals_brute_force(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_minhash_repeated_rows(spark):
+    rows = []
+    for k in range(0, 90, 3):  # b and c are near a, but not near each other
+        a = [f"t{k}.{i}" for i in range(100)]
+        rows += [(k, " ".join(a)), (k + 1, " ".join(["x"] * 9 + a[9:])), (k + 2, " ".join(a[:-9] + ["y"] * 9))]
+    got = minhash.near_duplicates(documents(spark, rows + rows)).collect()
+    assert len(got) == 2 * len(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
+
+
 def test_minhash_awkward(spark):
     frame, rows = awkward(spark)
     got = minhash.near_duplicates(frame).collect()
