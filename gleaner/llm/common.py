@@ -31,9 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where that is unset.
+
+    A new one is local, so it is made only where the executors are threads of this process.
+    """
     found = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -74,3 +79,24 @@ def delete(spark: SparkSession, where: str) -> None:
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most that many rows; else as it is, so that the join shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+#: Rows of one key beyond which a join takes the key's partner from a broadcast instead of a shuffle.
+HOT = 256
+#: Keys that can have more than HOT rows each, at most; HOT rises with the number of rows to hold this.
+HOT_KEYS = 500_000
+
+
+def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], count: str, how: str = "inner") -> DataFrame:
+    """rows joined with side, which has one row for each key and in `count` the number of rows that have it.
+
+    Keys of many rows are joined by broadcast, so their rows stay where they are; there are at most HOT_KEYS of
+    them, since the counts add up to all rows. The others are shuffled. how: inner or left.
+    """
+    found = side.agg(F.sum(count).alias("all"), F.max(count).alias("most")).first()
+    least = max(HOT, (found["all"] or 0) // HOT_KEYS)
+    if (found.most or 0) <= least:
+        return rows.join(side, keys, how)
+    hot = F.broadcast(side.where(F.col(count) > least))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(side.where(F.col(count) <= least), keys, how)
+    return rows.join(hot, keys).unionByName(rest)

@@ -1,15 +1,20 @@
 """MinHash near-duplicates: universal hash minima, banding, signature verification, star components.
 
 1. Each text becomes its set of distinct word shingles (64-bit hashes), PERMUTATIONS universal hash
-   minima and BANDS band keys. Documents with equal sets collapse to the one with the smallest id.
-2. Band buckets with at least two such documents are found by partial aggregates. Buckets with the
-   same members in several bands count once.
-3. The members of a bucket, cut into chunks of CHUNK documents, are compared chunk against chunk.
-   A pair is taken in the first band that it shares; the signatures must agree in at least
-   ESTIMATE_FLOOR of the minima (over five standard deviations below 0.75); pairs that are not yet
-   connected inside the block are confirmed on their full sets. Only links that join two parts of a
-   block leave it, so a group of m copies gives at most m - 1 rows for each block, not m * m.
-4. The links' components, by large-star and small-star, are given back to all documents.
+   minima and BANDS band keys. Equal sets collapse to one class, whose identity is its smallest id with the
+   set's hash, so an id that comes with several texts is several classes.
+2. Band buckets with at least two classes are found by partial aggregates. Buckets with the same
+   members in several bands count once.
+3. First round: every class takes part in its largest bucket only. The bucket's members are cut into
+   chunks; each chunk is compared with itself and with the first chunk, so a group of m near copies costs
+   m times a chunk, not m times m. Signatures must agree in at least ESTIMATE_FLOOR of the minima (over five
+   standard deviations below 0.75); pairs that are not yet connected inside the block are confirmed on their
+   full sets. Only links that join two parts of a block leave it.
+4. Second round, over all buckets: those whose members are in one component by now are done. In the others,
+   members outside the bucket's greatest component are compared with all of its members of other components,
+   chunk against chunk, a pair in the first band that it shares. Every pair that shares a band has then
+   been compared or lies in one component, so no link between different components is lost.
+5. The components of both rounds' links, by large-star and small-star, are given back to all documents.
 
 A pair at exactly 0.75 shares no band of 4 minima out of 32 with probability (1 - 0.75**4)**32 =
 5e-6; above it the chance falls fast. No bucket is capped.
@@ -25,14 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import Scratch, small
+from .common import Scratch, join_counted, small
 from .components import components
 
 WIDTH = 5
 PERMUTATIONS = 128
 BANDS = 32
 ESTIMATE_FLOOR = 0.55
+#: Documents of a chunk, and bytes of their full sets, at most about (a single larger document is a chunk of its own).
 CHUNK = 256
+CHUNK_BYTES = 16 << 20
 
 _A = grams.stream(3, PERMUTATIONS) | np.uint64(1)
 _B = grams.stream(4, PERMUTATIONS)
@@ -95,12 +102,27 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+SETS = "doc_id long, set1 long, bands binary, signature binary, full_set binary"
+
+
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every text that has words: its band keys, the low bytes of its minima and its whole set."""
     for batch in batches:
         for i, sets in _sets(batch.column(1)):
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "full_set"]
-            )
+            full = [k for k, s in enumerate(sets) if len(s)]
+            if not full:
+                continue
+            sets = [sets[k] for k in full]
+            low = minima(sets)
+            one = [int(grams.mix(s).sum(dtype=np.uint64).view(np.int64)) for s in sets]
+            columns = [
+                batch.column(0).take(pa.array([i + k for k in full])),
+                pa.array(one, pa.int64()),
+                pa.array([x.tobytes() for x in band_keys(low)], pa.binary()),
+                pa.array([x.tobytes() for x in low.astype(np.uint8)], pa.binary()),
+                pa.array([s.tobytes() for s in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SETS.split(", ")])
 
 
 class _Parts:
@@ -114,65 +136,118 @@ class _Parts:
         return x
 
 
-def _block_links(band: int, left: list[tuple[int, bytes]], right: list[tuple[int, bytes]]) -> list[tuple[int, int]]:
-    """Links of a block that join two of its parts. right: empty for pairs inside left."""
-    members = [*left, *right]
-    sets = [np.frombuffer(b, np.uint64) for _, b in members]
-    low = minima(sets)
-    keys, n, split = band_keys(low)[:, :band], len(members), len(left)
-    sizes = np.array([len(s) for s in sets])
-    parts, links = _Parts(n), []
-    rows, cols, scores = [], [], []
-    for i in range(split if right else n):
-        rest = slice(split, n) if right else slice(i + 1, n)
-        fit = 4 * np.minimum(sizes[rest], sizes[i]) >= 3 * np.maximum(sizes[rest], sizes[i])
-        fit &= ~(keys[rest] == keys[i]).any(axis=1)
-        to = np.flatnonzero(fit) + rest.start
-        if len(to):
-            same = (low[to] == low[i]).mean(axis=1)
-            ok = same >= ESTIMATE_FLOOR
-            rows += [i] * int(ok.sum())
-            cols += to[ok].tolist()
-            scores += same[ok].tolist()
-    for k in np.argsort(-np.array(scores), kind="stable").tolist():
-        i, j = rows[k], cols[k]
-        x, y = parts.find(i), parts.find(j)
-        if x == y:
-            continue
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
-            parts.up[y] = x
-            links.append((members[i][0], members[j][0]))
-    return links
+class _Block:
+    """Rows of one block: (node, component, bands, signature, full set) on either side."""
 
+    def __init__(self):
+        self.sides: tuple[list, list] = ([], [])
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by block; a block has two chunks of at most about CHUNK documents each."""
+    def links(self, first: bool, band: int) -> list[tuple[tuple, tuple]]:
+        """Links that join two parts.
 
-    def out(key, sides):
-        found = _block_links(key[0], sides[0], sides[1]) if key[2] == key[3] or sides[0] and sides[1] else []
-        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+        First round: pairs of side 0 with side 1 and inside side 1. Second round: pairs of different
+        components that share no earlier band; a pair with both ends on both sides is taken once.
+        """
+        members = [*self.sides[0], *self.sides[1]]
+        split, n = len(self.sides[0]), len(members)
+        if not n or not first and (not split or split == n):
+            return []
+        sets = [np.frombuffer(m[4], np.uint64) for m in members]
+        sizes = np.array([len(s) for s in sets])
+        low = np.frombuffer(b"".join(m[3] for m in members), np.uint8).reshape(n, -1)
+        keys = np.frombuffer(b"".join(m[2] for m in members), np.uint64).reshape(n, -1)[:, : 0 if first else band]
+        seen: dict[tuple, int] = {}
+        group = np.array([seen.setdefault(m[1], len(seen)) for m in members])
+        nodes = {m[0] for m in self.sides[0]} if not first else set()
+        both = np.array([m[0] in nodes for m in members[split:]], bool)  # second round: of side 1, also on side 0
+        parts, links = _Parts(len(seen)), []
+        rows, cols, scores = [], [], []
+        for i in range(n if first else split):
+            rest = slice(max(split, i + 1), n)
+            fit = (4 * np.minimum(sizes[rest], sizes[i]) >= 3 * np.maximum(sizes[rest], sizes[i])) & (group[rest] != group[i])
+            if not first:
+                fit &= ~(keys[rest] == keys[i]).any(axis=1)
+                if both.any():
+                    fit &= ~both | np.array([members[i][0] < m[0] for m in members[split:]], bool)
+            to = np.flatnonzero(fit) + rest.start
+            if len(to):
+                same = (low[to] == low[i]).mean(axis=1)
+                ok = same >= ESTIMATE_FLOOR
+                rows += [i] * int(ok.sum())
+                cols += to[ok].tolist()
+                scores += same[ok].tolist()
+        for k in np.argsort(-np.array(scores), kind="stable").tolist():
+            i, j = rows[k], cols[k]
+            x, y = parts.find(group[i]), parts.find(group[j])
+            if x == y:
+                continue
+            common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common):
+                parts.up[y] = x
+                links.append((members[i][0], members[j][0]))
+        return links
 
-    now, sides = None, ([], [])
-    for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(5)]
-        for k, key in enumerate(zip(*columns[:4], strict=True)):
-            if key != now:
-                if now:
-                    yield out(now, sides)
-                now, sides = key, ([], [])
-            sides[0 if columns[4][k] == key[2] else 1].append((batch.column(5)[k].as_py(), batch.column(6)[k].as_py()))
-    if now:
-        yield out(now, sides)
+
+BLOCK = ["band", "key", "one", "two"]
+LINKS = "a struct<id: long, h: long>, b struct<id: long, h: long>"
+
+
+def _links(first: bool) -> callable:
+    def out(block: _Block, key: tuple) -> pa.RecordBatch:
+        found = block.links(first, key[0])
+        node = pa.struct([("id", pa.int64()), ("h", pa.int64())])
+        return pa.RecordBatch.from_arrays([pa.array([{"id": x[k][0], "h": x[k][1]} for x in found], node) for k in (0, 1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block, which holds at most two chunks."""
+        now, block = None, _Block()
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in range(9)]
+            for k, key in enumerate(zip(*columns[:4], strict=True)):
+                if key != now:
+                    if now:
+                        yield out(block, now)
+                    now, block = key, _Block()
+                node, component = (columns[5][k], columns[6][k]), (columns[7][k], columns[8][k])
+                block.sides[columns[4][k]].append((node, component, *(batch.column(x)[k].as_py() for x in (9, 10, 11))))
+        if now:
+            yield out(block, now)
+
+    return run
+
+
+def _chunks(n, size):
+    """Number of chunks for n members whose sets hold `size` shingles together."""
+    return F.greatest(F.ceil(n / CHUNK), F.ceil(size * 8 / CHUNK_BYTES)).cast("int")
+
+
+def _compared(docs: DataFrame, blocks: DataFrame, first: bool, repeated: bool, scratch: Scratch, name: str) -> DataFrame:
+    """Links of blocks: rows (block, side, id, h, cid, ch), each member as often as blocks need it."""
+    blocks = scratch.save(blocks.select(*BLOCK, "side", "id", "h", "cid", "ch"), f"{name}-blocks")
+    wanted = small(blocks.select(F.col("id").alias("doc_id")).distinct())
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, SETS)
+    if repeated:
+        sets = sets.dropDuplicates(["doc_id", "set1"])
+    sets = sets.withColumnsRenamed({"doc_id": "id", "set1": "h"})
+    rows = sets.join(small(blocks), ["id", "h"]).select(*BLOCK, "side", "id", "h", "cid", "ch", "bands", "signature", "full_set")
+    rows = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+    links = scratch.save(rows.mapInArrow(_links(first), LINKS), name)
+    scratch.drop(f"{name}-blocks")
+    return links
+
+
+def _numbers(n):
+    return F.explode(F.sequence(F.lit(0), n - 1))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Null and word-less texts have an empty set, n_shingles 0, and link with nothing. A null id keeps
-    its row, with a null component and kept = false. Repeated rows come out as often as they went in.
-    An empty table gives no rows; other columns are not read, whatever their names. kept is
-    doc_id = component_id, so ties go to the smallest id.
+    its row, with a null component and kept = false. Repeated rows come out as often as they went in; rows of
+    one id with different texts link and get components each by its own text. An empty table gives no
+    rows; other columns are not read, whatever their names. kept is doc_id = component_id, so ties go to
+    the smallest id.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -181,41 +256,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs.mapInArrow(_features, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"), "features"
     )
     same = ["n_shingles", "set1", "set2"]
-    classes = features.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    classes = features.where("n_shingles > 0").groupBy("doc_id", *same).agg(F.count("*").alias("n"))
+    classes = classes.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.sum("n").alias("copies"), F.max("n").alias("most"))
     classes = scratch.save(classes, "classes")
-    bands = (
-        features.select("doc_id", "bands", *same)
-        .join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *same])
-        .dropDuplicates(["doc_id", *same])  # repeated rows would cancel in the buckets' xors
-        .select("doc_id", F.posexplode("bands").alias("band", "key"))
-    )
+    repeated = (classes.agg(F.max("most")).first()[0] or 0) > 1
+    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), *same)
+    reps = features.join(reps, ["doc_id", *same])
+    if repeated:  # repeated rows would cancel in the buckets' xors
+        reps = reps.dropDuplicates(["doc_id", *same])
+    bands = reps.select(F.col("doc_id").alias("id"), F.col("set1").alias("h"), "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = bands.groupBy("band", "key").agg(
         F.count("*").alias("n"),
-        F.min("doc_id").alias("least"),
-        F.bit_xor(F.xxhash64("doc_id")).alias("x1"),
-        F.bit_xor(F.xxhash64(F.lit(1), "doc_id")).alias("x2"),
+        F.min("id").alias("least"),
+        F.bit_xor(F.xxhash64("id", "h")).alias("x1"),
+        F.bit_xor(F.xxhash64(F.lit(1), "id", "h")).alias("x2"),
     )
     buckets = buckets.where("n > 1").groupBy("n", "least", "x1", "x2").agg(F.min(F.struct("band", "key")).alias("b"))
-    buckets = scratch.save(buckets.select("b.*", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "buckets")
-    members = scratch.save(bands.join(small(buckets), ["band", "key"]).distinct(), "members")
-    wanted = small(members.select("doc_id").distinct())
-    sets = docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_full_sets, "doc_id long, full_set binary")
-    sets = scratch.save(sets, "sets")
-    own = F.pmod(F.xxhash64("doc_id"), "chunks").cast("int")
-    blocks = (
-        members.withColumn("own", own)
-        .select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-        .select("band", "key", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "own", "doc_id")
-    )
-    block = ["band", "key", "one", "two"]
-    links = blocks.join(sets, "doc_id").select(*block, "own", "doc_id", "full_set").repartition(*block).sortWithinPartitions(*block)
-    links = scratch.save(links.mapInArrow(_links, "a long, b long"), "links")
-    joined = components(links, scratch)
-    roots = classes.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
-        *same, F.coalesce("component", "rep").alias("root")
+    buckets = scratch.save(buckets.select("b.*", "n"), "buckets")
+    members = scratch.save(bands.join(small(buckets), ["band", "key"]), "members")
+    scratch.drop("buckets")
+    # First round.
+    own = members.groupBy("id", "h", "n_shingles").agg(F.max(F.struct("n", "band", "key")).alias("b"))
+    own = scratch.save(own.select("id", "h", "n_shingles", "b.band", "b.key"), "own")
+    sizes = own.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("n > 1")
+    rows = own.join(small(sizes.select("band", "key", _chunks(F.col("n"), F.col("size")).alias("chunks"))), ["band", "key"])
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "h"), "chunks").cast("int"))
+    nodes = ["id", "h", F.col("id").alias("cid"), F.col("h").alias("ch")]
+    side = F.lit(1).alias("side")
+    zero = rows.where("chunk = 0").select("band", "key", F.lit(0).alias("one"), _numbers(F.col("chunks")).alias("two"), *nodes)
+    zero = zero.withColumn("side", F.when(F.col("two") == 0, 1).otherwise(0))
+    blocks = zero.unionByName(rows.where("chunk > 0").select("band", "key", F.lit(0).alias("one"), F.col("chunk").alias("two"), *nodes, side))
+    links = _compared(docs, blocks, True, repeated, scratch, "links")
+    joined = scratch.save(components(links, scratch), "joined")
+    # Second round.
+    found = joined.select("node.id", "node.h", F.col("component.id").alias("cid"), F.col("component.h").alias("ch"))
+    rows = members.join(small(found), ["id", "h"], "left")
+    rows = rows.select("band", "key", "id", "h", "n_shingles", F.coalesce("cid", "id").alias("cid"), F.coalesce("ch", "h").alias("ch"))
+    kinds = rows.groupBy("band", "key", "cid", "ch").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    top = kinds.groupBy("band", "key").agg(
+        F.max(F.struct("n", "size", "cid", "ch")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("size").alias("size")
     )
-    out = features.select("doc_id", *same).join(roots, same, "left")
-    scratch.drop("buckets", "members", "sets", "links")
+    top = scratch.save(top.where("kinds > 1").drop("kinds"), "open")
+    odd = _chunks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("odds")
+    rows = rows.join(small(top.select("band", "key", odd, _chunks(F.col("n"), F.col("size")).alias("alls"), F.col("top.cid").alias("tid"), F.col("top.ch").alias("th"))), ["band", "key"])
+    chunk = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id", "h"), n).cast("int")
+    nodes = ["id", "h", "cid", "ch"]
+    strange = rows.where("cid <> tid or ch <> th").select("band", "key", chunk("odds", 2).alias("one"), _numbers(F.col("alls")).alias("two"), *nodes, F.lit(0).alias("side"))
+    every = rows.select("band", "key", _numbers(F.col("odds")).alias("one"), chunk("alls", 3).alias("two"), *nodes, side)
+    more = _compared(docs, strange.unionByName(every), False, repeated, scratch, "more-links")
+    if not more.isEmpty():
+        edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
+        joined = components(edges, scratch)
+    found = joined.select(F.col("node.id").alias("rep"), F.col("node.h").alias("set1"), F.col("component.id").alias("root"))
+    roots = classes.join(found, ["rep", "set1"], "left").select(*same, "copies", F.coalesce("root", "rep").alias("root"))
+    roots = scratch.save(roots, "roots")
+    rows = features.select("doc_id", *same)
+    out = join_counted(rows.where("n_shingles > 0"), roots, same, "copies", "left").select("doc_id", "n_shingles", "root")
+    out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("root")))
+    scratch.drop("members", "own", "links", "joined", "open", "more-links", "classes", "edges")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select(
         "doc_id",

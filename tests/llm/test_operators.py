@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.llm import bitpack, chat, decontaminate, grams, importance, metric, minhash, packing, queries, suffixes, tokens, toxicity, urlfilter
-from gleaner.llm.common import Scratch, table
+from gleaner.llm.common import Scratch, join_counted, table
 from gleaner.llm.components import components
 from tests.oracle import same
 
@@ -65,6 +65,17 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {k: find(k) for k in up if find(k) != k}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "t")).count() == 0
+    hub = spark.range(1, 2000).selectExpr("id * 3 as a", "0L as b").union(spark.createDataFrame([(0, -5)], "a long, b long"))  # beyond HOT
+    assert {r.component for r in components(hub, Scratch(spark, "t")).collect()} == {-5}
+
+
+def test_join_counted(spark):
+    rows = spark.range(3000).selectExpr("id", "if(id < 2000, 1L, id) as k")
+    side = rows.where("id % 5 > 0 or k = 1").groupBy("k").agg(F.count("*").alias("n"), F.max("id").alias("v"))
+    for how in ("inner", "left"):
+        got = join_counted(rows, side, ["k"], "n", how).select("id", "k", "v")
+        want = rows.join(side, ["k"], how).select("id", "k", "v")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
 
 
 # --- near-duplicates ---
@@ -127,6 +138,51 @@ def test_minhash_repeated_rows(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def brute_rows(rows):
+    """The least id that each row reaches, every row being a node of its own."""
+    sets = [shingle_set(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and 100 * len(a & sets[j]) >= 75 * len(a | sets[j]):
+                up[find(i)] = find(j)
+    least = {}
+    for i, (k, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), k), k)
+    return sorted((k, len(sets[i]), least[find(i)]) for i, (k, _) in enumerate(rows))
+
+
+def test_minhash_one_id_with_several_texts(spark):
+    a, c = (" ".join(f"{x}{i}" for i in range(50)) for x in "ac")
+    rows = [(1, a), (1, c), (2, a + " x"), (3, c + " x"), (9, c + " y"), (9, a + " y"), (9, a + " y")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, rows)).collect())
+    assert got == brute_rows(rows) and (3, 47, 1) in got
+    rows = [(5, a), (5, c), (2, a + " x"), (3, c + " x")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, rows)).collect())
+    assert got == brute_rows(rows)
+
+
+def test_minhash_second_round(spark, monkeypatch):
+    """Chains whose neighbours are near and whose ends aren't, in shared buckets of several chunks."""
+    rows = []
+    for family in range(6):
+        words = [f"f{family}.{i}" for i in range(120)]
+        for step in range(24):
+            rows.append((len(rows) * 7 % 1009, " ".join([f"s{family}.{step}.{i}" if i < step * 5 and i % 2 else w for i, w in enumerate(words)])))
+    monkeypatch.setattr(minhash, "CHUNK", 3)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, rows)).collect())
+    assert got == brute_rows(rows)
+    monkeypatch.setattr(minhash, "CHUNK_BYTES", 2000)  # chunks by bytes
+    monkeypatch.setattr(minhash, "CHUNK", 256)
+    assert got == sorted((r.doc_id, r.n_shingles, r.component_id) for r in minhash.near_duplicates(documents(spark, rows)).collect())
+
+
 def test_minhash_awkward(spark):
     frame, rows = awkward(spark)
     got = minhash.near_duplicates(frame).collect()
