@@ -223,14 +223,21 @@ def test_metric_equals_brute_force(spark, monkeypatch):
     rows = [(k, (centres[k % 12] + random.normal(size=16) * random.choice([0.0, 0.2, 0.5])).tolist(), int(k % 3)) for k in range(360)]
     rows += [(500, None, 1), (501, [0.0] * 16, 1), (502, [float("nan")] * 16, 1), (503, rows[0][1], None), (504, rows[0][1][:8], 0), (505, [None] * 16, 1), (506, [], 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("cell", F.lit("x"))
-    for cell, block in ((10_000, 1024), (20, 16)):
-        monkeypatch.setattr(metric, "CELL", cell)
-        monkeypatch.setattr(metric, "BLOCK", block)
+    for cell, block, stream, piece in ((10_000, 1024, 1 << 16, 1024), (20, 7, 11, 5), (15, 1024, 30, 3), (10_000, 16, 1 << 16, 1024)):
+        for name, value in zip(("CELL", "BLOCK", "STREAM", "PIECE"), (cell, block, stream, piece), strict=True):
+            monkeypatch.setattr(metric, name, value)
         got = {r.vec_id: (r.n_links, r.component_id) for r in metric.near_vectors(frame, 0.93).collect()}
         assert got == brute_links(rows, 0.93)
     assert metric.near_vectors(frame.limit(0)).count() == 0
 
 
+def test_metric_one_id_with_several_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0]), (7, [-1.0, 0.0])]
+    frame = spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in metric.near_vectors(frame, 0.93).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False), (7, 0, 7, True)]
+
+
 # --- repeated byte strings ---
 
 
