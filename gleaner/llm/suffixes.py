@@ -2,21 +2,28 @@
 
 A suffix starts at every byte; those whose next LENGTH bytes also start elsewhere are looked for.
 
-Buckets. The first Q-gram buckets are built inside a text from 1-gram identifiers by doubling: the
-identifier of 2L bytes at p combines the identifiers of L bytes at p and at the later offset p + L, and
-each round reuses the identifiers of the last one. Neighbouring suffixes share one pointer: of the
-Q-grams inside a suffix's LENGTH bytes the one with the smallest identifier (leftmost on ties), its
-anchor. The anchor depends on those bytes alone, so equal strings have equal anchors at equal
-distances; about 2 in LENGTH - Q bytes are anchors, and only these leave the text.
-
-Refinement. A bucket holds runs of suffixes with the same anchor Q-gram. A bucket with one member is
-finished: its suffixes are unique. The others are sorted anew by identifiers of longer strings at the
-offsets around the anchor: whole runs (if all the bytes that a run's suffixes cover occur twice, the run
-repeats as a whole), then steps of STEP suffixes, where the bytes common to a step's suffixes are the
-new bucket and the bytes that the step covers finish it as repeated, then single suffixes with their
-LENGTH bytes. Of equal members one stays as the others' partner. So a group of m copies is m rows,
-once. Identifiers after the first hash the
-very bytes; two strings count as equal by at least 128 bits (those of the bucket and of the whole); no step is capped or sampled.
+Buckets and pointers. A bucket identifier of 2L bytes at p is made of the identifiers of L bytes at p and at
+the later offset p + L, so each level reuses the last one's, from single bytes to Q-grams (the first buckets) and
+2Q-grams. Any longer string is named by the identifiers that its first bytes and its later offsets point to; no
+bytes are compared or hashed anew.
+
+Neighbouring suffixes share one pointer: of the Q-grams inside a suffix's LENGTH bytes the one with the
+smallest identifier (leftmost on ties), its anchor. The anchor depends on those bytes alone, so equal
+strings have equal anchors at equal distances; about 2 in LENGTH - Q bytes are anchors, and only these leave
+the text.
+
+Refinement. A bucket holds runs of suffixes with the same anchor Q-gram. It is sorted by the identifiers at the
+offsets around the anchor. A bucket with one member is finished: its suffixes are unique. Members that agree
+in all bytes that their suffixes cover are finished too: the run repeats as a whole. The others get new buckets
+of less width, again sorted by identifiers at later offsets: steps of STEP suffixes (bucket: the bytes common to
+a step's suffixes; finished if all that it covers agrees), then single suffixes, whose LENGTH bytes are the bucket
+at p and the bucket at p + LENGTH - 2Q. Each round takes only what the last one left open, and of equal
+members one as the others' partner, so a group of m copies is m rows, once. Identifiers are hashes
+instead of ranks, since ranks of all corpora would need a global sort in every round; two strings count as
+equal by two 64-bit identifiers. No step is capped or sampled.
+
+Rows are told apart by their place in a copy of the texts in the shared folder, never by their id. What a round
+finds goes back to the texts in one folder for each file of them, so that texts are never shuffled.
 """
 
 from __future__ import annotations
@@ -26,8 +33,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grams
@@ -38,19 +46,30 @@ Q = 64
 STEP = 12
 #: Suffixes that can share an anchor: distances 0 to SPREAD - 1.
 SPREAD = LENGTH - Q + 1
-#: Longs up to which the documents' lists may be broadcast (16 MB).
-BROADCAST_LONGS = 2_000_000
+#: A key is hot if one in SAMPLED rows holds it at least HOT_SAMPLE times and in more than one of HOT_KEYS rows.
+SAMPLED = 64
+HOT_SAMPLE = 64
+HOT_KEYS = 2048
+#: Partitions that a hot bucket is dealt over.
+SALTS = 256
+#: Bits of a row's number inside its file; the bits above are the file's number.
+_ROW_BITS = 33
 _POSITION = np.uint64((1 << 24) - 1)
 
 
-def _identifiers(data: np.ndarray) -> np.ndarray:
-    """Q-gram identifiers at every position that has Q bytes, from 1-grams by doubling."""
+def _doubled(ids: np.ndarray, size: int) -> np.ndarray:
+    """Identifiers of 2 * size bytes from those of size bytes."""
+    out = ids[: max(0, len(ids) - size)] * np.uint64(0x9E3779B97F4A7C15) + ids[size:]
+    return out ^ (out >> np.uint64(29))
+
+
+def _identifiers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Identifiers of Q and of 2Q bytes at every position that has them, from 1-grams by doubling."""
     now, size = grams.stream(31, 256)[data], 1
     while size < Q:
-        now = now[: len(now) - size] * np.uint64(0x9E3779B97F4A7C15) + now[size:]
-        now ^= now >> np.uint64(29)
+        now = _doubled(now, size)
         size *= 2
-    return now * np.uint64(0xBF58476D1CE4E5B9)
+    return now * np.uint64(0xBF58476D1CE4E5B9), _doubled(now, Q)
 
 
 def _anchors(ids: np.ndarray) -> np.ndarray:
@@ -73,7 +92,7 @@ def _runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
         part = data[begin : begin + grams.SLICE_BYTES + LENGTH - 1]
         if len(part) < LENGTH:
             break
-        ids = _identifiers(part)
+        ids, _ = _identifiers(part)
         at = _anchors(ids)
         turn = np.flatnonzero(np.diff(at)) + 1
         a = np.concatenate([[0], turn])
@@ -90,10 +109,23 @@ def _runs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return first[new], last[np.append(new[1:], True)], anchor[new], gram[new]
 
 
-def _names(raw: memoryview, a: list[int], b: list[int]) -> np.ndarray:
-    """128-bit names of raw[a:b], as two int64 columns."""
-    digest = xxhash.xxh3_128_digest
-    return np.frombuffer(b"".join([digest(raw[i:j]) for i, j in zip(a, b, strict=True)]), "<i8").reshape(-1, 2)
+def _windows(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(which of the places, 2Q identifiers, where they begin) for the windows of the text that hold places."""
+    window = at // grams.SLICE_BYTES
+    for w in np.unique(window).tolist():
+        begin = w * grams.SLICE_BYTES
+        yield np.flatnonzero(window == w), _identifiers(data[begin : begin + grams.SLICE_BYTES + 6 * Q])[1], begin
+
+
+def _names(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Names of data[a:b], of 2Q to 6Q bytes, from the identifiers at the first and at two later offsets."""
+    out = np.empty(len(a), np.uint64)
+    for which, ids, begin in _windows(data, a):
+        i, j = a[which] - begin, b[which] - 2 * Q - begin
+        x = ids[i] * np.uint64(0x94D049BB133111EB) + ids[np.minimum(i + 2 * Q, j)]
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + ids[j]
+        out[which] = grams.mix(x + (j - i).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return out.view(np.int64)
 
 
 class _Rows:
@@ -112,118 +144,158 @@ class _Rows:
             self.parts, self.n = [], 0
 
 
+class _Lists:
+    """The numbers that a folder holds for each row; the folder has one part for each file of texts."""
+
+    def __init__(self, folder: str):
+        self.folder, self.part = folder, None
+
+    def of(self, doc: int) -> np.ndarray:
+        if doc >> _ROW_BITS != self.part:
+            self.part = doc >> _ROW_BITS
+            self._load()
+        a, b = np.searchsorted(self.docs, [doc, doc + 1])
+        return self.values[a:b]
+
+    def _load(self) -> None:
+        store, root = pafs.FileSystem.from_uri(self.folder)
+        found = store.get_file_info(pafs.FileSelector(f"{root}/part={self.part}", allow_not_found=True))
+        docs, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for info in found:
+            if info.path.endswith(".parquet"):
+                table = pq.read_table(info.path, filesystem=store, columns=["doc", "value"], partitioning=None)
+                docs.append(table.column(0).to_numpy())
+                values.append(table.column(1).to_numpy())
+        docs, values = np.concatenate(docs), np.concatenate(values)
+        order = np.lexsort((values, docs))
+        self.docs, self.values = docs[order], values[order]
+
+
 # A place packs a run into one long. Of a run of one anchor: anchor, distances back and ahead (8 bits
 # each) from the anchor to the run's first and last suffix, and whether the run is known to repeat. Of a step:
 # first suffix, further suffixes (4 bits), known. Of a suffix: its position and known.
-RUN = "doc_id long, place long, bucket long, full long"
-STEPS = RUN
-SUFFIX = "doc_id long, place long, bucket long, full long"
+ROWS = "doc long, place long, bucket long, full long"
 
 
 def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """bucket: the anchor's Q-gram; full: the bytes that the run covers."""
-    rows = _Rows(RUN)
+    rows = _Rows(ROWS)
     for batch in batches:
         for i, data, offsets in grams.slices(batch.column(1)):
             for k in range(len(offsets) - 1):
-                doc = batch.column(0)[i + k].as_py()
                 own = data[offsets[k] : offsets[k + 1]]
-                if doc is None or len(own) < LENGTH:
+                if len(own) < LENGTH:
                     continue
                 first, last, anchor, gram = _runs(own)
-                name = _names(memoryview(own), first.tolist(), (last + LENGTH).tolist())[:, 0]
                 # Equal covered bytes are equal runs only if the anchor stands at the same place in them.
-                name = name ^ grams.mix((anchor - first).astype(np.uint64) << np.uint64(8) | (last - first).astype(np.uint64)).view(np.int64)
+                where = (anchor - first).astype(np.uint64) << np.uint64(8) | (last - first).astype(np.uint64)
+                full = _names(own, first, last + LENGTH) ^ grams.mix(where).view(np.int64)
                 place = anchor << 17 | (anchor - first) << 9 | (anchor - last) << 1
-                rows.add(np.full(len(first), doc), place, gram.view(np.int64), name)
+                rows.add(np.full(len(first), batch.column(0)[i + k].as_py()), place, gram.view(np.int64), full)
             yield from rows.taken(50_000)
     yield from rows.taken()
 
 
-def _step_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input: doc_id, text, places of runs. bucket: the bytes common to a step's suffixes; full: those that it covers."""
-    rows = _Rows(STEPS)
-    for batch in batches:
-        for k in range(batch.num_rows):
-            raw = (batch.column(1)[k].as_py() or "").encode()
-            n, place, a, b, c, d, steps = len(raw), [], [], [], [], [], []
-            for run in batch.column(2)[k].as_py():
-                at, back, ahead, known = run >> 17, run >> 9 & 255, run >> 1 & 255, run & 1
-                for step in range(ahead // STEP, back // STEP + 1):
-                    near, far = step * STEP, min(step * STEP + STEP, SPREAD) - 1
-                    first, last = at - min(far, back), at - max(near, ahead)
-                    place.append(first << 5 | last - first << 1 | known)
-                    steps.append(step)
-                    a.append(at - near)
-                    b.append(at - far + LENGTH)
-                    whole = at >= far and at - near + LENGTH <= n
-                    c.append(at - far if whole else first)
-                    d.append(at - near + LENGTH if whole else last + LENGTH)
-            if place:
-                core, full = _names(memoryview(raw), a, b)[:, 0], _names(memoryview(raw), c, d)[:, 0]
+def _steps(runs: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """(place, step, common bytes from a to b, covered bytes from c to d) of the steps of runs in a text of n bytes."""
+    at, back, ahead, known = runs >> 17, runs >> 9 & 255, runs >> 1 & 255, runs & 1
+    low = ahead // STEP
+    size = back // STEP + 1 - low
+    at, back, ahead, known, low = (np.repeat(x, size) for x in (at, back, ahead, known, low))
+    step = low + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+    near, far = step * STEP, np.minimum(step * STEP + STEP, SPREAD) - 1
+    first, last = at - np.minimum(far, back), at - np.maximum(near, ahead)
+    whole = (at >= far) & (at - near + LENGTH <= n)
+    return first << 5 | last - first << 1 | known, step, at - near, at - far + LENGTH, np.where(whole, at - far, first), np.where(whole, at - near, last) + LENGTH
+
+
+def _step_rows(folder: str) -> callable:
+    """bucket: the bytes common to a step's suffixes; full: those that it covers. folder: open runs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, open_runs = _Rows(ROWS), _Lists(folder)
+        for batch in batches:
+            for k, doc in enumerate(batch.column(0).to_pylist()):
+                runs = open_runs.of(doc)
+                if not len(runs):
+                    continue
+                data = np.frombuffer(batch.column(1)[k].as_py().encode(), np.uint8)
+                place, step, a, b, c, d = _steps(runs, len(data))
                 # A step's number is part of the bucket; where its covered bytes begin and end in it, part of their name.
-                mark = grams.mix(np.array(steps, np.uint64) + np.uint64(1)).view(np.int64)
-                cut = (np.array(a) - np.array(c)) << 8 | (np.array(d) - np.array(c))
-                rows.add(np.full(len(place), batch.column(0)[k].as_py()), np.array(place), core ^ mark, full ^ grams.mix(cut.astype(np.uint64)).view(np.int64))
-            yield from rows.taken(50_000)
-    yield from rows.taken()
+                bucket = _names(data, a, b) ^ grams.mix(step.astype(np.uint64) + np.uint64(1)).view(np.int64)
+                full = _names(data, c, d) ^ grams.mix(((a - c) << 8 | d - c).astype(np.uint64)).view(np.int64)
+                rows.add(np.full(len(place), doc), place, bucket, full)
+                yield from rows.taken(50_000)
+        yield from rows.taken()
 
+    return run
 
-def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input: doc_id, text, places of steps. bucket and full: the 128-bit name of a suffix's LENGTH bytes."""
-    rows = _Rows(SUFFIX)
-    for batch in batches:
-        for k in range(batch.num_rows):
-            raw = memoryview((batch.column(1)[k].as_py() or "").encode())
-            steps = np.array(batch.column(2)[k].as_py(), np.int64)
-            size = (steps >> 1 & 15) + 1
-            at = np.repeat(steps >> 5, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            if len(at):
-                names = _names(raw, at.tolist(), (at + LENGTH).tolist())
-                rows.add(np.full(len(at), batch.column(0)[k].as_py()), at << 1 | np.repeat(steps & 1, size), names[:, 0], names[:, 1])
-            yield from rows.taken(50_000)
-    yield from rows.taken()
 
+def _suffix_rows(folder: str) -> callable:
+    """bucket and full: the buckets of 2Q bytes at a suffix and at its last offset. folder: open steps."""
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input: doc_id, spans (first suffix << 32 | last suffix) in any order. Joins spans that touch; ends are of covered bytes."""
-    for batch in batches:
-        out = []
-        for spans in batch.column(1):
-            spans = np.sort(spans.values.to_numpy())
-            first, end = spans >> 32, np.maximum.accumulate((spans & 0xFFFFFFFF) + LENGTH)
-            apart = np.flatnonzero(np.append(True, first[1:] > end[:-1]))
-            out.append(first[apart] << 32 | end[np.append(apart[1:], len(end)) - 1])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "spans"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, open_steps = _Rows(ROWS), _Lists(folder)
+        for batch in batches:
+            for k, doc in enumerate(batch.column(0).to_pylist()):
+                steps = open_steps.of(doc)
+                if not len(steps):
+                    continue
+                data = np.frombuffer(batch.column(1)[k].as_py().encode(), np.uint8)
+                size = (steps >> 1 & 15) + 1
+                at = np.repeat(steps >> 5, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                one, two = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+                for which, ids, begin in _windows(data, at):
+                    one[which], two[which] = ids[at[which] - begin], ids[at[which] - begin + LENGTH - 2 * Q]
+                rows.add(np.full(len(at), doc), at << 1 | np.repeat(steps & 1, size), grams.mix(one).view(np.int64), grams.mix(two).view(np.int64))
+                yield from rows.taken(50_000)
+        yield from rows.taken()
 
+    return run
 
-def _pieces(spans: list[int] | None) -> list[tuple[int, int]]:
-    return [(x >> 32, x & 0xFFFFFFFF) for x in spans or []]
 
+class _Spans(_Lists):
+    """The bytes of each row that repeat; the folder holds first suffix << 32 | last suffix."""
+
+    def pieces(self, doc: int) -> list[tuple[int, int]]:
+        """(first byte, end) in order, apart from each other."""
+        spans = self.of(doc)
+        if not len(spans):
+            return []
+        first, end = spans >> 32, np.maximum.accumulate((spans & 0xFFFFFFFF) + LENGTH)
+        apart = np.flatnonzero(np.append(True, first[1:] > end[:-1]))
+        return list(zip(first[apart].tolist(), end[np.append(apart[1:], len(end)) - 1].tolist(), strict=True))
+
+
+def _digests(folder: str) -> callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Spans(folder)
+        for batch in batches:
+            rows = []
+            for k, doc in enumerate(batch.column(0).to_pylist()):
+                raw = (batch.column(2)[k].as_py() or "").encode()
+                spans, kept, at = found.pieces(doc), hashlib.sha256(), 0
+                for a, b in spans:
+                    kept.update(raw[at:a])
+                    at = b
+                kept.update(raw[at:])
+                rows.append((batch.column(1)[k].as_py(), len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            kinds = [pa.int64()] * 4 + [pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(5)], names)
+
+    return run
+
+
+def _cleaned(folder: str, at: int) -> callable:
+    """Columns: the row's place, then those of the documents, of which the text is number `at`."""
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for k in range(batch.num_rows):
-            raw = (batch.column(1)[k].as_py() or "").encode()
-            spans, kept, at = _pieces(batch.column(2)[k].as_py()), hashlib.sha256(), 0
-            for a, b in spans:
-                kept.update(raw[at:a])
-                at = b
-            kept.update(raw[at:])
-            rows.append((batch.column(0)[k].as_py(), len(raw), sum(b - a for a, b in spans), len(spans), kept.hexdigest()))
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds[c]) for c in range(5)], names)
-
-
-def _cleaned(text_col: str) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Spans(folder)
         for batch in batches:
-            at, spans = batch.schema.get_field_index(text_col), batch.column(batch.num_columns - 1)
-            texts = [_without(batch.column(at)[k].as_py(), _pieces(spans[k].as_py())) for k in range(batch.num_rows)]
-            columns = [pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            texts = [_without(x, found.pieces(doc)) for x, doc in zip(batch.column(at + 1).to_pylist(), batch.column(0).to_pylist(), strict=True)]
+            columns = [pa.array(texts, pa.string()) if k == at + 1 else batch.column(k) for k in range(1, batch.num_columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[1:])
 
     return run
 
@@ -242,96 +314,107 @@ def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
     return b"".join([*out, raw[at:]]).decode()
 
 
-def _repeated(rows: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
-    """Splits rows by their bucket: (rows that repeat as a whole and weren't known to, rows to refine).
+def _resolved(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(doc, place, many, goes_on) of the rows that aren't alone in their bucket.
 
-    Rows alone in their bucket are dropped. Equal rows send one partner on (the one of least tag), and
-    only if the bucket has others. Counts use partial aggregates of plain numbers; they meet the rows in
-    joins whose hot keys can be split.
+    many: another row has the same bucket and full. goes_on: the bucket also has other rows, and this row has no
+    equal or is their partner. Buckets are dealt by hash, each sorted by full in one pass. Hot buckets are dealt
+    by full as well, and rows of a hot (bucket, full) stay where they are and get its figures by broadcast; a
+    sample says which are hot (at most HOT_KEYS of either kind), and doesn't change the result.
     """
-    tag, known = F.xxhash64("doc_id", "place"), F.col("place").bitwiseAND(1) == 1
-    groups = rows.groupBy("bucket", "full").agg(F.count("*").alias("n"), F.min(tag).alias("tag"))
-    groups = scratch.save(groups, f"{name}-groups")
-    buckets = groups.groupBy("bucket").agg(F.sum("n").alias("members"), F.count("*").alias("kinds")).where("members > 1")
-    groups = groups.join(buckets, "bucket").select("bucket", "full", "n", "tag", (F.col("kinds") > 1).alias("mixed"))
-    found = scratch.save(rows.join(groups, ["bucket", "full"]).select("doc_id", "place", "n", "tag", "mixed"), name)
-    scratch.drop(f"{name}-groups")
-    more = found.where(F.col("mixed") & ((F.col("n") == 1) | (F.col("tag") == tag)))
-    more = more.select("doc_id", F.when(F.col("n") > 1, F.col("place").bitwiseOR(F.lit(1))).otherwise(F.col("place")).alias("place"))
-    return found.where((F.col("n") > 1) & ~known), more
-
-
-def _lists(rows: DataFrame, value: str) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_list(value).alias("list"))
-
-
-def _few(lists: DataFrame) -> bool:
-    """There are few enough numbers in all lists together to broadcast them."""
-    return lists.agg(F.coalesce(F.sum(F.size(F.col(lists.columns[1])) + 4), F.lit(0))).first()[0] <= BROADCAST_LONGS
-
-
-def _with(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
-    """docs with their lists of longs."""
-    return docs.join(F.broadcast(lists) if _few(lists) else lists, "doc_id", how).select("doc_id", "text", lists.columns[1])
-
-
-def repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, spans array<long>): the bytes (first << 32 | end) that repeat, in order, apart from each other.
-
-    docs: doc_id and text, ids unique.
-    """
-    runs = scratch.save(docs.mapInArrow(_run_rows, RUN), "runs")
-    done, more = _repeated(runs, scratch, "first")
+    key = ["bucket", "full"]
+    sample = rows.where(F.pmod(F.xxhash64("doc", "place", F.lit(7)), F.lit(SAMPLED)) == 0)
+    least = max(HOT_SAMPLE, sample.count() // HOT_KEYS)
+    often = lambda by: sample.groupBy(*by).count().where(F.col("count") >= least).select(*by)
+    spark = rows.sparkSession
+    listed = lambda df: F.broadcast(spark.createDataFrame(df.collect(), df.schema))  # noqa: E731  at most HOT_KEYS rows
+    hot = listed(often(["bucket"]))
+    place = F.struct("doc", "place")
+    whole, rest = None, rows.withColumn("hot_mixed", F.lit(None).cast("boolean"))
+    if not hot.isEmpty():
+        mixed = listed(rows.join(hot, "bucket").groupBy("bucket").agg((F.min("full") != F.max("full")).alias("hot_mixed")))
+        whole = listed(rows.join(listed(often(key)), key).groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("partner")))
+        rest = rows.join(whole.select(*key), key, "left_anti").join(mixed, "bucket", "left")
+        whole = rows.join(whole, key).join(mixed, "bucket")
+        whole = whole.select("doc", "place", (F.col("n") > 1).alias("many"), (F.col("hot_mixed") & ((F.col("n") == 1) | (place == F.col("partner")))).alias("goes_on"))
+    salt = F.when(F.col("hot_mixed").isNotNull(), F.pmod("full", F.lit(SALTS))).otherwise(0).cast("int")
+    rest = rest.withColumn("salt", salt).repartition("bucket", "salt")
+    own, equal = Window.partitionBy("bucket", "salt"), Window.partitionBy("bucket", "salt", "full")
+    rest = rest.select(
+        "doc", "place", "hot_mixed",
+        F.row_number().over(equal.orderBy("doc", "place")).alias("number"), F.count("*").over(equal).alias("n"),
+        F.count("*").over(own).alias("members"), (F.min("full").over(own) != F.max("full").over(own)).alias("mixed"),
+    )
+    rest = rest.where((F.col("members") > 1) | F.col("hot_mixed").isNotNull())
+    rest = rest.select("doc", "place", (F.col("n") > 1).alias("many"), (F.coalesce("hot_mixed", "mixed") & (F.col("number") == 1)).alias("goes_on"))
+    return scratch.save((rest if whole is None else rest.unionByName(whole)).where("many or goes_on"), name)
+
+
+def _delivered(rows: DataFrame, scratch: Scratch, name: str) -> str:
+    """Writes rows (doc, value) into a folder with one part for each file of texts, and gives the folder."""
+    where = scratch.path(name)
+    part = F.shiftright("doc", _ROW_BITS).cast("int").alias("part")
+    rows.select("doc", "value", part).repartition("part").write.partitionBy("part").parquet(where)
+    return where
+
+
+def _repeats(texts: DataFrame, scratch: Scratch) -> str:
+    """The folder of spans (first suffix << 32 | last suffix) that repeat. texts: doc and text, as saved."""
     p = F.col("place")
     bits = lambda shift: F.shiftright(p, shift).bitwiseAND(255)
-    span = lambda a, b: (F.shiftleft(a, 32) + b).alias("span")
+    span = lambda a, b: (F.shiftleft(a, 32) + b).alias("value")
+    known = p.bitwiseAND(1) == 1
+    more = F.when(F.col("many"), p.bitwiseOR(F.lit(1))).otherwise(p).alias("value")
+    runs = scratch.save(texts.mapInArrow(_run_rows, ROWS), "rows")
+    found = _resolved(runs, scratch, "first")
     anchor = F.shiftright(p, 17)
-    found = [done.select("doc_id", span(anchor - bits(9), anchor - bits(1)))]
-    scratch.drop("runs")
-    open_runs = scratch.save(_lists(more, "place"), "open-runs")
-    # Where lists are too many to broadcast, texts without open runs are shuffled once and not again.
-    texts = docs if _few(open_runs) else scratch.save(docs.join(open_runs.select("doc_id"), "doc_id", "left_semi"), "texts")
-    steps = scratch.save(_with(texts, open_runs).mapInArrow(_step_rows, STEPS), "steps")
-    done, more = _repeated(steps, scratch, "second")
+    spans = found.where("many").select("doc", span(anchor - bits(9), anchor - bits(1)))
+    folder = _delivered(found.where("goes_on").select("doc", more), scratch, "open-runs")
+    steps = scratch.save(texts.mapInArrow(_step_rows(folder), ROWS), "rows")
+    found = _resolved(steps, scratch, "second")
     first = F.shiftright(p, 5)
-    found.append(done.select("doc_id", span(first, first + F.shiftright(p, 1).bitwiseAND(15))))
-    scratch.drop("steps")
-    open_steps = scratch.save(_lists(more, "place"), "open-steps")
-    last = scratch.save(_with(texts, open_steps).mapInArrow(_suffix_rows, SUFFIX), "suffixes")
-    counts = last.groupBy("bucket", "full").agg(F.count("*").alias("n")).where("n > 1")
-    done = last.where(p.bitwiseAND(1) == 0).join(counts, ["bucket", "full"])
-    found.append(done.select("doc_id", span(F.shiftright(p, 1), F.shiftright(p, 1))))
-    out = _lists(found[0].unionByName(found[1]).unionByName(found[2]), "span")
-    out = scratch.save(out.mapInArrow(_joined, "doc_id long, spans array<long>"), "repeats")
-    scratch.drop("first", "second", "suffixes", "open-runs", "open-steps", "texts")
-    return out
+    spans = spans.unionByName(found.where(F.col("many") & ~known).select("doc", span(first, first + F.shiftright(p, 1).bitwiseAND(15))))
+    folder = _delivered(found.where("goes_on").select("doc", more), scratch, "open-steps")
+    last = scratch.save(texts.mapInArrow(_suffix_rows(folder), ROWS), "rows")
+    found = _resolved(last, scratch, "third")
+    spans = spans.unionByName(found.where(F.col("many") & ~known).select("doc", span(F.shiftright(p, 1), F.shiftright(p, 1))))
+    folder = _delivered(spans, scratch, "spans")
+    scratch.drop("rows", "first", "second", "third")
+    return folder
+
+
+def _saved(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The documents' columns as c0, c1, ... behind `doc`, the file and row that they are saved in."""
+    numbered = docs.toDF(*(f"c{k}" for k in range(len(docs.columns)))).select(F.monotonically_increasing_id().alias("doc"), "*")
+    return scratch.save(numbered, "texts")
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _searched(saved: DataFrame, id_at: int, text_at: int) -> DataFrame:
+    text = F.coalesce(F.col(f"c{text_at}").cast("string"), F.lit(""))
+    return saved.select("doc", F.when(F.col(f"c{id_at}").isNotNull(), text).otherwise("").alias("text"))
 
 
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, on UTF-8 bytes.
 
-    Null counts as the empty text; texts under LENGTH bytes lose nothing. Ids are expected to be unique:
-    rows of one id must be equal, and then repeat each other. A null id keeps its row, is compared with
-    nothing and loses nothing. An empty table gives no rows. Other columns are not read.
+    Null counts as the empty text; texts under LENGTH bytes lose nothing. Rows are documents of their own,
+    whatever their ids: equal rows repeat each other. A null id keeps its row, is compared with nothing and
+    loses nothing. An empty table gives no rows. Other columns are not read.
     """
-    docs = _prepared(docs, id_col, text_col)
-    found = repeats(docs, Scratch(docs.sparkSession, "suffixes"))
-    return _with(docs, found, "left").mapInArrow(
-        _digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    )
+    scratch = Scratch(docs.sparkSession, "suffixes")
+    saved = _saved(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), scratch)
+    folder = _repeats(_searched(saved, 0, 1), scratch)
+    return saved.mapInArrow(_digests(folder), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with their columns, the text without the repeated bytes; a character that is only partly covered stays.
 
-    Rows stay even if nothing of their text does. Nulls, short texts and ids as in removal_report.
+    Rows stay even if nothing of their text does. Nulls, short texts and ids as in removal_report; columns may
+    have any names.
     """
-    found = repeats(_prepared(docs, id_col, text_col), Scratch(docs.sparkSession, "suffixes"))
-    few = _few(found)
-    found = found.select(F.col("doc_id").alias("_gleaner_id"), F.col("spans").alias("_gleaner_spans"))
-    joined = docs.join(F.broadcast(found) if few else found, docs[id_col].cast("long") == found["_gleaner_id"], "left")
-    return joined.drop("_gleaner_id").mapInArrow(_cleaned(text_col), docs.schema)
+    scratch = Scratch(docs.sparkSession, "suffixes")
+    saved = _saved(docs, scratch)
+    at = docs.columns.index(text_col)
+    folder = _repeats(_searched(saved, docs.columns.index(id_col), at), scratch)
+    return saved.mapInArrow(_cleaned(folder, at), saved.drop("doc").schema).toDF(*docs.columns)

@@ -278,12 +278,32 @@ def test_suffixes_equal_brute_force(spark, monkeypatch):
     rows = repeated_rows()
     want = brute_removal(rows)
     assert sum(v[1] > 0 for v in want.values()) > 20
-    for most in (suffixes.BROADCAST_LONGS, -1):  # both kinds of join
-        monkeypatch.setattr(suffixes, "BROADCAST_LONGS", most)
+    for hot, sampled in ((suffixes.HOT_SAMPLE, suffixes.SAMPLED), (2, 1), (4, 2)):  # without and with hot keys
+        monkeypatch.setattr(suffixes, "HOT_SAMPLE", hot)
+        monkeypatch.setattr(suffixes, "SAMPLED", sampled)
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.removal_report(documents(spark, rows)).collect()}
         assert got == want
 
 
+def test_suffixes_one_id_with_several_texts(spark):
+    random = np.random.default_rng(12)
+    y, z = ("".join(random.choice(list("abcdefgh "), 900)) for _ in range(2))
+    rows = [(1, y), (1, z), (2, y[:300])]
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed) for r in suffixes.removal_report(documents(spark, rows)).collect())
+    assert got == [(1, 900, 0), (1, 900, 300), (2, 300, 300)]
+
+
+def test_names_of_windows(monkeypatch):
+    data = np.random.default_rng(3).integers(0, 3, 5000).astype(np.uint8)
+    a = np.arange(0, 4600, 7)
+    b = a + 128 + a % 250
+    whole = suffixes._names(data, a, b)
+    monkeypatch.setattr(grams, "SLICE_BYTES", 500)
+    assert (suffixes._names(data, a, b) == whole).all() and len(np.unique(whole)) == len(a)
+    twice = np.concatenate([data, data])
+    assert (suffixes._names(twice, a, b) == suffixes._names(twice, a + 5000, b + 5000)).all()
+
+
 def test_windows_of_long_texts(monkeypatch):
     monkeypatch.setattr(grams, "SLICE_BYTES", 500)
     data = np.frombuffer(" ".join(np.random.default_rng(1).choice(WORDS, 900)).encode(), np.uint8)
