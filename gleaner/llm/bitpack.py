@@ -5,7 +5,8 @@ that holds the vocabulary; the last block may be short), then the footer
 
     doc_id int64[n_docs], doc_start uint64[n_docs + 1], block_offset uint64[n_blocks + 1],
 
-then version, bits, BLOCK uint32, n_docs, n_ids, n_blocks uint64, and MAGIC again. A reader takes the
+then version, bits, BLOCK uint32, n_docs, n_nulls, n_ids, n_blocks uint64, and MAGIC again. The first n_nulls
+documents have no id (their doc_id is 0). A reader takes the
 tail, the footer, and then any block on its own; numpy unpacks a block without a loop over ids.
 """
 
@@ -27,10 +28,10 @@ from . import tokens
 from .common import Scratch
 
 MAGIC = b"GLTOKENS"
-VERSION = 1
+VERSION = 2
 #: Ids in a block; a multiple of 8, so that every block ends on a byte.
 BLOCK = 1 << 16
-_TAIL = struct.Struct("<IIIQQQ8s")
+_TAIL = struct.Struct("<IIIQQQQ8s")
 
 
 def width(vocabulary: int) -> int:
@@ -56,11 +57,13 @@ class Writer:
 
     def __init__(self, out, bits: int):
         self.out, self.bits, self.wait, self.n_wait = out, bits, [], 0
-        self.doc_ids, self.starts, self.blocks, self.n = [], [0], [], 0
+        self.doc_ids, self.starts, self.blocks, self.n, self.nulls = [], [0], [], 0, 0
         self.at = out.write(MAGIC) or len(MAGIC)
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.doc_ids.append(doc_id)
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        """Documents without an id come first."""
+        self.nulls += doc_id is None
+        self.doc_ids.append(doc_id or 0)
         self.n += len(ids)
         self.starts.append(self.n)
         self.wait.append(ids)
@@ -83,7 +86,7 @@ class Writer:
             self._block(np.concatenate(self.wait))
         for values, kind in ((self.doc_ids, "<i8"), (self.starts, "<u8"), ([*self.blocks, self.at], "<u8")):
             self.out.write(np.array(values, kind).tobytes())
-        self.out.write(_TAIL.pack(VERSION, self.bits, BLOCK, len(self.doc_ids), self.n, len(self.blocks), MAGIC))
+        self.out.write(_TAIL.pack(VERSION, self.bits, BLOCK, len(self.doc_ids), self.nulls, self.n, len(self.blocks), MAGIC))
 
 
 class Reader:
@@ -92,7 +95,7 @@ class Reader:
     def __init__(self, file):
         self.file = file
         end = file.size()
-        version, self.bits, self.block, self.n_docs, self.n, n_blocks, magic = _TAIL.unpack(file.read_at(_TAIL.size, end - _TAIL.size))
+        version, self.bits, self.block, self.n_docs, self.n_nulls, self.n, n_blocks, magic = _TAIL.unpack(file.read_at(_TAIL.size, end - _TAIL.size))
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token-id file of this version")
         size = 8 * (2 * self.n_docs + n_blocks + 2)
@@ -120,9 +123,9 @@ class Reader:
         return np.concatenate([np.zeros(0, np.uint32), *self.chunks(int(self.starts[k]), int(self.starts[k + 1]))])
 
 
-def _write(path: str, kind: str, end_id: int, folder: str) -> callable:
+def _write(path: str, end_id: int, folder: str) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, number = tokens.encoder(path, kind), TaskContext.get().partitionId()
+        coder, number = tokens.encoder(path), TaskContext.get().partitionId()
         store, root = pafs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         final, part = f"{root}/ids-{number:06d}.bin", f"{root}/_part-{uuid.uuid4().hex}"
@@ -156,24 +159,25 @@ def _read(folder: str) -> callable:
                                 value = zlib.crc32(ids.astype("<u4").tobytes(), value)
                             crc.append(value)
                         starts = reader.starts[rows.start : rows.stop + 1]
+                        nulls = np.arange(rows.start, rows.stop) < reader.n_nulls
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(reader.doc_ids[rows.start : rows.stop]), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())],
+                            [pa.array(reader.doc_ids[rows.start : rows.stop], mask=nulls), pa.array(starts[:-1] + base), pa.array(np.diff(starts)), pa.array(crc, pa.int64())],
                             ["doc_id", "start", "n_tokens", "ids_crc32"],
                         )
 
     return run
 
 
-def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, kind: str, files: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int]]:
+def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, files: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int]]:
     """Writes one file per range of ascending ids and returns (file, ids of all files before it).
 
     A task writes under a name of its own and renames, so a repeated task leaves the same one file. Only
-    one number per file comes to the driver. Rows with a null id are left out, since the format orders by it; null and
-    empty texts are the end id alone; equal ids are ordered by text. An empty table gives no files.
+    one number per file comes to the driver. Rows with a null id come before all others; null and empty texts are the
+    end id alone; equal ids are ordered by text. An empty table gives no files.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.where("doc_id is not null").repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
-    written = Scratch(docs.sparkSession, "bitpack").save(rows.mapInArrow(_write(path, kind, end_id, folder), "file int, n_ids long"), "written")
+    rows = rows.repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    written = Scratch(docs.sparkSession, "bitpack").save(rows.mapInArrow(_write(path, end_id, folder), "file int, n_ids long"), "written")
     out, before = [], 0
     for row in sorted(written.collect()):
         out.append((row.file, before))
@@ -183,5 +187,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, kind: str, f
 
 def read_ids(spark, folder: str, files: list[tuple[int, int]]) -> DataFrame:
     """One row per document of those files: doc_id, start, n_tokens, ids_crc32, each file read by its own task."""
-    listed = spark.createDataFrame(files, "file int, before long").repartition(max(1, len(files)), "file")
+    listed = spark.createDataFrame([(k, *x) for k, x in enumerate(files)], "k long, file int, before long")
+    n = max(1, len(files))
+    listed = spark.range(0, n, 1, n).join(F.broadcast(listed), F.col("id") == F.col("k")).select("file", "before")  # a row a partition
     return listed.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")

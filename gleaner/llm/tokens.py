@@ -3,13 +3,18 @@
 Byte-pair encoding works inside pre-tokens, so a text's ids are those of its pre-tokens in order.
 Texts made only of common white space, ASCII and Latin letters (below U+0237) are cut into pre-tokens
 here with numpy, and every distinct pre-token is encoded once by the tokenizers library's model; a
-text with any other character (where normalisation or character classes could differ) is encoded
-whole by the library. Both ways give the library's ids; the tests compare them. Strings of special
-tokens inside a text are ordinary text.
+text with any other character (where normalisation or character classes could differ), or with what may be
+the string of an added token, is encoded whole by the library. Both ways give the ids of
+Tokenizer.from_file(path).encode(text, add_special_tokens=False); the tests compare them with it.
+
+Which cutting is right follows from the file's normaliser, pre-tokeniser and model; a file with others than
+the two known here is always encoded whole. A pre-token is found by one 64-bit hash and must agree in a second
+one, of other values; a text in which one doesn't is encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from collections.abc import Iterator
@@ -42,6 +47,41 @@ def _class(code: int) -> int:
 _CLASS = np.array([*(_class(k) for k in range(_END)), _FOREIGN], np.uint8)
 _LOWER = np.array([ord(chr(k).lower()) if _CLASS[k] != _FOREIGN else k for k in range(_END + 1)], np.uint32)
 _VALUE = grams.stream(21, _END + 1)
+_CHECK = grams.stream(22, _END + 1)
+#: The parts of a file for which the cutting here is right, by kind; "words" is lower case without white space.
+_KNOWN = {
+    "bytes": (None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}),
+    "words": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {
+            "type": "Sequence",
+            "pretokenizers": [
+                {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+                {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+            ],
+        },
+    ),
+}
+
+
+def _plain(part):
+    """A part of a file without offsets' settings, which don't change ids."""
+    if isinstance(part, dict):
+        return {k: _plain(v) for k, v in part.items() if k != "trim_offsets"}
+    return [_plain(x) for x in part] if isinstance(part, list) else part
+
+
+def kind_of(file: dict) -> str | None:
+    """"bytes" (a leading space belongs to its word), "words" (lower case, white space dropped), or None: encode whole."""
+    model = file["model"]
+    if model["type"] != "BPE" or model.get("dropout") or model.get("unk_token") or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
+        return None
+    if file.get("truncation") or file.get("padding") or file.get("post_processor"):
+        return None
+    for kind, (normalizer, cutter) in _KNOWN.items():
+        if _plain(file["normalizer"]) == normalizer and _plain(file["pre_tokenizer"]) == cutter:
+            return kind
+    return None
 #: The printable stand-ins of byte-level vocabularies: printable Latin-1 bytes stand for themselves, the rest follow from U+0100.
 _KEPT = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _STAND_IN = {b: chr(b) if b in _KEPT else chr(256 + sum(x not in _KEPT for x in range(b))) for b in range(256)}
@@ -83,32 +123,35 @@ class _Table:
 
 
 class Encoder:
-    """kind: "bytes" (a leading space belongs to its word) or "words" (lower case, white space dropped)."""
-
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            parts = json.load(file)
+        self.kind = kind_of(parts)
+        # The first two characters, in either case, of each added token: a text that has them is encoded whole.
+        self.added = {tuple(ord(c) for c in x["content"][:2].lower()) for x in parts.get("added_tokens") or []}
+        del parts
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.model, self.size, self.spaced = self.whole.model, self.whole.get_vocab_size(), kind == "bytes"
+        self.model, self.size, self.spaced = self.whole.model, self.whole.get_vocab_size(), self.kind == "bytes"
         self.clear()
 
     def clear(self) -> None:
         self.known = _Table(CACHE + SLICE_CHARS)
         self.n = 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.start, self.count, self.check = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.uint64)
 
-    def _learn(self, word: str) -> None:
+    def _learn(self, word: str, check: np.uint64) -> None:
         text = word.encode().decode("latin-1").translate(_STAND_IN)
         ids, k = [x.id for x in self.model.tokenize(text)], self.n
         if k == len(self.start):
-            self.start, self.count = np.resize(self.start, 2 * k), np.resize(self.count, 2 * k)
+            self.start, self.count, self.check = (np.resize(x, 2 * k) for x in (self.start, self.count, self.check))
         while self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * len(self.ids))
         self.ids[self.used : self.used + len(ids)] = ids
-        self.start[k], self.count[k] = self.used, len(ids)
+        self.start[k], self.count[k], self.check[k] = self.used, len(ids), check
         self.used += len(ids)
         self.n += 1
 
@@ -148,12 +191,21 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as uint32."""
+        if self.kind is None:
+            return [self._library(t) for t in texts]
         if self.n > CACHE:
             self.clear()
         code = np.minimum(np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32), np.uint32(_END))
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
         kind = _CLASS[code]
         foreign = set(np.searchsorted(at, np.flatnonzero(kind == _FOREIGN), "right").tolist())
+        for pair in self.added:
+            low = _LOWER[code]
+            found = low == pair[0]
+            if len(pair) > 1:
+                found[:-1] &= low[1:] == pair[1]
+                found[-1:] = False
+            foreign.update(np.searchsorted(at, np.flatnonzero(found), "right").tolist())
         if not self.spaced:
             code = _LOWER[code]
         begin, end = self._cut(code, kind, at)
@@ -161,6 +213,8 @@ class Encoder:
         total = np.zeros(len(code) + 1, np.uint64)
         np.cumsum(_VALUE[code] * up, out=total[1:])
         hashed = grams.mix((total[end] - total[begin]) * down[begin])
+        np.cumsum(_CHECK[code] * up, out=total[1:])
+        check = (total[end] - total[begin]) * down[begin]
         group, keys = pd.factorize(np.where(hashed == 0, np.uint64(1), hashed))
         found = self.known.find(keys)
         new = np.flatnonzero(found < 0)
@@ -175,26 +229,30 @@ class Encoder:
             found[new] = self.n + np.arange(len(new))
             self.known.add(keys[new], self.n)
             for i in first[new].tolist():
-                self._learn(code[begin[i] : end[i]].tobytes().decode("utf-32-le"))
+                self._learn(code[begin[i] : end[i]].tobytes().decode("utf-32-le"), check[i])
         which = found[group] if len(group) else np.zeros(0, np.int64)
+        foreign.update(np.searchsorted(at, begin[self.check[which] != check], "right").tolist())
         count = self.count[which]
         ends = np.concatenate([[0], np.cumsum(count)])
         flat = self.ids[np.repeat(self.start[which] - ends[:-1], count) + np.arange(ends[-1])]
         bounds = ends[np.searchsorted(begin, at)]
         out = [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for k in foreign:
-            out[k - 1] = np.array(self.whole.encode(texts[k - 1], add_special_tokens=False).ids, np.uint32)
+            out[k - 1] = self._library(texts[k - 1])
         return out
 
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
 
-_encoders: dict[tuple[str, str], Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str, kind: str) -> Encoder:
+def encoder(path: str) -> Encoder:
     """One encoder for each worker process, so that the cache serves all of its tasks."""
-    if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, kind)
-    return _encoders[path, kind]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def encoded(column: pa.Array, coder: Encoder) -> Iterator[tuple[int, list[np.ndarray]]]:

@@ -3,10 +3,14 @@
 An entry (list_name, kind, pattern, action, dated) adds or removes a pattern from its date on. Between one entry of
 a pattern and the next lies an interval; those that begin with an `add` are active. kind `host` matches the host
 and all hosts below it, kind `url` the host with a path that begins with the pattern at a slash. A capture
-looks up all suffixes of its host and all prefixes of its path in the intervals of its fetch time's
-BUCKET_DAYS bucket, so a pattern with a long history costs each capture one bucket of it. The join's hot
-keys (a very common host) are rows of captures, which adaptive execution splits; captures are reduced to one
-verdict each with map-side partial aggregates.
+looks up all suffixes of its host and all prefixes of its path among the intervals that may hold its fetch time.
+
+Intervals lie in buckets of days: an interval of at most BUCKET_DAYS days in one or two buckets of that width, a
+longer one in at most five of the first width, each FACTOR times the last, of which it needs no more. So an
+interval is at most five rows whatever days it spans, and a pattern with a long history costs a capture
+one bucket of each width in use. An interval that is still open is one row without a bucket, and a pattern has
+one at most. The join's hot keys (a very common host) are rows of captures, which adaptive execution splits;
+captures are reduced to one verdict each with map-side partial aggregates.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from .common import small
 
 BUCKET_DAYS = 64
+FACTOR = 4
 
 
 def host_of(url: Column) -> Column:
@@ -67,19 +72,25 @@ def verdicts(captures: DataFrame, active: DataFrame) -> DataFrame:
     host = host_of(F.coalesce("url", F.lit("")))
     keys = captures.select("*", host.alias("host"), path_of(F.coalesce("url", F.lit(""))).alias("path"))
     keys = keys.select("capture_id", "url", "day", "host", F.explode_outer(lookup_keys(F.col("host"), F.col("path"))).alias("key"))
-    keys = keys.select("capture_id", "url", "day", "host", "key.kind", "key.pattern", F.floor(F.col("day") / BUCKET_DAYS).alias("bucket"))
-    # An open interval reaches as far as captures go: their last day is one number.
-    last = captures.agg(F.max("day").alias("last_day"))
-    spans = active.crossJoin(F.broadcast(last)).where("from_day <= last_day")
-    first, end = F.floor(F.col("from_day") / BUCKET_DAYS), F.floor(F.least("last_day", F.coalesce(F.col("to_day") - 1, "last_day")) / BUCKET_DAYS)
-    spans = spans.select("kind", "pattern", "list_name", "entry_id", "from_day", "to_day", F.explode(F.sequence(first, end)).alias("bucket"))
-    met = keys.join(small(spans, 50_000), ["kind", "pattern", "bucket"], "left")
+    keys = keys.select("capture_id", "url", "day", "host", "key.kind", "key.pattern")
+    spans = active.where("to_day is null or to_day > from_day").select("kind", "pattern", "list_name", "entry_id", F.col("from_day").cast("long"), F.col("to_day").cast("long"))
+    size = F.greatest(F.lit(1.0), (F.col("to_day") - F.col("from_day")) / (FACTOR * BUCKET_DAYS))
+    # Widths as multiples of BUCKET_DAYS; 0: open.
+    spans = spans.withColumn("width", F.when(F.col("to_day").isNull(), 0).otherwise(F.pow(F.lit(FACTOR), F.ceil(F.log(float(FACTOR), size) - 1e-9))).cast("long"))
+    bucket = lambda day, width: F.floor(day / (F.lit(BUCKET_DAYS) * width)).cast("long")
+    within = F.sequence(bucket(F.col("from_day"), F.greatest("width", F.lit(1))), bucket(F.col("to_day") - 1, F.greatest("width", F.lit(1))))
+    spans = spans.select("*", F.explode(F.when(F.col("width") == 0, F.array(F.lit(0).cast("long"))).otherwise(within)).alias("bucket"))
+    widths = [r.width for r in spans.select("width").distinct().collect()]  # 17 at most
+    looked = F.explode(F.array(*(F.lit(w).cast("long") for w in widths)) if widths else F.array(F.lit(0).cast("long"))).alias("width")
+    keys = keys.select("*", looked)
+    keys = keys.withColumn("bucket", F.when(F.col("width") == 0, F.lit(0).cast("long")).otherwise(bucket(F.col("day"), F.greatest("width", F.lit(1)))))
+    met = keys.join(small(spans, 50_000), ["kind", "pattern", "width", "bucket"], "left")
     hit = F.col("from_day").isNotNull() & (F.col("from_day") <= F.col("day")) & (F.col("to_day").isNull() | (F.col("day") < F.col("to_day")))
     order = F.when(hit, F.struct((F.col("kind") == "host").alias("is_host"), (-F.length("pattern")).alias("size"), "list_name", "entry_id", "from_day"))
     out = met.groupBy("capture_id", "url", "day", "host").agg(F.min(order).alias("m"))
     return out.select(
         "capture_id", "url", "day", "host", F.col("m").isNotNull().alias("blocked"), F.col("m.list_name").alias("list_name"),
-        F.col("m.entry_id").alias("entry_id"), F.col("m.from_day").alias("from_day"),
+        F.col("m.entry_id").alias("entry_id"), F.col("m.from_day").cast("int").alias("from_day"),
     )
 
 

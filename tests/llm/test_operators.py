@@ -347,13 +347,32 @@ TEXTS = [
 
 @pytest.mark.parametrize("name,kind", [("byte_bpe_50k.json", "bytes"), ("word_bpe_49k.json", "words")])
 def test_encoder_equals_library(name, kind, monkeypatch):
-    coder = tokens.Encoder(queries.vocabulary(name), kind)
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary(name)
+    coder, library = tokens.Encoder(path), Tokenizer.from_file(path)
+    assert coder.kind == kind
     random = np.random.default_rng(4)
-    texts = TEXTS + ["".join(random.choice(list("ab 's't12.,!\n\té'reßÜl-"), 60)) for _ in range(300)]
-    want = [coder.whole.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = TEXTS + ["a <|endoftext|> b", "<|startoftext|>", "x <|EndOfText|>", "<|", "a <|endof text|>", "<|endoftext|><|endoftext|> ok"]
+    texts += ["".join(random.choice(list("ab 's't12.,!\n\té'reßÜl-<|>"), 60)) for _ in range(300)]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in coder.encode(texts)] == want
+    coder.check[:] += np.uint64(1)  # every known word now looks like a collision
     assert [x.tolist() for x in coder.encode(texts)] == want
     monkeypatch.setattr(tokens, "CACHE", 5)
     assert [coder.encode([t])[0].tolist() for t in texts] == want
+    coder.kind = None  # an unknown file
+    assert [x.tolist() for x in coder.encode(texts[:20])] == want[:20]
+
+
+def test_kinds_of_files():
+    import json
+
+    with open(queries.vocabulary("byte_bpe_50k.json"), encoding="utf-8") as file:
+        parts = json.load(file)
+    assert tokens.kind_of(parts) == "bytes"
+    for key, value in (("normalizer", {"type": "NFKC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("truncation", {"max_length": 5}), ("model", {"type": "WordPiece"})):
+        assert tokens.kind_of(parts | {key: value}) is None
 
 
 def crc(ids):
@@ -361,7 +380,7 @@ def crc(ids):
 
 
 def test_packing(spark):
-    coder = tokens.Encoder(queries.vocabulary("byte_bpe_50k.json"), "bytes")
+    coder = tokens.Encoder(queries.vocabulary("byte_bpe_50k.json"))
     frame, rows = awkward(spark)
     want = {k: coder.encode([t or ""])[0].tolist() + [0] for k, t in rows}
     pieces, sequences = collections.defaultdict(list), collections.defaultdict(list)
@@ -405,6 +424,18 @@ def test_packing_pads_little():
     assert sum(n for n, _ in sizes) >= 0.99 * 1024 * used
 
 
+def test_packing_under_three_limits():
+    limits = packing.DOCUMENT_LIMITS
+    sizes = [(int(n), int(n) - int(n * packing.DOCUMENT_PROMPT)) for n in np.random.default_rng(1).lognormal(5.5, 1.6, 4000) + 1]
+    placed, held = packing.place(sizes, limits), collections.defaultdict(lambda: [0, 0, 0])
+    for item, start, length, sequence, _ in placed:
+        n, loss = sizes[item]
+        held[sequence] = [a + b for a, b in zip(held[sequence], (length, 1, max(0, start + length - max(start, n - loss))), strict=True)]
+    most = np.array(list(held.values())).max(axis=0)
+    assert most.tolist() == [limits.tokens, limits.segments, limits.loss_tokens]  # each of them binds somewhere
+    assert sum(n for n, _ in sizes) == sum(x[2] for x in placed) >= 0.99 * 1024 * len(held)
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 31, 32])
 def test_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1003, dtype=np.uint64).astype(np.uint32)
@@ -433,16 +464,17 @@ def test_random_access(monkeypatch, tmp_path):
 
 def test_id_files(spark):
     frame, rows = awkward(spark)
-    coder = tokens.Encoder(queries.vocabulary("word_bpe_49k.json"), "words")
+    coder = tokens.Encoder(queries.vocabulary("word_bpe_49k.json"))
     folder = Scratch(spark, "ids").root
-    written = bitpack.write_ids(frame, folder, queries.vocabulary("word_bpe_49k.json"), 1, "words", 3)
+    written = bitpack.write_ids(frame, folder, queries.vocabulary("word_bpe_49k.json"), 1, 3)
     at, want = 0, []
-    for k, t in sorted((k, t or "") for k, t in rows if k is not None):
+    for k, t in sorted(((k, t or "") for k, t in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
         ids = coder.encode([t])[0].tolist() + [1]
         want.append((k, at, len(ids), crc(ids)))
         at += len(ids)
-    assert sorted(tuple(r) for r in bitpack.read_ids(spark, folder, written).collect()) == want
-    none = bitpack.write_ids(frame.limit(0), folder + "-none", queries.vocabulary("word_bpe_49k.json"), 1, "words", 3)
+    got = sorted((tuple(r) for r in bitpack.read_ids(spark, folder, written).collect()), key=lambda x: x[1])
+    assert got == want and got[0][0] is None
+    none = bitpack.write_ids(frame.limit(0), folder + "-none", queries.vocabulary("word_bpe_49k.json"), 1, 3)
     assert bitpack.read_ids(spark, folder + "-none", none).count() == 0
 
 
@@ -569,6 +601,32 @@ def test_url_lists(spark):
     assert urlfilter.verdicts(c, urlfilter.intervals(e.limit(0))).where("blocked").count() == 0
 
 
+def test_url_lists_of_any_days(spark):
+    """Outlying days, long and very long intervals, long histories, clashing names, against a plain loop."""
+    random = np.random.default_rng(11)
+    far = [-2_000_000_000, -5000, 0, 1, 63, 64, 255, 256, 257, 5000, 2_000_000_000]
+    entries, n = [], 0
+    for pattern in ("a.org", "b.a.org", "c.org", "d.net"):
+        days = sorted(random.choice(far + random.integers(0, 4000, 30).tolist(), 12, replace=False).tolist())
+        for k, day in enumerate(days):
+            entries.append(("l", "host", pattern, n, "remove" if k % 2 else "add", int(day)))
+            n += 1
+    captures = [(k, f"http://{h}/x", int(d)) for k, (h, d) in enumerate((h, d) for h in ("a.org", "z.b.a.org", "c.org", "d.net", "e.net") for d in far + random.integers(0, 4000, 40).tolist())]
+    captures.append((10_000, "http://c.org/" + "p/" * 400 + "x" * 20_000, 100))
+    e = spark.createDataFrame(entries, "list_name string, kind string, pattern string, entry_id long, action string, day int").withColumn("bucket", F.lit("x"))
+    c = spark.createDataFrame(captures, "capture_id long, url string, day int").withColumns({"host": F.lit(1), "width": F.lit("y"), "pattern": F.lit(None)})
+    want = {}
+    for k, url, day in captures:
+        host, best = url.split("/")[2], None
+        for name in {x[2] for x in entries}:
+            last = [x for x in entries if x[2] == name and x[5] <= day][-1:]
+            if (host == name or host.endswith("." + name)) and last and last[0][4] == "add" and (best is None or len(name) > len(best[2])):
+                best = last[0]
+        want[k] = best and best[3]
+    got = {r.capture_id: r.entry_id for r in urlfilter.verdicts(c, urlfilter.intervals(e)).collect()}
+    assert got == want and sum(v is not None for v in want.values()) > 50
+
+
 def test_leaks(spark):
     item = "A train leaves the old station at 12 km per hour and Anna waits 12 minutes for the next Anna train"
     other = "Completely different words stand in this second question about rivers and mountains today"
