@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions only.
 
-Texts become lower-case word tokens; numbers, units after a number and names (capitalised words after a
-lower-case letter or a comma) become typed placeholders that keep their value on the side. Windows of
+Texts become lower-case word tokens; numbers (with their separators), units after a number and names (runs of
+capitalised words, but for COMMON words) become typed placeholders that keep their value on the side. Windows of
 WINDOW template tokens are hash-joined between benchmark and documents. Matches of one item on one
 diagonal (document position minus item position) are aligned token by token. Their windows must cover
 at least LEAST_TOKENS tokens, or all but EDGE of a shorter item, and the windows' slots must be consistent: within
@@ -28,14 +28,24 @@ EDGE = 2
 #: Unit words that are placeholders after a number.
 UNITS = ("mm cm m km mg g kg ml l s ms min h hz w kw v a pa mph kmh inch inches foot feet mile miles metre metres meter meters gram grams "
          "kilo kilos litre litres second seconds minute minutes hour hours day days week weeks month months year years percent euro euros dollar dollars").split()
+#: Words that begin sentences, which aren't names where they are capitalised.
+COMMON = ("A An The This That These Those There Here It Its He She They We You I His Her Their Our My Your If When While Where What Which Who Whom Whose Why How "
+          "Is Are Was Were Be Do Does Did Can Could Will Would Should Has Have Had In On At Of For To From By With Without After Before During Under Over Between And But Or "
+          "As So Then Thus Let Given Suppose Find Calculate Compute Determine Each Every Some All Any No Not One Two Three Both Many Much More Most Few Several If Since Because").split()
 _MARK = "\x01"
+_NAME = r"\p{Lu}\p{Ll}\p{L}*(?: \p{Lu}\p{Ll}\p{L}*)*"
+_WORD = r"[\x02-\x04\p{L}\p{N}]+"
 
 
 def value_tokens(text: Column) -> Column:
-    """Lower-case tokens; a name carries a mark before it."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"([0-9])(\p{L})", "$1 $2")
-    text = F.regexp_replace(text, r"([\p{Ll},;] )(\p{Lu}\p{L}*)", f"$1{_MARK}m$2")
-    return F.filter(F.split(F.lower(text), f"[^{_MARK}\\p{{L}}\\p{{N}}]+"), lambda t: t != "")
+    """Lower-case tokens; a name carries a mark before it and is one token, like a number with separators."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x04]", " ")
+    text = F.regexp_replace(text, r"([0-9])(\p{L})", "$1 $2")
+    text = F.regexp_replace(F.regexp_replace(text, r"(?<=[0-9])\.(?=[0-9])", "\x02"), "(?<=[0-9]),(?=[0-9])", "\x03")
+    text = F.regexp_replace(text, rf"(?<!\p{{L}})({'|'.join(COMMON)})(?!\p{{L}})", "\x04$1")
+    text = F.regexp_replace(text, rf"(?<![\x02-\x04\p{{L}}\p{{N}}]){_NAME}", f"{_MARK}m$0")
+    found = F.regexp_extract_all(text, F.lit(f"{_MARK}m{_NAME}|{_WORD}"), F.lit(0))
+    return F.transform(found, lambda t: F.lower(F.translate(t, "\x04", "")))
 
 
 def _digit(token: Column) -> Column:
@@ -155,34 +165,45 @@ def _sql_units() -> str:
     return "[" + ", ".join(f"'{u}'" for u in UNITS) + "]"
 
 
-_SQL_SIDE = """
-{name}_v AS (SELECT {id} AS id, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''),
-    '([0-9])(\\p{{L}})', '\\1 \\2', 'g'), '([\\p{{Ll}},;] )(\\p{{Lu}}\\p{{L}}*)', '\\1' || chr(1) || 'm\\2', 'g')),
-    '[^\\x01\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') AS v FROM {table} WHERE {id} IS NOT NULL),
+_SQL_CLEAN = "regexp_replace(regexp_replace(coalesce(text, ''), '[\\x01-\\x04]', ' ', 'g'), '([0-9])(\\p{L})', '\\1 \\2', 'g')"
+for _from, _to in 2 * (("[.]", 2),) + 2 * ((",", 3),):  # twice, since matches don't overlap
+    _SQL_CLEAN = f"regexp_replace({_SQL_CLEAN}, '([0-9]){_from}([0-9])', '\\1' || chr({_to}) || '\\2', 'g')"
+for _ in range(2):
+    _SQL_CLEAN = f"regexp_replace({_SQL_CLEAN}, '(^|[^\\p{{L}}])({'|'.join(COMMON)})([^\\p{{L}}]|$)', '\\1' || chr(4) || '\\2\\3', 'g')"
+
+
+def _sql_side(name: str, key: str, source: str) -> str:
+    return f"""
+{name}_v AS (SELECT {key} AS id, list_transform(regexp_extract_all({_SQL_CLEAN}, '{_NAME}|{_WORD}'),
+    lambda t: CASE WHEN regexp_matches(t, '^\\p{{Lu}}\\p{{Ll}}') THEN chr(1) || 'm' || lower(t) ELSE lower(replace(t, chr(4), '')) END) AS v FROM {source} WHERE {key} IS NOT NULL),
 {name} AS (SELECT id, v, len(v) AS n, list_transform(v, lambda t, i: CASE WHEN t[1] = chr(1) THEN chr(1) || 'm'
     WHEN ascii(t) BETWEEN 48 AND 57 THEN chr(1) || 'n'
-    WHEN i > 1 AND list_contains({units}, t) AND ascii(v[i - 1]) BETWEEN 48 AND 57 THEN chr(1) || 'u' ELSE t END) AS t FROM {name}_v)"""
+    WHEN i > 1 AND list_contains({_sql_units()}, t) AND ascii(v[i - 1]) BETWEEN 48 AND 57 THEN chr(1) || 'u' ELSE t END) AS t FROM {name}_v)"""
+
 
 SQL = (
-    "WITH "
-    + _SQL_SIDE.format(name="d", id="doc_id", table="documents", units=_sql_units())
-    + ","
-    + _SQL_SIDE.format(name="b", id="item_id", table="benchmark", units=_sql_units())
+    f"WITH {_sql_side('d', 'doc_id', 'documents')}, {_sql_side('b', 'item_id', 'benchmark')}"
     + f"""
 , g0 AS (SELECT id AS item_id, n, least(n, {WINDOW}) AS w, unnest(range(n - least(n, {WINDOW}) + 1)) AS b_pos, t FROM b WHERE n > 0),
 g1 AS (SELECT item_id, n, w, b_pos, t[(b_pos + 1):(b_pos + w)] AS gram FROM g0),
 g2 AS (SELECT *, len(list_filter(gram, lambda x: x[1] <> chr(1))) >= {LEAST_WORDS} AS rich FROM g1),
-g AS (SELECT * FROM g2 WHERE rich OR item_id NOT IN (SELECT item_id FROM g2 WHERE rich)),
+g3 AS (SELECT item_id, bool_or(rich) AS any_rich, CASE WHEN bool_or(rich) THEN count(*) FILTER (WHERE NOT rich) ELSE 0 END AS left_out FROM g2 GROUP BY ALL),
+g AS (SELECT g2.*, left_out FROM g2 JOIN g3 USING (item_id) WHERE rich OR NOT any_rich),
 s AS (SELECT id AS doc_id, w, unnest(range(n - w + 1)) AS pos, t FROM d, (SELECT DISTINCT w FROM g) WHERE n >= w),
-f AS (SELECT doc_id, item_id, pos - b_pos AS diagonal, count(*) AS n_windows, max(n) AS n, max(g.w) AS w
+f AS (SELECT doc_id, item_id, pos - b_pos AS diagonal, count(*) AS n_windows, max(n) AS n, max(g.w) AS w, max(left_out) AS left_out
     FROM (SELECT doc_id, w, pos, t[(pos + 1):(pos + w)] AS gram FROM s) AS x JOIN g USING (gram) GROUP BY ALL),
-f2 AS (SELECT * FROM f WHERE n_windows + w - 1 >= greatest(w, least(n - {EDGE}, {LEAST_TOKENS}))),
-p AS (SELECT f2.doc_id, f2.item_id, diagonal, n_windows, f2.n, list_filter(list_transform(range(1, f2.n + 1),
-    lambda i: {{'it': b.t[i], 'dt': CASE WHEN i + diagonal >= 1 THEN d.t[i + diagonal] END, 'iv': b.v[i], 'dv': CASE WHEN i + diagonal >= 1 THEN d.v[i + diagonal] END}}),
-    lambda x: x.it = x.dt) AS same FROM f2 JOIN d ON d.id = f2.doc_id JOIN b ON b.id = f2.item_id),
-q AS (SELECT *, list_distinct(list_transform(list_filter(same, lambda x: x.it[1] = chr(1)), lambda x: {{'k': x.it, 'i': x.iv, 'd': x.dv}})) AS slots FROM p),
-r AS (SELECT * FROM q WHERE len(list_distinct(list_transform(slots, lambda x: {{'k': x.k, 'i': x.i}}))) = len(slots)
-    AND len(list_distinct(list_transform(slots, lambda x: {{'k': x.k, 'd': x.d}}))) = len(slots))
+f2 AS (SELECT *, greatest(w, least(n - {EDGE}, {LEAST_TOKENS})) AS needed FROM f WHERE n_windows + left_out + w - 1 >= greatest(w, least(n - {EDGE}, {LEAST_TOKENS}))),
+p AS (SELECT f2.*, list_transform(range(1, f2.n + 1), lambda i: {{'at': i, 'it': b.t[i], 'iv': b.v[i],
+    'dt': CASE WHEN i + diagonal >= 1 THEN d.t[i + diagonal] END, 'dv': CASE WHEN i + diagonal >= 1 THEN d.v[i + diagonal] END}}) AS pairs
+    FROM f2 JOIN d ON d.id = f2.doc_id JOIN b ON b.id = f2.item_id),
+p2 AS (SELECT *, list_transform(pairs, lambda x: coalesce(x.it = x.dt, false)) AS eq, list_transform(pairs, lambda x: coalesce(x.it = x.dt AND x.iv = x.dv, false)) AS lit FROM p),
+p3 AS (SELECT *, list_filter(range(1, n - w + 2), lambda i: list_aggregate(eq[i:(i + w - 1)], 'bool_and')) AS starts,
+    list_transform(pairs, lambda x: lit[x.at] AND (x.it <> chr(1) || 'u' OR (x.at > 1 AND coalesce(lit[x.at - 1], false)))) AS own, list_filter(pairs, lambda x: x.it = x.dt) AS same FROM p2),
+q AS (SELECT *, n >= {LEAST_TOKENS} AND len(list_filter(range(1, n - {LEAST_TOKENS} + 2), lambda i: list_aggregate(own[i:(i + {LEAST_TOKENS} - 1)], 'bool_and'))) > 0 AS copied,
+    list_distinct(list_transform(list_filter(same, lambda x: x.it[1] = chr(1) AND len(list_filter(starts, lambda i: i <= x.at AND x.at < i + w)) > 0),
+      lambda x: {{'k': x.it, 'i': x.iv, 'd': x.dv}})) AS slots FROM p3 WHERE len(starts) + w - 1 >= needed),
+r AS (SELECT * FROM q WHERE copied OR (len(list_distinct(list_transform(slots, lambda x: {{'k': x.k, 'i': x.i}}))) = len(slots)
+    AND len(list_distinct(list_transform(slots, lambda x: {{'k': x.k, 'd': x.d}}))) = len(slots)))
 SELECT doc_id, item_id, n_windows, cast(len(same) AS BIGINT) AS matched_tokens, cast(n AS BIGINT) AS item_tokens,
     cast(len(slots) AS BIGINT) AS n_slots, cast(len(list_filter(slots, lambda x: x.i <> x.d)) AS BIGINT) AS changed_slots
 FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY len(same) DESC, diagonal) = 1"""

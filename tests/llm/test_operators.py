@@ -642,6 +642,62 @@ def test_leaks(spark):
     assert decontaminate.leaks(documents(spark, rows), bench.limit(0)).count() == 0
 
 
+def reparameterised(random, n):
+    """(item, the same question with other values, one with inconsistent values) n times, with repeated numbers and names."""
+    firsts, lasts = "Anna Berta Carla Doris Emil Fritz Gerda Hanno Ilse Jonas".split(), "Smith Brown Miller Jones Adams Weber".split()
+    number = lambda: str(random.choice([f"{random.integers(2, 99)}", f"{random.integers(1, 9)},{random.integers(100, 999)}", f"{random.integers(1, 50)}.{random.integers(1, 9)}"]))
+    names = [" ".join(x) for x in (*((f,) for f in firsts), *((f, s) for f in firsts for s in lasts))]
+    for _ in range(n):
+        words = [f"q{random.integers(10**5)}" for _ in range(int(random.integers(14, 30)))]
+        at = sorted(random.choice(len(words), int(random.integers(2, 5)), replace=False).tolist())
+        kinds = [int(random.integers(3)) for _ in at]  # 0, 1: a number or name that may occur again; 2: km after a number
+        slots = [k if random.random() < 0.3 else 10 + i for i, k in enumerate(kinds)]
+
+        def filled(values, words=words, at=at, kinds=kinds, slots=slots):
+            out = list(words)
+            for i, k, slot in zip(at, kinds, slots, strict=True):
+                v = values[slot, k % 2]
+                out[i] = f"{v} km" if k == 2 else v
+            return " ".join(out) + "."
+
+        keys = {(s, k % 2) for s, k in zip(slots, kinds, strict=True)}
+        one, two = ({}, {})
+        for key in sorted(keys):
+            make = number if key[1] == 0 else lambda: str(names[random.integers(len(names))])
+            for values in (one, two):
+                values[key] = make()
+                while values[key] in [v for k, v in values.items() if k != key]:
+                    values[key] = make()
+        yield filled(one), filled(two)
+
+
+def test_leaks_of_reparameterised_items(spark):
+    """Recall over generated questions with other numbers (of any form), units and names (of any length)."""
+    random = np.random.default_rng(21)
+    pairs = list(reparameterised(random, 300))
+    filler = lambda: " ".join(f"z{random.integers(10**6)}" for _ in range(25))
+    rows = [(k, f"{filler()} {other} {filler()}") for k, (_, other) in enumerate(pairs)] + [(1000 + k, f"{filler()}. {item}") for k, (item, _) in enumerate(pairs)]
+    rows += [(5000 + k, filler() + " 12 km with Anna Smith and 1,200 more " + filler()) for k in range(200)]
+    bench = spark.createDataFrame([(k, item) for k, (item, _) in enumerate(pairs)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, rows), bench).collect()}
+    assert all(a % 1000 == b and a < 5000 for a, b in got)
+    assert sum(a >= 1000 for a, _ in got) == 300
+    assert sum(a < 1000 for a, _ in got) >= 0.95 * 300
+
+
+def test_value_tokens(spark):
+    text = "The price of 1,200.50 km, John Smith Brown paid. Anna's 3rd try: NASA and McDonald. 1,2,3 x"
+    got = spark.range(1).select(decontaminate.value_tokens(F.lit(text)).alias("v")).first().v
+    assert got == ["the", "price", "of", "1\x03200\x0250", "km", "\x01mjohn smith brown", "paid", "\x01manna", "s", "3", "rd", "try", "nasa", "and", "\x01mmcdonald", "1\x032\x033", "x"]
+
+
+def test_leaks_with_clashing_columns(spark):
+    item = "Find the greatest sum that two trains carry over the old bridge near the small town"
+    docs = spark.createDataFrame([(1, item, "x", 7, None)], "doc_id long, text string, item_id string, at int, width int")
+    bench = spark.createDataFrame([(1, item, 5, "y")], "item_id long, text string, doc_id int, h string")
+    assert decontaminate.leaks(docs, bench).count() == 1
+
+
 def test_leaks_of_items_with_many_numbers(spark):
     item = "Find the mean of the numbers 3, 7, 8, 12, 15, 18, 21, 24."
     other = "Find the mean of the numbers 4, 9, 2, 11, 16, 19, 22, 25."
