@@ -487,15 +487,18 @@ def test_escape(text):
     assert chat.unescape(safe) == text and not any(c in safe for c in chat.CONTROLS)
 
 
+EVENT = "conv_id long, message long, seq long, event string, role string, text string"
+
+
 def test_fold(spark):
     log = [
-        (1, 0, 1, 0, "delta", None, "lost"), (1, 0, 1, 1, "start", "user", "hi"), (1, 0, 1, 2, "delta", None, " there"),
-        (1, 1, 1, 0, "start", "assistant", None), (1, 1, 1, 1, "delta", None, "bad"), (1, 1, 1, 2, "regenerate", None, None), (1, 1, 1, 3, "delta", None, "go"), (1, 1, 1, 4, "delta", None, "od"),
-        (1, 2, 1, 0, "start", "user", "x"), (1, 2, 1, 1, "edit", None, "y"), (1, 2, 1, 2, "unknown", None, "z"), (1, 3, 1, 0, "edit", None, "no start"), (None, 0, 1, 0, "start", None, None),
+        (1, 0, 0, "delta", None, "lost"), (1, 0, 1, "start", "user", "hi"), (1, 0, 2, "delta", None, " there"),
+        (1, 1, 10, "start", "assistant", None), (1, 1, 11, "delta", None, "bad"), (1, 1, 12, "regenerate", None, None), (1, 1, 13, "delta", None, "go"), (1, 1, 14, "delta", None, "od"),
+        (1, 2, 20, "start", "user", "x"), (1, 2, 21, "edit", None, "y"), (1, 2, 22, "unknown", None, "z"), (1, 3, 30, "edit", None, "no start"), (None, 0, 0, "start", None, None), (1, 2, None, "edit", None, "no seq"),
     ]
-    events = spark.createDataFrame(log[::-1], "conv_id long, turn long, copy long, seq long, event string, role string, text string")
+    events = spark.createDataFrame(log[::-1], EVENT)
     found = chat.messages(events)
-    got = {(r.conv_id, r.turn): r for r in found.collect()}
+    got = {(r.conv_id, r.message): r for r in found.collect()}
     assert {k: r.segment for k, r in got.items()} == {
         (1, 0): "<|turn|>user<|text|>hi there<|end|>\n", (1, 1): "<|turn|>assistant<|text|>good<|end|>\n", (1, 2): "<|turn|>user<|text|>y<|end|>\n", (None, 0): "<|turn|><|text|><|end|>\n",
     }
@@ -506,6 +509,52 @@ def test_fold(spark):
     assert chat.report(chat.messages(events.limit(0))).count() == 0
 
 
+def plain_fold(log):
+    """Every conversation's messages in order, event by event."""
+    out = {}
+    for conv in {e[0] for e in log}:
+        alive = {}
+        for _, message, seq, event, role, text in sorted({e for e in log if e[0] == conv}, key=lambda e: (e[2], e[3], e[5] or "")):
+            if event == "start" and message not in alive:
+                alive[message] = [seq, role or "", text or ""]
+            elif message in alive and event == "delta":
+                alive[message][2] += text or ""
+            elif message in alive and event == "edit":
+                alive[message][2] = text or ""
+            elif message in alive and event == "regenerate":
+                alive = {k: v for k, v in alive.items() if v[0] <= alive[message][0]}
+                alive[message][2] = ""
+        out[conv] = [(v[1], v[2]) for v in sorted(alive.values())]
+    return out
+
+
+def test_fold_of_random_logs(spark):
+    """Edits of earlier messages, regenerations that take back later ones, any order of delivery, repeats, clashing columns."""
+    random = np.random.default_rng(17)
+    log = []
+    for conv in range(30):
+        live, seq = [], 0
+        for message in range(12):
+            seq += int(random.integers(1, 5))
+            log.append((conv, message, seq, "start", str(random.choice(["user", "assistant"])), f"<{message}>"))
+            live.append(message)
+            for _ in range(int(random.integers(0, 6))):
+                seq += 1
+                to = int(random.choice(live))
+                kind = str(random.choice(["delta", "delta", "edit", "regenerate"], p=[0.4, 0.3, 0.2, 0.1]))
+                log.append((conv, to, seq, kind, None, f"{kind}{seq}[x" * (300 if seq % 7 == 0 else 1)))
+                if kind == "regenerate":
+                    live = live[: live.index(to) + 1]
+    want = plain_fold(log)
+    twice = log + log[::3]
+    events = spark.createDataFrame([twice[k] for k in random.permutation(len(twice))], EVENT).withColumns({"place": F.lit("x"), "segment": F.lit(1), "placed": F.lit(None)})
+    found = collections.defaultdict(list)
+    for r in chat.messages(events).collect():
+        found[r.conv_id].append((r.place, r.segment))
+    got = {k: [tuple(map(chat.unescape, chat._SEGMENT.fullmatch(s).groups())) for _, s in sorted(v)] for k, v in found.items()}
+    assert got == want
+
+
 def test_repeated_turns(spark):
     turns = spark.createDataFrame([(1, 0, "user", "a" * 2000), (1, 0, "user", "a" * 2000), (1, 0, "assistant", "b" * 1500), (1, None, None, None)], "conv_id long, turn long, role string, text string")
     got = chat.report(chat.messages(chat.log_of(turns))).first()
