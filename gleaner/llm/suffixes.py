@@ -319,30 +319,31 @@ def _resolved(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
     many: another row has the same bucket and full. goes_on: the bucket also has other rows, and this row has no
     equal or is their partner. Buckets are dealt by hash, each sorted by full in one pass. Hot buckets are dealt
-    by full as well, and rows of a hot (bucket, full) stay where they are and get its figures by broadcast; a
-    sample says which are hot (at most HOT_KEYS of either kind), and doesn't change the result.
+    by full as well, and rows of a hot (bucket, full), which are many, stay where they are; a sample of at least
+    two of their rows says which are hot (at most HOT_KEYS of either kind), and doesn't change the result.
     """
     key = ["bucket", "full"]
     sample = rows.where(F.pmod(F.xxhash64("doc", "place", F.lit(7)), F.lit(SAMPLED)) == 0)
     least = max(HOT_SAMPLE, sample.count() // HOT_KEYS)
-    often = lambda by: sample.groupBy(*by).count().where(F.col("count") >= least).select(*by)
-    spark = rows.sparkSession
-    listed = lambda df: F.broadcast(spark.createDataFrame(df.collect(), df.schema))  # noqa: E731  at most HOT_KEYS rows
-    hot = listed(often(["bucket"]))
-    place = F.struct("doc", "place")
+    often = lambda by: sample.groupBy(*by).count().where(F.col("count") >= least).select(*by).collect()
+    equal, row = F.xxhash64("bucket", "full"), F.xxhash64("doc", "place")
+    hot = [r.bucket for r in often(["bucket"])]
     whole, rest = None, rows.withColumn("hot_mixed", F.lit(None).cast("boolean"))
-    if not hot.isEmpty():
-        mixed = listed(rows.join(hot, "bucket").groupBy("bucket").agg((F.min("full") != F.max("full")).alias("hot_mixed")))
-        whole = listed(rows.join(listed(often(key)), key).groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("partner")))
-        rest = rows.join(whole.select(*key), key, "left_anti").join(mixed, "bucket", "left")
-        whole = rows.join(whole, key).join(mixed, "bucket")
-        whole = whole.select("doc", "place", (F.col("n") > 1).alias("many"), (F.col("hot_mixed") & ((F.col("n") == 1) | (place == F.col("partner")))).alias("goes_on"))
+    if hot:
+        hot_rows = rows.where(F.col("bucket").isin(hot))
+        mixed = hot_rows.groupBy("bucket").agg((F.min("full") != F.max("full")).alias("mixed")).where("mixed").collect()
+        mixed = F.col("bucket").isin([r.bucket for r in mixed])
+        names = [r.name for r in sample.groupBy(equal.alias("name")).count().where(F.col("count") >= least).collect()]
+        same = F.col("bucket").isin(hot) & equal.isin(names)
+        partners = [r.p for r in hot_rows.where(same).groupBy(*key).agg(F.min(row).alias("p"), F.count("*").alias("n")).where("n > 1").collect()]
+        whole = hot_rows.where(same).select("doc", "place", F.lit(True).alias("many"), (mixed & row.isin(partners)).alias("goes_on"))
+        rest = rows.where(~same).withColumn("hot_mixed", F.when(F.col("bucket").isin(hot), mixed))
     salt = F.when(F.col("hot_mixed").isNotNull(), F.pmod("full", F.lit(SALTS))).otherwise(0).cast("int")
     rest = rest.withColumn("salt", salt).repartition("bucket", "salt")
-    own, equal = Window.partitionBy("bucket", "salt"), Window.partitionBy("bucket", "salt", "full")
+    own, same = Window.partitionBy("bucket", "salt"), Window.partitionBy("bucket", "salt", "full")
     rest = rest.select(
         "doc", "place", "hot_mixed",
-        F.row_number().over(equal.orderBy("doc", "place")).alias("number"), F.count("*").over(equal).alias("n"),
+        F.row_number().over(same.orderBy("doc", "place")).alias("number"), F.count("*").over(same).alias("n"),
         F.count("*").over(own).alias("members"), (F.min("full").over(own) != F.max("full").over(own)).alias("mixed"),
     )
     rest = rest.where((F.col("members") > 1) | F.col("hot_mixed").isNotNull())
