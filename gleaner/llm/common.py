@@ -100,3 +100,16 @@ def join_counted(rows: DataFrame, side: DataFrame, keys: list[str], count: str,
     hot = F.broadcast(side.where(F.col(count) > least))
     rest = rows.join(hot.select(*keys), keys, "left_anti").join(side.where(F.col(count) <= least), keys, how)
     return rows.join(hot, keys).unionByName(rest)
+
+
+def rows_matching(docs: DataFrame, found: DataFrame, how: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose (id, hash of the text) is in found (doc_id, text_hash), or with how="left_anti" the others.
+
+    A null id equals a null id; the text tells rows of one id apart. Columns of docs may have any names.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    its_id, its_text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    found = small(found.select("doc_id", "text_hash").distinct(), 500_000)
+    same = its_id.cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(its_text.cast("string")) == found["text_hash"])
+    return rows.join(found, same, how).toDF(*docs.columns)

@@ -12,8 +12,9 @@
    full sets. Only links that join two parts of a block leave it.
 4. Second round, over all buckets: those whose members are in one component by now are done. In the others,
    members outside the bucket's greatest component are compared with all of its members of other components,
-   chunk against chunk, a pair in the first band that it shares. Every pair that shares a band has then
-   been compared or lies in one component, so no link between different components is lost.
+   chunk against chunk: a pair in the first band that it shares, or once for all buckets of the same
+   greatest component. Every pair that shares a band has then been compared or lies in one component, so
+   no link between different components is lost.
 5. The components of both rounds' links, by large-star and small-star, are given back to all documents.
 
 A pair at exactly 0.75 shares no band of 4 minima out of 32 with probability (1 - 0.75**4)**32 =
@@ -26,20 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import Scratch, join_counted, small
+from .common import Scratch, join_counted, rows_matching, small
 from .components import components
 
 WIDTH = 5
 PERMUTATIONS = 128
 BANDS = 32
 ESTIMATE_FLOOR = 0.55
-#: Documents of a chunk, and bytes of their full sets, at most about (a single larger document is a chunk of its own).
-CHUNK = 256
+#: Documents of a chunk in the first and in the second round, and bytes of their full sets, at most about (a single larger document is a chunk of its own).
+CHUNK = 128
+WIDE = 256
 CHUNK_BYTES = 16 << 20
+#: How many more pairs one comparison for a component may have than those of its buckets one by one.
+MERGE = 4
 
 _A = grams.stream(3, PERMUTATIONS) | np.uint64(1)
 _B = grams.stream(4, PERMUTATIONS)
@@ -93,12 +97,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(i, len(sets)),
+                    batch.column(2).slice(i, len(sets)),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(one.view(np.int64)),
                     pa.array(two.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.cumsum(at, dtype=np.int32)), pa.array(keys.ravel().view(np.int64))),
                 ],
-                ["doc_id", "n_shingles", "set1", "set2", "bands"],
+                ["doc_id", "text_hash", "n_shingles", "set1", "set2", "bands"],
             )
 
 
@@ -146,11 +151,12 @@ class _Block:
         """Links that join two parts.
 
         First round: pairs of side 0 with side 1 and inside side 1. Second round: pairs of different
-        components that share no earlier band; a pair with both ends on both sides is taken once.
+        components that share no earlier band, of side 0 with side 1, or inside side 1 if side 0 is empty;
+        a pair with both ends on both sides is taken once.
         """
         members = [*self.sides[0], *self.sides[1]]
         split, n = len(self.sides[0]), len(members)
-        if not n or not first and (not split or split == n):
+        if not n or split == n:
             return []
         sets = [np.frombuffer(m[4], np.uint64) for m in members]
         sizes = np.array([len(s) for s in sets])
@@ -162,7 +168,7 @@ class _Block:
         both = np.array([m[0] in nodes for m in members[split:]], bool)  # second round: of side 1, also on side 0
         parts, links = _Parts(len(seen)), []
         rows, cols, scores = [], [], []
-        for i in range(n if first else split):
+        for i in range(n if first or not split else split):
             rest = slice(max(split, i + 1), n)
             fit = (4 * np.minimum(sizes[rest], sizes[i]) >= 3 * np.maximum(sizes[rest], sizes[i])) & (group[rest] != group[i])
             if not first:
@@ -216,9 +222,9 @@ def _links(first: bool) -> callable:
     return run
 
 
-def _chunks(n, size):
-    """Number of chunks for n members whose sets hold `size` shingles together."""
-    return F.greatest(F.ceil(n / CHUNK), F.ceil(size * 8 / CHUNK_BYTES)).cast("int")
+def _chunks(n, size, most: int):
+    """Number of chunks of `most` members for n members whose sets hold `size` shingles together."""
+    return F.greatest(F.ceil(n / most), F.ceil(size * 8 / CHUNK_BYTES)).cast("int")
 
 
 def _compared(docs: DataFrame, blocks: DataFrame, first: bool, repeated: bool, scratch: Scratch, name: str) -> DataFrame:
@@ -229,7 +235,7 @@ def _compared(docs: DataFrame, blocks: DataFrame, first: bool, repeated: bool, s
     if repeated:
         sets = sets.dropDuplicates(["doc_id", "set1"])
     sets = sets.withColumnsRenamed({"doc_id": "id", "set1": "h"})
-    rows = sets.join(small(blocks), ["id", "h"]).select(*BLOCK, "side", "id", "h", "cid", "ch", "bands", "signature", "full_set")
+    rows = sets.join(small(blocks, 200_000), ["id", "h"]).select(*BLOCK, "side", "id", "h", "cid", "ch", "bands", "signature", "full_set")
     rows = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
     links = scratch.save(rows.mapInArrow(_links(first), LINKS), name)
     scratch.drop(f"{name}-blocks")
@@ -240,30 +246,72 @@ def _numbers(n):
     return F.explode(F.sequence(F.lit(0), n - 1))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+FEATURES = "doc_id long, text_hash long, n_shingles long, set1 long, set2 long, bands array<long>"
+#: Two sets are equal if these are.
+SAME = ["n_shingles", "set1", "set2"]
 
-    Null and word-less texts have an empty set, n_shingles 0, and link with nothing. A null id keeps
-    its row, with a null component and kept = false. Repeated rows come out as often as they went in; rows of
-    one id with different texts link and get components each by its own text. An empty table gives no
-    rows; other columns are not read, whatever their names. kept is doc_id = component_id, so ties go to
-    the smallest id.
+
+def _crossed(rows: DataFrame, group: list, strange: Column, odds: Column, alls: Column) -> DataFrame:
+    """Blocks of the strange members of a group against all of its rows; a group of one chunk is one block, in which each stands once."""
+    chunk = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id", "h"), n).cast("int")
+    nodes = ["id", "h", "cid", "ch"]
+    rows = rows.withColumns({"odds": odds, "alls": alls})
+    one = rows.where(strange & (F.col("alls") > 1)).select(*group, chunk("odds", 2).alias("one"), _numbers(F.col("alls")).alias("two"), *nodes, F.lit(0).alias("side"))
+    every = rows.select(*group, _numbers(F.col("odds")).alias("one"), chunk("alls", 3).alias("two"), *nodes, F.lit(1).alias("side"))
+    return one.unionByName(every)
+
+
+def _second_round(docs: DataFrame, rows: DataFrame, repeated: bool, scratch: Scratch) -> DataFrame:
+    """Links between different components of one bucket. rows: band, key, id, h, n_shingles, and the component cid, ch.
+
+    The odd members of a bucket are those outside its greatest component. Where many buckets have the same
+    greatest component, its members and all of their odd ones are compared once, unless that is over
+    MERGE times as many pairs as the buckets have one by one; then their odd ones are compared in each bucket.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    kinds = rows.groupBy("band", "key", "cid", "ch").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
+    top = kinds.groupBy("band", "key").agg(
+        F.max(F.struct("n", "size", "cid", "ch")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("size").alias("size")
+    )
+    top = top.where("kinds > 1").select(
+        "band", "key", "n", "size", F.col("top.cid").alias("tid"), F.col("top.ch").alias("th"),
+        (F.col("n") - F.col("top.n")).alias("odd_n"), (F.col("size") - F.col("top.size")).alias("odd_size"),
+    )
+    top = scratch.save(top, "top")
+    rows = rows.join(small(top), ["band", "key"]).withColumn("odd", (F.col("cid") != F.col("tid")) | (F.col("ch") != F.col("th")))
+    rows = scratch.save(rows, "open")
+    group = ["tid", "th"]
+    once = rows.groupBy(*group, "odd", "id", "h", "n_shingles", "cid", "ch").count().drop("count")
+    costs = once.groupBy(*group).agg(
+        F.count("*").alias("g_n"), F.sum("n_shingles").alias("g_size"), F.count_if("odd").alias("g_odd_n"), F.sum(F.when(F.col("odd"), F.col("n_shingles"))).alias("g_odd_size")
+    )
+    costs = costs.join(top.groupBy(*group).agg(F.sum(F.col("odd_n") * F.col("n")).alias("pairs")), group)
+    merged = F.col("g_odd_n") * (F.col("g_n") - F.col("g_odd_n")) <= F.col("pairs") * MERGE
+    costs = scratch.save(costs.withColumn("merged", merged), "costs")
+    whole = once.join(small(costs.where("merged")), group).withColumns({"band": F.lit(0), "key": F.xxhash64(*group)})
+    bucket = ["band", "key"]
+    blocks = _crossed(whole, bucket, F.col("odd"), _chunks(F.col("g_odd_n"), F.col("g_odd_size"), WIDE), _chunks(F.col("g_n"), F.col("g_size"), WIDE))
+    rows = rows.join(small(costs.select(*group, "merged")), group)
+    part = lambda all_, odd: F.when(F.col("merged"), F.col(odd)).otherwise(F.col(all_))
+    own = rows.where("not merged or odd and odd_n > 1")
+    own = _crossed(own, bucket, F.col("odd"), _chunks(F.col("odd_n"), F.col("odd_size"), WIDE), _chunks(part("n", "odd_n"), part("size", "odd_size"), WIDE))
+    links = _compared(docs, blocks.unionByName(own), False, repeated, scratch, "more-links")
+    scratch.drop("top", "open", "costs")
+    return links
+
+
+def _grouped(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool]:
+    """(features of every row, classes with the root they belong to and whether they are it, whether rows repeat)."""
     features = scratch.save(
-        docs.mapInArrow(_features, "doc_id long, n_shingles long, set1 long, set2 long, bands array<long>"), "features"
+        docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features, FEATURES), "features"
     )
-    same = ["n_shingles", "set1", "set2"]
-    classes = features.where("n_shingles > 0").groupBy("doc_id", *same).agg(F.count("*").alias("n"))
-    classes = classes.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.sum("n").alias("copies"), F.max("n").alias("most"))
+    classes = features.where("n_shingles > 0").groupBy("doc_id", *SAME).agg(F.count("*").alias("n"))
+    classes = classes.groupBy(*SAME).agg(F.min("doc_id").alias("rep"), F.sum("n").alias("copies"), F.max("n").alias("most"))
     classes = scratch.save(classes, "classes")
     repeated = (classes.agg(F.max("most")).first()[0] or 0) > 1
-    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), *same)
-    reps = features.join(reps, ["doc_id", *same])
+    reps = classes.where("rep is not null").select(F.col("rep").alias("doc_id"), *SAME)
+    reps = features.join(reps, ["doc_id", *SAME])
     if repeated:  # repeated rows would cancel in the buckets' xors
-        reps = reps.dropDuplicates(["doc_id", *same])
+        reps = reps.dropDuplicates(["doc_id", *SAME])
     bands = reps.select(F.col("doc_id").alias("id"), F.col("set1").alias("h"), "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = bands.groupBy("band", "key").agg(
         F.count("*").alias("n"),
@@ -279,7 +327,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = members.groupBy("id", "h", "n_shingles").agg(F.max(F.struct("n", "band", "key")).alias("b"))
     own = scratch.save(own.select("id", "h", "n_shingles", "b.band", "b.key"), "own")
     sizes = own.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).where("n > 1")
-    rows = own.join(small(sizes.select("band", "key", _chunks(F.col("n"), F.col("size")).alias("chunks"))), ["band", "key"])
+    rows = own.join(small(sizes.select("band", "key", _chunks(F.col("n"), F.col("size"), CHUNK).alias("chunks"))), ["band", "key"])
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "h"), "chunks").cast("int"))
     nodes = ["id", "h", F.col("id").alias("cid"), F.col("h").alias("ch")]
     side = F.lit(1).alias("side")
@@ -292,28 +340,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = joined.select("node.id", "node.h", F.col("component.id").alias("cid"), F.col("component.h").alias("ch"))
     rows = members.join(small(found), ["id", "h"], "left")
     rows = rows.select("band", "key", "id", "h", "n_shingles", F.coalesce("cid", "id").alias("cid"), F.coalesce("ch", "h").alias("ch"))
-    kinds = rows.groupBy("band", "key", "cid", "ch").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"))
-    top = kinds.groupBy("band", "key").agg(
-        F.max(F.struct("n", "size", "cid", "ch")).alias("top"), F.count("*").alias("kinds"), F.sum("n").alias("n"), F.sum("size").alias("size")
-    )
-    top = scratch.save(top.where("kinds > 1").drop("kinds"), "open")
-    odd = _chunks(F.col("n") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("odds")
-    rows = rows.join(small(top.select("band", "key", odd, _chunks(F.col("n"), F.col("size")).alias("alls"), F.col("top.cid").alias("tid"), F.col("top.ch").alias("th"))), ["band", "key"])
-    chunk = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "id", "h"), n).cast("int")
-    nodes = ["id", "h", "cid", "ch"]
-    strange = rows.where("cid <> tid or ch <> th").select("band", "key", chunk("odds", 2).alias("one"), _numbers(F.col("alls")).alias("two"), *nodes, F.lit(0).alias("side"))
-    every = rows.select("band", "key", _numbers(F.col("odds")).alias("one"), chunk("alls", 3).alias("two"), *nodes, side)
-    more = _compared(docs, strange.unionByName(every), False, repeated, scratch, "more-links")
+    more = _second_round(docs, rows, repeated, scratch)
     if not more.isEmpty():
         edges = joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)
         joined = components(edges, scratch)
     found = joined.select(F.col("node.id").alias("rep"), F.col("node.h").alias("set1"), F.col("component.id").alias("root"))
-    roots = classes.join(found, ["rep", "set1"], "left").select(*same, "copies", F.coalesce("root", "rep").alias("root"))
+    roots = classes.join(found, ["rep", "set1"], "left")
+    roots = roots.select(*SAME, "rep", "copies", F.coalesce("root", "rep").alias("root"), F.col("root").isNull().alias("first"))
     roots = scratch.save(roots, "roots")
-    rows = features.select("doc_id", *same)
-    out = join_counted(rows.where("n_shingles > 0"), roots, same, "copies", "left").select("doc_id", "n_shingles", "root")
+    scratch.drop("members", "own", "links", "joined", "more-links", "classes", "edges")
+    return features, roots, repeated
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id, kept.
+
+    Null and word-less texts have an empty set, n_shingles 0, and link with nothing. A null id keeps
+    its row, with a null component and kept = false. Repeated rows come out as often as they went in; rows of
+    one id with different texts link and get components each by its own text. An empty table gives no
+    rows; other columns are not read, whatever their names. kept is doc_id = component_id, so ties go to
+    the smallest id.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    features, roots, _ = _grouped(_prepared(docs, id_col, text_col), scratch)
+    rows = features.select("doc_id", *SAME)
+    out = join_counted(rows.where("n_shingles > 0"), roots, SAME, "copies", "left").select("doc_id", "n_shingles", "root")
     out = out.unionByName(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("root")))
-    scratch.drop("members", "own", "links", "joined", "open", "more-links", "classes", "edges")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select(
         "doc_id",
@@ -321,3 +373,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"),
     )
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows with their columns, but of each group only one: the smallest id, and of its texts one.
+
+    Rows without words and rows with a null id all stay. Of equal rows one stays. Columns may have any names.
+    """
+    features, roots, repeated = _grouped(_prepared(docs, id_col, text_col), Scratch(docs.sparkSession, "minhash"))
+    rows = features.where("n_shingles > 0 and doc_id is not null").select("doc_id", "text_hash", *SAME)
+    rows = join_counted(rows, roots.select(*SAME, "rep", "copies", "first"), SAME, "copies")
+    kept = rows.where("first and doc_id = rep").groupBy("doc_id", *SAME).agg(F.min("text_hash").alias("text_hash"))
+    kept = Scratch(docs.sparkSession, "kept").save(kept.select("doc_id", "text_hash"), "rows")
+    gone = rows.select("doc_id", "text_hash").join(small(kept), ["doc_id", "text_hash"], "left_anti")
+    out = rows_matching(docs, gone, "left_anti", id_col, text_col)
+    if not repeated:
+        return out
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    its_id, its_text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    out = out.toDF(*names)
+    one = (F.coalesce(F.col(its_text).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")) & F.col(its_id).isNotNull()
+    return out.where(one).dropDuplicates([its_id, its_text]).unionByName(out.where(~one)).toDF(*docs.columns)
