@@ -83,12 +83,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     The values are those of the pair's best diagonal: most matched tokens, then the smallest diagonal.
     n_windows counts the joined windows. Slots are those inside matched windows.
     changed_slots counts distinct slots whose value differs. Null and empty texts leak nothing; null ids
-    are left out. Repeated rows of one id count once. Empty tables give no rows; clashing names of other
+    are left out. Equal rows of one id count their windows together; of an id with several texts the best text counts. Empty tables give no rows; clashing names of other
     columns don't matter. The benchmark side is broadcast only if it is small by count.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.withColumn("th", F.xxhash64("text"))  # tells texts of one id apart
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
     items = items.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
     items = items.select("item_id", value_tokens(F.col("text")).alias("item_values")).where(F.size("item_values") > 0)
@@ -107,21 +108,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     hashed = lambda values: bound(template(values), lambda t: F.array(*(F.struct(F.lit(w).alias("width"), _windows(t, w).alias("hs")) for w in widths)))
     if not widths:
         return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, matched_tokens long, item_tokens long, n_slots long, changed_slots long")
-    seen = docs.select("doc_id", F.explode(bound(value_tokens(F.col("text")), hashed)).alias("s"))
-    seen = seen.select("doc_id", F.col("s.width").alias("width"), F.posexplode("s.hs").alias("pos", "h"))
-    found = seen.join(small(grams, 100_000), ["h", "width"]).groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"))
+    seen = docs.select("doc_id", "th", F.explode(bound(value_tokens(F.col("text")), hashed)).alias("s"))
+    seen = seen.select("doc_id", "th", F.col("s.width").alias("width"), F.posexplode("s.hs").alias("pos", "h"))
+    found = seen.join(small(grams, 100_000), ["h", "width"]).groupBy("doc_id", "th", "item_id", (F.col("pos") - F.col("at")).alias("diagonal"))
     found = found.agg(
         F.count("*").alias("n_windows"), F.max("item_tokens").alias("item_tokens"), F.max("width").alias("width"), F.max("left_out").alias("left_out")
     )
     enough = lambda n: n + F.col("width") - 1 >= F.greatest("width", F.least(F.col("item_tokens") - EDGE, F.lit(LEAST_TOKENS)))
     # Even if all windows that were left out match, the others can't reach the bound.
     found = found.where(enough(F.col("n_windows") + F.col("left_out")))
-    found = scratch.save(found.select("doc_id", "item_id", "diagonal", "n_windows", "width"), "found")
-    wanted = small(found.select("doc_id").distinct())
-    texts = docs.join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
-    texts = texts.select("doc_id", value_tokens(F.col("text")).alias("doc_values"))
+    found = scratch.save(found.select("doc_id", "th", "item_id", "diagonal", "n_windows", "width"), "found")
+    wanted = small(found.select("doc_id", "th").distinct())
+    texts = docs.join(wanted, ["doc_id", "th"], "left_semi").groupBy("doc_id", "th").agg(F.max("text").alias("text"))
+    texts = texts.select("doc_id", "th", value_tokens(F.col("text")).alias("doc_values"))
     texts = scratch.save(texts.select("*", template(F.col("doc_values")).alias("doc_template")), "texts")
-    both = found.join(texts, "doc_id").join(small(items, 10_000), "item_id")
+    both = found.join(texts, ["doc_id", "th"]).join(small(items, 10_000), "item_id")
     pair = lambda i: F.struct(
         i.alias("at"),
         F.get("item_template", i).alias("it"),

@@ -76,11 +76,20 @@ def _weigh(ratio) -> callable:
                 u = ((key >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52
                 rank = np.round((weight - np.log(-np.log(u))) * _SCALE).astype(np.int64)
                 y = np.where(checks(ids), batch.column(2).slice(i, n).to_numpy(zero_copy_only=False), -1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([ids, pa.array(y), pa.array(size), pa.array(weight), pa.array(rank)], ["doc_id", "y", "n_ngrams", "log_weight", "rank"])
+                columns = [ids, batch.column(3).slice(i, n), pa.array(y), pa.array(size), pa.array(weight), pa.array(rank)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "y", "n_ngrams", "log_weight", "rank"])
 
     return run
 
 
+def ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log ratio of the models for each bucket; 0 everywhere without target counts."""
+    if not target.sum():
+        return np.zeros(len(raw))
+    p = (raw + 1.0) / (raw.sum() + len(raw))
+    return np.log((target / target.sum() / p + 1.0) / 2.0)
+
+
 def best_cut(good: np.ndarray, bad: np.ndarray) -> float | None:
     """The weight at which keeping everything not below it costs least; None without both kinds."""
     if not len(good) or not len(bad):
@@ -111,7 +120,7 @@ def kth(weights: DataFrame, k: int) -> tuple[int, int | None]:
 
 
 def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """The kept documents: doc_id, n_ngrams, log_weight, kept (always true).
+    """The kept documents: doc_id, n_ngrams, log_weight, kept (always true) and text_hash (xxhash64 of the text).
 
     Null, empty and word-less texts have weight 0 and take part like others. Rows of one id have one
     Gumbel variate; equal rows stay or go together, so the result may exceed k by repeated rows. Without
@@ -124,18 +133,15 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
     known = known.where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     known = scratch.save(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS), "known")
-    rows = docs.join(F.broadcast(known), "doc_id", "left").select("doc_id", "text", F.coalesce("y", F.lit(-1)).alias("y"))
+    rows = docs.join(F.broadcast(known), "doc_id", "left").select("doc_id", "text", F.coalesce("y", F.lit(-1)).alias("y"), F.xxhash64("text").alias("text_hash"))
     counted = rows.mapInArrow(_count, "bucket long, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[row.bucket], target[row.bucket] = row.raw, row.target
-    ratio = np.zeros(BUCKETS)
-    if target.sum():
-        p = (raw + 1.0) / (raw.sum() + BUCKETS)
-        ratio = np.log((target / target.sum() / p + 1.0) / 2.0)
-    weights = rows.mapInArrow(_weigh(spark.sparkContext.broadcast(ratio)), "doc_id long, y int, n_ngrams long, log_weight double, rank long")
+    ratio = spark.sparkContext.broadcast(ratios(raw, target))
+    weights = rows.mapInArrow(_weigh(ratio), "doc_id long, text_hash long, y int, n_ngrams long, log_weight double, rank long")
     weights = scratch.save(weights, "weights")
-    seen = weights.where("y >= 0").select("y", "log_weight").collect()  # at most SAMPLE_ROWS, but for repeated ids
+    seen = weights.where("y >= 0").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("log_weight").alias("log_weight")).collect()  # at most SAMPLE_ROWS
     cut = best_cut(*(np.array([r.log_weight for r in seen if r.y == y]) for y in (1, 0)))
     k = weights.where(F.col("log_weight") >= cut).count() if cut is not None else None
     kept = weights
@@ -145,4 +151,4 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         rank, last = kth(weights, k)
         tie = F.col("rank") == rank
         kept = weights.where((F.col("rank") > rank) | (tie if last is None else tie & (F.col("doc_id") <= last)))
-    return kept.select("doc_id", "n_ngrams", "log_weight", F.lit(True).alias("kept"))
+    return kept.select("doc_id", "n_ngrams", "log_weight", F.lit(True).alias("kept"), "text_hash")

@@ -28,7 +28,7 @@ SAMPLE_ROWS = 4_000
 SAMPLE_CHARS = 14_000_000
 #: Steps of 64 texts that training takes, at least; a small sample is passed over more often.
 STEPS = 1_000
-#: A row must occur in this many texts of the sample to be learned; others are ignored.
+#: A row must occur in this many texts of the sample to be learned, in fewer if the sample is small; others are ignored.
 LEAST_TEXTS = 10
 #: How much more a toxic text counts in training, since few are.
 TOXIC_WEIGHT = 3.0
@@ -83,16 +83,9 @@ class Model:
         return np.stack([np.bincount(owner, x[rows], len(words)) for x in (self.value, self.weight)], 1)
 
 
-def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and count of every text's distinct rows, and where each text begins."""
-    rows, counts, at = [], [], [0]
-    for text in texts:
-        r, c = np.unique(rows_of(text_words(text))[0], return_counts=True)
-        rows.append(r.astype(np.int32))
-        counts.append(c.astype(np.float32))
-        at.append(at[-1] + len(r))
-    none = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
-    return np.concatenate(none[0] + rows), np.concatenate(none[1] + counts), np.array(at)
+def _bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's distinct rows and their counts."""
+    return np.unique(rows_of(text_words(text))[0], return_counts=True)
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
@@ -101,21 +94,26 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Model:
     rate = (labels.sum() + 0.5) / (len(labels) + 1.0)
     if len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
-    rows, counts, at = _bags(texts)
-    total = np.bincount(rows, counts, BUCKETS)
-    known = np.bincount(rows, minlength=BUCKETS) >= LEAST_TEXTS
+    # Bags are made twice, so that only the rows that are learned are ever held together.
+    total, seen = np.zeros(BUCKETS), np.zeros(BUCKETS, np.int32)
+    for text in texts:
+        r, c = _bag(text)
+        total[r] += c
+        seen[r] += 1
+    known = seen >= min(LEAST_TEXTS, max(2, len(texts) // 200))
     weight = np.where(known, np.minimum(1.0, np.sqrt(1e-5 * total.sum() / np.maximum(total, 1.0))), 0.0)
-    keep = known[rows]
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(at))[keep]
-    rows, counts = rows[keep], counts[keep]
     ids = np.flatnonzero(known)
     place = np.zeros(BUCKETS, np.int32)
     place[ids] = np.arange(len(ids))
-    used = place[rows]
-    each = counts * weight.astype(np.float32)[rows]
-    each /= (np.bincount(owner, each, len(texts)) + NEUTRAL).astype(np.float32)[owner]
-    at = np.searchsorted(owner, np.arange(len(texts) + 1))
-    del rows, counts, keep, owner
+    used, each, at = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)], [0]
+    for text in texts:
+        r, c = _bag(text)
+        r, c = r[known[r]], c[known[r]]
+        x = c * weight[r]
+        used.append(place[r])
+        each.append((x / (x.sum() + NEUTRAL)).astype(np.float32))
+        at.append(at[-1] + len(r))
+    used, each, at = np.concatenate(used), np.concatenate(each), np.array(at)
     random = np.random.default_rng(seed)
     e = random.normal(0, 1.0 / DIMENSIONS, (len(ids), DIMENSIONS))
     w, b = np.zeros((DIMENSIONS, 2)), np.log(np.array([1 - rate, rate]))
@@ -181,7 +179,7 @@ def held_out(id_column) -> F.Column:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from labelled rows that aren't held out, at most SAMPLE_ROWS of them, in a fixed hash order,
-    as far as their texts have SAMPLE_CHARS characters together.
+    as far as their texts have SAMPLE_CHARS characters together. Of several texts of one id the shortest counts.
 
     Rows with a null id or label, and labels other than 0 and 1, are left out; of an id's labels the greatest counts.
     """
@@ -189,14 +187,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.where("id is not null and y in (0, 1)").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     picked = F.broadcast(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sizes = texts.join(picked, "id").select(F.xxhash64("id").alias("h"), "id", F.length("text").alias("n")).collect()
+    one = F.min(F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("t"))).alias("one")
+    sizes = texts.join(picked, "id").groupBy("id").agg(one).select(F.xxhash64("id").alias("h"), "id", "one.n", "one.t").collect()
     chosen, size = [], 0
     for row in sorted(sizes):
         size += row.n
         if size <= SAMPLE_CHARS:
-            chosen.append(row.id)
-    listed = F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in chosen], "id long"))
-    wanted = texts.join(listed, "id")
+            chosen.append((row.id, row.t))
+    listed = F.broadcast(docs.sparkSession.createDataFrame(chosen, "id long, t long"))
+    wanted = texts.withColumn("t", F.xxhash64("text")).join(listed, ["id", "t"]).groupBy("id").agg(F.max("text").alias("text"))
     got = [tuple(x) for x in wanted.join(picked, "id").select("id", "y", "text").collect()]
     got.sort()
     return train([x[2] for x in got], [x[1] for x in got])

@@ -598,26 +598,59 @@ def test_importance_on_labels(spark):
     assert sum(k in kept for k in good) >= 0.99 * len(good) and sum(k in kept for k in bad) <= 0.1 * len(bad)
 
 
-def test_importance_weights_equal_plain_python(spark):
+def test_importance_weights_equal_plain_python(monkeypatch):
+    monkeypatch.setattr(importance, "BUCKETS", 1 << 22)  # so that no two n-grams of this test share one
     random = np.random.default_rng(7)
-    rows = [(k, " ".join(random.choice(WORDS[: 30 if k % 3 else 400], 50))) for k in range(300)]
-    labels = [(k, int(k % 3 > 0), 0) for k in range(0, 300, 2)]
-    kept = {r.doc_id: r.log_weight for r in importance.resample(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
-    held = importance.checks(pa.array(range(300), pa.int64()))
-    raw, target, bags = collections.Counter(), collections.Counter(), {}
-    for k, t in rows:
+    texts = [" ".join(random.choice(WORDS[: 8 if k % 3 else 25], 50)) for k in range(300)]
+    y = [1 if k % 2 == 0 and k % 3 else -1 for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(texts), pa.array(y, pa.int32()), pa.array([0] * 300, pa.int64())], ["doc_id", "text", "y", "text_hash"])
+    counted = next(importance._count(iter([batch])))
+    held = importance.checks(batch.column(0))
+    raw, target, bags = collections.Counter(), collections.Counter(), []
+    for k, t in enumerate(texts):
         w = t.split()
-        bags[k] = collections.Counter(w) + collections.Counter(zip(w, w[1:], strict=False))
+        bags.append(collections.Counter(w) + collections.Counter(zip(w, w[1:], strict=False)))
         raw += bags[k]
-        if k % 2 == 0 and k % 3 and not held[k]:
+        if y[k] == 1 and not held[k]:
             target += bags[k]
+    assert counted.num_rows == len(raw) and sorted(counted.column(1).to_pylist()) == sorted(raw.values())
+    models = np.zeros((2, importance.BUCKETS))
+    for k in (1, 2):
+        models[k - 1, counted.column(0).to_numpy()] = counted.column(k).to_numpy()
     n_raw, n_target = sum(raw.values()), sum(target.values())
-    weight = lambda bag: importance.EFFECTIVE * sum(c * np.log((target[g] / n_target / ((raw[g] + 1) / (n_raw + importance.BUCKETS)) + 1) / 2) for g, c in bag.items()) / sum(bag.values())
-    off = [abs(kept[k] - weight(bags[k])) for k in kept]
-    assert np.median(off) < 2.0  # hashing joins a few n-grams
+    want = [importance.EFFECTIVE * sum(c * np.log((target[g] / n_target / ((raw[g] + 1) / (n_raw + importance.BUCKETS)) + 1) / 2) for g, c in bag.items()) / sum(bag.values()) for bag in bags]
+
+    class Sent:
+        value = importance.ratios(*models)
+
+    got = np.concatenate([b.column("log_weight").to_numpy() for b in importance._weigh(Sent)(iter([batch]))])
+    assert np.abs(got - want).max() < 1e-9
+
+
+def test_importance_parts_good_from_bad(spark):
+    random = np.random.default_rng(7)
+    rows = [(k, " ".join(random.choice(WORDS[: 30 if k % 3 else 400], 50))) for k in range(300)]
+    labels = [(k, int(k % 3 > 0), 0) for k in range(0, 300, 2)]
+    kept = {r.doc_id for r in importance.resample(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
     assert all(k in kept for k in range(300) if k % 3) and sum(k in kept for k in range(0, 300, 3)) < 10
 
 
+def test_one_labelled_id_with_many_rows(spark):
+    random = np.random.default_rng(9)
+    text = lambda: " ".join(random.choice(WORDS, 30))
+    rows = [(0, text()) for _ in range(50)] + [(k, text() + " vile" * (k % 2)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2, k % 2) for k in range(60)], "doc_id long, quality int, toxic int")
+    seen = []
+    real = toxicity.train
+    toxicity.train = lambda texts, labels: seen.append(len(texts)) or real(texts, labels)
+    try:
+        assert toxicity.score(documents(spark, rows), labels).count() == len(rows)
+    finally:
+        toxicity.train = real
+    assert seen[0] == sum(zlib.crc32(str(k).encode()) % 4 != 2 for k in range(60))
+    assert importance.resample(documents(spark, rows), labels).count() <= len(rows)
+
+
 def test_kth_and_awkward(spark):
     rows = [(k, r) for k, r in enumerate([5, 9, 9, 9, -3, 70_000, 70_001, -200_000])]
     frame = spark.createDataFrame(rows, "doc_id long, rank long")

@@ -45,3 +45,30 @@ def test_planted(spark):
 
 def test_run(spark):
     assert P.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_stages_on_awkward_tables(spark):
+    """Nulls in any column, empty and long texts, repeated rows and ids, clashing extra columns, empty tables."""
+    from pyspark.sql import functions as F
+
+    from tests.llm.test_operators import DOC
+
+    random = np.random.default_rng(4)
+    text = lambda n: " ".join(f"w{k}" for k in random.integers(0, 5000, n))
+    a, c = text(60), text(60)
+    item = next(r.text for r in spark.read.parquet(f"{WHERE}/benchmark.parquet").collect())
+    rows = [(1, a), (1, a), (1, c), (2, a + " x"), (None, a), (None, None), (None, item), (3, None), (4, ""), (4, ""), (5, " \n"), (6, text(20_000)), (7, c + " y"), (8, item), (9, "short one")]
+    frame = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], DOC)
+    for name in ("text_hash", "c0", "th", "rep", "item_id", "part", "y"):
+        frame = frame.withColumn(name, F.lit("z"))
+    docs = {name: stage(spark, frame, WHERE) for name, stage in P.STAGES[:-1]}
+    assert all(d.columns == frame.columns for d in docs.values())
+    # Order by what a row says, for nulls.
+    got = {name: sorted(((r.doc_id, r.text) for r in d.collect()), key=str) for name, d in docs.items()}
+    assert set(got["quality"]) <= set(rows)
+    assert got["near_duplicates"] == sorted(rows[1:3] + rows[4:12] + rows[13:], key=str)
+    assert got["benchmark_leaks"] == sorted([x for x in rows if x[1] != item], key=str)
+    assert [k for k, _ in got["repeated_passages"]] and len(got["repeated_passages"]) == len(rows)
+    assert P.STAGES[-1][1](spark, frame, WHERE).where("doc_id is null").count() >= 3
+    for _, stage in P.STAGES:
+        assert stage(spark, frame.limit(0), WHERE).count() == 0
