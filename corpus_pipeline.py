@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import decontaminate, importance, minhash, packing, suffixes
-from gleaner.llm.common import Scratch, small, table
+from gleaner.llm.common import Scratch, rows_matching, small, table
 from gleaner.llm.queries import vocabulary
 
 #: Some stages decide by statistics of the whole corpus and by components; SQL can't express them.
@@ -18,17 +18,13 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what importance resampling keeps; rows with a null id stay out, since no decision names them."""
-    kept = importance.resample(docs, table(spark, sf_dir, "labels")).select("doc_id").distinct()
-    return docs.join(small(kept), "doc_id", "left_semi")
+    """Keeps the rows that importance resampling keeps, told apart by id and text; a null id is an id like others."""
+    return rows_matching(docs, importance.resample(docs, table(spark, sf_dir, "labels")), "left_semi")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, that with the smallest id; of equal ids one row."""
-    kept = Scratch(spark, "kept").save(minhash.near_duplicates(docs).where("kept").select("doc_id"), "ids")
-    found = kept.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
-    rows = docs.join(small(kept.distinct()), "doc_id", "left_semi")
-    return rows if found.n == found.ids else rows.dropDuplicates(["doc_id"])
+    """Keeps one row of each group, that with the smallest id; rows with a null id, which link with nothing, stay."""
+    return minhash.without_near_duplicates(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +34,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item."""
-    found = Scratch(spark, "leaks").save(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "ids")
-    return docs.join(small(found), "doc_id", "left_anti")
+    """Drops rows whose text holds a benchmark item, whatever their id: a text goes by its hash here."""
+    name = F.xxhash64(docs["text"].cast("string"))
+    texts = docs.select(name.alias("doc_id"), docs["text"].cast("string").alias("text"))
+    found = Scratch(spark, "leaks").save(decontaminate.leaks(texts, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "names")
+    return docs.join(small(found), name == found["doc_id"], "left_anti")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 token ids."""
-    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0)
+    """Sequences of 1024 token ids; rows with a null id or text are packed like others."""
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, limits=packing.DOCUMENT_LIMITS, prompt_share=packing.DOCUMENT_PROMPT)
 
 
 STAGES = [
