@@ -16,15 +16,17 @@ STOP_WORDS = (
 CJK = r"\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}"
 PUNCTUATION = r"!-/:-@\[-`{-~\p{P}"
 TOKEN = rf"[{CJK}]|[{PUNCTUATION}]|[^\s\p{{Z}}{CJK}{PUNCTUATION}]+"
-CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{AD}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{FFFD}]"
+CONTROL = r"[\p{Cf}\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F\x{FFFD}]"
 
 
 def _accents() -> tuple[str, str]:
-    """Lower-case Latin letters that decompose into one base letter and marks, and those base letters."""
+    """All characters of the basic plane that decompose into one base character and marks, and those base characters."""
     rows = []
-    for code in range(0xC0, 0x250):
+    for code in range(0xC0, 0xFFFE):
+        if 0xAC00 <= code < 0xE000:  # Hangul syllables, which decompose into letters, and surrogates
+            continue
         parts = [c for c in unicodedata.normalize("NFD", chr(code)) if unicodedata.category(c) != "Mn"]
-        if chr(code).islower() and len(parts) == 1 and parts[0] != chr(code):
+        if len(parts) == 1 and parts[0] != chr(code) and not chr(code).isupper():
             rows.append((chr(code), parts[0]))
     return "".join(a for a, _ in rows), "".join(b for _, b in rows)
 
@@ -35,7 +37,7 @@ ACCENTED, PLAIN = _accents()
 def normalised(text: Column) -> Column:
     """Without control characters, in lower case, without accents; null is empty."""
     text = F.regexp_replace(F.coalesce(text, F.lit("")), CONTROL, "")
-    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"[\x{300}-\x{36F}]", "")
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{Mn}", "")
 
 
 def tokens(text: Column) -> Column:
@@ -90,7 +92,12 @@ def sentences(text: Column) -> Column:
     """
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), r'([.?!]) (?=[A-Z0-9"(])', "$1\x01")
     rejoined = F.regexp_replace(marked, r"((?:^|\s)[A-Z][^\s]{0,2}\.)\x01", "$1 ")
-    return F.split(rejoined, "\x01", 64)
+    return F.transform(F.split(rejoined, "\x01", 64), lambda s: F.translate(s, "\x01", " "))
+
+
+def url_decoded(text: Column) -> Column:
+    """Percent codes and plus signs decoded; a percent sign that begins no code stays."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
 
 
 def packed_sentences(text: Column, most: int = 600) -> Column:

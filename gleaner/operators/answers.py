@@ -39,8 +39,12 @@ def damped(value: Column, answer: Column, sentence: Column) -> Column:
 
 
 def clipped(answer: Column) -> Column:
-    """At most 500 characters, without trailing spaces, full stops, commas and semicolons."""
-    return F.regexp_replace(F.substring(answer, 1, 500), "[ .,;]+$", "")
+    """At most 500 bytes (a character that would be cut goes), without trailing spaces, full stops, commas and semicolons."""
+    raw = F.encode(answer, "utf-8")
+    # From the 500th byte back to one that begins a character: at most 3 steps.
+    starts = lambda k: ~F.hex(F.substring(raw, k, 1)).rlike("^[89AB]")
+    end = F.when(F.octet_length(answer) <= 500, 500).when(starts(501), 500).when(starts(500), 499).when(starts(499), 498).otherwise(497)
+    return F.regexp_replace(F.decode(F.substring(raw, F.lit(1), end), "utf-8"), "[ .,;]+$", "")
 
 
 def bare_title(title: Column) -> Column:

@@ -25,18 +25,18 @@ def sanitised(title: Column) -> Column:
     return F.translate(title, "\t\n", "  ")
 
 
-def shuffle_key(article: Column) -> Column:
-    """An arithmetic hash that orders articles as a seeded shuffle would."""
-    return F.pmod(article * F.lit(2654435761), F.lit(1 << 32))
+def shuffle_key(article: Column, seed: int = 20260906) -> Column:
+    """32 bits that order articles as a shuffle with that seed would."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), article.cast("string"))), 1, 8), 16, 10).cast("long")
 
 
-def shuffled(passages: DataFrame) -> DataFrame:
+def shuffled(passages: DataFrame, seed: int = 20260906) -> DataFrame:
     """(row, ...): passages renumbered from 0 so that articles come in hash order and stay whole.
 
     A global numbering without one global sort: articles get their offset from a running sum inside
     256 hash ranges and over the ranges (one row each), passages from their article.
     """
-    sizes = passages.groupBy("article_id").agg(F.count("*").alias("n")).withColumn("h", shuffle_key(F.col("article_id")))
+    sizes = passages.groupBy("article_id").agg(F.count("*").alias("n")).withColumn("h", shuffle_key(F.col("article_id"), seed))
     sizes = sizes.withColumn("range", F.shiftright("h", 24))
     ranges = sizes.groupBy("range").agg(F.sum("n").alias("m"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import DEFAULT, RetrievalConfig
@@ -15,6 +17,44 @@ def term_frequencies(passages: DataFrame, bag: str = "text") -> DataFrame:
     return found.groupBy("passage_id", "term").agg(F.count("*").alias("tf"))
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows; else as it is, so that the join shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+@dataclass
+class Index:
+    """A lexical index: tf (passage_id, term, tf, doclen), lengths (passage_id, doclen), dfs (term, df), stats (n, avgdl)."""
+
+    tf: DataFrame
+    lengths: DataFrame
+    dfs: DataFrame
+    stats: DataFrame
+
+    @staticmethod
+    def of(tf: DataFrame) -> Index:
+        """An index of term frequencies (passage_id, term, tf), counted whenever it is read."""
+        lengths = document_lengths(tf)
+        return Index(tf.join(lengths, "passage_id"), lengths, document_frequencies(tf), lengths.agg(F.count("*").alias("n"), F.avg("doclen").alias("avgdl")))
+
+    @staticmethod
+    def open(spark: SparkSession, folder: str) -> Index:
+        return Index(*(spark.read.parquet(f"{folder}/{name}") for name in ("tf", "lengths", "dfs", "stats")))
+
+    @staticmethod
+    def build(passages: DataFrame, folder: str, bag: str = "text") -> Index:
+        """Tokenises every passage once and writes the relations; passages without tokens have no rows."""
+        spark = passages.sparkSession
+        found = passages.select("passage_id", T.tokens(F.col(bag)).alias("t"))
+        found = found.select("passage_id", F.size("t").cast("long").alias("doclen"), F.explode("t").alias("term"))
+        found.groupBy("passage_id", "term", "doclen").agg(F.count("*").alias("tf")).write.parquet(f"{folder}/tf")
+        tf = spark.read.parquet(f"{folder}/tf")
+        tf.groupBy("passage_id").agg(F.max("doclen").alias("doclen")).write.parquet(f"{folder}/lengths")
+        document_frequencies(tf).write.parquet(f"{folder}/dfs")
+        spark.read.parquet(f"{folder}/lengths").agg(F.count("*").alias("n"), F.avg("doclen").alias("avgdl")).write.parquet(f"{folder}/stats")
+        return Index.open(spark, folder)
+
+
 def document_lengths(tf: DataFrame) -> DataFrame:
     return tf.groupBy("passage_id").agg(F.sum("tf").alias("doclen"))
 
@@ -37,20 +77,37 @@ def df_cap(n: Column, config: RetrievalConfig = DEFAULT, floor: int | None = Non
     return F.greatest(F.lit(config.df_cap_floor if floor is None else floor), F.floor(n * config.df_cap_share).cast("int"))
 
 
-def postings(tf: DataFrame) -> DataFrame:
-    """(term, df, first_offset, docs array<struct<passage_id, tf>>): the compressed-row form, terms in order.
+def postings(tf: DataFrame, span: int = 1 << 32) -> DataFrame:
+    """(term, block, n, first_offset, docs array<struct<passage_id, tf>>): the compressed-row form, terms in order.
 
-    The running offset is one global order over the vocabulary; it is summed in ranges of first letters
-    (one row each) and then inside each of them.
+    A block holds a term's passages among `span` ids, so that a common term is many rows of bounded length. The
+    running offset is one global order over terms and blocks; it is summed in ranges of first letters (one
+    row each) and then inside each of them.
     """
-    lists = tf.groupBy("term").agg(F.count("*").alias("df"), F.sort_array(F.collect_list(F.struct("passage_id", "tf"))).alias("docs"))
+    block = F.floor(F.col("passage_id") / span).alias("block")
+    lists = tf.groupBy("term", block).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("passage_id", "tf"))).alias("docs"))
     lists = lists.withColumn("head", F.substring("term", 1, 1))
-    heads = lists.groupBy("head").agg(F.sum("df").alias("n"))
+    heads = lists.groupBy("head").agg(F.sum("n").alias("m"))
     before = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.select("head", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("head").orderBy("term").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.coalesce(F.sum("df").over(inside), F.lit(0))
-    return lists.join(F.broadcast(heads), "head").select("term", "df", (F.col("base") + own).alias("first_offset"), "docs")
+    heads = heads.select("head", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("head").orderBy("term", "block").rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum("n").over(inside), F.lit(0))
+    return lists.join(F.broadcast(heads), "head").select("term", "block", "n", (F.col("base") + own).alias("first_offset"), "docs")
+
+
+def vocabulary(dfs: DataFrame) -> DataFrame:
+    """(term, id): terms numbered from 0 by falling frequency, ties by term.
+
+    The order is cut by frequency, and the terms of a frequency, of which the rare ones have very many, by their
+    first two bytes; offsets of these ranges are summed (few rows, as frequencies are spread thinly) and terms
+    numbered inside them.
+    """
+    rows = dfs.withColumn("head", F.substring(F.encode("term", "utf-8"), 1, 2))
+    ranges = rows.groupBy("df", "head").agg(F.count("*").alias("m"))
+    before = Window.orderBy(F.desc("df"), "head").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("df", "head", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("df", "head").orderBy("term")) - 1
+    return rows.withColumn("own", own).join(small(ranges), ["df", "head"]).select("term", (F.col("base") + F.col("own")).alias("id"))
 
 
 def posting_deltas(tf: DataFrame) -> DataFrame:
@@ -80,11 +137,13 @@ def with_fuzzy(terms: DataFrame, vocabulary: DataFrame, config: RetrievalConfig
     return exact.unionByName(near)
 
 
-def bm25(weighted: DataFrame, tf: DataFrame, config: RetrievalConfig = DEFAULT) -> DataFrame:
-    """(question_id, passage_id, lexical): BM25 of every passage that holds a weighted term (question_id, term, weight)."""
-    lengths = document_lengths(tf)
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("doclen").alias("avgdl"))
-    terms = weighted.join(document_frequencies(tf), "term")
-    hits = tf.join(terms, "term").join(lengths, "passage_id").crossJoin(F.broadcast(stats))
+def bm25(weighted: DataFrame, index: Index, config: RetrievalConfig = DEFAULT) -> DataFrame:
+    """(question_id, passage_id, lexical): BM25 of every passage that holds a weighted term (question_id, term, weight).
+
+    The terms' frequencies are looked up first; if the terms are few they are broadcast to the index, which is
+    then read once and not shuffled.
+    """
+    terms = index.dfs.join(small(weighted), "term")
+    hits = index.tf.join(small(terms), "term").crossJoin(F.broadcast(index.stats))
     part = bm25_part(F.col("weight"), idf(F.col("n"), F.col("df")), F.col("tf"), F.col("doclen"), F.col("avgdl"), config)
     return hits.select("question_id", "passage_id", part.alias("part")).groupBy("question_id", "passage_id").agg(F.sum("part").alias("lexical"))

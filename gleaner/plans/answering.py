@@ -76,7 +76,7 @@ def confidence_damped(spark, sf_dir):
     return _candidates(spark, sf_dir).select("question_id", F.col("rank").cast("long").alias("rank"), F.round(value, 4).alias("confidence"))
 
 
-@query("answer_clip", f"WITH {PASSAGES} SELECT passage_id, regexp_replace(text[1:500], '[ .,;]+$', '') AS answer FROM passages")
+@query("answer_clip", f"WITH {PASSAGES} SELECT passage_id, regexp_replace(text[1:(CASE WHEN strlen(text) <= 500 THEN 500 ELSE len(list_filter(list_transform(range(1, 501), lambda i: strlen(text[1:i])), lambda b: b <= 500)) END)], '[ .,;]+$', '') AS answer FROM passages")
 def answer_clip(spark, sf_dir):
     from .binding import passages
 

@@ -2,20 +2,51 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
+from gleaner.operators import lexical as L
 from gleaner.ship import ship
 
 #: passage_id = article_id * STRIDE + line.
 STRIDE = 1_000_000
-#: Questions that the heavier query examples take: a stated query set of whole benchmark texts.
-QUESTIONS = 12
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores, if they come in fewer partitions than there are cores (a small table in one row group)."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name == "documents" else rows
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new folder where all executors can write: under spark.checkpoint.dir, or a local one where Spark is local and that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="gleaner-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+_indexes: dict[tuple[str, str, str], L.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str, of: str = "passages") -> L.Index:
+    """The lexical index of all passages, or of all documents, of a folder of tables; built once in an application."""
+    key = (spark.sparkContext.applicationId, sf_dir, of)
+    if key not in _indexes:
+        rows = passages(spark, sf_dir) if of == "passages" else table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+        _indexes[key] = L.Index.build(rows, folder(spark, f"index-{of}"))
+    return _indexes[key]
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:

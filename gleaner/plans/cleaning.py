@@ -82,16 +82,17 @@ def media_removed(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(C.without_media(F.col("html"))).cast("long").alias("n"))
 
 
-@query("sentences", """SELECT doc_id, least(len(s), 64) AS n, length(s[1]) AS first_length FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.?!]) ([A-Z0-9"(])', '\\1' || chr(1) || '\\2', 'g'),
-'((?:^|\\s)[A-Z]\\S{0,2}\\.)\x01', '\\1 ', 'g'), chr(1)) AS s FROM (SELECT doc_id, replace(text[1:2000], chr(10), '  ') AS text FROM documents))""")
+@query("sentences", """SELECT doc_id, least(len(s), 64) AS n, length(s[1]) AS first_length, md5(array_to_string(CASE WHEN len(s) > 64 THEN s[1:63] || [array_to_string(s[64:], ' ')] ELSE s END, '|')) AS digest
+FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '([.?!]) ([A-Z0-9"(])', '\\1' || chr(1) || '\\2', 'g'),
+'((?:^|\\s)[A-Z]\\S{0,2}\\.)\x01', '\\1 ', 'g'), chr(1)) AS s FROM (SELECT doc_id, replace(text, chr(10), '  ') AS text FROM documents))""")
 def sentences(spark, sf_dir):
-    """Sentence boundaries of the first 2,000 characters (the reader's window); a text keeps at most 64 sentences."""
-    text = F.replace(F.substring("text", 1, 2000), F.lit("\n"), F.lit("  "))
+    """Sentences of whole texts; a text keeps at most 64, of which the last is the remainder."""
+    text = F.replace("text", F.lit("\n"), F.lit("  "))
     found = table(spark, sf_dir, "documents").select("doc_id", T.sentences(text).alias("s"))
-    return found.select("doc_id", F.size("s").cast("long").alias("n"), F.length(F.col("s")[0]).cast("long").alias("first_length"))
+    return found.select("doc_id", F.size("s").cast("long").alias("n"), F.length(F.col("s")[0]).cast("long").alias("first_length"), F.md5(F.array_join("s", "|")).alias("digest"))
 
 
-@query("article_shuffle_parts", f"""WITH {PASSAGES}, o AS (SELECT passage_id, article_id, row_number() OVER (ORDER BY (article_id * 2654435761) % 4294967296, article_id, passage_id) - 1 AS row FROM passages)
+@query("article_shuffle_parts", f"""WITH {PASSAGES}, o AS (SELECT passage_id, article_id, row_number() OVER (ORDER BY substr(md5('20260906:' || article_id), 1, 8), article_id, passage_id) - 1 AS row FROM passages)
 SELECT passage_id, row, (row // ((SELECT count(*) + 3 FROM passages) // 4))::INT AS part FROM o""")
 def article_shuffle_parts(spark, sf_dir):
     rows = passages(spark, sf_dir)
@@ -123,7 +124,7 @@ def resume_remaining(spark, sf_dir):
     return C.remaining(rows, rows.where(F.col("article_id") % 3 == 0), "passage_id").select("passage_id")
 
 
-@query("complete_prefix", f"""WITH {PASSAGES}, o AS (SELECT passage_id, article_id, row_number() OVER (ORDER BY (article_id * 2654435761) % 4294967296, article_id, passage_id) - 1 AS row FROM passages),
+@query("complete_prefix", f"""WITH {PASSAGES}, o AS (SELECT passage_id, article_id, row_number() OVER (ORDER BY substr(md5('20260906:' || article_id), 1, 8), article_id, passage_id) - 1 AS row FROM passages),
 p AS (SELECT *, (row // ((SELECT count(*) + 3 FROM passages) // 4))::INT AS part FROM o), s AS (SELECT *, row - min(row) OVER (PARTITION BY part) AS in_part FROM p),
 w AS (SELECT article_id, min(row) AS first FROM s GROUP BY ALL HAVING bool_and(in_part < 100 + 50 * part)), n AS (SELECT article_id, row_number() OVER (ORDER BY first) - 1 AS new_article FROM w)
 SELECT passage_id, article_id, row, new_article FROM s JOIN n USING (article_id)""")

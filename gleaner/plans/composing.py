@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import composing as K
 from gleaner.functions import routing as G
+from gleaner.operators import lexical as L
+from gleaner.operators import retrieve as R
 
 from .answering import _CAND, _CONF, _candidates
-from .binding import PASSAGES, passages, strings, table
+from .binding import PASSAGES, index, passages, questions, sql_question_terms, strings, table
+from .dense import DOCS
+from .lexical import BM25, TOP
 from .registry import query
 from gleaner.operators import answers as A
 
@@ -40,9 +44,8 @@ def same_shape_cap(spark, sf_dir):
 
 @query("fact_select")
 def fact_select(spark, sf_dir):
-    """Rows only: an ordered fold; its rules are compared one by one and tested on small cases. Lines of the articles of the benchmark's ids."""
-    rows = passages(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("article_id")), "article_id", "left_semi")
-    lines = rows.groupBy("article_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("passage_id", "text"))), 1, 8).alias("l"))
+    """Rows only: an ordered fold over all lines of every article; its rules are compared one by one and tested on small cases."""
+    lines = passages(spark, sf_dir).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("passage_id", "text"))).alias("l"))
     return lines.select("article_id", K.selected_facts(F.transform("l", lambda x: x.text)).alias("facts"))
 
 
@@ -162,16 +165,19 @@ def conf_percentiles(spark, sf_dir):
     return rows.agg(F.min("confidence").alias("lowest"), at(10).alias("p10"), at(2).alias("median"))
 
 
-@query("retrieval_at_8", f"""WITH hit AS (SELECT item_id, count(*) AS held, min(doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL)
-SELECT count(*) AS items, count(held) AS planted, round(avg(CASE WHEN held IS NOT NULL THEN 1.0 ELSE 0.0 END), 4) AS share FROM benchmark LEFT JOIN hit USING (item_id)""")
+@query("retrieval_at_8", f"""WITH {DOCS}, w AS (SELECT *, 1.0 AS weight FROM ({sql_question_terms()})), {BM25}, top AS ({TOP}),
+hit AS (SELECT item_id, bool_or(contains(d.text, b.text)) AS held, bool_or(rank = 1 AND contains(d.text, b.text)) AS first FROM benchmark b LEFT JOIN top ON question_id = item_id LEFT JOIN documents d ON d.doc_id = passage_id GROUP BY ALL)
+SELECT count(*) AS items, count(*) FILTER (WHERE held) AS found, count(*) FILTER (WHERE first) AS found_first, round(count(*) FILTER (WHERE held) / count(*), 4) AS share FROM hit""")
 def retrieval_at_8(spark, sf_dir):
-    """The planted ground truth: benchmark texts that documents hold whole, found through their first six tokens."""
-    head = lambda c: F.regexp_extract(c, r"^(\S+\s+\S+\s+\S+)", 1)
-    b = table(spark, sf_dir, "benchmark").select("item_id", "text", head(F.col("text")).alias("head"))
-    words = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?=(?:^|[\s])(\S+\s+\S+\s+\S+))"), F.lit(1)))).alias("head"))
-    found = words.join(F.broadcast(b), "head").where(F.col("doc").contains(F.col("text"))).groupBy("item_id").agg(F.count_distinct("doc_id").alias("held"))
-    rows = b.join(found, "item_id", "left")
-    return rows.agg(F.count("*").alias("items"), F.count("held").alias("planted"), F.round(F.avg(F.when(F.col("held").isNotNull(), 1.0).otherwise(0.0)), 4).alias("share"))
+    """Retrieval at 8: for how many benchmark texts the eight best documents by BM25 hold one that has the whole text."""
+    items = questions(spark, sf_dir)
+    scored = L.bm25(L.question_terms(items).withColumn("weight", F.lit(1.0)), index(spark, sf_dir, "documents"))
+    top = R.top_k(scored.withColumn("score", F.round("lexical", 9)), 8).select("question_id", "passage_id", "rank")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("doc"))
+    rows = docs.join(L.small(top), "passage_id").join(L.small(items), "question_id").where(F.col("doc").contains(F.col("text")))
+    found = rows.groupBy("question_id").agg(F.min("rank").alias("at"))
+    out = items.select("question_id").join(found, "question_id", "left")
+    return out.agg(F.count("*").alias("items"), F.count("at").alias("found"), F.count_if(F.col("at") == 1).alias("found_first"), F.round(F.count("at") / F.count("*"), 4).alias("share"))
 
 
 @query("confidence_bucket", f"WITH {_CAND}, c AS (SELECT question_id, rank, answer, {_CONF} AS f FROM cand) SELECT question_id, rank, CASE WHEN f > 0.6 THEN 'confident' WHEN f > 0.35 THEN 'probably' ELSE 'unsure' END AS bucket, f < 0.22 OR answer = '' AS not_found FROM c")

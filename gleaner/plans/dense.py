@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -10,7 +10,7 @@ from gleaner.functions import vectors as V
 from gleaner.operators import lexical as L
 from gleaner.operators import retrieve as R
 
-from .binding import sql_question_terms, sql_related, sql_tokens, strings, table
+from .binding import index, questions, sql_question_terms, sql_related, sql_tokens, strings, table
 from .lexical import BM25
 from .registry import query
 
@@ -109,10 +109,17 @@ def mean_pool(spark, sf_dir):
 
 
 # A shared key for dense and lexical scores: vector i stands for document i's first line; others have no vector.
-_DOCS = f"""docs AS (SELECT doc_id AS passage_id, text FROM documents),
+DOCS = f"""docs AS (SELECT doc_id AS passage_id, text FROM documents),
 tf AS (SELECT passage_id, term, count(*) AS tf FROM (SELECT passage_id, unnest({sql_tokens("text")}) AS term FROM docs) GROUP BY ALL),
 lengths AS (SELECT passage_id, sum(tf) AS doclen FROM tf GROUP BY ALL), stats AS (SELECT count(*) AS n, avg(doclen) AS avgdl FROM lengths), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL)"""
-_HYBRID = f"""WITH {_Q}, {_DOCS}, w AS (SELECT *, 1.0 AS weight FROM ({sql_question_terms()})), {BM25.replace("scored AS", "lex AS")},
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 of documents for every benchmark text."""
+    return L.bm25(L.question_terms(questions(spark, sf_dir)).withColumn("weight", F.lit(1.0)), index(spark, sf_dir, "documents"))
+
+
+_HYBRID = f"""WITH {_Q}, {DOCS}, w AS (SELECT *, 1.0 AS weight FROM ({sql_question_terms()})), {BM25.replace("scored AS", "lex AS")},
 dense AS (SELECT q.question_id, c.vec_id AS passage_id, c.label AS article_id, list_inner_product(qv, codes) * scale AS dense FROM c, q WHERE q.question_id IN (SELECT item_id FROM benchmark)),
 f AS (SELECT d.*, coalesce(lexical, 0) AS lexical FROM dense d LEFT JOIN lex USING (question_id, passage_id)),
 fused AS (SELECT *, max(lexical) OVER (PARTITION BY question_id) AS top FROM f),
@@ -120,9 +127,8 @@ scored AS (SELECT question_id, passage_id, article_id, WEIGHT * dense + (1 - WEI
 
 
 def _fused(spark: SparkSession, sf_dir: str, weight: float) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
-    lexical = L.bm25(L.question_terms(items).withColumn("weight", F.lit(1.0)), L.term_frequencies(docs))
+    items = questions(spark, sf_dir)
+    lexical = _scored(spark, sf_dir)
     dense = _pairs(spark, sf_dir).join(items.select("question_id"), "question_id", "left_semi")
     dense = dense.select("question_id", "passage_id", F.col("label").alias("article_id"), (V.dot(F.col("qv"), F.col("codes")) * F.col("scale")).alias("dense"))
     return R.fused(dense, lexical, weight)
@@ -141,18 +147,24 @@ def hybrid_wide_capped(spark, sf_dir):
     return found.select("question_id", "passage_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
-# Coverage, phrase and pre-ranking take each benchmark text with the document of its id and the next one.
-_PAIR = "pairs AS (SELECT item_id AS question_id, doc_id AS passage_id, b.text AS question, d.text AS text FROM benchmark b JOIN documents d ON d.doc_id IN (b.item_id, b.item_id + 1))"
+# Coverage, phrase and pre-ranking take each benchmark text with the eight documents that BM25 retrieves for it.
+_HITS = f"""w AS (SELECT *, 1.0 AS weight FROM ({sql_question_terms()})), {BM25.replace("scored AS", "lex AS")},
+hits AS (SELECT question_id, passage_id, lexical, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(lexical, 9) DESC, passage_id) AS rank FROM lex) WHERE rank <= 8)"""
+_PAIR = f"""{_HITS}, pairs AS (SELECT question_id, passage_id, lexical / max(lexical) OVER (PARTITION BY question_id) AS base, b.text AS question, d.text AS text
+FROM hits JOIN benchmark b ON b.item_id = question_id JOIN documents d ON d.doc_id = passage_id)"""
 
 
-def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.explode(F.array(F.col("item_id"), F.col("item_id") + 1)).alias("passage_id"))
-    return b.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text"), "passage_id")
+def _text_pairs(spark: SparkSession, sf_dir: str, most: int = 8) -> DataFrame:
+    """(question_id, passage_id, base, question, text) of the best documents; base is their share of the best BM25 score."""
+    hits = R.top_k(_scored(spark, sf_dir).withColumn("score", F.round("lexical", 9)), most)
+    hits = hits.withColumn("base", F.col("lexical") / F.max("lexical").over(Window.partitionBy("question_id"))).select("question_id", "passage_id", "base")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")
+    return docs.join(L.small(hits), "passage_id").join(L.small(questions(spark, sf_dir).withColumnRenamed("text", "question")), "question_id")
 
 
 def _coverage_sql(skip: bool) -> str:
     rule = "WHERE df IS NOT NULL OR strlen(term) > 3" if skip else ""
-    return f"""{_DOCS}, {_PAIR}, qt AS (SELECT DISTINCT question_id, passage_id, term FROM (SELECT question_id, passage_id, unnest({sql_tokens("question")}[1:128]) AS term FROM pairs)
+    return f"""{DOCS}, {_PAIR}, qt AS (SELECT DISTINCT question_id, passage_id, term FROM (SELECT question_id, passage_id, unnest({sql_tokens("question")}[1:128]) AS term FROM pairs)
   WHERE NOT list_contains({strings(T.STOP_WORDS)}, term)),
 ht AS (SELECT DISTINCT question_id, passage_id, held FROM (SELECT question_id, passage_id, unnest({sql_tokens("text")}[1:512]) AS held FROM pairs)),
 m AS (SELECT DISTINCT question_id, passage_id, term FROM qt JOIN ht USING (question_id, passage_id) WHERE {sql_related("term", "held")}),
@@ -164,10 +176,9 @@ cov AS (SELECT question_id, passage_id, sum(CASE WHEN m.term IS NOT NULL THEN id
 _COVERAGE = "SELECT question_id, passage_id, round(coalesce(coverage, 1.0), 4) AS coverage FROM pairs LEFT JOIN cov USING (question_id, passage_id)"
 
 
-def _covered(spark: SparkSession, sf_dir: str, skip: bool, own: bool = True) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")
-    tf = L.term_frequencies(docs)
-    return R.coverage(_text_pairs(spark, sf_dir), L.document_frequencies(tf), tf.agg(F.count_distinct("passage_id").alias("n")), skip)
+def _covered(spark: SparkSession, sf_dir: str, skip: bool) -> DataFrame:
+    found = index(spark, sf_dir, "documents")
+    return R.coverage(_text_pairs(spark, sf_dir), found.dfs, found.stats.select("n"), skip)
 
 
 @query("coverage", f"WITH {_coverage_sql(False)} {_COVERAGE}")
@@ -190,17 +201,17 @@ mt AS (SELECT question_id, passage_id, n, i, j - i AS d, i - row_number() OVER (
 ph AS (SELECT question_id, passage_id, max(c / n) AS phrase FROM (SELECT question_id, passage_id, n, d, g, count(*) AS c FROM mt GROUP BY ALL) GROUP BY ALL)"""
 
 
-@query("phrase_match", f"WITH {_PAIR}, {_PHRASE} SELECT question_id, passage_id, round(coalesce(phrase, 0), 4) AS phrase FROM pairs LEFT JOIN ph USING (question_id, passage_id)")
+@query("phrase_match", f"WITH {DOCS}, {_PAIR}, {_PHRASE} SELECT question_id, passage_id, round(coalesce(phrase, 0), 4) AS phrase FROM pairs LEFT JOIN ph USING (question_id, passage_id)")
 def phrase_match(spark, sf_dir):
     return R.phrase_match(_text_pairs(spark, sf_dir)).select("question_id", "passage_id", F.round("phrase", 4).alias("phrase"))
 
 
-@query("prerank_top8", f"""WITH {_coverage_sql(False)}, {_PHRASE}, scored AS (SELECT question_id, passage_id, 1.0 / (1 + passage_id) + 0.15 * coalesce(coverage, 1.0) + 0.3 * coalesce(phrase, 0) AS score
+@query("prerank_top8", f"""WITH {_coverage_sql(False)}, {_PHRASE}, scored AS (SELECT question_id, passage_id, base + 0.15 * coalesce(coverage, 1.0) + 0.3 * coalesce(phrase, 0) AS score
 FROM pairs LEFT JOIN cov USING (question_id, passage_id) LEFT JOIN ph USING (question_id, passage_id)) {_RANK}""")
 def prerank_top8(spark, sf_dir):
-    """The first scores are a stand-in, 1 / (1 + passage_id)."""
+    """The first score is the document's share of the question's best BM25 score."""
     rows = R.phrase_match(_covered(spark, sf_dir, False))
-    return _ranked(rows.withColumn("score", R.prerank_score(1.0 / (1 + F.col("passage_id")), F.col("coverage"), F.col("phrase"))))
+    return _ranked(rows.withColumn("score", R.prerank_score(F.col("base"), F.col("coverage"), F.col("phrase"))))
 
 
 @query("interleave_two", f"""WITH {_Q}, ab AS (SELECT question_id, vec_id AS passage_id, round(list_inner_product(qv, codes) * scale, 9) AS a, round(list_inner_product(qc, codes) * scale * qs, 9) AS b FROM c, q),
@@ -214,9 +225,10 @@ def interleave_two(spark, sf_dir):
     return R.interleaved(first, second).withColumn("rank", F.col("rank").cast("long"))
 
 
-_SENT = """sent AS (SELECT question_id, passage_id, question, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS place FROM (SELECT item_id AS question_id, doc_id AS passage_id, b.text AS question,
-  string_split(regexp_replace(regexp_replace(d.text[1:2000], '([.?!]) ([A-Z0-9"(])', '\\1' || chr(1) || '\\2', 'g'), '((?:^|\\s)[A-Z]\\S{0,2}\\.)\x01', '\\1 ', 'g'), chr(1)) AS s
-  FROM benchmark b JOIN documents d ON d.doc_id = b.item_id) WHERE len(s) < 64),
+_SENT = f"""{_HITS}, sent AS (SELECT question_id, passage_id, question, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS place FROM (
+  SELECT question_id, passage_id, question, CASE WHEN len(s) > 64 THEN s[1:63] || [array_to_string(s[64:], ' ')] ELSE s END AS s FROM (SELECT question_id, passage_id, b.text AS question,
+  string_split(regexp_replace(regexp_replace(d.text, '([.?!]) ([A-Z0-9"(])', '\\1' || chr(1) || '\\2', 'g'), '((?:^|\\s)[A-Z]\\S{{0,2}}\\.)\x01', '\\1 ', 'g'), chr(1)) AS s
+  FROM hits JOIN benchmark b ON b.item_id = question_id JOIN documents d ON d.doc_id = passage_id WHERE rank = 1))),
 pairs AS (SELECT question_id, passage_id * 64 + place AS passage_id, question, text FROM sent)"""
 
 
@@ -224,10 +236,7 @@ pairs AS (SELECT question_id, passage_id * 64 + place AS passage_id, question, t
 l AS (SELECT *, lag(text) OVER w AS b, lead(text) OVER w AS a FROM c WINDOW w AS (PARTITION BY question_id, passage_id ORDER BY place))
 SELECT question_id, passage_id, place::INT AS place, md5(text) AS best, md5(concat_ws(' ', b, text)) AS with_previous, md5(concat_ws(' ', text, a)) AS with_next FROM l QUALIFY row_number() OVER (PARTITION BY question_id, passage_id ORDER BY coverage DESC, place) = 1""")
 def best_sentence(spark, sf_dir):
-    """The reader's windows over the first 2,000 characters of each benchmark id's document, where those have at most 64 sentences."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")
-    tf = L.term_frequencies(docs)
-    pairs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.col("item_id").alias("passage_id"))
-    pairs = pairs.join(docs.withColumn("text", F.substring("text", 1, 2000)), "passage_id").where(F.size(T.sentences(F.col("text"))) < 64)
-    found = R.best_sentences(pairs, L.document_frequencies(tf), tf.agg(F.count_distinct("passage_id").alias("n")))
+    """The reader's windows over the whole text of each benchmark text's best document."""
+    found = index(spark, sf_dir, "documents")
+    found = R.best_sentences(_text_pairs(spark, sf_dir, 1), found.dfs, found.stats.select("n"))
     return found.select("question_id", "passage_id", "place", F.md5("best").alias("best"), F.md5("with_previous").alias("with_previous"), F.md5("with_next").alias("with_next"))

@@ -9,12 +9,12 @@ from gleaner.functions import text as T
 from gleaner.operators import lexical as L
 from gleaner.operators import retrieve as R
 
-from .binding import PASSAGES, TF, articles, passages, questions, sql_question_terms, sql_related, sql_tokens, strings, table
+from .binding import PASSAGES, TF, articles, index, passages, questions, sql_question_terms, sql_related, sql_tokens, strings, table
 from .registry import query
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.term_frequencies(passages(spark, sf_dir))
+    return index(spark, sf_dir).tf.select("passage_id", "term", "tf")
 
 
 @query("tok_basic", f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {sql_tokens('text')} AS t FROM documents)")
@@ -45,14 +45,10 @@ def stop_tokens(spark, sf_dir):
     return found.where(T.is_stop(F.col("term"))).groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("vocab_ids", f"SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS id FROM (SELECT term, count(DISTINCT item_id) AS df FROM (SELECT item_id, unnest({sql_tokens('text')}) AS term FROM benchmark) GROUP BY ALL)")
+@query("vocab_ids", f"WITH {TF} SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS id FROM dfs")
 def vocab_ids(spark, sf_dir):
-    """A vocabulary by falling frequency; the benchmark's has a few thousand terms at every scale."""
-    from pyspark.sql import Window
-
-    found = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
-    counts = found.groupBy("term").agg(F.count("*").alias("df"))
-    return counts.select("term", (F.row_number().over(Window.orderBy(F.desc("df"), "term")) - 1).cast("long").alias("id"))
+    """The vocabulary of all passages by falling frequency, ties by term."""
+    return L.vocabulary(index(spark, sf_dir).dfs)
 
 
 @query("tf", f"WITH {TF} SELECT passage_id, term, tf FROM tf")
@@ -70,30 +66,29 @@ def tf_titled(spark, sf_dir):
 
 @query("df", f"WITH {TF} SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 4) AS idf FROM dfs, stats")
 def df(spark, sf_dir):
-    found = _tf(spark, sf_dir)
-    n = found.agg(F.count_distinct("passage_id").alias("n"))
-    return L.document_frequencies(found).crossJoin(F.broadcast(n)).select("term", "df", F.round(L.idf(F.col("n"), F.col("df")), 4).alias("idf"))
+    found = index(spark, sf_dir)
+    return found.dfs.crossJoin(F.broadcast(found.stats)).select("term", "df", F.round(L.idf(F.col("n"), F.col("df")), 4).alias("idf"))
 
 
 @query("doclen_avgdl", f"WITH {TF} SELECT n, sum(doclen)::BIGINT AS tokens, max(doclen)::BIGINT AS longest, round(avgdl * 1000)::BIGINT AS avgdl_x1000 FROM lengths, stats GROUP BY n, avgdl")
 def doclen_avgdl(spark, sf_dir):
-    return L.document_lengths(_tf(spark, sf_dir)).agg(
+    return index(spark, sf_dir).lengths.agg(
         F.count("*").alias("n"), F.sum("doclen").alias("tokens"), F.max("doclen").alias("longest"), F.round(F.avg("doclen") * 1000).cast("long").alias("avgdl_x1000")
     )
 
 
 @query("df_cap", f"WITH {TF} SELECT term, df, df <= greatest(50, floor(0.05 * n)) AS has_postings FROM dfs, stats")
 def df_cap(spark, sf_dir):
-    found = _tf(spark, sf_dir)
-    n = found.agg(F.count_distinct("passage_id").alias("n"))
-    return L.document_frequencies(found).crossJoin(F.broadcast(n)).select("term", "df", (F.col("df") <= L.df_cap(F.col("n"), floor=50)).alias("has_postings"))
+    found = index(spark, sf_dir)
+    return found.dfs.crossJoin(F.broadcast(found.stats)).select("term", "df", (F.col("df") <= L.df_cap(F.col("n"), floor=50)).alias("has_postings"))
 
 
 @query("postings_csr", f"""WITH {TF} SELECT t.term, df, (sum(df) OVER (ORDER BY t.term ROWS UNBOUNDED PRECEDING) - df)::BIGINT AS first_offset, first_passage, last_passage
 FROM dfs t JOIN (SELECT term, min(passage_id) AS first_passage, max(passage_id) AS last_passage FROM tf GROUP BY ALL) USING (term)""")
 def postings_csr(spark, sf_dir):
     p = L.postings(_tf(spark, sf_dir))
-    return p.select("term", "df", "first_offset", F.col("docs")[0]["passage_id"].alias("first_passage"), F.element_at("docs", -1)["passage_id"].alias("last_passage"))
+    ends = F.min(F.col("docs")[0]["passage_id"]).alias("first_passage"), F.max(F.element_at("docs", -1)["passage_id"]).alias("last_passage")
+    return p.groupBy("term").agg(F.sum("n").alias("df"), F.min("first_offset").alias("first_offset"), *ends)
 
 
 @query("posting_deltas", f"""WITH {TF}, g AS (SELECT term, passage_id, passage_id - coalesce(lag(passage_id) OVER (PARTITION BY term ORDER BY passage_id), 0) AS delta FROM tf)
@@ -111,7 +106,7 @@ def related_terms(spark, sf_dir):
 
 
 _PART = "weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * doclen / avgdl))"
-_TOP = """SELECT question_id, passage_id, rank, round(lexical, 4) AS lexical FROM (
+TOP = """SELECT question_id, passage_id, rank, round(lexical, 4) AS lexical FROM (
   SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(lexical, 9) DESC, passage_id) AS rank FROM scored) WHERE rank <= 8"""
 BM25 = f"scored AS (SELECT question_id, passage_id, sum({_PART}) AS lexical FROM w JOIN dfs USING (term) JOIN tf USING (term) JOIN lengths USING (passage_id), stats GROUP BY ALL)"
 
@@ -121,15 +116,15 @@ def _top8(scored: DataFrame) -> DataFrame:
     return R.top_k(rounded, 8).select("question_id", "passage_id", F.col("rank").cast("long").alias("rank"), F.round("lexical", 4).alias("lexical"))
 
 
-@query("bm25_top8", f"WITH {TF}, w AS (SELECT *, 1.0 AS weight FROM ({sql_question_terms()})), {BM25} {_TOP}")
+@query("bm25_top8", f"WITH {TF}, w AS (SELECT *, 1.0 AS weight FROM ({sql_question_terms()})), {BM25} {TOP}")
 def bm25_top8(spark, sf_dir):
     terms = L.question_terms(questions(spark, sf_dir)).withColumn("weight", F.lit(1.0))
-    return _top8(L.bm25(terms, _tf(spark, sf_dir)))
+    return _top8(L.bm25(terms, index(spark, sf_dir)))
 
 
 @query("bm25_fuzzy", f"""WITH {TF}, q AS ({sql_question_terms()}), w AS (SELECT question_id, term, 1.0 AS weight FROM q
-UNION ALL SELECT q.question_id, d.term, 0.5 FROM q JOIN dfs d ON substr(q.term, 1, 4) = substr(d.term, 1, 4) AND strlen(q.term) >= 4 AND q.term <> d.term AND {sql_related("q.term", "d.term")}), {BM25} {_TOP}""")
+UNION ALL SELECT q.question_id, d.term, 0.5 FROM q JOIN dfs d ON substr(q.term, 1, 4) = substr(d.term, 1, 4) AND strlen(q.term) >= 4 AND q.term <> d.term AND {sql_related("q.term", "d.term")}), {BM25} {TOP}""")
 def bm25_fuzzy(spark, sf_dir):
-    found = _tf(spark, sf_dir)
-    terms = L.with_fuzzy(L.question_terms(questions(spark, sf_dir)), L.document_frequencies(found))
+    found = index(spark, sf_dir)
+    terms = L.with_fuzzy(L.question_terms(questions(spark, sf_dir)), found.dfs)
     return _top8(L.bm25(terms, found))

@@ -81,26 +81,41 @@ def entity_vocab(spark, sf_dir):
     return _entities(spark, sf_dir)
 
 
-_HAS = f"""mw AS (SELECT id, unnest(regexp_extract_all(text, '[A-Za-z0-9'']+')) AS w FROM m),
+_HAS = f"""tt AS (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z0-9]+')) AS title FROM documents),
+fn AS (SELECT DISTINCT id FROM (SELECT id, unnest(regexp_extract_all(text, '[^.?!A-Za-z0-9]([A-Z][A-Za-z0-9''-]+)', 1)) AS w FROM m)
+  WHERE length(w) >= 3 AND lower(regexp_replace(w, '''s$', '')) NOT IN (SELECT word FROM words) AND lower(regexp_replace(w, '''s$', '')) IN (SELECT title FROM tt)),
+mw AS (SELECT id, unnest(regexp_extract_all(text, '[A-Za-z0-9'']+')) AS w FROM m),
 ent AS (SELECT DISTINCT id FROM mw JOIN words ON word = regexp_replace(lower(w), '''s$', '') WHERE length(w) >= 3),
-dom AS (SELECT DISTINCT id FROM mw WHERE list_contains({strings(G.DOMAIN_WORDS)}, lower(w))), life AS (SELECT DISTINCT mw.id FROM mw JOIN m ON m.id = mw.id WHERE list_contains({strings(G.LIFE_WORDS)}, lower(w)) AND NOT {_any("m.n", G.WORLD_CUES)}),
+dom AS (SELECT DISTINCT id FROM mw WHERE list_contains({strings(G.DOMAIN_WORDS)}, lower(w))), life AS (SELECT DISTINCT mw.id FROM mw JOIN m ON m.id = mw.id WHERE list_contains({strings(G.LIFE_WORDS)}, lower(w)) AND NOT {_any("m.n", G.WORLD_CUES)} AND mw.id NOT IN (SELECT id FROM fn)),
 he AS (SELECT m.*, m.id IN (SELECT id FROM ent UNION SELECT id FROM dom UNION SELECT id FROM life) AS entity FROM m)"""
 
 
-def _with_entity(messages, entities, key="id"):
-    """Adds entity: a word of the vocabulary, a domain word, or a life word without a cue to the outside world."""
+def _titles(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.lower(F.regexp_extract("text", "^[A-Za-z0-9]+", 0)).alias("word")).distinct()
+
+
+def _foreign(messages, entities, titles, *key):
+    """(key, word): capitalised words inside a sentence that are no entities but titles of the wide collection."""
+    words = messages.select(*key, F.explode(F.regexp_extract_all("text", F.lit(r"[^.?!A-Za-z0-9]([A-Z][A-Za-z0-9'-]+)"), F.lit(1))).alias("w"))
+    words = words.where(F.length("w") >= 3).select(*key, G.entity_form(F.col("w")).alias("word"))
+    return words.join(entities, "word", "left_anti").join(titles, "word", "left_semi")
+
+
+def _with_entity(messages, entities, titles, key="id"):
+    """Adds entity: a word of the vocabulary, a domain word, or a life word without a cue to the outside world or a foreign noun."""
     words = messages.select(key, F.explode(G.ascii_words(F.col("text"))).alias("w"))
     named = words.where(F.length("w") >= 3).select(key, G.entity_form(F.col("w")).alias("word")).join(entities, "word", "left_semi").select(key).distinct()
-    rows = messages.join(named.withColumn("named", F.lit(True)), key, "left")
+    foreign = _foreign(messages, entities, titles, key).select(key).distinct()
+    rows = messages.join(named.withColumn("named", F.lit(True)), key, "left").join(foreign.withColumn("foreign", F.lit(True)), key, "left")
     own = G.ascii_words(F.col("text"))
     domain = F.exists(own, lambda w: F.lower(w).isin(G.DOMAIN_WORDS))
-    life = F.exists(own, lambda w: F.lower(w).isin(G.LIFE_WORDS)) & ~G.world_cue(F.col("text"))
-    return rows.withColumn("entity", F.coalesce("named", F.lit(False)) | domain | life).drop("named")
+    life = F.exists(own, lambda w: F.lower(w).isin(G.LIFE_WORDS)) & ~G.world_cue(F.col("text")) & F.col("foreign").isNull()
+    return rows.withColumn("entity", F.coalesce("named", F.lit(False)) | domain | life).drop("named", "foreign")
 
 
 @query("has_entity", f"WITH {_NORM}, {_ENT}, {_HAS} SELECT id, entity FROM he")
 def has_entity(spark, sf_dir):
-    return _with_entity(_messages(spark, sf_dir), _entities(spark, sf_dir)).select("id", "entity")
+    return _with_entity(_messages(spark, sf_dir), _entities(spark, sf_dir), _titles(spark, sf_dir)).select("id", "entity")
 
 
 @query("title_member", """WITH t AS (SELECT DISTINCT lower(array_to_string(regexp_split_to_array(text, '\\s+')[1:1], ' ')) AS title FROM documents),
@@ -118,10 +133,7 @@ f1 AS (SELECT conv_id, turn, lower(regexp_replace(w, '''s$', '')) AS w FROM f0 W
 @query("foreign_noun", f"WITH {_ENT}, {_FOREIGN} SELECT conv_id, turn, count(DISTINCT w) AS n FROM f1 WHERE w NOT IN (SELECT word FROM words) AND w IN (SELECT title FROM tt) GROUP BY ALL")
 def foreign_noun(spark, sf_dir):
     """Capitalised words inside a sentence that are no entities but titles."""
-    words = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(F.regexp_extract_all("text", F.lit(r"[^.?!A-Za-z0-9]([A-Z][A-Za-z0-9'-]+)"), F.lit(1))).alias("w"))
-    words = words.where(F.length("w") >= 3).select("conv_id", "turn", G.entity_form(F.col("w")).alias("word"))
-    titles = table(spark, sf_dir, "documents").select(F.lower(F.regexp_extract("text", "^[A-Za-z0-9]+", 0)).alias("word")).distinct()
-    found = words.join(_entities(spark, sf_dir), "word", "left_anti").join(titles, "word", "left_semi")
+    found = _foreign(table(spark, sf_dir, "conversations"), _entities(spark, sf_dir), _titles(spark, sf_dir), "conv_id", "turn")
     return found.groupBy("conv_id", "turn").agg(F.count_distinct("word").alias("n"))
 
 
@@ -146,27 +158,37 @@ def context_expand(spark, sf_dir):
     return rows.select("conv_id", "turn", F.md5(full).alias("digest"))
 
 
-@query("reaction", f"""WITH {_PH.split(', msg AS')[0]}, c AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1, id, text FROM ph), k AS (SELECT *, {_pad("''")} AS na FROM c),
-t AS (SELECT *, {_TIER} AS tier FROM k), l AS (SELECT *, lag(tier, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM t)
-SELECT conv_id, turn, coalesce(before = 1, false) AND strlen(text) < 40 AND (strlen(text) < 12 OR len(list_filter({strings(G.REACTIONS)}, lambda p: starts_with(lower(text), p))) > 0) AS chat FROM l""")
-def reaction(spark, sf_dir):
-    fixed = spark.createDataFrame([(-1, k, t) for k, t in enumerate(PHRASES)], "conv_id long, turn long, text string")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").unionByName(fixed)
+_TALK = f"""c AS (SELECT 'c' || conv_id || '.' || turn AS id, conv_id, turn FROM conversations UNION ALL SELECT 'p' || id, -1, id FROM ph),
+k AS (SELECT c.conv_id, c.turn, he.*, {_TIER} AS tier FROM c JOIN he USING (id)),
+l AS (SELECT *, lag(tier, 2) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM k),
+rx AS (SELECT *, coalesce(before = 1, false) AND NOT entity AND strlen(text) < 40 AND (strlen(text) < 12 OR len(list_filter({strings(G.REACTIONS)}, lambda p: starts_with(lower(text), p))) > 0) AS chat FROM l)"""
+
+
+def _talk(spark, sf_dir):
+    """The turns of conversations and the fixed phrases as one more, with entity and chat (a reaction to an opinion turn two back)."""
+    fixed = spark.createDataFrame([(f"p{k}", -1, k) for k in range(len(PHRASES))], "id string, conv_id long, turn long")
+    turns = table(spark, sf_dir, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("id"), "conv_id", "turn")
+    rows = _with_entity(_messages(spark, sf_dir), _entities(spark, sf_dir), _titles(spark, sf_dir)).join(turns.unionByName(fixed), "id")
     before = F.lag(G.smalltalk_tier(F.col("text")), 2).over(Window.partitionBy("conv_id").orderBy("turn"))
-    return rows.withColumn("before", before).select("conv_id", "turn", (F.coalesce(F.col("before") == 1, F.lit(False)) & G.is_reaction(F.col("text"))).alias("chat"))
+    return rows.withColumn("chat", F.coalesce(before == 1, F.lit(False)) & ~F.col("entity") & G.is_reaction(F.col("text")))
+
+
+@query("reaction", f"WITH {_NORM}, {_ENT}, {_HAS}, {_TALK} SELECT conv_id, turn, chat FROM rx")
+def reaction(spark, sf_dir):
+    return _talk(spark, sf_dir).select("conv_id", "turn", "chat")
 
 
-@query("route", f"""WITH {_NORM}, {_ENT}, {_HAS}, r AS (SELECT id, {_TIER} AS tier, entity, {_MODE} AS mode, {_ARITH} AS arithmetic, ((strlen(text) * 7) % 23) - 8.0 AS margin, (strlen(text) % 10) / 10.0 AS confidence FROM he)
-SELECT id, CASE WHEN tier = 1 OR (tier = 2 AND NOT entity) OR mode = 'live' THEN 'chat' WHEN arithmetic THEN 'outside' WHEN NOT entity AND NOT (margin > 8 AND confidence >= 0.6) AND confidence >= 0.45 AND margin >= 0 THEN 'wide'
+@query("route", f"""WITH {_NORM}, {_ENT}, {_HAS}, {_TALK}, r AS (SELECT id, tier, chat, entity, {_MODE} AS mode, {_ARITH} AS arithmetic, ((strlen(text) * 7) % 23) - 8.0 AS margin, (strlen(text) % 10) / 10.0 AS confidence FROM rx)
+SELECT id, CASE WHEN tier = 1 OR (tier = 2 AND NOT entity) OR mode = 'live' OR chat THEN 'chat' WHEN arithmetic THEN 'outside' WHEN NOT entity AND NOT (margin > 8 AND confidence >= 0.6) AND confidence >= 0.45 AND margin >= 0 THEN 'wide'
   WHEN entity OR (confidence >= 0.3 AND margin >= 0) THEN 'facts' ELSE 'outside' END AS route FROM r""")
 def route(spark, sf_dir):
     """Stand-in reader: margin and confidence follow from the message's length."""
-    rows = _with_entity(_messages(spark, sf_dir), _entities(spark, sf_dir))
+    rows = _talk(spark, sf_dir)
     n = F.octet_length("text")
     rows = rows.withColumn("margin", F.pmod(n * 7, F.lit(23)) - 8.0).withColumn("confidence", F.pmod(n, F.lit(10)) / 10.0)
     text, margin, conf = F.col("text"), F.col("margin"), F.col("confidence")
     sure = G.home_sure(margin, conf, F.lit(""), F.lit(""), text, "-")
-    return rows.select("id", G.route(G.smalltalk_tier(text), F.col("entity"), G.mode(text), F.lit(False), G.is_arithmetic(text), sure, (conf >= 0.45) & (margin >= 0), conf, margin).alias("route"))
+    return rows.select("id", G.route(G.smalltalk_tier(text), F.col("entity"), G.mode(text), F.col("chat"), G.is_arithmetic(text), sure, (conf >= 0.45) & (margin >= 0), conf, margin).alias("route"))
 
 
 @query("provenance", f"""WITH {_PH}, r AS (SELECT id, text AS reply, CASE strlen(text) % 3 WHEN 0 THEN 'wide' WHEN 1 THEN 'outside' ELSE 'facts' END AS route FROM msg)

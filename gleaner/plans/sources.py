@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from gleaner.functions import composing as K
@@ -16,14 +13,12 @@ from gleaner.operators import lexical as L
 from gleaner.sources import formats as S
 from gleaner.streaming.serve import stats as corpus_stats
 
-from .binding import PASSAGES, articles, passages, sql_tokens, table
+from .binding import PASSAGES, articles, folder, index, passages, sql_tokens, table
 from .registry import query
 
 
 def _folder(spark) -> str:
-    """A new folder where all executors can write: under spark.checkpoint.dir, or a local one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", "") or "file://" + tempfile.mkdtemp(prefix="gleaner-")
-    return f"{root.rstrip('/')}/sources-{uuid.uuid4().hex}"
+    return folder(spark, "sources")
 
 
 @query("index_roundtrip", f"WITH {PASSAGES} SELECT article_id, count(*) AS n, sum(length(text))::BIGINT AS chars FROM passages GROUP BY ALL")
@@ -72,10 +67,11 @@ def json_field(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("url_decode", "SELECT page_id, url FROM pages")
+@query("url_decode", "SELECT page_id, url, url || ' 100% %zz %4' AS broken FROM pages")
 def url_decode(spark, sf_dir):
-    """Encoded and decoded again, the plus sign as a space."""
-    return table(spark, sf_dir, "pages").select("page_id", F.url_decode(F.url_encode("url")).alias("url"))
+    """Encoded and decoded again, the plus sign as a space; a percent sign that begins no code stays."""
+    broken = F.concat(F.url_encode("url"), F.lit("+100%+%zz+%4"))
+    return table(spark, sf_dir, "pages").select("page_id", T.url_decoded(F.url_encode("url")).alias("url"), T.url_decoded(broken).alias("broken"))
 
 
 @query("stats", f"WITH {PASSAGES} SELECT count(*) AS passages, count(DISTINCT article_id) AS articles, true AS ok, false AS chat FROM passages")
@@ -128,14 +124,13 @@ def wordpiece(spark, sf_dir):
 
 @query("answers_end_to_end")
 def answers_end_to_end(spark, sf_dir):
-    """Rows only: retrieve, read with the stand-in, score, vote and gate, one answer per benchmark text."""
+    """Rows only: retrieve, read with the stand-in, score and vote, one answer per benchmark text."""
     from gleaner.operators import answers as A
     from gleaner.operators import retrieve as R
 
     p = passages(spark, sf_dir)
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
-    tf = L.term_frequencies(p)
-    hits = R.top_k(L.bm25(L.question_terms(q).withColumn("weight", F.lit(1.0)), tf).withColumn("score", F.round("lexical", 9)), 8)
+    hits = R.top_k(L.bm25(L.question_terms(q).withColumn("weight", F.lit(1.0)), index(spark, sf_dir)).withColumn("score", F.round("lexical", 9)), 8)
     rows = hits.join(p.withColumnRenamed("text", "passage"), "passage_id").join(q, "question_id").join(articles(spark, sf_dir), "article_id")
     rows = rows.select("question_id", "rank", "title", M.OverlapReader().read(F.col("text"), F.col("passage")).alias("r"))
     rows = rows.select("question_id", "rank", "title", A.clipped(F.col("r.answer")).alias("answer"), (F.col("r.span_score") - F.col("r.null_score")).alias("margin"))
