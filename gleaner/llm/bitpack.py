@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch
+from .common import Scratch, trimmed
 
 MAGIC = b"GLTOKENS"
 VERSION = 2
@@ -177,7 +177,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, files: int,
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.repartitionByRange(files, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
-    written = Scratch(docs.sparkSession, "bitpack").save(rows.mapInArrow(_write(path, end_id, folder), "file int, n_ids long"), "written")
+    written = Scratch(docs.sparkSession, "bitpack").save(rows.mapInArrow(trimmed(_write(path, end_id, folder)), "file int, n_ids long"), "written")
     out, before = [], 0
     for row in sorted(written.collect()):
         out.append((row.file, before))
@@ -190,4 +190,4 @@ def read_ids(spark, folder: str, files: list[tuple[int, int]]) -> DataFrame:
     listed = spark.createDataFrame([(k, *x) for k, x in enumerate(files)], "k long, file int, before long")
     n = max(1, len(files))
     listed = spark.range(0, n, 1, n).join(F.broadcast(listed), F.col("id") == F.col("k")).select("file", "before")  # a row a partition
-    return listed.mapInArrow(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(trimmed(_read(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Strings that steer a model or a template; none of them has a backslash for its second character.
 CONTROLS = ("<|turn|>", "<|text|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 _FIRST = "".join(re.escape(c) for c in sorted({c[0] for c in CONTROLS} | {"\\"}))
@@ -135,7 +137,7 @@ def messages(events: DataFrame) -> DataFrame:
     placed = standing(events).select(*key, F.lit(0).alias("placed"), "seq", F.lit("place").alias("event"), none.alias("role"), none.alias("text"))
     rows = placed.unionByName(events.select(*key, F.lit(1).alias("placed"), "seq", "event", "role", "text"))
     rows = rows.repartition(*key).sortWithinPartitions(*key, "placed", "seq", "event", "text")
-    return rows.mapInArrow(_fold, MESSAGE)
+    return rows.mapInArrow(trimmed(_fold), MESSAGE)
 
 
 class _Digest:
@@ -185,7 +187,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(rendered: DataFrame) -> DataFrame:
     """Reads rendered messages back: one row per conversation, with digests of its turns and of the text under the loss mask."""
-    return rendered.select("conv_id", "place", "message", "segment", "loss_from", "loss_to").repartition("conv_id").sortWithinPartitions("conv_id", "place", "message").mapInArrow(_digests, DIGEST)
+    return rendered.select("conv_id", "place", "message", "segment", "loss_from", "loss_to").repartition("conv_id").sortWithinPartitions("conv_id", "place", "message").mapInArrow(trimmed(_digests), DIGEST)
 
 
 #: Events of one message of a log that log_of writes, at most.

@@ -38,14 +38,17 @@ _WORD = r"[\x02-\x04\p{L}\p{N}]+"
 
 
 def value_tokens(text: Column) -> Column:
-    """Lower-case tokens; a name carries a mark before it and is one token, like a number with separators."""
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x04]", " ")
-    text = F.regexp_replace(text, r"([0-9])(\p{L})", "$1 $2")
-    text = F.regexp_replace(F.regexp_replace(text, r"(?<=[0-9])\.(?=[0-9])", "\x02"), "(?<=[0-9]),(?=[0-9])", "\x03")
-    text = F.regexp_replace(text, rf"(?<!\p{{L}})({'|'.join(COMMON)})(?!\p{{L}})", "\x04$1")
-    text = F.regexp_replace(text, rf"(?<![\x02-\x04\p{{L}}\p{{N}}]){_NAME}", f"{_MARK}m$0")
-    found = F.regexp_extract_all(text, F.lit(f"{_MARK}m{_NAME}|{_WORD}"), F.lit(0))
-    return F.transform(found, lambda t: F.lower(F.translate(t, "\x04", "")))
+    """Lower-case tokens; each word of a name carries a mark before it, and a run of them is one token, like a number with separators.
+
+    All steps are passes over the whole text; patterns begin with what is rare.
+    """
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), "[\x01-\x03]", " ")
+    text = F.regexp_replace(text, r"([0-9])(?=\p{L})", "$1 ")
+    text = F.regexp_replace(F.regexp_replace(text, r"[.](?=[0-9])(?<=[0-9][.])", "\x02"), "[,](?=[0-9])(?<=[0-9][,])", "\x03")
+    # A name, or the next word of one that has just ended.
+    rare = rf"(?!(?:{'|'.join(COMMON)})(?!\p{{L}}))"
+    text = F.regexp_replace(text, rf"(?:(?=\p{{Lu}})(?<![\x02\x03\p{{L}}\p{{N}}])|(?!^)\G ){rare}(\p{{Lu}}\p{{Ll}}\p{{L}}*)", f"{_MARK}m$1")
+    return F.array_remove(F.split(F.lower(text), r"[^\x01-\x03\p{L}\p{N}]+"), "")
 
 
 def _digit(token: Column) -> Column:
@@ -166,11 +169,11 @@ def _sql_units() -> str:
     return "[" + ", ".join(f"'{u}'" for u in UNITS) + "]"
 
 
-_SQL_CLEAN = "regexp_replace(regexp_replace(coalesce(text, ''), '[\\x01-\\x04]', ' ', 'g'), '([0-9])(\\p{L})', '\\1 \\2', 'g')"
+_SQL_CLEAN = "regexp_replace(regexp_replace(coalesce(text, ''), '[\\x01-\\x03]', ' ', 'g'), '([0-9])(\\p{L})', '\\1 \\2', 'g')"
 for _from, _to in 2 * (("[.]", 2),) + 2 * ((",", 3),):  # twice, since matches don't overlap
     _SQL_CLEAN = f"regexp_replace({_SQL_CLEAN}, '([0-9]){_from}([0-9])', '\\1' || chr({_to}) || '\\2', 'g')"
 for _ in range(2):
-    _SQL_CLEAN = f"regexp_replace({_SQL_CLEAN}, '(^|[^\\p{{L}}])({'|'.join(COMMON)})([^\\p{{L}}]|$)', '\\1' || chr(4) || '\\2\\3', 'g')"
+    _SQL_CLEAN = f"regexp_replace({_SQL_CLEAN}, '(^|[^\\p{{L}}\\p{{N}}])({'|'.join(COMMON)})([^\\p{{L}}]|$)', '\\1' || chr(4) || '\\2\\3', 'g')"
 
 
 def _sql_side(name: str, key: str, source: str) -> str:

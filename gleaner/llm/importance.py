@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import Scratch
+from .common import Scratch, trimmed
 
 BUCKETS = 1 << 16
 EFFECTIVE = 200.0
@@ -134,12 +134,12 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = known.where("doc_id is not null and y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     known = scratch.save(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS), "known")
     rows = docs.join(F.broadcast(known), "doc_id", "left").select("doc_id", "text", F.coalesce("y", F.lit(-1)).alias("y"), F.xxhash64("text").alias("text_hash"))
-    counted = rows.mapInArrow(_count, "bucket long, raw long, target long")
+    counted = rows.mapInArrow(trimmed(_count), "bucket long, raw long, target long")
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for row in counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect():
         raw[row.bucket], target[row.bucket] = row.raw, row.target
     ratio = spark.sparkContext.broadcast(ratios(raw, target))
-    weights = rows.mapInArrow(_weigh(ratio), "doc_id long, text_hash long, y int, n_ngrams long, log_weight double, rank long")
+    weights = rows.mapInArrow(trimmed(_weigh(ratio)), "doc_id long, text_hash long, y int, n_ngrams long, log_weight double, rank long")
     weights = scratch.save(weights, "weights")
     seen = weights.where("y >= 0").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("log_weight").alias("log_weight")).collect()  # at most SAMPLE_ROWS
     cut = best_cut(*(np.array([r.log_weight for r in seen if r.y == y]) for y in (1, 0)))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_counted
+from .common import Scratch, join_counted, trimmed
 from .components import components
 
 #: A label with more vectors than this gets pivots, about one for so many vectors.
@@ -322,7 +322,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     cells = _Cells(pivots, r)
     plain = classes.select("label", "dim", "v", "id", "h", "copies")
     for last in (False, True) if pivots else (True,):
-        profile = plain.mapInArrow(_profile(cells), "label long, dim int, cell int, own long, guests long, far double")
+        profile = plain.mapInArrow(trimmed(_profile(cells)), "label long, dim int, cell int, own long, guests long, far double")
         profile = profile.groupBy("label", "dim", "cell").agg(F.sum("own").alias("own"), F.sum("guests").alias("guests"), F.max("far").alias("far"))
         found = profile.collect()  # a row for each cell
         for part in {(x.label, x.dim) for x in found}:
@@ -337,8 +337,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
                 cells.radius[part] = far
     block = ["label", "dim", "cell", "hc", "sc"]
     kinds = "label long, dim int, cell int, hc int, sc int, side int, id long, h long, copies long"
-    blocks = plain.mapInArrow(_sent(cells), f"{kinds}, v {kind}").repartition(*block).sortWithinPartitions(*block, "side")
-    met = scratch.save(blocks.mapInArrow(_compare(threshold, PIECE), MET), "met")
+    blocks = plain.mapInArrow(trimmed(_sent(cells)), f"{kinds}, v {kind}").repartition(*block).sortWithinPartitions(*block, "side")
+    met = scratch.save(blocks.mapInArrow(trimmed(_compare(threshold, PIECE)), MET), "met")
     counts = met.where("low is null").groupBy("id", "h").agg(F.sum("n").alias("n"))
     links = met.where("low is not null").select(F.struct("id", "h").alias("a"), F.struct(F.col("low").alias("id"), F.col("low_h").alias("h")).alias("b"))
     parts = components(links, scratch).select("node.*", F.col("component.id").alias("root"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import Scratch, join_counted, rows_matching, small
+from .common import Scratch, join_counted, rows_matching, small, trimmed
 from .components import components
 
 WIDTH = 5
@@ -231,13 +231,13 @@ def _compared(docs: DataFrame, blocks: DataFrame, first: bool, repeated: bool, s
     """Links of blocks: rows (block, side, id, h, cid, ch), each member as often as blocks need it."""
     blocks = scratch.save(blocks.select(*BLOCK, "side", "id", "h", "cid", "ch"), f"{name}-blocks")
     wanted = small(blocks.select(F.col("id").alias("doc_id")).distinct())
-    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(_full_sets, SETS)
+    sets = docs.join(wanted, "doc_id", "left_semi").mapInArrow(trimmed(_full_sets), SETS)
     if repeated:
         sets = sets.dropDuplicates(["doc_id", "set1"])
     sets = sets.withColumnsRenamed({"doc_id": "id", "set1": "h"})
     rows = sets.join(small(blocks, 200_000), ["id", "h"]).select(*BLOCK, "side", "id", "h", "cid", "ch", "bands", "signature", "full_set")
     rows = rows.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
-    links = scratch.save(rows.mapInArrow(_links(first), LINKS), name)
+    links = scratch.save(rows.mapInArrow(trimmed(_links(first)), LINKS), name)
     scratch.drop(f"{name}-blocks")
     return links
 
@@ -302,7 +302,7 @@ def _second_round(docs: DataFrame, rows: DataFrame, repeated: bool, scratch: Scr
 def _grouped(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame, bool]:
     """(features of every row, classes with the root they belong to and whether they are it, whether rows repeat)."""
     features = scratch.save(
-        docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_features, FEATURES), "features"
+        docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(trimmed(_features), FEATURES), "features"
     )
     classes = features.where("n_shingles > 0").groupBy("doc_id", *SAME).agg(F.count("*").alias("n"))
     classes = classes.groupBy(*SAME).agg(F.min("doc_id").alias("rep"), F.sum("n").alias("copies"), F.max("n").alias("most"))

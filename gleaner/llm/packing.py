@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
+from .common import trimmed
 
 #: Pieces that wait for a sequence in each partition.
 WINDOW = 4096
@@ -177,4 +178,4 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, limits: Limits = Limits(),
     upper bits; a recomputed partition reads the same rows in the same order and gives the same result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(_pack(path, end_id, limits, prompt_share, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
+    return docs.mapInArrow(trimmed(_pack(path, end_id, limits, prompt_share, with_ids)), SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import Scratch
+from .common import Scratch, trimmed
 
 LENGTH = 200
 Q = 64
@@ -366,17 +366,17 @@ def _repeats(texts: DataFrame, scratch: Scratch) -> str:
     span = lambda a, b: (F.shiftleft(a, 32) + b).alias("value")
     known = p.bitwiseAND(1) == 1
     more = F.when(F.col("many"), p.bitwiseOR(F.lit(1))).otherwise(p).alias("value")
-    runs = scratch.save(texts.mapInArrow(_run_rows, ROWS), "rows")
+    runs = scratch.save(texts.mapInArrow(trimmed(_run_rows), ROWS), "rows")
     found = _resolved(runs, scratch, "first")
     anchor = F.shiftright(p, 17)
     spans = found.where("many").select("doc", span(anchor - bits(9), anchor - bits(1)))
     folder = _delivered(found.where("goes_on").select("doc", more), scratch, "open-runs")
-    steps = scratch.save(texts.mapInArrow(_step_rows(folder), ROWS), "rows")
+    steps = scratch.save(texts.mapInArrow(trimmed(_step_rows(folder)), ROWS), "rows")
     found = _resolved(steps, scratch, "second")
     first = F.shiftright(p, 5)
     spans = spans.unionByName(found.where(F.col("many") & ~known).select("doc", span(first, first + F.shiftright(p, 1).bitwiseAND(15))))
     folder = _delivered(found.where("goes_on").select("doc", more), scratch, "open-steps")
-    last = scratch.save(texts.mapInArrow(_suffix_rows(folder), ROWS), "rows")
+    last = scratch.save(texts.mapInArrow(trimmed(_suffix_rows(folder)), ROWS), "rows")
     found = _resolved(last, scratch, "third")
     spans = spans.unionByName(found.where(F.col("many") & ~known).select("doc", span(F.shiftright(p, 1), F.shiftright(p, 1))))
     folder = _delivered(spans, scratch, "spans")
@@ -405,7 +405,7 @@ def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "suffixes")
     saved = _saved(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), scratch)
     folder = _repeats(_searched(saved, 0, 1), scratch)
-    return saved.mapInArrow(_digests(folder), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return saved.mapInArrow(trimmed(_digests(folder)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -418,4 +418,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     saved = _saved(docs, scratch)
     at = docs.columns.index(text_col)
     folder = _repeats(_searched(saved, docs.columns.index(id_col), at), scratch)
-    return saved.mapInArrow(_cleaned(folder, at), saved.drop("doc").schema).toDF(*docs.columns)
+    return saved.mapInArrow(trimmed(_cleaned(folder, at)), saved.drop("doc").schema).toDF(*docs.columns)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
+from .common import trimmed
 
 BUCKETS = 1 << 18
 GRAMS = (4, 5, 6, 7)
@@ -229,7 +230,7 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = 0.3, id_col: str = "d
     """
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    scored = rows.mapInArrow(_score(model), "doc_id long, text string, score double")
+    scored = rows.mapInArrow(trimmed(_score(model)), "doc_id long, text string, score double")
     return scored.select(
         "doc_id",
         F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
