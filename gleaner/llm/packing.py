@@ -28,7 +28,7 @@ from . import tokens
 from .common import trimmed
 
 #: Pieces that wait for a sequence in each partition.
-WINDOW = 4096
+WINDOW = 1024
 
 
 @dataclass(frozen=True)
