@@ -126,7 +126,7 @@ def place(sizes: list[tuple[int, int]], limits: Limits) -> list[tuple[int, int,
     return out + list(packer.drain())
 
 
-#: For plain documents: a quarter of each is prompt, so that all three limits bind, and little is padded (0.03 % on sf0.1).
+#: For plain documents: a quarter of each is prompt, so that all three limits bind, and little is padded (0.01 % on sf0.1).
 DOCUMENT_LIMITS = Limits(1024, 16, 960)
 DOCUMENT_PROMPT = 0.25
 
