@@ -28,7 +28,7 @@ from . import grams
 #: Distinct pre-tokens kept before the cache starts anew; bounds it at about 100 MB.
 CACHE = 800_000
 #: Characters of text handled at once; a longer text is handled alone.
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 1 << 17
 
 _END = 0x237
 _LETTER, _NUMBER, _SPACE, _OTHER, _FOREIGN = 1, 2, 3, 4, 9
