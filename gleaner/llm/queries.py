@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bitpack, chat, decontaminate, importance, metric, minhash, packing, suffixes, toxicity, urlfilter
+from . import bitpack, chat, decontaminate, importance, metric, minhash, mixing, packing, periodic, rolling, suffixes, toxicity, urlfilter
 from .common import Scratch, table
 
 
@@ -90,6 +92,62 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document; no SQL: tested against its targets and a plain program of the same draws."""
+    return mixing.taken(mixing.mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP12_RANKS = (("median_chars", 1, 2), ("high_chars", 99, 100))
+OP12_WIDTHS = (1800, 86400)
+
+
+def document_events(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, lang, event_s, chars): a time for each document by the rule of the tables, and its length."""
+    moved = F.col("doc_id") + F.crc32(F.col("doc_id").cast("string").cast("binary")) % 1000
+    return docs.select("doc_id", "source", "lang", (60 * F.floor((moved - F.pmod(moved, F.lit(6))) / 6)).alias("event_s"), F.length("text").cast("long").alias("chars"))
+
+
+def op12_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of each document's source over the half hour and the day before it."""
+    out = rolling.features(document_events(table(spark, sf_dir, "documents")), OP12_WIDTHS, OP12_RANKS, "source", "event_s", "chars", "lang")
+    return out.select("doc_id", "window_s", "event_s", "n_events", F.col("total").alias("sum_chars"), F.col("n_labels").alias("n_langs"), "median_chars", "high_chars")
+
+
+_SQL_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + length(doc_id::VARCHAR)), lambda k: ascii(substr(doc_id::VARCHAR, k, 1))::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda a, i: xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END))))"""
+OP12_SQL = f"""
+WITH e AS (SELECT doc_id, source, lang, length(text) AS chars, 60 * cast(floor((doc_id + {_SQL_CRC32} % 1000) / 6) AS BIGINT) AS event_s FROM documents),
+q AS (SELECT DISTINCT source, event_s, w FROM e, (SELECT unnest([1800, 86400]) AS w)),
+f AS (SELECT q.source, q.event_s, q.w, count(e.event_s) AS n_events, cast(coalesce(sum(e.chars), 0) AS BIGINT) AS sum_chars, count(DISTINCT e.lang) AS n_langs,
+    list_sort(list(e.chars) FILTER (WHERE e.chars IS NOT NULL)) AS l
+  FROM q LEFT JOIN e ON q.source IS NOT DISTINCT FROM e.source AND e.event_s >= q.event_s - q.w AND e.event_s < q.event_s GROUP BY ALL)
+SELECT e.doc_id, cast(f.w AS BIGINT) AS window_s, e.event_s, n_events, sum_chars, n_langs,
+  l[(len(l) + 1) // 2] AS median_chars, l[(99 * len(l) + 99) // 100] AS high_chars
+FROM e JOIN f ON e.source IS NOT DISTINCT FROM f.source AND e.event_s IS NOT DISTINCT FROM f.event_s"""
+
+
+def periodic_words(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of a document, of which one in ten is made periodic from some word on, by the rule of the tables."""
+    h = 1 if doc_id is None else zlib.crc32(b"%d" % doc_id)
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + k % p] for k in range(n - a)]
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every document's words, the strongest of them, and digests; no SQL: tested against brute force."""
+    found = periodic.collapse(table(spark, sf_dir, "documents"), periodic_words)
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = F.col("best")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), periodic.strongest().alias("best"), "runs", "collapsed").select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_importance": op1_importance,
@@ -102,6 +160,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_chat_format": op9_chat_format,
         "op10_minhash": op10_minhash,
+        "op11_mixing": op11_mixing,
+        "op12_rolling": op12_rolling,
+        "op13_runs": op13_runs,
     }
 
 
@@ -110,4 +171,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_lists": urlfilter.SQL,
         "op8_decontaminate": decontaminate.SQL,
         "op9_chat_format": OP9_SQL,
+        "op12_rolling": OP12_SQL,
     }
