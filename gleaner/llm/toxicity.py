@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grams
-from .common import trimmed
+from .common import prepared, trimmed
 
 BUCKETS = 1 << 18
 GRAMS = (4, 5, 6, 7)
@@ -180,7 +180,8 @@ def held_out(id_column) -> F.Column:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learns from labelled rows that aren't held out, at most SAMPLE_ROWS of them, in a fixed hash order,
-    as far as their texts have SAMPLE_CHARS characters together. Of several texts of one id the shortest counts.
+    as far as their texts have SAMPLE_CHARS characters together; a text that would pass that bound is left out, those
+    after it are not. Of several texts of one id the shortest counts.
 
     Rows with a null id or label, and labels other than 0 and 1, are left out; of an id's labels the greatest counts.
     """
@@ -192,9 +193,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sizes = texts.join(picked, "id").groupBy("id").agg(one).select(F.xxhash64("id").alias("h"), "id", "one.n", "one.t").collect()
     chosen, size = [], 0
     for row in sorted(sizes):
-        size += row.n
-        if size <= SAMPLE_CHARS:
+        if size + row.n <= SAMPLE_CHARS:  # a text that doesn't fit any more is passed over, the next may
             chosen.append((row.id, row.t))
+            size += row.n
     listed = F.broadcast(docs.sparkSession.createDataFrame(chosen, "id long, t long"))
     wanted = texts.withColumn("t", F.xxhash64("text")).join(listed, ["id", "t"]).groupBy("id").agg(F.max("text").alias("text"))
     got = [tuple(x) for x in wanted.join(picked, "id").select("id", "y", "text").collect()]
@@ -228,6 +229,7 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = 0.3, id_col: str = "d
     play no part. An empty table of documents gives no rows; without usable labels every score is 0.5.
     The model (two numbers per row of the table, 4 MB) is broadcast; its size doesn't depend on the data.
     """
+    prepared(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, id_col, text_col, label_col))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     scored = rows.mapInArrow(trimmed(_score(model)), "doc_id long, text string, score double")
