@@ -1,8 +1,8 @@
 """Vector bin packing of token pieces: the dot-product heuristic under several limits at once.
 
 Every sequence is a bin with three capacities: tokens, segments (pieces) and loss-bearing tokens.
-Whole sequences' worth of a document that keep all limits become sequences of their own. The rest waits in a
-window of WINDOW pieces; a sequence takes, again and again, the piece that fits and whose demand has the
+Whole sequences' worth of a document that keep all limits become sequences of their own, of a piece that bears no loss and
+one that does. The rest waits in a window of WINDOW pieces; a sequence takes, again and again, the piece that fits and whose demand has the
 greatest dot product with the sequence's remaining capacity (both in shares of the limits). If none
 fits, the waiting piece of which most fits is cut: a sequence that has reached its limit of loss-bearing
 tokens is filled with the beginnings of others, which bear none. Each input partition packs its own rows and
@@ -14,6 +14,7 @@ prompt_share of a document's tokens is its prompt, the rest bears loss.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import trimmed
+from .common import prepared, trimmed
 
 #: Pieces that wait for a sequence in each partition.
 WINDOW = 1024
@@ -58,19 +59,25 @@ class Packer:
         return max(start, min(end, start + room, max(start, loss_from) + loss_room))
 
     def add(self, key: int, n_tokens: int, n_loss: int) -> Iterator[tuple[int, int, int, int, int]]:
-        start, loss_from, most = 0, n_tokens - n_loss, self.limits
-        while n_tokens - start >= most.tokens or self._loss(start, n_tokens, loss_from) >= most.loss_tokens:
-            end = self._fitting(start, n_tokens, loss_from, most.tokens, most.loss_tokens)
-            if end - start < most.tokens and (loss_from > start or most.loss_tokens < most.tokens):
+        loss_from, most = n_tokens - n_loss, self.limits
+        p, q = 0, loss_from  # what is left is p to loss_from and q to n_tokens
+        while (left := loss_from - p + n_tokens - q) >= most.tokens:
+            # A sequence of its own takes the item's two kinds of tokens in the shares that they have, so that neither is short at the end.
+            first = min(loss_from - p, most.tokens - (n_tokens - q) * most.tokens // left)
+            rest = most.tokens - first
+            if rest > most.loss_tokens or (first and rest and most.segments < 2):
                 break
-            yield key, start, end - start, self.next, 0
-            self.next += 1
-            start = end
-        while start < n_tokens:
-            end = self._fitting(start, n_tokens, loss_from, most.tokens, most.loss_tokens)
-            self.key.append(key)
-            self.span.append((start, end, loss_from))
-            start = end
+            if first:
+                yield key, p, first, self.next, 0
+            if rest:
+                yield key, q, rest, self.next, first
+            p, q, self.next = p + first, q + rest, self.next + 1
+        for start, stop in [(p, n_tokens)] if q == loss_from else [(p, loss_from), (q, n_tokens)]:
+            while start < stop:
+                end = self._fitting(start, stop, loss_from, most.tokens, most.loss_tokens)
+                self.key.append(key)
+                self.span.append((start, end, loss_from))
+                start = end
         if len(self.key) >= WINDOW:
             yield from self.drain(WINDOW // 2)
 
@@ -126,10 +133,17 @@ def place(sizes: list[tuple[int, int]], limits: Limits) -> list[tuple[int, int,
     return out + list(packer.drain())
 
 
-#: For plain documents: a quarter of each is prompt, so that all three limits bind, and little is padded (0.01 % on sf0.1).
-DOCUMENT_LIMITS = Limits(1024, 16, 960)
+#: For plain documents: at least a quarter of each is prompt, so what bears loss is at most 768 of 1024 tokens on average and the limit of 960 is
+#: kept by mixing, without padding; a piece has at least one token, so that the limit of segments never forces padding either.
+DOCUMENT_LIMITS = Limits(1024, 1024, 960)
 DOCUMENT_PROMPT = 0.25
 
+
+def loss_tokens(n_tokens: int, prompt_share: float) -> int:
+    """Of a document's tokens those that bear loss: all after its prompt, which is rounded up."""
+    return n_tokens - math.ceil(n_tokens * prompt_share)
+
+
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -157,7 +171,7 @@ def _pack(path: str, end_id: int, limits: Limits, prompt_share: float, with_ids:
             for i, encoded in tokens.encoded(batch.column(1), coder):
                 for k, ids in enumerate(encoded):
                     docs[number] = (batch.column(0)[i + k].as_py(), np.concatenate([ids, end]))
-                    found += packer.add(number, len(ids) + 1, len(ids) + 1 - int((len(ids) + 1) * prompt_share))
+                    found += packer.add(number, len(ids) + 1, loss_tokens(len(ids) + 1, prompt_share))
                     number += 1
                 if len(found) >= 4096:
                     yield batch_of(found, docs, base)
@@ -177,5 +191,6 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, limits: Limits = Limits(),
     rows. Other columns are not read, whatever their names. sequence_id holds the partition in its
     upper bits; a recomputed partition reads the same rows in the same order and gives the same result.
     """
+    prepared(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return docs.mapInArrow(trimmed(_pack(path, end_id, limits, prompt_share, with_ids)), SCHEMA + (", ids array<int>" if with_ids else ""))

@@ -35,7 +35,7 @@ def vocabulary(name: str) -> str:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences of 1024 ids, of at most 16 pieces and 960 loss-bearing ids (a document's first quarter bears none);
+    """Sequences of 1024 ids, of at most 1024 pieces and 960 loss-bearing ids (a document's first quarter bears none);
     no SQL: tested against the library's ids and the limits."""
     return packing.pack(
         table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, limits=packing.DOCUMENT_LIMITS, prompt_share=packing.DOCUMENT_PROMPT
