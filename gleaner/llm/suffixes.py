@@ -390,25 +390,23 @@ def _saved(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(numbered, "texts")
 
 
-def _searched(saved: DataFrame, id_at: int, text_at: int) -> DataFrame:
-    text = F.coalesce(F.col(f"c{text_at}").cast("string"), F.lit(""))
-    return saved.select("doc", F.when(F.col(f"c{id_at}").isNotNull(), text).otherwise("").alias("text"))
+def _searched(saved: DataFrame, text_at: int) -> DataFrame:
+    return saved.select("doc", F.coalesce(F.col(f"c{text_at}").cast("string"), F.lit("")).alias("text"))
 
 
 def removal_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, on UTF-8 bytes.
 
     Null counts as the empty text; texts under LENGTH bytes lose nothing. Rows are documents of their own,
-    whatever their ids: equal rows repeat each other. A null id keeps its row, is compared with nothing and
-    loses nothing. An empty table gives no rows. Other columns are not read.
+    whatever their ids, null ones too: equal rows repeat each other. An empty table gives no rows. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     saved = _saved(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), scratch)
-    folder = _repeats(_searched(saved, 0, 1), scratch)
+    folder = _repeats(_searched(saved, 1), scratch)
     return saved.mapInArrow(trimmed(_digests(folder)), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows with their columns, the text without the repeated bytes; a character that is only partly covered stays.
 
     Rows stay even if nothing of their text does. Nulls, short texts and ids as in removal_report; columns may
@@ -417,5 +415,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     scratch = Scratch(docs.sparkSession, "suffixes")
     saved = _saved(docs, scratch)
     at = docs.columns.index(text_col)
-    folder = _repeats(_searched(saved, docs.columns.index(id_col), at), scratch)
+    folder = _repeats(_searched(saved, at), scratch)
     return saved.mapInArrow(trimmed(_cleaned(folder, at)), saved.drop("doc").schema).toDF(*docs.columns)
