@@ -5,8 +5,8 @@ capitalised words, but for COMMON words) become typed placeholders that keep the
 WINDOW template tokens are hash-joined between benchmark and documents. Matches of one item on one
 diagonal (document position minus item position) are aligned token by token. Their windows must cover
 at least LEAST_TOKENS tokens, or all but EDGE of a shorter item, and the windows' slots must be consistent: within
-a type, one item value goes with one document value and the other way round. A verbatim copy maps every
-value to itself; a re-parameterised question maps, say, every 12 to 15. LEAST_TOKENS tokens in a row with
+a type, one item value goes with one document value. A verbatim copy maps every value to itself; a re-parameterised
+question maps, say, every 12 to 15, and may give two slots the same new value. LEAST_TOKENS tokens in a row with
 equal values leak whatever the other slots say; a unit after an altered number is altered with it.
 
 Benchmark windows with fewer than LEAST_WORDS literal tokens are not joined, since placeholders alone
@@ -86,7 +86,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     The values are those of the pair's best diagonal: most matched tokens, then the smallest diagonal.
     n_windows counts the joined windows. Slots are those inside matched windows.
     changed_slots counts distinct slots whose value differs. Null and empty texts leak nothing; null ids
-    are left out. Equal rows of one id count their windows together; of an id with several texts the best text counts. Empty tables give no rows; clashing names of other
+    are left out. Equal rows of one id count their windows together; of a document or an item with several texts the best pair of texts counts. Empty tables give no rows; clashing names of other
     columns don't matter. The benchmark side is broadcast only if it is small by count.
     """
     spark = docs.sparkSession
@@ -94,8 +94,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null")
     docs = docs.withColumn("th", F.xxhash64("text"))  # tells texts of one id apart
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text"))
-    items = items.where("item_id is not null").groupBy("item_id").agg(F.max("text").alias("text"))
-    items = items.select("item_id", value_tokens(F.col("text")).alias("item_values")).where(F.size("item_values") > 0)
+    items = items.where("item_id is not null").distinct()
+    # Of an id with several texts each is an item; item_id is the text's own name until the end.
+    items = items.select(F.col("item_id").alias("owner"), F.xxhash64("item_id", "text").alias("item_id"), value_tokens(F.col("text")).alias("item_values")).where(F.size("item_values") > 0)
     items = items.select("*", template(F.col("item_values")).alias("item_template"))
     items = scratch.save(items.select("*", F.size("item_template").alias("item_tokens")), "items")
     width = F.least("item_tokens", F.lit(WINDOW))
@@ -134,7 +135,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
         F.get("doc_values", i + F.col("diagonal")).alias("dv"),
     )
     pairs = F.transform(F.sequence(F.lit(0), F.col("item_tokens") - 1), pair)
-    both = both.select("doc_id", "item_id", "diagonal", "n_windows", "item_tokens", "width", pairs.alias("pairs"))
+    both = both.select("doc_id", F.col("owner").alias("item_id"), "diagonal", "n_windows", "item_tokens", "width", pairs.alias("pairs"))
     equal = F.transform("pairs", lambda p: F.coalesce(p.it == p.dt, F.lit(False)))
     literal = F.transform("pairs", lambda p: F.coalesce((p.it == p.dt) & (p.iv == p.dv), F.lit(False)))
     both = scratch.save(both.select("*", equal.alias("equal"), literal.alias("literal")), "aligned")
@@ -147,8 +148,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     inside = lambda p: F.exists("starts", lambda i: (i <= p.at) & (p.at < i + F.col("width")))
     slots = F.filter("same", lambda p: (F.substring(p.it, 1, 1) == _MARK) & inside(p))
     both = scratch.save(both.select("*", F.array_distinct(F.transform(slots, lambda p: F.struct(p.it.alias("k"), p.iv.alias("i"), p.dv.alias("d")))).alias("slots")), "slots")
-    one_way = lambda side: F.size(F.array_distinct(F.transform("slots", lambda p: F.struct(p.k, p[side]))))
-    both = both.where(F.col("copied") | ((one_way("i") == F.size("slots")) & (one_way("d") == F.size("slots"))))
+    given = F.array_distinct(F.transform("slots", lambda p: F.struct(p.k, p.i)))
+    both = both.where(F.col("copied") | (F.size(given) == F.size("slots")))
     best = both.select(
         "doc_id",
         "item_id",
@@ -206,8 +207,7 @@ p3 AS (SELECT *, list_filter(range(1, n - w + 2), lambda i: list_aggregate(eq[i:
 q AS (SELECT *, n >= {LEAST_TOKENS} AND len(list_filter(range(1, n - {LEAST_TOKENS} + 2), lambda i: list_aggregate(own[i:(i + {LEAST_TOKENS} - 1)], 'bool_and'))) > 0 AS copied,
     list_distinct(list_transform(list_filter(same, lambda x: x.it[1] = chr(1) AND len(list_filter(starts, lambda i: i <= x.at AND x.at < i + w)) > 0),
       lambda x: {{'k': x.it, 'i': x.iv, 'd': x.dv}})) AS slots FROM p3 WHERE len(starts) + w - 1 >= needed),
-r AS (SELECT * FROM q WHERE copied OR (len(list_distinct(list_transform(slots, lambda x: {{'k': x.k, 'i': x.i}}))) = len(slots)
-    AND len(list_distinct(list_transform(slots, lambda x: {{'k': x.k, 'd': x.d}}))) = len(slots)))
+r AS (SELECT * FROM q WHERE copied OR len(list_distinct(list_transform(slots, lambda x: {{'k': x.k, 'i': x.i}}))) = len(slots))
 SELECT doc_id, item_id, n_windows, cast(len(same) AS BIGINT) AS matched_tokens, cast(n AS BIGINT) AS item_tokens,
     cast(len(slots) AS BIGINT) AS n_slots, cast(len(list_filter(slots, lambda x: x.i <> x.d)) AS BIGINT) AS changed_slots
 FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY len(same) DESC, diagonal) = 1"""
