@@ -3,7 +3,8 @@
 An entry (list_name, kind, pattern, action, dated) adds or removes a pattern from its date on. Between one entry of
 a pattern and the next lies an interval; those that begin with an `add` are active. kind `host` matches the host
 and all hosts below it, kind `url` the host with a path that begins with the pattern at a slash. A capture
-looks up all suffixes of its host and all prefixes of its path among the intervals that may hold its fetch time.
+looks up the suffixes of its host and the prefixes of its path, at the depths that the list has, among the intervals
+that may hold its fetch time.
 
 Intervals lie in buckets of days: an interval of at most BUCKET_DAYS days in one or two buckets of that width, a
 longer one in at most five of the first width, each FACTOR times the last, of which it needs no more. So an
@@ -46,33 +47,46 @@ def intervals(entries: DataFrame) -> DataFrame:
     return rows.where("action = 'add' and (to_day is null or to_day > from_day)").drop("action")
 
 
-def lookup_keys(host: Column, path: Column) -> Column:
-    """array<struct<kind, pattern>> of everything that could list this host and path; empty without a host."""
-    parts = F.split(host, r"\.")
-    n = F.size(parts)
+def _marks(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+
+def depth(kind: Column, pattern: Column) -> Column:
+    """Dots of a host pattern, slashes of a url pattern."""
+    return F.when(kind == "host", _marks(pattern, ".")).otherwise(_marks(pattern, "/"))
+
+
+def lookup_keys(host: Column, path: Column, depths: dict[str, list[int]]) -> Column:
+    """array<struct<kind, name>> of what could list this host and path at the depths that a list has; empty without a host.
+
+    name is the md5 of the host's suffix or of the path's prefix. Only listed depths are cut out, each in one pass.
+    """
+    whole = F.concat(host, F.rtrim(path, F.lit("/")))
     address = host.rlike(r"^[0-9.]+$|^\[")
-    suffixes = F.transform(F.sequence(F.lit(1), F.when(address, 1).otherwise(n)), lambda k: F.array_join(F.slice(parts, k, n), "."))
-    steps = F.split(F.regexp_replace(path, "/+$", ""), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.concat(host, F.array_join(F.slice(steps, 1, k), "/")))
-    both = F.concat(
-        F.transform(suffixes, lambda p: F.struct(F.lit("host").alias("kind"), p.alias("pattern"))),
-        F.transform(prefixes, lambda p: F.struct(F.lit("url").alias("kind"), p.alias("pattern"))),
-    )
-    return F.when(host != "", F.array_distinct(both)).otherwise(F.slice(both, 1, 0))
+
+    def key(kind: str, text: Column, mark: str, d: int) -> Column:
+        found = F.struct(F.lit(kind).alias("kind"), F.md5(F.substring_index(text, mark, -d - 1 if kind == "host" else d + 1)).alias("name"))
+        fits = (_marks(text, mark) == d) | ((_marks(text, mark) > d) & (~address if kind == "host" else F.lit(True)))  # of an address only the whole
+        return F.when((host != "") & fits, found)
+
+    keys = [key("host", host, ".", d) for d in depths["host"]] + [key("url", whole, "/", d) for d in depths["url"]]
+    return F.filter(F.array(*keys), lambda k: k.isNotNull()) if keys else F.array().cast("array<struct<kind: string, name: string>>")
 
 
 def verdicts(captures: DataFrame, active: DataFrame) -> DataFrame:
     """One row per capture (capture_id, url, day): and host, blocked, list_name, entry_id, from_day of the match that decides.
 
     Of several matches a url pattern goes before a host, then the longer pattern, then the smaller list
-    name and entry id. Captures with a null or unusable url or a null day match nothing. Captures that are
+    name and entry id. A capture looks up the depths that the list's patterns have, a few numbers. Captures with a null or unusable url or a null day match nothing. Captures that are
     equal in id, url and day are one. No captures: no rows; no entries: nothing is blocked.
     """
-    captures = captures.select("capture_id", "url", F.col("day").cast("int").alias("day"))
-    host = host_of(F.coalesce("url", F.lit("")))
-    keys = captures.select("*", host.alias("host"), path_of(F.coalesce("url", F.lit(""))).alias("path"))
-    keys = keys.select("capture_id", "url", "day", "host", F.explode_outer(lookup_keys(F.col("host"), F.col("path"))).alias("key"))
-    keys = keys.select("capture_id", "url", "day", "host", "key.kind", "key.pattern")
+    listed = active.select("kind", depth(F.col("kind"), F.col("pattern")).alias("d")).distinct().collect()  # a number for each depth
+    depths = {kind: sorted(r.d for r in listed if r.kind == kind) for kind in ("host", "url")}
+    host, path = host_of(F.coalesce("url", F.lit(""))), path_of(F.coalesce("url", F.lit("")))
+    # A url goes by its md5 from here on; it comes back with the capture's own row.
+    captures = captures.select("capture_id", F.md5("url").alias("u"), F.col("day").cast("int").alias("day"), "url", host.alias("host"), path.alias("path"))
+    keys = captures.select("capture_id", "u", "day", F.explode(lookup_keys(F.col("host"), F.col("path"), depths)).alias("key"))
+    keys = keys.select("capture_id", "u", "day", "key.kind", "key.name")
     spans = active.where("to_day is null or to_day > from_day").select("kind", "pattern", "list_name", "entry_id", F.col("from_day").cast("long"), F.col("to_day").cast("long"))
     size = F.greatest(F.lit(1.0), (F.col("to_day") - F.col("from_day")) / (FACTOR * BUCKET_DAYS))
     # Widths as multiples of BUCKET_DAYS; 0: open.
@@ -84,10 +98,12 @@ def verdicts(captures: DataFrame, active: DataFrame) -> DataFrame:
     looked = F.explode(F.array(*(F.lit(w).cast("long") for w in widths)) if widths else F.array(F.lit(0).cast("long"))).alias("width")
     keys = keys.select("*", looked)
     keys = keys.withColumn("bucket", F.when(F.col("width") == 0, F.lit(0).cast("long")).otherwise(bucket(F.col("day"), F.greatest("width", F.lit(1)))))
-    met = keys.join(small(spans, 50_000), ["kind", "pattern", "width", "bucket"], "left")
-    hit = F.col("from_day").isNotNull() & (F.col("from_day") <= F.col("day")) & (F.col("to_day").isNull() | (F.col("day") < F.col("to_day")))
-    order = F.when(hit, F.struct((F.col("kind") == "host").alias("is_host"), (-F.length("pattern")).alias("size"), "list_name", "entry_id", "from_day"))
-    out = met.groupBy("capture_id", "url", "day", "host").agg(F.min(order).alias("m"))
+    spans = spans.withColumn("name", F.md5("pattern")).withColumn("size", -F.length("pattern")).drop("pattern")
+    met = keys.join(small(spans, 50_000), ["kind", "name", "width", "bucket"]).where("from_day <= day and (to_day is null or day < to_day)")
+    order = F.struct((F.col("kind") == "host").alias("is_host"), "size", "list_name", "entry_id", "from_day")
+    met = met.select("capture_id", "u", "day", order.alias("m"))
+    own = captures.select("capture_id", "u", "day", "url", "host").unionByName(met, allowMissingColumns=True)
+    out = own.groupBy("capture_id", "u", "day").agg(F.max("url").alias("url"), F.max("host").alias("host"), F.min("m").alias("m"))
     return out.select(
         "capture_id", "url", "day", "host", F.col("m").isNotNull().alias("blocked"), F.col("m.list_name").alias("list_name"),
         F.col("m.entry_id").alias("entry_id"), F.col("m.from_day").cast("int").alias("from_day"),
