@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import Scratch, trimmed
+from .common import Scratch, prepared, trimmed
 
 MAGIC = b"GLTOKENS"
 VERSION = 2
@@ -188,6 +188,7 @@ def write_ids(docs: DataFrame, folder: str, path: str, end_id: int, files: int,
 def read_ids(spark, folder: str, files: list[tuple[int, int]]) -> DataFrame:
     """One row per document of those files: doc_id, start, n_tokens, ids_crc32, each file read by its own task."""
     listed = spark.createDataFrame([(k, *x) for k, x in enumerate(files)], "k long, file int, before long")
+    prepared(spark)
     n = max(1, len(files))
     listed = spark.range(0, n, 1, n).join(F.broadcast(listed), F.col("id") == F.col("k")).select("file", "before")  # a row a partition
     return listed.mapInArrow(trimmed(_read(folder)), "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import trimmed
+from .common import prepared, trimmed
 
 #: Strings that steer a model or a template; none of them has a backslash for its second character.
 CONTROLS = ("<|turn|>", "<|text|>", "<|end|>", "<s>", "</s>", "[INST]", "[/INST]", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
@@ -136,6 +136,7 @@ def messages(events: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     placed = standing(events).select(*key, F.lit(0).alias("placed"), "seq", F.lit("place").alias("event"), none.alias("role"), none.alias("text"))
     rows = placed.unionByName(events.select(*key, F.lit(1).alias("placed"), "seq", "event", "role", "text"))
+    prepared(rows.sparkSession)
     rows = rows.repartition(*key).sortWithinPartitions(*key, "placed", "seq", "event", "text")
     return rows.mapInArrow(trimmed(_fold), MESSAGE)
 
@@ -187,11 +188,12 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(rendered: DataFrame) -> DataFrame:
     """Reads rendered messages back: one row per conversation, with digests of its turns and of the text under the loss mask."""
+    prepared(rendered.sparkSession)
     return rendered.select("conv_id", "place", "message", "segment", "loss_from", "loss_to").repartition("conv_id").sortWithinPartitions("conv_id", "place", "message").mapInArrow(trimmed(_digests), DIGEST)
 
 
-#: Events of one message of a log that log_of writes, at most.
-_EVENTS = 1 << 20
+#: Numbers of one message's events in a log that log_of writes: two for each.
+_EVENTS = 1 << 22
 
 
 def log_of(turns: DataFrame, chunk: int = 512) -> DataFrame:
@@ -210,6 +212,7 @@ def log_of(turns: DataFrame, chunk: int = 512) -> DataFrame:
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", copy)
     rows = rows.join(sizes, rows["conv_id"].eqNullSafe(sizes["c"]) & rows["turn"].eqNullSafe(sizes["t"])).withColumn("message", F.col("base") + F.col("copy"))
     own, at = F.col("message"), F.col("message") * _EVENTS
+    # An even seq for what a message's own client writes and an odd one for late edits: no two events have one seq.
     event = lambda kind, text, seq, message=own, role=F.col("role"): F.struct(
         seq.cast("long").alias("seq"), F.lit(kind).alias("event"), message.alias("message"), role.alias("role"), text.alias("text")
     )
@@ -217,10 +220,10 @@ def log_of(turns: DataFrame, chunk: int = 512) -> DataFrame:
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0))
     streamed = F.concat(
         F.array(
-            event("start", empty, at), event("delta", F.substring("text", 1, 16), at + 1),
-            event("start", F.lit("taken back"), at + 2, -own, F.lit("user")), event("regenerate", empty, at + 3),
+            event("start", empty, at), event("delta", F.substring("text", 1, 16), at + 2),
+            event("start", F.lit("taken back"), at + 4, -own, F.lit("user")), event("regenerate", empty, at + 6),
         ),
-        F.transform(pieces, lambda x, i: event("delta", x, at + 4 + i)),
+        F.transform(pieces, lambda x, i: event("delta", x, at + 8 + 2 * i)),
     )
     edited = F.array(event("start", empty, at), event("edit", F.col("text"), at + _EVENTS + 1))
     log = F.when(F.col("role") == "assistant", streamed).otherwise(edited)
