@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -337,6 +338,17 @@ def test_suffixes_awkward(spark):
     assert got == collections.Counter(k for k, _ in rows)
 
 
+def test_suffixes_without_ids(spark):
+    """Rows without an id are documents like others: they lose what repeats, and make others lose it."""
+    rows = repeated_rows()
+    text = next(t for _, t in rows if t and len(t.encode()) > 500)
+    rows = [*rows, (None, text), (None, None), (None, "short")]
+    keyed = [(k if k is not None else 10**6 + i, t) for i, (k, t) in enumerate(rows)]
+    want = sorted((v[1:] if isinstance(v, tuple) and len(v) > 4 else v for v in map(tuple, suffixes.removal_report(documents(spark, keyed)).collect())), key=str)
+    got = sorted((tuple(r)[1:] for r in suffixes.removal_report(documents(spark, rows)).collect()), key=str)
+    assert got == want and any(x[1] for x in got)
+
+
 # --- tokens, packing, files ---
 
 TEXTS = [
@@ -426,16 +438,29 @@ def test_packing_pads_little():
 
 def test_packing_under_three_limits():
     limits = packing.DOCUMENT_LIMITS
-    sizes = [(int(n), int(n) - int(n * packing.DOCUMENT_PROMPT)) for n in np.random.default_rng(1).lognormal(5.5, 1.6, 4000) + 1]
+    sizes = [(int(n), packing.loss_tokens(int(n), packing.DOCUMENT_PROMPT)) for n in np.random.default_rng(1).lognormal(5.5, 1.6, 4000) + 1]
     placed, held = packing.place(sizes, limits), collections.defaultdict(lambda: [0, 0, 0])
     for item, start, length, sequence, _ in placed:
         n, loss = sizes[item]
         held[sequence] = [a + b for a, b in zip(held[sequence], (length, 1, max(0, start + length - max(start, n - loss))), strict=True)]
     most = np.array(list(held.values())).max(axis=0)
-    assert most.tolist() == [limits.tokens, limits.segments, limits.loss_tokens]  # each of them binds somewhere
+    assert [most[0], most[2]] == [limits.tokens, limits.loss_tokens] and most[1] <= limits.segments  # tokens and loss bind somewhere
     assert sum(n for n, _ in sizes) == sum(x[2] for x in placed) >= 0.99 * 1024 * len(held)
 
 
+@pytest.mark.parametrize("sizes", [[3] * 20_000, [1] * 5_000, [100] * 3_000, [1023] * 300, [1, 1, 2, 3, 5000] * 500, [1025, 3] * 400, [2] * 700])
+def test_documents_of_any_sizes_are_padded_little(sizes):
+    """All but the last few sequences of a partition are full, whatever the sizes."""
+    limits = packing.DOCUMENT_LIMITS
+    placed = packing.place([(n, packing.loss_tokens(n, packing.DOCUMENT_PROMPT)) for n in sizes], limits)
+    held = collections.Counter()
+    for _, _, length, sequence, _ in placed:
+        held[sequence] += length
+    assert sum(held.values()) == sum(sizes)
+    short = [n for n in held.values() if n < limits.tokens]
+    assert len(short) <= 2 or sum(sizes) >= 0.99 * limits.tokens * len(held)
+
+
 @pytest.mark.parametrize("bits", [1, 7, 8, 13, 16, 17, 31, 32])
 def test_bits_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1003, dtype=np.uint64).astype(np.uint32)
@@ -575,6 +600,18 @@ def test_toxicity_on_held_out_labels(spark):
     assert hit >= 0.9 * sum(truth.values()) and wrong <= 0.02 * len(truth)
 
 
+def test_toxicity_with_a_text_beyond_the_sample(spark, monkeypatch):
+    """A labelled text that is longer than the whole sample is passed over, the others are learned."""
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 60_000)
+    random = np.random.default_rng(1)
+    rows = [(k, " ".join(["vile" if k % 4 == 0 else "kind", *random.choice(WORDS, 15)])) for k in range(400)]
+    rows = [(k, t + " pad" * 40_000 if k in (1, 5, 9) else t) for k, t in rows]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(documents(spark, rows), labels).collect()
+    wrong = [r.doc_id for r in got if r.predicted != (r.doc_id % 4 == 0) and r.doc_id not in (1, 5, 9)]
+    assert len(got) == 400 and len(wrong) <= 4
+
+
 def test_toxicity_misspelling_and_awkward(spark):
     random = np.random.default_rng(0)
     texts = [" ".join(random.choice(WORDS, 40)) for _ in range(400)]
@@ -709,6 +746,36 @@ def test_url_lists_of_any_days(spark):
     assert got == want and sum(v is not None for v in want.values()) > 50
 
 
+def test_url_lists_of_very_long_urls(spark):
+    """Prefixes are cut at listed depths only, so a URL of 12,000 slashes costs what its length costs."""
+    entries = [("u", "url", "ok.org/a/b", 1, "add", 0), ("u", "url", "ok.org", 2, "add", 0), ("l", "host", "org", 3, "add", 0), ("u", "url", "ok.org/a/b/c/d", 4, "add", 0)]
+    e = spark.createDataFrame(entries, "list_name string, kind string, pattern string, entry_id long, action string, day int")
+    long = "http://ok.org/a/b" + "/x" * 12_000
+    captures = [(1, long, 5), (2, "http://ok.org/a/bc" + "/" * 30_000, 5), (3, "http://" + "z." * 5_000 + "org/", 5), (4, "http://10.0.0.1/ok.org", 5), (5, long + "?q", 5)]
+    c = spark.createDataFrame(captures * 3, "capture_id long, url string, day int")
+    began = time.time()
+    got = urlfilter.verdicts(c, urlfilter.intervals(e)).collect()
+    assert len(got) == 5 and {r.capture_id: r.entry_id for r in got} == {1: 1, 2: 2, 3: 3, 4: None, 5: 1}
+    assert {r.capture_id: r.url for r in got} == {k: u for k, u, _ in captures} and time.time() - began < 30
+
+
+def test_leaks_of_one_id_with_several_texts(spark):
+    one = "Find the greatest sum that two trains carry over the old bridge near the small town"
+    two = "Which of all rivers in the northern part of the land runs longest before it meets the sea"
+    bench = spark.createDataFrame([(1, one), (1, two), (1, two), (2, None), (None, one)], "item_id long, text string")
+    rows = [(1, "so " + one), (2, "so " + two + " and"), (3, "nothing of the kind is here at all, whatever one looks for in it")]
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, rows), bench).collect()} == {(1, 1), (2, 1)}
+
+
+def test_leaks_with_equal_new_values(spark):
+    """Different values may become the same one; one value mustn't become two."""
+    item = "A farmer sells 12 hens to a man and 15 ducks to a woman before buying 7 goats for the old barn behind the hill"
+    put = lambda *v: item.replace("12", v[0]).replace("15", v[1]).replace(" 7 ", f" {v[2]} ")
+    rows = [(1, put("5", "5", "8")), (2, put("5", "5", "5")), (3, put("5", "6", "8"))]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.leaks(documents(spark, rows), bench).collect()} == {1, 2, 3}
+
+
 def test_leaks(spark):
     item = "A train leaves the old station at 12 km per hour and Anna waits 12 minutes for the next Anna train"
     other = "Completely different words stand in this second question about rivers and mountains today"
