@@ -246,7 +246,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         parts = parts.withColumn("k", F.col("block") - F.floor(F.col("at") / block)).join(cut, ["row", "k"]).drop("k")
     slots = _all_slots(spark, sources, seed)
     length = F.least("n_words", F.col("length") - F.col("offset"))
-    pieces = slots.join(parts, ["src", "block"]).where("offset < length").withColumn("kept", length)
+    # Slots come from a short range of shards, so Spark takes them for a small table and would broadcast them.
+    pieces = slots.hint("shuffle_merge").join(parts, ["src", "block"]).where("offset < length").withColumn("kept", length)
     if texts:  # the last slot of a source is cut within a piece
         short = F.expr(r"regexp_extract(text, concat('^[^ \t-\r]+(?:[ \t-\r]+[^ \t-\r]+){', kept - 1, '}'), 0)")
         pieces = pieces.withColumn("text", F.when(F.col("kept") < F.col("n_words"), short).otherwise(F.col("text")))
