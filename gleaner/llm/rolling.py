@@ -194,6 +194,7 @@ def features(events: DataFrame, widths: tuple[int, ...], ranks: Ranks, series_co
     joined = joined.agg(*(F.max(c).alias(c) for c in kept), *(F.max(F.when(F.col("which") == k, F.col("value"))).alias(f"value{k}") for k in range(len(ranks))))
     found = F.struct(F.col("width").alias("window_s"), *kept[1:], *(F.col(f"value{k}") for k in range(len(ranks))))
     side = joined.groupBy("series", "time").agg(F.max("own").alias("own"), F.collect_list(found).alias("w"))
+    side = scratch.save(side, "features")  # read twice by the join
     empty = F.array(*(F.struct(F.lit(w).cast("long").alias("window_s"), *(F.lit(0).cast("long").alias(c) for c in kept[1:]), *(null.alias(f"value{k}") for k in range(len(ranks)))) for w in widths))
     out = join_counted(rows.where("time is not null"), side, ["series", "time"], "own").select(*named, F.explode("w").alias("w"))
     out = out.unionByName(rows.where("time is null").select(*named, F.explode(empty).alias("w")))
