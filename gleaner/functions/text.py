@@ -72,6 +72,11 @@ def encoded_pair(question: Column, context: Column, most: int = 384) -> Column:
     return F.concat(F.array(F.lit("[CLS]")), q, F.array(F.lit("[SEP]")), F.slice(context, 1, room), F.array(F.lit("[SEP]")))
 
 
+def bound(value: Column, then) -> Column:
+    """then(value), with value computed once a row, whatever the optimiser merges."""
+    return F.transform(F.array(value), then)[0]
+
+
 def padded(text: Column, keep: str = "") -> Column:
     """Lower-case ASCII letters and digits (and the characters of keep) between spaces, with a space at both ends."""
     low = F.lower(F.coalesce(text, F.lit("")))

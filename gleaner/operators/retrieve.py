@@ -37,6 +37,27 @@ def diversified(scored: DataFrame, article: str = "article_id", config: Retrieva
     return rows.where(F.col("rank") <= config.top).drop("in_article")
 
 
+def held_terms(question: Column, text: Column, most: int = 512) -> Column:
+    """array<struct<term, found>>: a question's terms, and whether a text's first `most` tokens hold them exactly or as a related term.
+
+    Both texts are tokenised once a pair, and only tokens that can be related to another term are compared with one.
+    """
+    long = lambda t: (F.octet_length(t) >= 4) & ~t.startswith("#")
+
+    def each(held: Column) -> Column:
+        def one(near: Column) -> Column:
+            def found(term: Column) -> Column:
+                gap = lambda h: F.abs(F.octet_length(h) - F.octet_length(term)) <= 3
+                return F.array_contains(held, term) | (long(term) & F.exists(near, lambda h: (h.startswith(term) | term.startswith(h)) & gap(h)))
+
+            terms = F.filter(T.question_terms(question), lambda t: ~t.startswith("##"))
+            return F.transform(terms, lambda t: F.struct(t.alias("term"), found(t).alias("found")))
+
+        return T.bound(F.filter(held, long), one)
+
+    return T.bound(F.array_distinct(T.truncated(T.tokens(text), most)), each)
+
+
 def coverage(pairs: DataFrame, df: DataFrame, n: DataFrame, skip_short_unseen: bool = False, most: int = 512) -> DataFrame:
     """Adds coverage: the share of idf of a question's terms that a text holds, exactly or as a related term.
 
@@ -44,9 +65,7 @@ def coverage(pairs: DataFrame, df: DataFrame, n: DataFrame, skip_short_unseen: b
     the frequency table lacks count with df 0, or are skipped up to 3 bytes if skip_short_unseen.
     """
     key = ["question_id", "passage_id"]
-    terms = pairs.select(*key, F.explode(T.question_terms(F.col("question"))).alias("term"), T.truncated(T.tokens(F.col("text")), most).alias("held"))
-    found = F.exists("held", lambda t: T.related(F.col("term"), t))
-    terms = terms.where(~F.col("term").startswith("##")).select(*key, "term", found.alias("found"))
+    terms = pairs.select(*key, F.explode(held_terms(F.col("question"), F.col("text"), most)).alias("t")).select(*key, "t.term", "t.found")
     terms = terms.join(df, "term", "left")
     if skip_short_unseen:
         terms = terms.where(F.col("df").isNotNull() | (F.octet_length("term") > 3))
@@ -63,28 +82,38 @@ LEAD_WORDS = "what which who where when how why is are was were does do did many
 
 def phrase_tokens(question: Column) -> Column:
     """Question tokens without closing question marks and without a leading run of LEAD_WORDS."""
-    found = T.truncated(T.tokens(question), 128)
-    kept = F.filter(F.transform(found, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x.t != "?")
-    last = F.coalesce(F.try_element_at(kept, F.lit(-1))["i"], F.lit(-1))
-    found = F.slice(found, 1, last + 1)
-    first = F.filter(F.transform(found, lambda t, i: F.when(~t.isin(LEAD_WORDS), i)), lambda i: i.isNotNull())
-    return F.when(F.size(first) > 0, F.slice(found, first[0] + 1, F.lit(1_000_000))).otherwise(F.slice(found, 1, 0))
+
+    def without_end(found: Column) -> Column:
+        kept = F.filter(F.transform(found, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x.t != "?")
+        return F.slice(found, 1, F.coalesce(F.try_element_at(kept, F.lit(-1))["i"], F.lit(-1)) + 1)
+
+    def without_lead(found: Column) -> Column:
+        first = F.filter(F.transform(found, lambda t, i: F.when(~t.isin(LEAD_WORDS), i)), lambda i: i.isNotNull())
+        return F.when(F.size(first) > 0, F.slice(found, F.get(first, F.lit(0)) + 1, F.lit(1_000_000))).otherwise(F.slice(found, 1, 0))
+
+    return T.bound(T.bound(T.truncated(T.tokens(question), 128), without_end), without_lead)
 
 
 def phrase_match(pairs: DataFrame) -> DataFrame:
-    """Adds phrase: the longest run of question tokens that stands in the text, over the question's length.
+    """Adds phrase: the longest run of question tokens that stands in the text's first 512, over the question's length.
 
-    Gaps and islands: positions that hold the same token lie on diagonals; a run is a stretch of a diagonal.
+    A fold over the run's start: from each one, longer runs than the best so far are looked up in the marked text, until one fails. A
+    row stays one row, and its text is tokenised once.
     """
-    key = ["question_id", "passage_id"]
-    q = pairs.select(*key, phrase_tokens(F.col("question")).alias("q"), T.truncated(T.tokens(F.col("text")), 512).alias("t"))
-    sized = q.select(*key, F.size("q").alias("n"), "q", "t")
-    a = sized.select(*key, "n", F.posexplode("q").alias("i", "token"), "t")
-    met = a.select(*key, "n", "i", F.explode(F.filter(F.transform("t", lambda t, j: F.when(t == F.col("token"), j)), lambda j: j.isNotNull())).alias("j"))
-    line = Window.partitionBy(*key, F.col("j") - F.col("i")).orderBy("i")
-    runs = met.withColumn("island", F.col("i") - F.row_number().over(line)).groupBy(*key, "n", (F.col("j") - F.col("i")).alias("d"), "island").count()
-    best = runs.groupBy(*key).agg((F.max("count") / F.max("n")).alias("phrase"))
-    return pairs.join(best, key, "left").withColumn("phrase", F.coalesce("phrase", F.lit(0.0)))
+    mark = F.lit("\x1f")
+    marked = lambda found: F.concat(mark, F.array_join(found, "\x1f"), mark)
+
+    def longest(q: Column, text: Column) -> Column:
+        def lengthened(best: Column, i: Column) -> Column:
+            more = F.sequence(F.lit(1), F.size(q) - i)
+            return F.aggregate(more, best, lambda b, n: F.when((n == b + 1) & text.contains(marked(F.slice(q, i + 1, n))), n).otherwise(b))
+
+        run = F.aggregate(F.sequence(F.lit(0), F.size(q) - 1), F.lit(0), lengthened)
+        return F.when(F.size(q) > 0, run / F.size(q)).otherwise(0.0)
+
+    text = marked(T.truncated(T.tokens(F.col("text")), 512))
+    found = T.bound(phrase_tokens(F.col("question")), lambda q: T.bound(text, lambda t: longest(q, t)))
+    return pairs.withColumn("phrase", found)
 
 
 def prerank_score(score: Column, coverage_: Column, phrase: Column, config: RetrievalConfig = DEFAULT) -> Column:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.config import DEFAULT
 from gleaner.functions import text as T
 from gleaner.functions import vectors as V
+from gleaner.operators import dense as D
 from gleaner.operators import lexical as L
 from gleaner.operators import retrieve as R
 
@@ -24,11 +26,22 @@ def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("codes", V.quantised(F.col("v"), F.col("scale")))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every query vector against every vector; the query side is broadcast block by block by the nested-loop join."""
-    rows = _embeddings(spark, sf_dir)
-    q = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("question_id"), F.col("v").alias("qv"), F.col("codes").alias("qc"), F.col("scale").alias("qs"))
-    return rows.withColumnRenamed("vec_id", "passage_id").crossJoin(F.broadcast(q))
+def _rows(vectors: DataFrame) -> DataFrame:
+    """Quantised rows of an index: codes with their scale."""
+    return vectors.select(F.col("vec_id").alias("passage_id"), "label", F.col("codes").alias("v"), "scale")
+
+
+def _asked(vectors: DataFrame, codes: bool = False) -> DataFrame:
+    """Query vectors as they are, or quantised like the rows."""
+    if codes:
+        return vectors.select(F.col("vec_id").alias("question_id"), F.col("codes").alias("v"), "scale")
+    return vectors.select(F.col("vec_id").alias("question_id"), "v", F.lit(1.0).alias("scale"))
+
+
+def _nearest(spark: SparkSession, sf_dir: str, k: int, codes: bool = False) -> DataFrame:
+    """The k nearest rows of every query vector."""
+    found = _embeddings(spark, sf_dir)
+    return D.nearest(_rows(found), _asked(found.where(F.col("vec_id") % EVERY == 0), codes), k)
 
 
 _Q = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
@@ -39,7 +52,10 @@ _RANK = "SELECT question_id, passage_id, rank, round(score, 4) AS score FROM (SE
 
 
 def _ranked(scored: DataFrame) -> DataFrame:
-    found = R.top_k(scored.withColumn("score", F.round("score", 9)), 8)
+    return _listed(R.top_k(scored.withColumn("score", F.round("score", 9)), 8))
+
+
+def _listed(found: DataFrame) -> DataFrame:
     return found.select("question_id", "passage_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
@@ -64,20 +80,21 @@ def int4_groups(spark, sf_dir):
 
 @query("dense_top8", f"WITH {_Q}, scored AS (SELECT question_id, vec_id AS passage_id, list_inner_product(qv, codes) * scale AS score FROM c, q) {_RANK}")
 def dense_top8(spark, sf_dir):
-    return _ranked(_pairs(spark, sf_dir).select("question_id", "passage_id", (V.dot(F.col("qv"), F.col("codes")) * F.col("scale")).alias("score")))
+    return _listed(_nearest(spark, sf_dir, 8))
 
 
 @query("dense_int8_top8", f"WITH {_Q}, scored AS (SELECT question_id, vec_id AS passage_id, list_inner_product(qc, codes) * scale * qs AS score FROM c, q) {_RANK}")
 def dense_int8_top8(spark, sf_dir):
-    return _ranked(_pairs(spark, sf_dir).select("question_id", "passage_id", (V.dot(F.col("qc"), F.col("codes"), "bigint") * F.col("scale") * F.col("qs")).alias("score")))
+    return _listed(_nearest(spark, sf_dir, 8, codes=True))
 
 
 @query("article_capped", f"""WITH {_Q}, scored AS (SELECT question_id, vec_id AS passage_id, label AS article_id, round(list_inner_product(qv, codes) * scale, 9) AS score FROM c, q),
 a AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, passage_id) AS r FROM scored), b AS (SELECT *, row_number() OVER (PARTITION BY question_id, article_id ORDER BY r) AS ra FROM a WHERE r <= 64)
 SELECT question_id, passage_id, article_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY r) AS rank FROM b WHERE ra <= 2) WHERE rank <= 8""")
 def article_capped(spark, sf_dir):
-    scored = _pairs(spark, sf_dir).select("question_id", "passage_id", F.col("label").alias("article_id"), F.round(V.dot(F.col("qv"), F.col("codes")) * F.col("scale"), 9).alias("score"))
-    return R.diversified(scored).select("question_id", "passage_id", "article_id", F.col("rank").cast("long").alias("rank"))
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_id"), F.col("label").alias("article_id"))
+    found = _nearest(spark, sf_dir, DEFAULT.candidates).drop("rank").join(labels, "passage_id")
+    return R.diversified(found).select("question_id", "passage_id", "article_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("pca_moments", """WITH x AS (SELECT vec_id, embedding[i]::DOUBLE AS x, i - 1 AS dim FROM embeddings, (SELECT unnest(range(1, 65)) AS i))
@@ -120,30 +137,32 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _HYBRID = f"""WITH {_Q}, {DOCS}, w AS (SELECT *, 1.0 AS weight FROM ({sql_question_terms()})), {BM25.replace("scored AS", "lex AS")},
-dense AS (SELECT q.question_id, c.vec_id AS passage_id, c.label AS article_id, list_inner_product(qv, codes) * scale AS dense FROM c, q WHERE q.question_id IN (SELECT item_id FROM benchmark)),
+dense AS (SELECT o.vec_id AS question_id, c.vec_id AS passage_id, c.label AS article_id, list_inner_product(o.v, c.codes) * c.scale AS dense FROM c, c o WHERE o.vec_id IN (SELECT item_id FROM benchmark)),
 f AS (SELECT d.*, coalesce(lexical, 0) AS lexical FROM dense d LEFT JOIN lex USING (question_id, passage_id)),
 fused AS (SELECT *, max(lexical) OVER (PARTITION BY question_id) AS top FROM f),
 scored AS (SELECT question_id, passage_id, article_id, WEIGHT * dense + (1 - WEIGHT) * CASE WHEN top > 0 THEN lexical / top ELSE 0 END AS score FROM fused)"""
 
 
-def _fused(spark: SparkSession, sf_dir: str, weight: float) -> DataFrame:
-    items = questions(spark, sf_dir)
-    lexical = _scored(spark, sf_dir)
-    dense = _pairs(spark, sf_dir).join(items.select("question_id"), "question_id", "left_semi")
-    dense = dense.select("question_id", "passage_id", F.col("label").alias("article_id"), (V.dot(F.col("qv"), F.col("codes")) * F.col("scale")).alias("dense"))
-    return R.fused(dense, lexical, weight)
+def _fused(spark: SparkSession, sf_dir: str, k: int, weight: float) -> DataFrame:
+    """Every benchmark text with the vector of its id, against all passages that have one."""
+    found = _embeddings(spark, sf_dir)
+    items = questions(spark, sf_dir).select(F.col("question_id").alias("vec_id"))
+    own = found.select(F.col("vec_id").alias("passage_id"))
+    lexical = _scored(spark, sf_dir).join(own, "passage_id", "left_semi")
+    return D.fused_top(_rows(found), _asked(found.join(items, "vec_id", "left_semi")), lexical, k, weight)
 
 
 @query("hybrid_top8", f"{_HYBRID.replace('WEIGHT', '0.6')} {_RANK}")
 def hybrid_top8(spark, sf_dir):
-    return _ranked(_fused(spark, sf_dir, 0.6))
+    return _listed(_fused(spark, sf_dir, 8, DEFAULT.dense_weight))
 
 
 @query("hybrid_wide_capped", f"""{_HYBRID.replace('WEIGHT', '0.75')}, a AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, passage_id) AS r FROM scored),
 b AS (SELECT *, row_number() OVER (PARTITION BY question_id, article_id ORDER BY r) AS ra FROM a WHERE r <= 64)
 SELECT question_id, passage_id, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY r) AS rank FROM b WHERE ra <= 2) WHERE rank <= 8""")
 def hybrid_wide_capped(spark, sf_dir):
-    found = R.diversified(_fused(spark, sf_dir, 0.75).withColumn("score", F.round("score", 9)))
+    labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_id"), F.col("label").alias("article_id"))
+    found = R.diversified(_fused(spark, sf_dir, DEFAULT.candidates, DEFAULT.dense_weight_wide).drop("rank").join(labels, "passage_id"))
     return found.select("question_id", "passage_id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
