@@ -45,6 +45,19 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(normalised(text), F.lit(TOKEN), F.lit(0))
 
 
+#: A token where it stands: a word holds what is removed from it, but doesn't begin with it.
+SOURCE_TOKEN = rf"[{CJK}]|[{PUNCTUATION}]|[^ \t\n\r\p{{Z}}{CJK}{PUNCTUATION}{CONTROL[1:-1]}][^ \t\n\r\p{{Z}}{CJK}{PUNCTUATION}]*"
+
+
+def token_pieces(text: Column) -> Column:
+    """array<string> whose elements 1, 3, 5, ... (from 0) are the text's tokens as they stand, the others what lies between them.
+
+    Joined, they are the text, but for the character U+0001, which becomes U+0002.
+    """
+    plain = F.translate(F.coalesce(text, F.lit("")), "\x01", "\x02")
+    return F.split(F.regexp_replace(plain, f"({SOURCE_TOKEN})", "\x01$1\x01"), "\x01")
+
+
 def truncated(found: Column, most: int) -> Column:
     return F.slice(found, 1, most)
 

@@ -130,15 +130,15 @@ def interleaved(first: DataFrame, second: DataFrame, most: int = 8) -> DataFrame
     return both.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= most).select("question_id", "passage_id", "rank")
 
 
-def best_sentences(pairs: DataFrame, df: DataFrame, n: DataFrame) -> DataFrame:
-    """(question_id, passage_id, place, best, with_previous, with_next): a passage's sentence of the highest coverage, first on ties.
+def best_sentences(pairs: DataFrame, df: DataFrame, n: DataFrame, skip_short_unseen: bool = False) -> DataFrame:
+    """(question_id, passage_id, place, coverage, best, with_previous, with_next): a passage's sentence of the highest coverage, first on ties.
 
     The window modes of the reader take it alone, after the sentence before it, or before the one after it.
     """
     rows = pairs.select("question_id", "passage_id", "question", F.posexplode(T.sentences(F.col("text"))).alias("place", "text"))
     keyed = rows.withColumn("passage_id", F.col("passage_id") * 64 + F.col("place"))
-    covered = coverage(keyed, df, n).withColumn("place", F.pmod(F.col("passage_id"), F.lit(64)).cast("int")).withColumn("passage_id", F.floor(F.col("passage_id") / 64))
+    covered = coverage(keyed, df, n, skip_short_unseen).withColumn("place", F.pmod(F.col("passage_id"), F.lit(64)).cast("int")).withColumn("passage_id", F.floor(F.col("passage_id") / 64))
     own = Window.partitionBy("question_id", "passage_id")
     covered = covered.withColumn("before", F.lag("text").over(own.orderBy("place"))).withColumn("after", F.lead("text").over(own.orderBy("place")))
     covered = covered.withColumn("rank", F.row_number().over(own.orderBy(F.desc(F.round("coverage", 9)), "place"))).where("rank = 1")
-    return covered.select("question_id", "passage_id", "place", F.col("text").alias("best"), F.concat_ws(" ", "before", "text").alias("with_previous"), F.concat_ws(" ", "text", "after").alias("with_next"))
+    return covered.select("question_id", "passage_id", "place", "coverage", F.col("text").alias("best"), F.concat_ws(" ", "before", "text").alias("with_previous"), F.concat_ws(" ", "text", "after").alias("with_next"))

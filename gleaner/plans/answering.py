@@ -1,6 +1,6 @@
-"""Queries on spans, confidence, votes, titles and acceptance.
+"""Queries on spans, confidence, votes, titles and acceptance, over the answer chain's candidates.
 
-The reader's scores are a stand-in: arithmetic on positions and ids, since its model is not at hand.
+The reader's logits are a stand-in: arithmetic on positions and ids, since its model is not at hand.
 """
 
 from __future__ import annotations
@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.operators import answers as A
 
-from .binding import PASSAGES, sql_tokens, strings, table
+from .binding import PASSAGES, sql_tokens, table
+from .dense import coverage_ctes
+from .reading import CAND, HIT, RESOLVED, TOLD, answers, hits, read_ctes, scored, second
+from .reading import candidates as _candidates
 from .registry import query
 
 # Token logits: start = (pos * 37 + item) % 101 / 10, end = (pos * 53 + item) % 97 / 10; every 7th position and its two neighbours echo.
@@ -38,27 +41,8 @@ def null_score(spark, sf_dir):
     return rows.groupBy("question_id").agg(F.round(F.max(F.when(F.col("pos") == 0, F.col("start") + F.col("end"))), 6).alias("null_score"), F.count("*").alias("n"))
 
 
-# Candidates: eight per question from documents question_id * 3 + r; answers repeat in families so that they can vote.
-_CAND = """cand AS (SELECT item_id AS question_id, r AS rank, doc_id,
-  array_to_string(regexp_split_to_array(trim(d.text), '\\s+')[1:(2 + (item_id + r) % 3)], ' ') AS answer, array_to_string(regexp_split_to_array(trim(d.text), '\\s+')[1:3], ' ') AS title,
-  ((item_id * 7 + r * 13) % 23) - 8.0 AS margin, 1.0 - 0.04 * r AS score, ((item_id + r * 5) % 11) / 10.0 AS coverage, ((item_id + r * 3) % 7) / 6.0 AS phrase, ((item_id * 3 + r) % 9) / 10.0 AS dense
-  FROM benchmark b, (SELECT unnest(range(1, 9)) AS r) JOIN documents d ON d.doc_id = b.item_id + r % 3)"""
-
-
-def _candidates(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), F.explode(F.sequence(F.lit(1), F.lit(8))).alias("rank"))
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split(F.trim("text"), r"\s+").alias("w"))
-    q, r = F.col("question_id"), F.col("rank")
-    rows = b.withColumn("doc_id", q + r % 3).join(d, "doc_id")
-    return rows.select(
-        "question_id", "rank", "doc_id",
-        F.array_join(F.slice("w", F.lit(1), (2 + F.pmod(q + r, F.lit(3))).cast("int")), " ").alias("answer"), F.array_join(F.slice("w", 1, 3), " ").alias("title"),
-        (F.pmod(q * 7 + r * 13, F.lit(23)) - 8.0).alias("margin"), (1.0 - 0.04 * r).alias("score"), (F.pmod(q + r * 5, F.lit(11)) / 10.0).alias("coverage"),
-        (F.pmod(q + r * 3, F.lit(7)) / 6.0).alias("phrase"), (F.pmod(q * 3 + r, F.lit(9)) / 10.0).alias("dense"),
-    )
-
-
 _PUNCT = r"[\x00-\x1F!-/:-@\[-`{-~]"
+_CAND = CAND
 _CONF = "0.5 / (1 + exp(-0.35 * margin)) + 0.2 * greatest(0, least(1, (dense - 0.25) * 2.5)) + 0.3 * coverage"
 _TITLED = f"""(least(strlen(na), strlen(nt)) >= 3 AND (na = nt OR (abs(strlen(na) - strlen(nt)) <= 1 AND (starts_with(na, nt) OR starts_with(nt, na)))))"""
 _FORMS = f"""n AS (SELECT *, regexp_replace(trim(regexp_replace(lower(answer), '{_PUNCT}', '', 'g')), '^the ', '') AS na, trim(regexp_replace(lower(split_part(title, '(', 1)), '{_PUNCT}', '', 'g')) AS nt,
@@ -67,13 +51,13 @@ _FORMS = f"""n AS (SELECT *, regexp_replace(trim(regexp_replace(lower(answer), '
 
 @query("confidence", f"WITH {_CAND} SELECT question_id, rank, round({_CONF}, 4) AS confidence FROM cand")
 def confidence(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("question_id", F.col("rank").cast("long").alias("rank"), F.round(A.confidence(F.col("margin"), F.col("dense"), F.col("coverage")), 4).alias("confidence"))
+    return _candidates(spark, sf_dir).select("question_id", "rank", F.round(A.confidence(F.col("margin"), F.col("dense"), F.col("coverage")), 4).alias("confidence"))
 
 
-@query("confidence_damped", f"WITH {_CAND} SELECT question_id, rank, round(CASE WHEN strlen(answer) > 0.6 * strlen(title) OR strlen(answer) > 140 THEN 0.6 ELSE 1 END * ({_CONF}), 4) AS confidence FROM cand")
+@query("confidence_damped", f"WITH {_CAND} SELECT question_id, rank, round(CASE WHEN strlen(answer) > 0.6 * strlen(passage) OR strlen(answer) > 140 THEN 0.6 ELSE 1 END * ({_CONF}), 4) AS confidence FROM cand")
 def confidence_damped(spark, sf_dir):
-    value = A.damped(A.confidence(F.col("margin"), F.col("dense"), F.col("coverage")), F.col("answer"), F.col("title"))
-    return _candidates(spark, sf_dir).select("question_id", F.col("rank").cast("long").alias("rank"), F.round(value, 4).alias("confidence"))
+    value = A.damped(A.confidence(F.col("margin"), F.col("dense"), F.col("coverage")), F.col("answer"), F.col("passage"))
+    return _candidates(spark, sf_dir).select("question_id", "rank", F.round(value, 4).alias("confidence"))
 
 
 @query("answer_clip", f"WITH {PASSAGES} SELECT passage_id, regexp_replace(text[1:(CASE WHEN strlen(text) <= 500 THEN 500 ELSE len(list_filter(list_transform(range(1, 501), lambda i: strlen(text[1:i])), lambda b: b <= 500)) END)], '[ .,;]+$', '') AS answer FROM passages")
@@ -83,82 +67,93 @@ def answer_clip(spark, sf_dir):
     return passages(spark, sf_dir).select("passage_id", A.clipped(F.col("text")).alias("answer"))
 
 
-_LITERALS = [("it", "Mercury (element)"), ("The city.", "Paris"), ("Mercury", "Mercury (element)"), ("the Giraffes", "Giraffe"), ("Giraffe: tall", "Giraffe"), ("Giraffe:", "Giraffe"), ("they ", "Otters (animals)"), ("Ox", "Ox"), ("an apple", "Apple")]
-_LIT = "lit AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{t}')" for a, t in _LITERALS) + ") AS v(answer, title))"
+@query("prerank_top8", f"WITH {HIT} SELECT question_id, passage_id, rank, round(score, 4) AS score, round(coverage, 4) AS coverage, round(phrase, 4) AS phrase FROM hit")
+def prerank_top8(spark, sf_dir):
+    """The eight best of 24 documents by their share of the question's best BM25 score, coverage and phrase, over "title: text"."""
+    return hits(spark, sf_dir).select("question_id", "passage_id", "rank", *(F.round(c, 4).alias(c) for c in ("score", "coverage", "phrase")))
 
 
-@query("pronoun", f"""WITH {_LIT} SELECT answer, title, CASE WHEN list_contains({strings(A.PRONOUNS)}, regexp_replace(lower(answer), '[ .]+$', '')) THEN trim(split_part(title, '(', 1)) ELSE answer END AS resolved FROM lit""")
+@query("pronoun", f"WITH {_CAND} SELECT question_id, rank, span, {RESOLVED} AS resolved FROM cand")
 def pronoun(spark, sf_dir):
-    rows = spark.createDataFrame(_LITERALS, "answer string, title string")
-    return rows.select("answer", "title", A.resolved(F.col("answer"), F.col("title")).alias("resolved"))
+    """The chain's spans, of which pronouns become the article's title."""
+    rows = _candidates(spark, sf_dir)
+    return rows.select("question_id", "rank", "span", A.resolved(F.col("span"), F.col("title")).alias("resolved"))
 
 
-@query("title_prefix", f"WITH {_LIT} SELECT answer, title, nullif(CASE WHEN starts_with(answer, title || ':') THEN ltrim(answer[(length(title) + 2):]) ELSE answer END, '') AS stripped FROM lit")
+@query("title_prefix", f"WITH {_CAND}, r AS (SELECT *, {RESOLVED} AS r FROM cand) SELECT question_id, rank, title, {TOLD} AS stripped, span <> {TOLD} AS changed FROM r")
 def title_prefix(spark, sf_dir):
-    rows = spark.createDataFrame(_LITERALS, "answer string, title string")
-    return rows.select("answer", "title", A.without_title_prefix(F.col("answer"), F.col("title")).alias("stripped"))
+    """The chain's spans without the title that was put before the passage."""
+    stripped = A.without_title_prefix(A.resolved(F.col("span"), F.col("title")), F.col("title"))
+    return _candidates(spark, sf_dir).select("question_id", "rank", "title", stripped.alias("stripped"), (F.col("span") != stripped).alias("changed"))
 
 
-@query("answer_title", f"WITH {_LIT}, c0 AS ({_CAND.replace('cand AS (', '', 1)[:-1]}), cand AS (SELECT answer, title FROM lit UNION ALL SELECT answer, title FROM c0), {_FORMS} SELECT answer, title, titled FROM k")
+@query("answer_title", f"WITH {_CAND}, {_FORMS} SELECT question_id, rank, answer, title, titled FROM k")
 def answer_title(spark, sf_dir):
-    rows = spark.createDataFrame(_LITERALS, "answer string, title string").unionByName(_candidates(spark, sf_dir).select("answer", "title"))
-    return rows.select("answer", "title", A.is_title(F.col("answer"), F.col("title")).alias("titled"))
+    return _candidates(spark, sf_dir).select("question_id", "rank", "answer", "title", A.is_title(F.col("answer"), F.col("title")).alias("titled"))
 
 
 @query("normalise_answer", f"WITH {_CAND}, {_FORMS} SELECT question_id, rank, form FROM k")
 def normalise_answer(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("question_id", F.col("rank").cast("long").alias("rank"), A.voting_form(F.col("answer")).alias("form"))
+    return _candidates(spark, sf_dir).select("question_id", "rank", A.voting_form(F.col("answer")).alias("form"))
 
 
-_SC = f"sc AS (SELECT *, margin + 12 * (score - first_value(score) OVER (PARTITION BY question_id ORDER BY rank)) + 15 * (coverage - 1) + CASE WHEN titled THEN 3 ELSE 0 END AS sc FROM k)"
+_SC = f"sc AS (SELECT *, round(margin + 12 * (score - first) + 15 * (coverage - 1) + CASE WHEN titled THEN 3 ELSE 0 END, 9) AS sc FROM k)"
 _VOTE = """v AS (SELECT a.*, a.sc + 0.5 * coalesce((SELECT sum(greatest(b.margin, 0)) FROM sc b WHERE b.question_id = a.question_id AND b.rank <> a.rank AND a.form <> '' AND b.form <> ''
   AND (a.form = b.form OR (least(strlen(a.form), strlen(b.form)) >= 4 AND (contains(a.form, b.form) OR contains(b.form, a.form))))), 0) AS total FROM sc a)"""
 
 
-def _scored(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = _candidates(spark, sf_dir)
-    first = F.first("score").over(Window.partitionBy("question_id").orderBy("rank"))
-    rows = rows.withColumn("titled", A.is_title(F.col("answer"), F.col("title"))).withColumn("first", first)
-    return rows.withColumn("sc", A.candidate_score(F.col("margin"), F.col("score"), F.col("first"), F.col("coverage"), F.col("phrase"), F.col("titled")))
-
-
 @query("candidate_score", f"WITH {_CAND}, {_FORMS}, {_SC} SELECT question_id, rank, round(sc, 4) AS sc FROM sc")
 def candidate_score(spark, sf_dir):
-    return _scored(spark, sf_dir).select("question_id", F.col("rank").cast("long").alias("rank"), F.round("sc", 4).alias("sc"))
+    return scored(spark, sf_dir).select("question_id", "rank", F.round("sc", 4).alias("sc"))
 
 
 @query("vote", f"WITH {_CAND}, {_FORMS}, {_SC}, {_VOTE} SELECT question_id, rank, round(total, 4) AS total, row_number() OVER (PARTITION BY question_id ORDER BY round(total, 9) DESC, rank) = 1 AS won FROM v")
 def vote(spark, sf_dir):
-    rows = A.voted(_scored(spark, sf_dir).withColumn("sc", F.round("sc", 9)))
-    return rows.select("question_id", F.col("rank").cast("long").alias("rank"), F.round("total", 4).alias("total"), "won")
+    rows = A.voted(scored(spark, sf_dir))
+    return rows.select("question_id", "rank", F.round("total", 4).alias("total"), "won")
 
 
-@query("promote", f"WITH {_CAND}, {_FORMS}, {_SC}, {_VOTE}, w AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(total, 9) DESC, rank) = 1 AS won FROM v) SELECT question_id, rank, row_number() OVER (PARTITION BY question_id ORDER BY won DESC, rank) AS place FROM w")
+@query("promote", f"WITH {_CAND}, {_FORMS}, {_SC}, {_VOTE}, wn AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(total, 9) DESC, rank) = 1 AS won FROM v) SELECT question_id, rank, row_number() OVER (PARTITION BY question_id ORDER BY won DESC, rank) AS place FROM wn")
 def promote(spark, sf_dir):
-    rows = A.promoted(A.voted(_scored(spark, sf_dir).withColumn("sc", F.round("sc", 9))))
-    return rows.select("question_id", F.col("rank").cast("long").alias("rank"), F.col("place").cast("long").alias("place"))
+    rows = A.promoted(A.voted(scored(spark, sf_dir)))
+    return rows.select("question_id", "rank", F.col("place").cast("long").alias("place"))
 
 
 @query("accept_gate", f"WITH {_CAND}, {_FORMS}, a AS (SELECT *, {_CONF} AS confidence FROM k) SELECT question_id, rank, margin FROM a WHERE answer <> '' AND confidence >= 0.45 AND (margin >= 0 OR (titled AND margin >= -6))")
 def accept_gate(spark, sf_dir):
     rows = _candidates(spark, sf_dir).withColumn("confidence", A.confidence(F.col("margin"), F.col("dense"), F.col("coverage")))
-    return rows.where(A.accepted(F.col("answer"), F.col("confidence"), F.col("margin"), A.is_title(F.col("answer"), F.col("title")))).select("question_id", F.col("rank").cast("long").alias("rank"), "margin")
+    return rows.where(A.accepted(F.col("answer"), F.col("confidence"), F.col("margin"), A.is_title(F.col("answer"), F.col("title")))).select("question_id", "rank", "margin")
+
+
+#: The winner of each question; sentences of candidates of questions that nobody answered convincingly; their readings; the final answers.
+_FINAL = f"""w1 AS MATERIALIZED (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(total, 9) DESC, rank) = 1),
+lost AS (SELECT question_id, doc_id AS passage_id, rank, title, passage, question, score, first FROM sc WHERE question_id IN (SELECT question_id FROM w1 WHERE margin <= 0)),
+ls AS (SELECT question_id, passage_id, question, unnest(a) AS text, generate_subscripts(a, 1) - 1 AS place FROM (SELECT question_id, passage_id, question, CASE WHEN len(a) > 64 THEN a[1:63] || [array_to_string(a[64:], ' ')] ELSE a END AS a FROM (
+  SELECT question_id, passage_id, question, string_split(regexp_replace(regexp_replace(passage, '([.?!]) ([A-Z0-9"(])', '\\1' || chr(1) || '\\2', 'g'), '((?:^|\\s)[A-Z]\\S{{0,2}}\\.)\x01', '\\1 ', 'g'), chr(1)) AS a FROM lost))),
+lp AS (SELECT question_id, passage_id * 64 + place AS passage_id, question, text FROM ls), {coverage_ctes(True, "l_", "lp")},
+lb AS (SELECT question_id, passage_id // 64 AS passage_id, text, coalesce(coverage, 1.0) AS bc FROM lp LEFT JOIN l_cov USING (question_id, passage_id)
+  QUALIFY row_number() OVER (PARTITION BY question_id, passage_id // 64 ORDER BY round(coalesce(coverage, 1.0), 9) DESC, passage_id % 64) = 1),
+l2 AS MATERIALIZED (SELECT lost.*, bc, title || ': ' || text AS context FROM lost JOIN lb USING (question_id, passage_id)), {read_ctes("r2_", "l2", "context")},
+a2 AS (SELECT *, trim(regexp_replace(lower(split_part(title, '(', 1)), '{_PUNCT}', '', 'g')) AS nt, regexp_replace(trim(regexp_replace(lower(answer), '{_PUNCT}', '', 'g')), '^the ', '') AS na FROM (
+  SELECT question_id, rank, passage_id AS doc_id, title, {RESOLVED} AS answer, round(span_score - null_score, 6) AS margin, score, first, bc FROM l2 JOIN r2_read USING (question_id, passage_id) WHERE span <> '')),
+s2 AS (SELECT *, round(margin + 12 * (score - first) + 15 * (bc - 1) + CASE WHEN {_TITLED} THEN 3 ELSE 0 END, 9) AS s2 FROM a2),
+b2 AS (SELECT * FROM s2 WHERE margin > 0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY s2 DESC, rank) = 1),
+final AS (SELECT w.question_id, b.rank IS NOT NULL AS again, coalesce(b.rank, w.rank) AS rank, coalesce(b.doc_id, w.doc_id) AS doc_id, coalesce(b.title, w.title) AS title, coalesce(b.answer, w.answer) AS answer,
+  coalesce(b.margin, w.margin) AS margin, coalesce(b.s2, round(w.total, 9)) AS total FROM w1 w LEFT JOIN b2 b ON b.question_id = w.question_id AND b.s2 > round(w.total, 9))"""
+_CHAIN = f"WITH {_CAND}, {_FORMS}, {_SC}, {_VOTE}, {_FINAL}"
+
+
+@query("reader_fallback", f"{_CHAIN} SELECT question_id, rank, doc_id, answer, round(margin, 4) AS margin, round(s2, 4) AS sc FROM s2")
+def reader_fallback(spark, sf_dir):
+    """Where the winner's margin isn't positive, the best sentence of each candidate's passage is read alone."""
+    return second(spark, sf_dir).select("question_id", "rank", "doc_id", "answer", F.round("margin", 4).alias("margin"), F.round("sc", 4).alias("sc"))
 
 
-@query("reader_fallback", f"""WITH {_CAND}, {_FORMS}, {_SC}, {_VOTE}, w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(total, 9) DESC, rank) = 1),
-again AS (SELECT sc.question_id, sc.rank, sc.margin + 2 AS margin, sc.sc + 2 AS sc FROM sc JOIN w USING (question_id) WHERE w.margin <= 0 AND sc.margin + 2 > 0)
-SELECT w.question_id, coalesce(x.rank, w.rank) AS rank FROM w LEFT JOIN (SELECT * FROM again QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY round(sc, 9) DESC, rank) = 1) x ON x.question_id = w.question_id AND round(x.sc, 9) > round(w.total, 9)""")
-def reader_fallback(spark, sf_dir):
-    """Where the winner's margin isn't positive, a second reading (stand-in: margin + 2) may beat the vote."""
-    from pyspark.sql import Window
-
-    scored = _scored(spark, sf_dir).withColumn("sc", F.round("sc", 9))
-    w = A.voted(scored).where("won").select("question_id", F.col("rank").alias("winner"), F.col("margin").alias("won_margin"), F.round("total", 9).alias("total"))
-    again = scored.select("question_id", "rank", (F.col("margin") + 2).alias("margin"), (F.col("sc") + 2).alias("sc")).join(w, "question_id").where("won_margin <= 0 and margin > 0")
-    best = again.withColumn("n", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("sc"), "rank"))).where("n = 1 and round(sc, 9) > total")
-    return w.join(best.select("question_id", "rank"), "question_id", "left").select("question_id", F.coalesce("rank", "winner").cast("long").alias("rank"))
+@query("answers_end_to_end", f"{_CHAIN} SELECT question_id, rank, doc_id, title, answer, round(margin, 4) AS margin, round(total, 4) AS total, again FROM final")
+def answers_end_to_end(spark, sf_dir):
+    """Retrieval, pre-ranking, reading, votes and, for questions without a convincing answer, second readings: one answer for each question."""
+    rows = answers(spark, sf_dir)
+    return rows.select("question_id", "rank", "doc_id", "title", "answer", F.round("margin", 4).alias("margin"), F.round("total", 4).alias("total"), "again")
 
 
 @query("context_assembly")

@@ -49,6 +49,19 @@ def index(spark: SparkSession, sf_dir: str, of: str = "passages") -> L.Index:
     return _indexes[key]
 
 
+_saved: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def saved(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """make(spark, sf_dir), written once in an application and read from then on."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _saved:
+        where = folder(spark, name)
+        make(spark, sf_dir).write.parquet(where)
+        _saved[key] = spark.read.parquet(where)
+    return _saved[key]
+
+
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(passage_id, article_id, text): the lines of documents that aren't empty."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
@@ -74,6 +87,12 @@ def sql_tokens(column: str) -> str:
     return f"regexp_extract_all(strip_accents(lower(coalesce({column}, ''))), '{token}')"
 
 
+def sql_pieces(column: str) -> str:
+    """Tokens as they stand and what lies between them, by turns."""
+    token = T.SOURCE_TOKEN.replace("'", "''")
+    return f"string_split(regexp_replace({column}, '({token})', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+
+
 PASSAGES = f"""passages AS (SELECT doc_id * {STRIDE} + line - 1 AS passage_id, doc_id AS article_id, text FROM (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents) WHERE text <> '')"""
 TF = f"""{PASSAGES},

@@ -88,14 +88,14 @@ def _replies(spark, sf_dir):
 
 @query("grounded", f"WITH {_CAND}, {_GR} SELECT question_id, rank, {_GROUNDED} AS grounded FROM gr")
 def grounded(spark, sf_dir):
-    return _replies(spark, sf_dir).select("question_id", F.col("rank").cast("long").alias("rank"), K.grounded(F.col("answer"), F.col("reply"), F.col("confidence"), F.lit(False)).alias("grounded"))
+    return _replies(spark, sf_dir).select("question_id", "rank", K.grounded(F.col("answer"), F.col("reply"), F.col("confidence"), F.lit(False)).alias("grounded"))
 
 
 @query("retry_cascade", f"WITH {_CAND}, {_GR} SELECT question_id, rank, CASE WHEN {_GROUNDED.replace('< 0.6', '< 0.5')} THEN 'reply' WHEN confidence >= 0.6 THEN 'answer' ELSE 'reply' END AS used FROM gr")
 def retry_cascade(spark, sf_dir):
     rows = _replies(spark, sf_dir)
     out = K.first_grounded(F.col("answer"), F.col("title"), F.col("confidence"), F.lit(True), [F.col("reply")])
-    return rows.select("question_id", F.col("rank").cast("long").alias("rank"), F.when(out == F.col("reply"), "reply").otherwise("answer").alias("used"))
+    return rows.select("question_id", "rank", F.when(out == F.col("reply"), "reply").otherwise("answer").alias("used"))
 
 
 @query("token_budget", f"SELECT conv_id, turn, CASE WHEN len(list_filter({strings(K.LISTY)}, lambda p: contains(lower(text), p))) > 0 THEN 260 ELSE 160 END AS budget FROM conversations")
@@ -154,7 +154,7 @@ def gate(spark, sf_dir):
     return blocks.agg(F.min("score").alias("worst"), F.count(F.when(F.col("score") < 9, 1)).alias("failing"), (F.min("score") >= 9).alias("passed"))
 
 
-@query("conf_percentiles", f"WITH {_CAND}, c AS (SELECT round({_CONF}, 6) AS confidence FROM cand), r AS (SELECT confidence, row_number() OVER (ORDER BY confidence) - 1 AS i, count(*) OVER () AS n FROM c) SELECT min(confidence) AS lowest, max(CASE WHEN i = n // 10 THEN confidence END) AS p10, max(CASE WHEN i = n // 2 THEN confidence END) AS median FROM r")
+@query("conf_percentiles", f"WITH {_CAND}, cf AS (SELECT round({_CONF}, 6) AS confidence FROM cand), r AS (SELECT confidence, row_number() OVER (ORDER BY confidence) - 1 AS i, count(*) OVER () AS n FROM cf) SELECT min(confidence) AS lowest, max(CASE WHEN i = n // 10 THEN confidence END) AS p10, max(CASE WHEN i = n // 2 THEN confidence END) AS median FROM r")
 def conf_percentiles(spark, sf_dir):
     """By index, not interpolated. Equal values are counted first, so the running total is over distinct ones."""
     rows = _replies(spark, sf_dir).select(F.round("confidence", 6).alias("confidence")).groupBy("confidence").count()
@@ -180,10 +180,10 @@ def retrieval_at_8(spark, sf_dir):
     return out.agg(F.count("*").alias("items"), F.count("at").alias("found"), F.count_if(F.col("at") == 1).alias("found_first"), F.round(F.count("at") / F.count("*"), 4).alias("share"))
 
 
-@query("confidence_bucket", f"WITH {_CAND}, c AS (SELECT question_id, rank, answer, {_CONF} AS f FROM cand) SELECT question_id, rank, CASE WHEN f > 0.6 THEN 'confident' WHEN f > 0.35 THEN 'probably' ELSE 'unsure' END AS bucket, f < 0.22 OR answer = '' AS not_found FROM c")
+@query("confidence_bucket", f"WITH {_CAND}, cf AS (SELECT question_id, rank, answer, {_CONF} AS f FROM cand) SELECT question_id, rank, CASE WHEN f > 0.6 THEN 'confident' WHEN f > 0.35 THEN 'probably' ELSE 'unsure' END AS bucket, f < 0.22 OR answer = '' AS not_found FROM cf")
 def confidence_bucket(spark, sf_dir):
     c = A.confidence(F.col("margin"), F.col("dense"), F.col("coverage"))
-    return _candidates(spark, sf_dir).select("question_id", F.col("rank").cast("long").alias("rank"), K.bucket(c).alias("bucket"), K.not_found(c, F.col("answer")).alias("not_found"))
+    return _candidates(spark, sf_dir).select("question_id", "rank", K.bucket(c).alias("bucket"), K.not_found(c, F.col("answer")).alias("not_found"))
 
 
 @query("highlight", f"""WITH {PASSAGES}, h AS (SELECT passage_id, text, ' the ' AS a, instr(lower(text), ' the ') AS i FROM passages)

@@ -182,14 +182,19 @@ def _text_pairs(spark: SparkSession, sf_dir: str, most: int = 8) -> DataFrame:
 
 
 def _coverage_sql(skip: bool) -> str:
+    return f"{DOCS}, {_PAIR}, {coverage_ctes(skip)}"
+
+
+def coverage_ctes(skip: bool, p: str = "", pairs: str = "pairs") -> str:
+    """CTEs up to {p}cov (question_id, passage_id, coverage) of `pairs` (question_id, passage_id, question, text)."""
     rule = "WHERE df IS NOT NULL OR strlen(term) > 3" if skip else ""
-    return f"""{DOCS}, {_PAIR}, qt AS (SELECT DISTINCT question_id, passage_id, term FROM (SELECT question_id, passage_id, unnest({sql_tokens("question")}[1:128]) AS term FROM pairs)
+    return f"""{p}qt AS (SELECT DISTINCT question_id, passage_id, term FROM (SELECT question_id, passage_id, unnest({sql_tokens("question")}[1:128]) AS term FROM {pairs})
   WHERE NOT list_contains({strings(T.STOP_WORDS)}, term)),
-ht AS (SELECT DISTINCT question_id, passage_id, held FROM (SELECT question_id, passage_id, unnest({sql_tokens("text")}[1:512]) AS held FROM pairs)),
-m AS (SELECT DISTINCT question_id, passage_id, term FROM qt JOIN ht USING (question_id, passage_id) WHERE {sql_related("term", "held")}),
-cov AS (SELECT question_id, passage_id, sum(CASE WHEN m.term IS NOT NULL THEN idf ELSE 0 END) / sum(idf) AS coverage FROM (
-  SELECT question_id, passage_id, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM qt LEFT JOIN dfs USING (term), stats {rule}) x
-  LEFT JOIN m USING (question_id, passage_id, term) GROUP BY ALL)"""
+{p}ht AS (SELECT DISTINCT question_id, passage_id, held FROM (SELECT question_id, passage_id, unnest({sql_tokens("text")}[1:512]) AS held FROM {pairs})),
+{p}m AS (SELECT DISTINCT question_id, passage_id, term FROM {p}qt JOIN {p}ht USING (question_id, passage_id) WHERE {sql_related("term", "held")}),
+{p}cov AS (SELECT question_id, passage_id, sum(CASE WHEN {p}m.term IS NOT NULL THEN idf ELSE 0 END) / sum(idf) AS coverage FROM (
+  SELECT question_id, passage_id, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS idf FROM {p}qt LEFT JOIN dfs USING (term), stats {rule}) x
+  LEFT JOIN {p}m USING (question_id, passage_id, term) GROUP BY ALL)"""
 
 
 _COVERAGE = "SELECT question_id, passage_id, round(coalesce(coverage, 1.0), 4) AS coverage FROM pairs LEFT JOIN cov USING (question_id, passage_id)"
@@ -225,14 +230,6 @@ def phrase_match(spark, sf_dir):
     return R.phrase_match(_text_pairs(spark, sf_dir)).select("question_id", "passage_id", F.round("phrase", 4).alias("phrase"))
 
 
-@query("prerank_top8", f"""WITH {_coverage_sql(False)}, {_PHRASE}, scored AS (SELECT question_id, passage_id, base + 0.15 * coalesce(coverage, 1.0) + 0.3 * coalesce(phrase, 0) AS score
-FROM pairs LEFT JOIN cov USING (question_id, passage_id) LEFT JOIN ph USING (question_id, passage_id)) {_RANK}""")
-def prerank_top8(spark, sf_dir):
-    """The first score is the document's share of the question's best BM25 score."""
-    rows = R.phrase_match(_covered(spark, sf_dir, False))
-    return _ranked(rows.withColumn("score", R.prerank_score(F.col("base"), F.col("coverage"), F.col("phrase"))))
-
-
 @query("interleave_two", f"""WITH {_Q}, ab AS (SELECT question_id, vec_id AS passage_id, round(list_inner_product(qv, codes) * scale, 9) AS a, round(list_inner_product(qc, codes) * scale * qs, 9) AS b FROM c, q),
 r AS (SELECT question_id, passage_id, row_number() OVER (PARTITION BY question_id ORDER BY a DESC, passage_id) AS ra, row_number() OVER (PARTITION BY question_id ORDER BY b, passage_id) AS rb FROM ab),
 p AS (SELECT question_id, passage_id, min(place) AS place FROM (SELECT question_id, passage_id, ra * 2 AS place FROM r WHERE ra <= 8 UNION ALL SELECT question_id, passage_id, rb * 2 + 1 FROM r WHERE rb <= 8) GROUP BY ALL)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators import lexical as L
+from gleaner.operators import reading as N
 from gleaner.operators import retrieve as R
 
-from .binding import PASSAGES, TF, articles, index, passages, questions, sql_question_terms, sql_related, sql_tokens, strings, table
+from .binding import PASSAGES, TF, articles, index, passages, questions, sql_question_terms, sql_pieces, sql_related, sql_tokens, strings, table
 from .registry import query
 
 
@@ -39,6 +40,18 @@ def tok_pair(spark, sf_dir):
     return p.select("item_id", F.size("p").cast("long").alias("n_pair"), F.md5(F.array_join("p", " ")).alias("digest"))
 
 
+@query("token_spans", f"""WITH p AS (SELECT doc_id, unnest(a) AS source, generate_subscripts(a, 1) - 1 AS n FROM (SELECT doc_id, {sql_pieces("text")} AS a FROM documents)),
+o AS (SELECT *, sum(strlen(source)) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM p),
+t AS (SELECT doc_id, n, strip_accents(lower(source)) AS token, upto - strlen(source) AS a, upto AS z FROM o WHERE n % 2 = 1)
+SELECT doc_id, count(*) AS n, max(z)::BIGINT AS last_byte, md5(string_agg(token || ':' || a || '-' || z, ' ' ORDER BY n)) AS digest FROM t WHERE token <> '' GROUP BY doc_id""")
+def token_spans(spark, sf_dir):
+    """The bytes of every token in its document, as a digest of (token, first byte, byte after the last) in order."""
+    rows = N.token_spans(table(spark, sf_dir, "documents"), ["doc_id"])
+    item = F.struct("place", F.concat_ws("", "token", F.lit(":"), F.col("from_byte").cast("string"), F.lit("-"), F.col("to_byte").cast("string")).alias("t"))
+    rows = rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("to_byte").alias("last_byte"), F.sort_array(F.collect_list(item)).alias("l"))
+    return rows.select("doc_id", "n", "last_byte", F.md5(F.array_join(F.transform("l", lambda x: x.t), " ")).alias("digest"))
+
+
 @query("stop_tokens", f"SELECT term, count(*) AS n FROM (SELECT unnest({sql_tokens('text')}) AS term FROM documents) WHERE list_contains({strings(T.STOP_WORDS)}, term) GROUP BY ALL")
 def stop_tokens(spark, sf_dir):
     found = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term"))

@@ -9,11 +9,10 @@ from gleaner.functions import models as M
 from gleaner.functions import routing as G
 from gleaner.functions import text as T
 from gleaner.functions import vectors as V
-from gleaner.operators import lexical as L
 from gleaner.sources import formats as S
 from gleaner.streaming.serve import stats as corpus_stats
 
-from .binding import PASSAGES, articles, folder, index, passages, sql_tokens, table
+from .binding import PASSAGES, articles, folder, passages, sql_tokens, table
 from .registry import query
 
 
@@ -120,19 +119,3 @@ def wordpiece(spark, sf_dir):
     pieces = [*letters, *(f"##{c}" for c in letters), *(f"{a}{b}" for a in letters for b in "aeiou"), *(f"##{a}{b}" for a in letters for b in "aeiou")]
     rows = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
     return rows.select("item_id", M.wordpiece(F.col("t"), pieces).alias("p")).select("item_id", F.size("p").alias("n"), F.size(F.filter("p", lambda x: x == "[UNK]")).alias("unknown"))
-
-
-@query("answers_end_to_end")
-def answers_end_to_end(spark, sf_dir):
-    """Rows only: retrieve, read with the stand-in, score and vote, one answer per benchmark text."""
-    from gleaner.operators import answers as A
-    from gleaner.operators import retrieve as R
-
-    p = passages(spark, sf_dir)
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
-    hits = R.top_k(L.bm25(L.question_terms(q).withColumn("weight", F.lit(1.0)), index(spark, sf_dir)).withColumn("score", F.round("lexical", 9)), 8)
-    rows = hits.join(p.withColumnRenamed("text", "passage"), "passage_id").join(q, "question_id").join(articles(spark, sf_dir), "article_id")
-    rows = rows.select("question_id", "rank", "title", M.OverlapReader().read(F.col("text"), F.col("passage")).alias("r"))
-    rows = rows.select("question_id", "rank", "title", A.clipped(F.col("r.answer")).alias("answer"), (F.col("r.span_score") - F.col("r.null_score")).alias("margin"))
-    rows = A.voted(rows.withColumn("sc", F.col("margin")))
-    return rows.where("won and answer <> ''").select("question_id", "rank", "answer", "title", F.round("total", 4).alias("total"))
