@@ -44,10 +44,15 @@ class Index:
     @staticmethod
     def build(passages: DataFrame, folder: str, bag: str = "text") -> Index:
         """Tokenises every passage once and writes the relations; passages without tokens have no rows."""
-        spark = passages.sparkSession
         found = passages.select("passage_id", T.tokens(F.col(bag)).alias("t"))
         found = found.select("passage_id", F.size("t").cast("long").alias("doclen"), F.explode("t").alias("term"))
-        found.groupBy("passage_id", "term", "doclen").agg(F.count("*").alias("tf")).write.parquet(f"{folder}/tf")
+        return Index.save(found.groupBy("passage_id", "term", "doclen").agg(F.count("*").alias("tf")), folder)
+
+    @staticmethod
+    def save(tf: DataFrame, folder: str) -> Index:
+        """Writes the relations of term frequencies (passage_id, term, doclen, tf)."""
+        spark = tf.sparkSession
+        tf.write.parquet(f"{folder}/tf")
         tf = spark.read.parquet(f"{folder}/tf")
         tf.groupBy("passage_id").agg(F.max("doclen").alias("doclen")).write.parquet(f"{folder}/lengths")
         document_frequencies(tf).write.parquet(f"{folder}/dfs")

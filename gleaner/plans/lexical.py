@@ -7,12 +7,24 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators import lexical as L
+from gleaner.operators import postings as P
 from gleaner.operators import reading as N
 from gleaner.operators import retrieve as R
+from gleaner.operators import wordpiece as W
 
-from .binding import PASSAGES, TF, articles, index, passages, questions, sql_question_terms, sql_pieces, sql_related, sql_tokens, strings, table
+from .binding import PASSAGES, TF, articles, folder, index, passages, questions, saved, sql_question_terms, sql_pieces, sql_related, sql_tokens, strings, table
 from .registry import query
 
+#: The public tokenizer file whose strings are taken as word pieces; its place is a parameter of the functions.
+PIECE_FILE = "word_bpe_49k.json"
+
+
+def _piece_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECE_FILE)
+
+
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).tf.select("passage_id", "term", "tf")
@@ -141,3 +153,96 @@ def bm25_fuzzy(spark, sf_dir):
     found = index(spark, sf_dir)
     terms = L.with_fuzzy(L.question_terms(questions(spark, sf_dir)), found.dfs)
     return _top8(L.bm25(terms, found))
+
+
+_CAPPED = "capped AS (SELECT term, df FROM dfs, stats WHERE df <= greatest(1000, floor(0.05 * n)))"
+_SIZE = lambda v: " + ".join(["1", *(f"({v} >= {1 << (7 * k)})::INT" for k in range(1, 9))])
+_blocks: dict[tuple[str, str], DataFrame] = {}
+
+
+def _posting_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _blocks:
+        _blocks[key] = P.write_blocks(index(spark, sf_dir), folder(spark, "posting-blocks"))
+    return _blocks[key]
+
+
+@query("posting_blocks", f"""WITH {TF}, {_CAPPED}, g AS (SELECT term, passage_id // {P.SPAN} AS block, passage_id, tf, doclen,
+  passage_id - coalesce(lag(passage_id) OVER (PARTITION BY term, passage_id // {P.SPAN} ORDER BY passage_id), passage_id // {P.SPAN} * {P.SPAN}) AS gap FROM tf JOIN capped USING (term) JOIN lengths USING (passage_id))
+SELECT term, block::BIGINT AS block, count(*) AS n, min(passage_id) AS first_id, max(passage_id) AS last_id, sum({_SIZE("gap")} + {_SIZE("tf")} + {_SIZE("doclen")})::BIGINT AS bytes FROM g GROUP BY term, block""")
+def posting_blocks(spark, sf_dir):
+    """The coded blocks of all terms under the cap of 1,000 or 5 % of passages, with their sizes."""
+    return _posting_blocks(spark, sf_dir).select("term", "block", "n", "first_id", "last_id", F.octet_length("data").cast("long").alias("bytes"))
+
+
+@query("postings_decoded", f"WITH {TF}, {_CAPPED} SELECT term, passage_id, tf, doclen::BIGINT AS doclen FROM tf JOIN capped USING (term) JOIN lengths USING (passage_id)")
+def postings_decoded(spark, sf_dir):
+    """All postings, read back from the blocks."""
+    return P.read_blocks(_posting_blocks(spark, sf_dir).select("term", "block", "n", "data")).select("term", "passage_id", "tf", "doclen")
+
+
+@query("bm25_blocks", f"WITH {TF}, {_CAPPED}, w AS (SELECT q.*, 1.0 AS weight FROM ({sql_question_terms()}) q JOIN capped USING (term)), {BM25} {TOP}")
+def bm25_blocks(spark, sf_dir):
+    """The eight best passages by the postings of the blocks; terms over the cap have none."""
+    terms = L.question_terms(questions(spark, sf_dir)).withColumn("weight", F.lit(1.0))
+    return _top8(P.bm25(terms, _posting_blocks(spark, sf_dir), index(spark, sf_dir)))
+
+
+# Word pieces in SQL: the file's strings, then one recursion step for each piece of a term.
+_PIECES = f"""voc AS (SELECT DISTINCT regexp_replace(s, '</w>$', '') AS s FROM (SELECT unnest(json_keys(content::JSON, '$.model.vocab')) AS s FROM read_text('{{path}}')) WHERE regexp_replace(s, '</w>$', '') <> ''),
+cut(term, pos, pieces) AS (SELECT term, 1, []::VARCHAR[] FROM dfs WHERE length(term) <= {W.LONGEST}
+  UNION ALL SELECT term, pos + size, list_append(pieces, CASE WHEN pos = 1 THEN '' ELSE '##' END || substr(term, pos, size)) FROM (
+    SELECT c.term, c.pos, c.pieces, max(length(voc.s)) AS size FROM (SELECT *, unnest(range(1, length(term) - pos + 2)) AS k FROM cut WHERE pos <= length(term)) c JOIN voc ON voc.s = substr(c.term, c.pos, c.k) GROUP BY ALL)),
+pieces AS (SELECT d.term, coalesce(c.pieces, ['{W.UNKNOWN}']) AS pieces FROM dfs d LEFT JOIN (SELECT * FROM cut WHERE pos > length(term)) c USING (term))"""
+
+
+def _recursive(sql: str) -> str:
+    return "WITH RECURSIVE " + sql.removeprefix("WITH ")
+
+
+def _with_pieces() -> str:
+    return _PIECES.replace("{path}", _piece_path())
+
+
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved(spark, sf_dir, "term-pieces", lambda s, d: W.term_pieces(index(s, d).dfs, W.vocabulary(_piece_path())))
+
+
+_piece_indexes: dict[tuple[str, str], L.Index] = {}
+
+
+def _piece_index(spark: SparkSession, sf_dir: str) -> L.Index:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _piece_indexes:
+        tf = W.piece_frequencies(index(spark, sf_dir), _cut(spark, sf_dir))
+        lengths = L.document_lengths(tf)
+        _piece_indexes[key] = L.Index.save(tf.join(lengths, "passage_id"), folder(spark, "piece-index"))
+    return _piece_indexes[key]
+
+
+@query("wordpiece", _recursive(f"WITH {TF}, {_with_pieces()} SELECT term, len(pieces) AS n, array_to_string(pieces, ' ') AS pieces FROM pieces"))
+def wordpiece(spark, sf_dir):
+    """The pieces of every distinct term of all passages."""
+    return _cut(spark, sf_dir).select("term", F.size("pieces").cast("long").alias("n"), F.array_join("pieces", " ").alias("pieces"))
+
+
+_PIECE_TF = """ptf AS (SELECT passage_id, piece AS term, sum(tf)::BIGINT AS tf FROM (SELECT passage_id, unnest(pieces) AS piece, tf FROM tf JOIN pieces USING (term)) GROUP BY ALL),
+plen AS (SELECT passage_id, sum(tf) AS doclen FROM ptf GROUP BY ALL), pstats AS (SELECT count(*) AS n, avg(doclen) AS avgdl FROM plen), pdfs AS (SELECT term, count(*) AS df FROM ptf GROUP BY ALL)"""
+
+
+@query("tf_pieces", _recursive(f"WITH {TF}, {_with_pieces()}, {_PIECE_TF} SELECT passage_id, term, tf, doclen::BIGINT AS doclen FROM ptf JOIN plen USING (passage_id)"))
+def tf_pieces(spark, sf_dir):
+    """Frequencies of word pieces in passages."""
+    return _piece_index(spark, sf_dir).tf.select("passage_id", "term", "tf", "doclen")
+
+
+_PIECE_BM25 = BM25.replace("JOIN dfs", "JOIN pdfs").replace("JOIN tf", "JOIN ptf").replace("JOIN lengths", "JOIN plen").replace(", stats", ", pstats")
+
+
+@query("bm25_pieces", _recursive(f"""WITH {TF}, {_with_pieces()}, {_PIECE_TF}, w AS (SELECT DISTINCT question_id, term, 1.0 AS weight FROM (SELECT question_id, unnest(pieces) AS term FROM ({sql_question_terms()}) JOIN pieces USING (term))
+  WHERE NOT starts_with(term, '##') AND term <> '{W.UNKNOWN}'), {_PIECE_BM25} {TOP}"""))
+def bm25_pieces(spark, sf_dir):
+    """The eight best passages by word pieces; question pieces that continue a word don't count."""
+    terms = L.question_terms(questions(spark, sf_dir))
+    asked = W.question_pieces(terms, _cut(spark, sf_dir)).withColumn("weight", F.lit(1.0))
+    return _top8(L.bm25(asked, _piece_index(spark, sf_dir)))

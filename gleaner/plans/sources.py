@@ -110,12 +110,3 @@ def compose_standin(spark, sf_dir):
     none = F.array().cast("array<struct<role:string,text:string>>")
     prompt = K.prompt("Answer briefly.", none, F.col("text"), F.array().cast("array<string>"), G.mode(F.col("text")))
     return table(spark, sf_dir, "benchmark").select("item_id", M.EchoComposer().compose(prompt, K.token_budget(F.col("text"))).alias("reply"))
-
-
-@query("wordpiece")
-def wordpiece(spark, sf_dir):
-    """Rows only: cut by a vocabulary of all 1- to 3-letter pieces of the Latin alphabet's vowels and consonants."""
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    pieces = [*letters, *(f"##{c}" for c in letters), *(f"{a}{b}" for a in letters for b in "aeiou"), *(f"##{a}{b}" for a in letters for b in "aeiou")]
-    rows = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
-    return rows.select("item_id", M.wordpiece(F.col("t"), pieces).alias("p")).select("item_id", F.size("p").alias("n"), F.size(F.filter("p", lambda x: x == "[UNK]")).alias("unknown"))
