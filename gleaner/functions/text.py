@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -145,14 +146,55 @@ def merged_forward(paragraphs: Column, least: int = 60) -> Column:
     return F.aggregate(paragraphs, F.array().cast("array<string>"), add)
 
 
-#: Entities that are replaced without a Python function, in order, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+#: The standard's named characters that end with a semicolon, those that needn't, and a pattern of these, longest first.
+NAMED = {n: c for n, c in html5.items() if n.endswith(";")}
+OPEN = {n: c for n, c in html5.items() if not n.endswith(";")}
+_OPEN = "^(" + "|".join(sorted(OPEN, key=lambda n: (-len(n), n))) + ")"
+#: Numbers whose characters the standard replaces: those of a Western code page, nothing, and a return.
+_REPLACED = {0x00: "�", 0x0D: "\r"} | {k: bytes([k]).decode("cp1252", "ignore") or chr(k) for k in range(0x80, 0xA0)}
+
+
+def _literal_map(pairs: dict) -> Column:
+    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+
+
+def _numbered(s: Column) -> Column:
+    """The character of #123; or #x7B;: none for those that aren't characters, the replacement character beyond the range."""
+    digits = F.regexp_replace(s, "^#[xX]?0*|;$", "")
+    hexadecimal = s.rlike("^#[xX]")
+    code = F.when(F.length(digits) > 8, F.lit(0x110000)).otherwise(F.when(hexadecimal, F.conv(F.concat(F.lit("0"), digits), 16, 10)).otherwise(F.conv(F.concat(F.lit("0"), digits), 10, 10)).cast("long"))
+
+    def character(n: Column) -> Column:
+        odd = F.lit(False)
+        for low, high in ((1, 8), (14, 31), (127, 159), (0xFDD0, 0xFDEF), (11, 11)):
+            odd = odd | n.between(low, high)
+        odd = odd | (F.pmod(n, F.lit(0x10000)) >= 0xFFFE)
+        plain = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+        return F.coalesce(F.try_element_at(_literal_map(_REPLACED), F.least(n, F.lit(0x110000)).cast("int")), F.when(n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), "�").when(odd, "").otherwise(plain))
+
+    return bound(code, character)
+
+
+def _after_ampersand(part: Column) -> Column:
+    """What follows an ampersand, with the character that it names, if any, in place of its name."""
+
+    def named(s: Column) -> Column:
+        prefix = F.regexp_extract(s, _OPEN, 1)
+        short = F.try_element_at(_literal_map(OPEN), prefix)
+        found = F.when(s.endswith(";"), F.try_element_at(_literal_map(NAMED), s))
+        whole = F.coalesce(found, F.when(prefix != "", F.concat(short, F.substring(s, F.length(prefix) + 1, F.length(s)))), F.concat(F.lit("&"), s))
+        return F.when(s == "", "&").when(s.startswith("#"), _numbered(s)).otherwise(whole)
+
+    pattern = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+    return bound(F.regexp_extract(part, pattern, 1), lambda s: F.concat(named(s), F.substring(part, F.length(s) + 1, F.length(part))))
 
 
 def unescaped(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Named and numbered characters replaced, as the HTML standard does: names without semicolon too, where it knows them."""
+    parts = F.split(text, "&")
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), _after_ampersand)
+    whole = F.concat(parts[0], F.array_join(rest, ""))
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def body_of(html: Column) -> Column:

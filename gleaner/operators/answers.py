@@ -107,20 +107,32 @@ def accepted(answer: Column, confidence_: Column, margin: Column, titled: Column
 
 
 def assembled(texts: Column, most: int = 6, capacity: int = 8192) -> Column:
-    """Texts in order, up to six and a byte capacity (where it stops), without those inside one another; joined by a space."""
+    """array<struct<place, text, from_byte, to_byte>>: texts in order, up to six and a byte capacity (where it stops), without those inside one another.
 
-    def add(state: Column, t: Column) -> Column:
-        inside = F.exists(state.out, lambda o: F.lower(o).contains(F.lower(t)) | F.lower(t).contains(F.lower(o)))
-        room = state.size + F.octet_length(t) + 1 <= capacity
+    Joined by a space they are the reader's context; from_byte and to_byte are a text's bounds in it.
+    """
+
+    def add(state: Column, t: Column, place: Column) -> Column:
+        inside = F.exists(state.out, lambda o: F.lower(o.text).contains(F.lower(t)) | F.lower(t).contains(F.lower(o.text)))
+        end = F.coalesce(F.try_element_at(state.out, F.lit(-1))["to_byte"], F.lit(0))
+        room = end + F.octet_length(t) + 2 < capacity
         take = ~state.stop & ~inside & room & (F.size(state.out) < most)
-        return F.struct(
-            F.when(take, F.concat(state.out, F.array(t))).otherwise(state.out).alias("out"),
-            F.when(take, state.size + F.octet_length(t) + 1).otherwise(state.size).alias("size"),
-            (state.stop | (~inside & ~room)).alias("stop"),
-        )
-
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("size"), F.lit(False).alias("stop"))
-    return F.aggregate(texts, start, add, lambda s: F.array_join(s.out, " "))
+        start = F.when(end > 0, end + 1).otherwise(0)
+        one = F.struct(place.alias("place"), t.alias("text"), start.alias("from_byte"), (start + F.octet_length(t)).alias("to_byte"))
+        return F.struct(F.when(take, F.concat(state.out, F.array(one))).otherwise(state.out).alias("out"), (state.stop | (~inside & ~room)).alias("stop"))
+
+    none = F.array().cast("array<struct<place: int, text: string, from_byte: int, to_byte: int>>")
+    start = F.struct(none.alias("out"), F.lit(False).alias("stop"))
+    return F.aggregate(F.transform(texts, lambda t, k: F.struct(t.alias("t"), k.alias("k"))), start, lambda state, x: add(state, x.t, x.k), lambda s: s.out)
+
+
+def context_of(segments: Column) -> Column:
+    return F.array_join(F.transform(segments, lambda s: s.text), " ")
+
+
+def segment_of(segments: Column, from_byte: Column) -> Column:
+    """The segment that holds a byte of the context; the first if it stands between two."""
+    return F.coalesce(F.get(F.filter(segments, lambda s: (from_byte >= s.from_byte) & (from_byte < s.to_byte)), F.lit(0)), segments[0])
 
 
 def promoted(hits: DataFrame, by: str = "question_id") -> DataFrame:

@@ -10,9 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Rows whose covariance is taken, at most, in a fixed hash order; the mean is over all rows.
-SAMPLE = 20_000
-
+from gleaner.ship import ship
 
 @dataclass(frozen=True)
 class Model:
@@ -21,11 +19,42 @@ class Model:
     kept: float
 
 
+def _means(rows: DataFrame, vector: str) -> np.ndarray:
+    found = rows.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("i").collect()
+    return np.array([r.m for r in found])
+
+
+def covariances(rows: DataFrame, vector: str = "v") -> DataFrame:
+    """(i, j, mean, covariance): the mean of component i and its population covariance with j, over all rows, for all i and j.
+
+    Each task adds up the outer products of its centred blocks and emits the square of sums once; these are added by (i, j), so a
+    task sends dimensions^2 numbers whatever its rows. Vectors have one length and no nulls.
+    """
+    ship(rows.sparkSession)
+    mean = _means(rows, vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((len(mean), len(mean))), 0
+        for batch in batches:
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, len(mean)) - mean
+            total += x.T @ x
+            n += len(x)
+        if n:
+            i, j = np.divmod(np.arange(total.size), len(mean))
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total.ravel()), pa.array(np.full(total.size, n))], ["i", "j", "s", "n"])
+
+    sums = rows.select(vector).mapInArrow(run, "i int, j int, s double, n long").groupBy("i", "j").agg((F.sum("s") / F.sum("n")).alias("covariance"))
+    means = F.array(*(F.lit(float(m)) for m in mean))
+    return sums.select("i", "j", F.get(means, F.col("i")).alias("mean"), "covariance")
+
+
 def fit(rows: DataFrame, dimensions: int, vector: str = "v", key: str = "passage_id") -> Model:
-    means = rows.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m")).orderBy("i").collect()
-    mean = np.array([r.m for r in means])
-    sample = np.array([r[0] for r in rows.orderBy(F.xxhash64(key), key).limit(SAMPLE).select(vector).collect()], float).reshape(-1, len(mean)) - mean
-    values, axes = np.linalg.eigh(sample.T @ sample / max(1, len(sample)))
+    """The leading axes of all rows' covariance; the driver holds dimensions^2 numbers."""
+    mean = _means(rows, vector)
+    cov = np.zeros((len(mean), len(mean)))
+    for r in covariances(rows, vector).collect():
+        cov[r.i, r.j] = r.covariance
+    values, axes = np.linalg.eigh(cov)
     top = np.argsort(-values)[:dimensions]
     return Model(mean, axes[:, top], float(values[top].sum() / max(values.sum(), 1e-12)))
 

@@ -154,24 +154,3 @@ def answers_end_to_end(spark, sf_dir):
     """Retrieval, pre-ranking, reading, votes and, for questions without a convincing answer, second readings: one answer for each question."""
     rows = answers(spark, sf_dir)
     return rows.select("question_id", "rank", "doc_id", "title", "answer", F.round("margin", 4).alias("margin"), F.round("total", 4).alias("total"), "again")
-
-
-@query("context_assembly")
-def context_assembly(spark, sf_dir):
-    """Rows only: an ordered fold with a byte budget; its rules are tested on small cases."""
-    rows = _candidates(spark, sf_dir).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "answer"))).alias("t"))
-    return rows.select("question_id", A.assembled(F.transform("t", lambda x: x.answer)).alias("context"))
-
-
-@query("ask_route", f"""WITH {_CAND}, {_FORMS}, a AS (SELECT question_id, rank, answer, question_id % 2 = 0 AS entity, {_CONF} AS confidence, margin, titled FROM k WHERE rank <= 2),
-wide AS (SELECT * FROM a WHERE rank = 1), home AS (SELECT * FROM a WHERE rank = 2)
-SELECT h.question_id, CASE WHEN NOT h.entity AND w.answer <> '' AND w.confidence >= 0.45 AND (w.margin >= 0 OR (w.titled AND w.margin >= -6)) THEN 'wikipedia' ELSE 'home' END AS kind,
-  CASE WHEN NOT h.entity AND w.answer <> '' AND w.confidence >= 0.45 AND (w.margin >= 0 OR (w.titled AND w.margin >= -6)) THEN w.answer ELSE h.answer END AS answer FROM home h JOIN wide w USING (question_id)""")
-def ask_route(spark, sf_dir):
-    """Without an entity (stand-in: even ids have one) the encyclopedia's accepted answer comes first, else the home index's."""
-    rows = _candidates(spark, sf_dir).withColumn("confidence", A.confidence(F.col("margin"), F.col("dense"), F.col("coverage")))
-    good = A.accepted(F.col("answer"), F.col("confidence"), F.col("margin"), A.is_title(F.col("answer"), F.col("title"))) & (F.col("question_id") % 2 != 0)
-    wide = rows.where("rank = 1").select("question_id", F.when(good, F.col("answer")).alias("wide"))
-    home = rows.where("rank = 2").select("question_id", F.col("answer").alias("home"))
-    both = home.join(wide, "question_id")
-    return both.select("question_id", F.when(F.col("wide").isNotNull(), "wikipedia").otherwise("home").alias("kind"), F.coalesce("wide", "home").alias("answer"))

@@ -11,9 +11,13 @@ from .binding import PASSAGES, articles, passages, table
 from .registry import query
 
 
+#: Entities that the tables' pages hold, in the SQL's order, the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def _sql_clean(column: str) -> str:
     out = f"regexp_replace(regexp_replace(regexp_replace({column}, '<sup[^>]*class=\"[^\"]*reference[^\"]*\"[^>]*>.*?</sup>', '', 'gs'), '<span[^>]*class=\"[^\"]*mw-editsection[^\"]*\"[^>]*>.*?</span>', '', 'gs'), '<[^>]+>', '', 'g')"
-    for name, char in T.ENTITIES:
+    for name, char in ENTITIES:
         char = "''" if char == "'" else char
         out = f"replace({out}, '{name}', '{char}')"
     return f"replace(trim(regexp_replace(regexp_replace({out}, '\\(\\s*[;,]?\\s*\\)', '', 'g'), '\\s+', ' ', 'g')), '[edit]', '')"

@@ -71,9 +71,15 @@ def dequantize_error(spark, sf_dir):
     return _embeddings(spark, sf_dir).select("vec_id", worst.alias("w"), "scale").select("vec_id", F.round("w", 7).alias("worst"), (F.col("w") <= F.col("scale") / 2 + 1e-12).alias("within"))
 
 
-@query("int4_groups")
+_HALF = "round_even(X / pow(2, greatest(floor(log2(X)), -14) - 10), 0) * pow(2, greatest(floor(log2(X)), -14) - 10)"
+
+
+@query("int4_groups", f"""WITH {_Q}, gr AS (SELECT vec_id, i, v[(32 * i + 1):(32 * i + 32)] AS part FROM e, (SELECT unnest([0, 1]) AS i)),
+sc AS (SELECT *, CASE WHEN list_max(list_transform(part, lambda x: abs(x))) = 0 THEN 1e-8 ELSE list_max(list_transform(part, lambda x: abs(x))) / 7.0 END AS g FROM gr),
+er AS (SELECT vec_id, list_max(list_transform(part, lambda x: abs(x - greatest(-7, least(7, round_even(x / g, 0))) * {_HALF.replace("X", "g")}))) AS worst FROM sc)
+SELECT vec_id, round(max(worst), 6) AS worst FROM er GROUP BY vec_id""")
 def int4_groups(spark, sf_dir):
-    """Rows only: float16 scales have no SQL; checked by an error bound in the tests."""
+    """The greatest error of int4 codes with half-precision scales, of groups of 32."""
     rows = _embeddings(spark, sf_dir).select("vec_id", "v", V.int4_groups(F.col("v")).alias("w"))
     return rows.select("vec_id", F.round(F.array_max(F.zip_with("v", "w", lambda a, b: F.abs(a - b))), 6).alias("worst"))
 
@@ -97,18 +103,21 @@ def article_capped(spark, sf_dir):
     return R.diversified(found).select("question_id", "passage_id", "article_id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("pca_moments", """WITH x AS (SELECT vec_id, embedding[i]::DOUBLE AS x, i - 1 AS dim FROM embeddings, (SELECT unnest(range(1, 65)) AS i))
-SELECT dim::INT AS dim, round(avg(x), 6) AS mean, round(var_pop(x), 6) AS variance FROM x GROUP BY dim""")
+@query("pca_moments", """WITH x AS (SELECT vec_id, embedding[i]::DOUBLE AS x, i - 1 AS dim FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+c AS (SELECT a.dim AS i, b.dim AS j, covar_pop(a.x, b.x) AS covariance, avg(a.x) AS mean FROM x a JOIN x b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY ALL)
+SELECT i::INT AS i, j::INT AS j, round(mean, 6) + 0.0 AS mean, round(covariance, 6) + 0.0 AS covariance, round((SELECT sum(covariance) FROM c WHERE i = j), 6) AS trace FROM c""")
 def pca_moments(spark, sf_dir):
-    """The mean over all rows and the covariance's diagonal, by dimension."""
-    rows = table(spark, sf_dir, "embeddings").select(F.posexplode("embedding").alias("dim", "x"))
-    x = F.col("x").cast("double")
-    return rows.groupBy("dim").agg(F.round(F.avg(x), 6).alias("mean"), F.round(F.var_pop(x), 6).alias("variance"))
+    """Every mean and covariance over all rows, and the trace, from blocks' outer products."""
+    from gleaner.operators.pca import covariances
+
+    rows = covariances(table(spark, sf_dir, "embeddings").select(F.col("embedding").alias("v")), "v")
+    trace = rows.where("i = j").agg(F.round(F.sum("covariance"), 6).alias("trace"))  # one row
+    return rows.where("i <= j").crossJoin(F.broadcast(trace)).select("i", "j", (F.round("mean", 6) + 0.0).alias("mean"), (F.round("covariance", 6) + 0.0).alias("covariance"), "trace")  # no negative zero
 
 
 @query("pca_project")
 def pca_project(spark, sf_dir):
-    """Rows only: eigenvectors have a free sign. Centred, projected on 16 dimensions, normalised."""
+    """Rows only: the eigenvectors aren't SQL; a test compares squared components with another program. Centred, on 16 dimensions, normalised."""
     from gleaner.operators.pca import fit, project
 
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("passage_id"), F.col("embedding").alias("v"))

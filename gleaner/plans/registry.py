@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Modules of this package that register queries, in reading order.
-MODULES: tuple[str, ...] = ("lexical", "dense", "cleaning", "answering", "routing", "composing", "sources")
+MODULES: tuple[str, ...] = ("lexical", "dense", "cleaning", "answering", "routing", "home", "composing", "sources")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}

@@ -130,8 +130,13 @@ def test_accept(spark):
 
 
 def test_assembled(spark):
-    assert value(spark, A.assembled(F.col("a")), a=["one two", "ONE", "three"]) == "one two three"
-    assert value(spark, A.assembled(F.col("a"), capacity=10), a=["one two", "longer text", "x"]) == "one two"
+    context = lambda **k: A.context_of(A.assembled(F.col("a"), **k))
+    assert value(spark, context(), a=["one two", "ONE", "three"]) == "one two three"
+    assert value(spark, context(capacity=10), a=["one two", "longer text", "x"]) == "one two"
+    parts = value(spark, A.assembled(F.col("a")), a=["é b", "ONE", "é B", *(f"t{k}" for k in range(9))])
+    assert [(s.place, s.text, s.from_byte, s.to_byte) for s in parts] == [(0, "é b", 0, 4), (1, "ONE", 5, 8), *((k + 3, f"t{k}", 9 + 3 * k, 11 + 3 * k) for k in range(4))]
+    cut = lambda byte: A.segment_of(A.assembled(F.col("a")), F.lit(byte)).text
+    assert [value(spark, cut(b), a=["ab", "cd"]) for b in (0, 1, 2, 3, 4)] == ["ab", "ab", "ab", "cd", "cd"]
 
 
 @pytest.mark.parametrize("text,want", [("2024-01-01", True), ("twice the size", False), ("what is 15% of 200", True), ("3 + 4", True)])
