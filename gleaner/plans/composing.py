@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import composing as K
 from gleaner.functions import routing as G
+from gleaner.operators import answers as A
 from gleaner.operators import lexical as L
 from gleaner.operators import retrieve as R
+from gleaner.streaming import talk as TK
 
 from .answering import _CAND, _CONF, _candidates
-from .binding import PASSAGES, index, passages, questions, sql_question_terms, strings, table
+from .binding import PASSAGES, folder, index, passages, questions, sql_question_terms, sql_tokens, strings, table
 from .dense import DOCS
 from .lexical import BM25, TOP
 from .registry import query
-from gleaner.operators import answers as A
+from .routing import _MODE, _pad
 
 
 def _cw(column: str, most: int = 40) -> str:
@@ -227,3 +229,26 @@ def provenance_flags(spark, sf_dir):
 def source_label(spark, sf_dir):
     labels = F.create_map(F.lit("src0"), F.lit("first collection"), F.lit("src1"), F.lit("second collection"))
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n")).select("source", F.coalesce(F.try_element_at(labels, F.col("source")), "source").alias("label"), "n")
+
+
+#: Deliveries in which the turns arrive, and files of each.
+_DELIVERIES, _FILES = 3, 4
+
+
+@query("talk_stream", f"""WITH t AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'assistant' ELSE 'user' END AS role, coalesce(text, '') AS text, len({sql_tokens("text")}) + {TK.FRAME} AS n FROM conversations),
+h AS (SELECT *, coalesce(list('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10)) OVER w, []) AS h, coalesce(sum(n) OVER w, 0) AS past FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+d AS (SELECT *, n + past + {TK.FRAME} >= {TK.CONTEXT} AS dropped FROM h WHERE role = 'user'), u AS (SELECT *, n + {TK.FRAME} + CASE WHEN dropped THEN 0 ELSE past END AS used, {_pad()} AS nn FROM d),
+b AS (SELECT *, CASE WHEN len(list_filter({strings(K.LISTY)}, lambda p: contains(lower(text), p))) > 0 AND used + 260 < {TK.CONTEXT} THEN 260 ELSE least(160, {TK.CONTEXT} - used - 1) END AS most,
+  CASE {{MODE}} WHEN 'age' THEN chr(10) || '(Use only the birth date or age written in the facts.)' WHEN 'live' THEN chr(10) || '(Say that live information is not available.)' ELSE '' END AS note FROM u)
+SELECT conv_id, turn, CASE WHEN dropped THEN 0 ELSE len(h) END AS n_history, dropped, CASE WHEN most > 0 THEN most END::BIGINT AS budget,
+  md5('<|im_start|>system' || chr(10) || '{TK.SYSTEM}<|im_end|>' || chr(10) || CASE WHEN dropped THEN '' ELSE array_to_string(h, '') END || '<|im_start|>user' || chr(10) || text || note || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS prompt FROM b""".replace("{MODE}", _MODE.replace("contains(n,", "contains(nn,")))
+def talk_stream(spark, sf_dir):
+    """All conversations delivered in three parts as files of a stream, whose prompts depend on what state holds from the parts before."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    root = folder(spark, "talk")
+    for k in range(_DELIVERIES):
+        part = F.when(F.col("turn") < 2, 0).when(F.col("turn") < 4, 1).otherwise(2)
+        turns.where(part == k).repartition(_FILES, "conv_id").write.mode("append").json(f"{root}/inbox")
+        TK.serve(spark, f"{root}/inbox", f"{root}/outbox", f"{root}/state", _FILES).awaitTermination()
+    out = spark.read.parquet(f"{root}/outbox")
+    return out.select("conv_id", "turn", "n_history", "dropped", "budget", F.md5("prompt").alias("prompt"))
