@@ -11,9 +11,12 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.ship import ship
+
 
 class Embedder(Protocol):
     def embed(self, text: Column) -> Column: ...
@@ -73,36 +76,6 @@ class EchoComposer:
         return F.array_join(F.slice(F.split(last, r"\s+"), F.lit(1), budget), " ")
 
 
-def wordpiece(words: Column, pieces: list[str], unknown: str = "[UNK]", most: int = 100) -> Column:
-    """array<string>: greedy longest match of each word, ## for continuations; a word that fails, or is too long, is unknown.
-
-    pieces: a model's vocabulary, a fixed list of tens of thousands, shipped with the function.
-    """
-
-    @F.pandas_udf("array<string>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known = frozenset(pieces)
-
-        def cut(word: str) -> list[str]:
-            if len(word) > most:
-                return [unknown]
-            out, at = [], 0
-            while at < len(word):
-                end = len(word)
-                while end > at and ("##" if at else "") + word[at:end] not in known:
-                    end -= 1
-                if end == at:
-                    return [unknown]
-                out.append(("##" if at else "") + word[at:end])
-                at = end
-            return out
-
-        for values in parts:
-            yield values.map(lambda ws: [p for w in ws for p in cut(w)] if ws is not None else None)
-
-    return run(words)
-
-
 def erf_gelu(x: np.ndarray) -> np.ndarray:
     """x * (1 + erf(x / sqrt 2)) / 2."""
     from math import erf
@@ -131,3 +104,70 @@ def transformer(ids: np.ndarray, types: np.ndarray, w: dict[str, np.ndarray], la
         x = norm(x + linear(mixed, f"{p}attention.output.dense"), f"{p}attention.output.LayerNorm")
         x = norm(x + linear(erf_gelu(linear(x, f"{p}intermediate.dense")), f"{p}output.dense"), f"{p}output.LayerNorm")
     return x
+
+
+def transformer_batch(ids: np.ndarray, types: np.ndarray, mask: np.ndarray, w: dict[str, np.ndarray], layers: int, heads: int) -> np.ndarray:
+    """Hidden states of padded sequences (sequence, position) at once; positions where mask is false are seen by none."""
+
+    def norm(x, name):
+        x = x - x.mean(-1, keepdims=True)
+        return x / np.sqrt((x**2).mean(-1, keepdims=True) + 1e-12) * w[f"{name}.weight"] + w[f"{name}.bias"]
+
+    def linear(x, name):
+        return x @ w[f"{name}.weight"].T + w[f"{name}.bias"]
+
+    n, size = ids.shape
+    split = lambda x: x.reshape(n, size, heads, -1).transpose(0, 2, 1, 3)
+    e = "embeddings."
+    x = norm(w[f"{e}word_embeddings.weight"][ids] + w[f"{e}position_embeddings.weight"][:size] + w[f"{e}token_type_embeddings.weight"][types], f"{e}LayerNorm")
+    unseen = np.where(mask, 0.0, -np.inf)[:, None, None, :]
+    for k in range(layers):
+        p = f"encoder.layer.{k}."
+        q, key, v = (split(linear(x, f"{p}attention.self.{name}")) for name in ("query", "key", "value"))
+        s = q @ key.transpose(0, 1, 3, 2) / np.sqrt(q.shape[-1]) + unseen
+        s = np.exp(s - s.max(-1, keepdims=True))
+        mixed = (s / s.sum(-1, keepdims=True) @ v).transpose(0, 2, 1, 3).reshape(n, size, -1)
+        x = norm(x + linear(mixed, f"{p}attention.output.dense"), f"{p}attention.output.LayerNorm")
+        x = norm(x + linear(erf_gelu(linear(x, f"{p}intermediate.dense")), f"{p}output.dense"), f"{p}output.LayerNorm")
+    return x
+
+
+def length_groups(sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """Indexes by rising size, cut so that a group's number times its greatest size is at most `most`; a longer one is alone."""
+    order, out, start = np.argsort(sizes, kind="stable"), [], 0
+    for k in range(1, len(order) + 1):
+        if k == len(order) or (k + 1 - start) * sizes[order[k]] > most:
+            out.append(order[start:k])
+            start = k
+    return out
+
+
+def encode(rows: DataFrame, weights: dict[str, np.ndarray], layers: int, heads: int, key: str = "passage_id", ids: str = "ids", most: int = 8192) -> DataFrame:
+    """(key, v): the mean of all positions' hidden states of each token sequence (ids, all of type 0), divided by its length plus 1e-9.
+
+    Weights are broadcast once. In a task rows are encoded in padded groups of similar length, of at most `most` positions together. A null or
+    empty sequence has a null vector.
+    """
+    spark = ship(rows.sparkSession)
+    shared = spark.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [x or [] for x in batch.column(1).to_pylist()]
+            sizes, out = np.array([len(x) for x in lists], int), [None] * len(lists)
+            for group in length_groups(sizes, most) if len(sizes) else []:
+                group = group[sizes[group] > 0]
+                if not len(group):
+                    continue
+                padded = np.zeros((len(group), sizes[group].max()), int)
+                for row, k in enumerate(group):
+                    padded[row, : sizes[k]] = lists[k]
+                mask = np.arange(padded.shape[1]) < sizes[group][:, None]
+                states = transformer_batch(padded, np.zeros_like(padded), mask, shared.value, layers, heads)
+                pooled = (states * mask[:, :, None]).sum(axis=1) / mask.sum(axis=1)[:, None]
+                pooled /= np.linalg.norm(pooled, axis=1, keepdims=True) + 1e-9
+                for row, k in enumerate(group):
+                    out[k] = pooled[row]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], [key, "v"])
+
+    return rows.select(F.col(key).cast("long").alias(key), ids).mapInArrow(run, f"{key} long, v array<double>")

@@ -79,6 +79,13 @@ def related(a: Column, b: Column) -> Column:
     return (a == b) | (near & (a.startswith(b) | b.startswith(a)))
 
 
+def second_question(text: Column) -> Column:
+    """What follows the first question mark, without leading spaces, commas and one "and "; null if it has fewer than 6 bytes."""
+    rest = F.regexp_extract(text, r"(?s)\?[\s,]*(.*)", 1)
+    rest = F.regexp_replace(rest, "^(?i:and )", "")
+    return F.when(F.octet_length(rest) >= 6, rest)
+
+
 def encoded_pair(question: Column, context: Column, most: int = 384) -> Column:
     """[CLS] question [SEP] context [SEP]; the context is cut, the question has at most 62 tokens."""
     q = F.slice(question, 1, 62)

@@ -239,15 +239,33 @@ def phrase_match(spark, sf_dir):
     return R.phrase_match(_text_pairs(spark, sf_dir)).select("question_id", "passage_id", F.round("phrase", 4).alias("phrase"))
 
 
-@query("interleave_two", f"""WITH {_Q}, ab AS (SELECT question_id, vec_id AS passage_id, round(list_inner_product(qv, codes) * scale, 9) AS a, round(list_inner_product(qc, codes) * scale * qs, 9) AS b FROM c, q),
-r AS (SELECT question_id, passage_id, row_number() OVER (PARTITION BY question_id ORDER BY a DESC, passage_id) AS ra, row_number() OVER (PARTITION BY question_id ORDER BY b, passage_id) AS rb FROM ab),
-p AS (SELECT question_id, passage_id, min(place) AS place FROM (SELECT question_id, passage_id, ra * 2 AS place FROM r WHERE ra <= 8 UNION ALL SELECT question_id, passage_id, rb * 2 + 1 FROM r WHERE rb <= 8) GROUP BY ALL)
+# Messages of two questions: each benchmark text and the first eight words of the next one.
+_TWO = """two AS (SELECT b.item_id, b.text || '? and ' || coalesce(array_to_string(regexp_split_to_array(n.text, '\\s+')[1:8], ' '), '') AS text FROM benchmark b LEFT JOIN benchmark n ON n.item_id = b.item_id + 1),
+part2 AS (SELECT item_id, regexp_replace(regexp_extract(text, '\\?[\\s,]*(.*)', 1, 's'), '^(?i:and )', '') AS text FROM two)"""
+
+
+def _ranked_ctes(p: str, source: str) -> str:
+    """{p}r (question_id, passage_id, rank): the eight best documents for the texts of `source` (item_id, text)."""
+    scored = BM25.replace("scored AS", f"{p}s AS").replace("FROM w ", f"FROM {p}w ")
+    return f"""{p}w AS (SELECT *, 1.0 AS weight FROM ({sql_question_terms(table=source)})), {scored},
+{p}r AS (SELECT question_id, passage_id, row_number() OVER (PARTITION BY question_id ORDER BY round(lexical, 9) DESC, passage_id) AS rank FROM {p}s QUALIFY rank <= 8)"""
+
+
+@query("interleave_two", f"""WITH {DOCS}, {_TWO}, {_ranked_ctes("a_", "two")}, {_ranked_ctes("b_", "(SELECT * FROM part2 WHERE strlen(text) >= 6)")},
+p AS (SELECT question_id, passage_id, min(place) AS place FROM (SELECT question_id, passage_id, rank * 2 AS place FROM a_r UNION ALL SELECT question_id, passage_id, rank * 2 + 1 FROM b_r) GROUP BY ALL)
 SELECT question_id, passage_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY place) AS rank FROM p) WHERE rank <= 8""")
 def interleave_two(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select("question_id", "passage_id", F.round(V.dot(F.col("qv"), F.col("codes")) * F.col("scale"), 9).alias("a"), F.round(V.dot(F.col("qc"), F.col("codes"), "bigint") * F.col("scale") * F.col("qs"), 9).alias("b"))
-    first = R.top_k(rows.withColumn("score", F.col("a")), 8)
-    second = R.top_k(rows.withColumn("score", -F.col("b")), 8)
-    return R.interleaved(first, second).withColumn("rank", F.col("rank").cast("long"))
+    """A message's own eight best documents and those of its second question, by turns."""
+    items, found = questions(spark, sf_dir), index(spark, sf_dir, "documents")
+    after = items.select((F.col("question_id") - 1).alias("question_id"), F.array_join(F.slice(F.split("text", r"\s+"), 1, 8), " ").alias("next"))
+    two = items.join(after, "question_id", "left").select("question_id", F.concat("text", F.lit("? and "), F.coalesce("next", F.lit(""))).alias("text"))
+    second = two.select("question_id", T.second_question(F.col("text")).alias("text")).where("text is not null")
+
+    def ranked(texts: DataFrame) -> DataFrame:
+        scored = L.bm25(L.question_terms(texts).withColumn("weight", F.lit(1.0)), found)
+        return R.top_k(scored.withColumn("score", F.round("lexical", 9)), DEFAULT.top)
+
+    return R.interleaved(ranked(two), ranked(second)).withColumn("rank", F.col("rank").cast("long"))
 
 
 _SENT = f"""{_HITS}, sent AS (SELECT question_id, passage_id, question, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS place FROM (

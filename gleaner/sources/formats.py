@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 from collections.abc import Iterator
@@ -82,19 +83,29 @@ def read_safetensors(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     return out
 
 
-def read_matrix(spark: SparkSession, path: str, dimensions: int) -> DataFrame:
-    """(row, v) of a raw float32 matrix; an incomplete last row is dropped."""
+def read_matrix(spark: SparkSession, path: str, dimensions: int, most: int | None = None) -> DataFrame:
+    """(row, v) of raw float32 matrices, numbered on over the files by name; an incomplete last row of a file is dropped, as are rows from `most` on.
+
+    Where a file's rows begin follows from the files' lengths, a number for each file on the driver.
+    """
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for content in batch.column(0):
-                raw = content.as_py()
-                x = np.frombuffer(raw, "<f4", len(raw) // (4 * dimensions) * dimensions).reshape(-1, dimensions)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(x)), pa.int64()), pa.array(list(x), pa.list_(pa.float32()))], ["row", "v"])
+            for content, first in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                raw = content.as_buffer()
+                x = np.frombuffer(raw, "<f4", raw.size // (4 * dimensions) * dimensions)
+                rows = pa.FixedSizeListArray.from_arrays(pa.array(x), dimensions)
+                n = len(rows) if most is None else max(0, min(len(rows), most - first))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + n)), rows.slice(0, n).cast(pa.list_(pa.float32()))], ["row", "v"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "row long, v array<float>")
+    files, begin, before = spark.read.format("binaryFile").load(path), [], 0
+    for name, size in sorted(tuple(r) for r in files.select("path", "length").collect()):
+        begin.append((name, before))
+        before += size // (4 * dimensions)
+    listed = spark.createDataFrame(begin, "path string, first long")
+    return files.join(F.broadcast(listed), "path").select("content", "first").mapInArrow(run, "row long, v array<float>")
 
 
 def history(text: Column, most: int = 6) -> Column:
@@ -107,30 +118,41 @@ def history(text: Column, most: int = 6) -> Column:
 def register_archive(spark: SparkSession) -> None:
     """Registers the format "page_archive": a folder of *.jsonl files of entries (path, title, mimetype, redirect, html).
 
-    Stands in for a packed web archive: redirects and other types than text/html are skipped, invalid UTF-8
-    is replaced; each file is a partition.
+    Stands in for a packed web archive: redirects and other types than that of the option `type` (text/html) are skipped at the source, invalid UTF-8
+    is replaced. The folder is listed once; each file is cut into partitions of `rangeBytes` (64 MB), and an entry belongs to the one in
+    which it begins. Entries are read one by one.
     """
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     class Reader(DataSourceReader):
         def __init__(self, options):
-            self.folder = options["path"]
+            self.folder, self.type = options["path"], options.get("type", "text/html")
+            self.range = int(options.get("rangeBytes", 64 << 20))
 
-        def partitions(self):
+        def _store(self):
             from pyarrow import fs
 
-            store, root = fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
-            found = sorted(f.path for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".jsonl"))
-            return [InputPartition(p) for p in found]
+            return fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder)
 
-        def read(self, partition):
+        def partitions(self):
             from pyarrow import fs
 
-            store = fs.FileSystem.from_uri(self.folder)[0] if "://" in self.folder else fs.LocalFileSystem()
-            with store.open_input_stream(partition.value) as file:
-                for line in file.read().splitlines():
+            store, root = self._store()
+            found = sorted((f.path, f.size) for f in store.get_file_info(fs.FileSelector(root)) if f.path.endswith(".jsonl"))
+            return [InputPartition((path, at, min(size, at + self.range))) for path, size in found for at in range(0, size, self.range)]
+
+        def read(self, partition):
+            path, at, end = partition.value
+            with io.BufferedReader(self._store()[0].open_input_file(path)) as file:
+                if at:  # the entry that began before belongs to the range before
+                    file.seek(at - 1)
+                    at += len(file.readline()) - 1
+                while at < end and (line := file.readline()):
+                    at += len(line)
+                    if not line.strip():
+                        continue
                     entry = json.loads(line.decode("utf-8", "replace"))
-                    if not entry.get("redirect") and str(entry.get("mimetype", "")).startswith("text/html"):
+                    if not entry.get("redirect") and str(entry.get("mimetype", "")).startswith(self.type):
                         yield entry.get("path"), entry.get("title"), entry.get("html")
 
     class Archive(DataSource):

@@ -188,10 +188,6 @@ def test_pca(spark):
     assert np.allclose(got, y / np.linalg.norm(y, axis=1, keepdims=True), atol=1e-6)
 
 
-def test_wordpiece(spark):
-    assert value(spark, M.wordpiece(F.col("a"), ["un", "##aff", "##able", "a"]), a=["unaffable", "b", "a"]) == ["un", "##aff", "##able", "[UNK]", "a"]
-
-
 def test_transformer_shape():
     rng, w, d = np.random.default_rng(0), {}, 8
     for name, shape in {"embeddings.word_embeddings": (20, d), "embeddings.position_embeddings": (10, d), "embeddings.token_type_embeddings": (2, d)}.items():
