@@ -62,21 +62,32 @@ def remaining(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
+#: Ranges of equal width into which numbering cuts its keys; a row for each is all that is put in one order.
+RANGES = 1 << 16
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """rows with `name`, the number of rows with a lower key (a whole number, never null, once each): counted over at most RANGES ranges, then inside them."""
+    ends = rows.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    low = ends.low or 0
+    width = max(1, -(-((ends.high or 0) - low + 1) // RANGES))
+    rows = rows.withColumn("range", F.floor((F.col(key) - low) / width))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("range").agg(F.count("*").alias("m")).select("range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy("range").orderBy(key)) - 1
+    return rows.withColumn("own", own).join(F.broadcast(ranges), "range").withColumn(name, F.col("base") + F.col("own")).drop("range", "own", "base")
+
+
 def complete_prefix(rows: DataFrame, done: DataFrame) -> DataFrame:
     """(passage_id, article_id, row, new_article): what a partly finished run leaves whole.
 
     rows: passage_id, article_id, row, part; done: part, n (rows finished at the front of that part). Articles with an
-    unfinished passage go. Articles are numbered anew from 0 in the order of their first row: inside ranges of
-    4,096 rows, after a running sum over the ranges.
+    unfinished passage go. Articles are numbered anew from 0 in the order of their first row. Parts are as many as a run has workers; `start` and
+    `done` have a row for each and are broadcast.
     """
     start = rows.groupBy("part").agg(F.min("row").alias("start"))
     marked = rows.join(F.broadcast(start), "part").join(F.broadcast(done), "part", "left")
     marked = marked.withColumn("finished", F.coalesce(F.col("row") - F.col("start") < F.col("n"), F.lit(False)))
     whole = marked.groupBy("article_id").agg(F.min("row").alias("first"), F.min("finished").alias("whole")).where("whole")
-    whole = whole.select("article_id", "first", F.floor(F.col("first") / 4096).alias("range"))
-    ranges = whole.groupBy("range").agg(F.count("*").alias("m"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("range").orderBy("first")) - 1
-    numbered = whole.withColumn("own", own).join(F.broadcast(ranges), "range").select("article_id", (F.col("base") + F.col("own")).alias("new_article"))
-    return marked.join(numbered, "article_id").select("passage_id", "article_id", "row", "new_article")
+    anew = numbered(whole.select("article_id", "first"), "first", "new_article").select("article_id", "new_article")
+    return marked.join(anew, "article_id").select("passage_id", "article_id", "row", "new_article")

@@ -115,9 +115,17 @@ def vocabulary(dfs: DataFrame) -> DataFrame:
     return rows.withColumn("own", own).join(small(ranges), ["df", "head"]).select("term", (F.col("base") + F.col("own")).alias("id"))
 
 
-def posting_deltas(tf: DataFrame) -> DataFrame:
-    """(term, passage_id, delta, delta_bytes): gaps between a term's passages and their varint sizes."""
-    gap = F.col("passage_id") - F.coalesce(F.lag("passage_id").over(Window.partitionBy("term").orderBy("passage_id")), F.lit(0))
+def posting_deltas(tf: DataFrame, span: int = 1 << 32) -> DataFrame:
+    """(term, passage_id, delta, delta_bytes): gaps between a term's passages and their varint sizes.
+
+    A common term is cut into blocks of `span` ids; a block's first gap reaches back to the last passage of the term's block before.
+    """
+    tf = tf.withColumn("block", F.floor(F.col("passage_id") / span))
+    ends = tf.groupBy("term", "block").agg(F.max("passage_id").alias("end"))
+    ends = ends.select("term", "block", F.lag("end").over(Window.partitionBy("term").orderBy("block")).alias("before"))
+    own = F.lag("passage_id").over(Window.partitionBy("term", "block").orderBy("passage_id"))
+    tf = tf.withColumn("last", own).join(ends, ["term", "block"])
+    gap = F.col("passage_id") - F.coalesce("last", "before", F.lit(0))
     bits = F.length(F.bin(F.greatest(F.col("delta"), F.lit(1))))
     return tf.select("term", "passage_id", gap.alias("delta")).select("*", F.ceil(bits / 7.0).cast("int").alias("delta_bytes"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import text as T
 from gleaner.operators import corpus as C
 
-from .binding import PASSAGES, articles, passages, table
+from .binding import PASSAGES, articles, passages, saved, table
 from .registry import query
 
 
@@ -45,15 +45,9 @@ def stub_pages(spark, sf_dir):
 
 @query("article_ids", f"WITH {_PARAGRAPHS} SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS article_id FROM pg WHERE len(p) > 0")
 def article_ids(spark, sf_dir):
-    """Dense ids in scan order of pages that aren't stubs: offsets of 4096 id ranges, then numbers inside a range."""
-    from pyspark.sql import Window
-
-    kept = table(spark, sf_dir, "pages").where(F.size(T.html_paragraphs(F.col("html"))) > 0).select("page_id", F.floor(F.col("page_id") / 4096).alias("range"))
-    ranges = kept.groupBy("range").agg(F.count("*").alias("m"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("range", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("range").orderBy("page_id")) - 1
-    return kept.withColumn("own", own).join(F.broadcast(ranges), "range").select("page_id", (F.col("base") + F.col("own")).alias("article_id"))
+    """Dense ids in scan order of pages that aren't stubs, which are cleaned once and saved for the counts."""
+    kept = lambda s, d: table(s, d, "pages").where(F.size(T.html_paragraphs(F.col("html"))) > 0).select("page_id")
+    return C.numbered(saved(spark, sf_dir, "kept-pages", kept), "page_id", "article_id")
 
 
 @query("merge_small", f"""WITH RECURSIVE {_PARAGRAPHS}, st AS (SELECT page_id, p, 0 AS i, []::VARCHAR[] AS o FROM pg
@@ -75,9 +69,17 @@ def split_long(spark, sf_dir):
     return rows.select("passage_id", F.size("o").cast("long").alias("n"), F.array_max(F.transform("o", F.length)).cast("long").alias("longest"))
 
 
-@query("page_passages")
+@query("page_passages", f"""WITH RECURSIVE {_PARAGRAPHS}, st AS (SELECT page_id, p, 0 AS i, []::VARCHAR[] AS o FROM pg
+UNION ALL SELECT page_id, p, i + 1, CASE WHEN len(o) > 0 AND length(o[len(o)]) < 60 THEN o[1:(len(o) - 1)] || [o[len(o)] || ' ' || p[i + 1]] ELSE o || [p[i + 1]] END FROM st WHERE i < len(p)),
+mg AS (SELECT page_id, unnest(o) AS text, generate_subscripts(o, 1) - 1 AS paragraph FROM st WHERE i = len(p)),
+mk AS (SELECT page_id, paragraph, text, string_split(regexp_replace(text, '([.!?])\\s+([A-Z0-9"''(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS s FROM mg),
+sp AS (SELECT page_id, paragraph, s, 0 AS i, []::VARCHAR[] AS o, '' AS c FROM mk WHERE length(text) > 600
+UNION ALL SELECT page_id, paragraph, s, i + 1, CASE WHEN c <> '' AND length(c) + 1 + length(s[i + 1]) > 600 THEN o || [c] ELSE o END,
+  CASE WHEN c = '' OR length(c) + 1 + length(s[i + 1]) > 600 THEN s[i + 1] ELSE c || ' ' || s[i + 1] END FROM sp WHERE i < len(s)),
+fin AS (SELECT page_id, paragraph, CASE WHEN c <> '' THEN o || [c] ELSE o END AS o FROM sp WHERE i = len(s) UNION ALL SELECT page_id, paragraph, [text] FROM mk WHERE length(text) <= 600)
+SELECT page_id, paragraph::INT AS paragraph, (generate_subscripts(o, 1) - 1)::INT AS part, unnest(o) AS text FROM fin""")
 def page_passages(spark, sf_dir):
-    """Rows only as a chain; its steps are compared one by one."""
+    """The whole chain from pages to passages."""
     return C.page_passages(table(spark, sf_dir, "pages"))
 
 
