@@ -13,6 +13,7 @@ from gleaner.operators import retrieve as R
 from gleaner.streaming import talk as TK
 
 from .answering import _CAND, _CHAIN, _CONF, _candidates, answers, hits
+from .reading import winners
 from .binding import PASSAGES, folder, index, passages, questions, sql_question_terms, sql_tokens, strings, table
 from .dense import DOCS
 from .lexical import BM25, TOP
@@ -236,20 +237,50 @@ def highlight(spark, sf_dir):
     return passages(spark, sf_dir).select("passage_id", K.highlighted(F.col("text"), F.lit(" the ")).alias("h")).select("passage_id", "h.before", "h.hit", "h.after")
 
 
-@query("answer_json", f"WITH {_CAND} SELECT question_id, answer, title, round({_CONF}, 3) AS confidence, round(margin, 2) AS span_score, 'home' AS kind FROM cand WHERE rank = 1")
+_URL = "'https://example.org/' || d.source || '/' || d.doc_id"
+_BODY = f"""{_CHAIN}, hb AS (SELECT h.question_id, list({{'score': round(h.score, 3), 'dense': round(h.dense, 3), 'title': h.title, 'text': h.passage, 'url': {_URL}, 'source': d.source}} ORDER BY h.passage_id <> w.doc_id, h.rank) AS hits
+  FROM hit h JOIN w1 w USING (question_id) JOIN documents d ON d.doc_id = h.passage_id GROUP BY h.question_id),
+body AS (SELECT w.question_id, w.question, w.answer, w.passage AS sentence, w.title, {_URL} AS url, d.source, round({_CONF}, 3) AS confidence, round(w.span_score, 2) AS span_score, round(w.null_score, 2) AS null_score, 'wikipedia' AS kind, hb.hits
+  FROM w1 w JOIN documents d ON d.doc_id = w.doc_id JOIN hb ON hb.question_id = w.question_id)"""
+_HIT_DIGEST = "md5(array_to_string(list_transform(hits, lambda h: h.title || '|' || md5(h.text) || '|' || h.url || '|' || h.source), ' '))"
+_BODY_FIELDS = "answer string, sentence string, title string, url string, source string, confidence double, span_score double, null_score double, kind string"
+_BODY_SCHEMA = f"question string, {_BODY_FIELDS}, hits array<struct<score: double, dense: double, title: string, text: string, url: string, source: string>>"
+
+
+def answer_bodies(spark, sf_dir):
+    """(question_id, body): the JSON reply of each question, with its passages, the winning one first."""
+    won = winners(spark, sf_dir)
+    source = table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("https://example.org/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("url"))
+    h = hits(spark, sf_dir).withColumnRenamed("passage_id", "doc_id").join(source, "doc_id").join(won.select("question_id", F.col("doc_id").alias("best")), "question_id")
+    item = F.struct((F.col("doc_id") != F.col("best")).alias("later"), "rank", F.round("score", 3).alias("score"), F.round("dense", 3).alias("dense"), "title", F.col("passage").alias("text"), "url", "source")
+    h = h.groupBy("question_id").agg(F.sort_array(F.collect_list(item)).alias("h"))
+    listed = F.transform("h", lambda x: F.struct(x.score.alias("score"), x.dense.alias("dense"), x.title.alias("title"), x.text.alias("text"), x.url.alias("url"), x.source.alias("source")))
+    rows = won.join(source, "doc_id").join(h.select("question_id", listed.alias("hits")), "question_id")
+    confidence = A.confidence(F.col("margin"), F.col("dense"), F.col("coverage"))
+    rounded = F.round(confidence, 3).alias("confidence"), F.round("span_score", 2).alias("span_score"), F.round("null_score", 2).alias("null_score")
+    return rows.select("question_id", F.to_json(F.struct("question", "answer", F.col("passage").alias("sentence"), "title", "url", "source", *rounded, F.lit("wikipedia").alias("kind"), "hits")).alias("body"))
+
+
+def _hit_digest(hits_):
+    return F.md5(F.array_join(F.transform(hits_, lambda h: F.concat_ws("|", h.title, F.md5(h.text), h.url, h.source)), " "))
+
+
+@query("answer_json", f"{_BODY} SELECT question_id, question, answer, md5(sentence) AS sentence, title, url, source, confidence, span_score, null_score, kind, len(hits) AS n_hits, {_HIT_DIGEST} AS hits FROM body")
 def answer_json(spark, sf_dir):
-    """Written as JSON with fixed decimals and parsed back."""
-    rows = _replies(spark, sf_dir).where("rank = 1")
-    body = F.to_json(F.struct("answer", "title", F.round("confidence", 3).alias("confidence"), F.round("margin", 2).alias("span_score"), F.lit("home").alias("kind")))
-    parsed = rows.select("question_id", F.from_json(body, "answer string, title string, confidence double, span_score double, kind string").alias("j"))
-    return parsed.select("question_id", "j.*")
+    """Whole replies, written as JSON and parsed back. Times aren't part of them: a batch has none for one question."""
+    j = answer_bodies(spark, sf_dir).select("question_id", F.from_json("body", _BODY_SCHEMA).alias("j")).select("question_id", "j.*")
+    return j.withColumns({"sentence": F.md5("sentence"), "n_hits": F.size("hits").cast("long"), "hits": _hit_digest(F.col("hits"))})
 
 
-@query("chat_json", "SELECT conv_id, turn, text AS reply, role = 'assistant' AS used_facts, round(length(text) / 7.0, 1) AS ms_chat FROM conversations")
+@query("chat_json", f"""{_BODY} SELECT question_id, answer || ' (Wikipedia, ' || title || ')' AS reply, confidence >= 0.3 AS used_facts, question, answer, title, confidence, len(hits) AS n_hits, {_HIT_DIGEST} AS hits FROM body""")
 def chat_json(spark, sf_dir):
-    body = F.to_json(F.struct(F.col("text").alias("reply"), (F.col("role") == "assistant").alias("used_facts"), F.round(F.length("text") / 7.0, 1).alias("ms_chat")))
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.from_json(body, "reply string, used_facts boolean, ms_chat double").alias("j"))
-    return rows.select("conv_id", "turn", "j.*")
+    """A chat reply's JSON holds the whole answer as `retrieval`; the reply is the answer with its article."""
+    rows = answer_bodies(spark, sf_dir).select("question_id", F.from_json("body", _BODY_SCHEMA).alias("retrieval"))
+    reply = F.concat("retrieval.answer", F.lit(" (Wikipedia, "), "retrieval.title", F.lit(")"))
+    body = F.to_json(F.struct(reply.alias("reply"), (F.col("retrieval.confidence") >= 0.3).alias("used_facts"), "retrieval"))
+    j = rows.select("question_id", F.from_json(body, f"reply string, used_facts boolean, retrieval struct<{_BODY_SCHEMA}>").alias("j"))
+    r = "j.retrieval"
+    return j.select("question_id", "j.reply", "j.used_facts", f"{r}.question", f"{r}.answer", f"{r}.title", f"{r}.confidence", F.size(f"{r}.hits").cast("long").alias("n_hits"), _hit_digest(F.col(f"{r}.hits")).alias("hits"))
 
 
 @query("alternates", f"WITH {_CAND} SELECT question_id, list(answer ORDER BY rank)[2:5] AS alternates FROM cand GROUP BY ALL")
