@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # Words that carry no content of their own (a collection's own names can be added).
 CONTENT_STOP = "the and for with from that this are was were has have his her its also into than then kingdom who what which page wiki not but one two all any".split()
+# Phrases that ask for a list.
 LISTY = ("list", " all ", "what are the", "name the", "which are the", "every")
+# Phrases by which a reply refuses.
 REFUSALS = ("i can only answer questions about", "i don't have that information", "i cannot answer", "i can't answer")
 
 
@@ -22,17 +24,33 @@ def adds_nothing(words: Column, seen: Column) -> Column:
     return (F.size(words) > 0) & F.exists(seen, lambda s: F.size(F.array_except(words, s)) == 0)
 
 
-def selected_facts(lines: Column, most: int = 6) -> Column:
-    """Lines in order without exact repeats, a third of one shape (first 20 bytes), or lines that add nothing."""
+def facts_of(hits: Column, most: int = 3) -> Column:
+    """array<struct<title, text>> of hits in order without repeats, a third of one shape, or texts that add nothing to one before.
 
-    def add(out: Column, line: Column) -> Column:
-        shape = F.size(F.filter(out, lambda o: F.substring(o, 1, 20) == F.substring(line, 1, 20)))
-        words = content_words(line)
-        nothing = (F.size(words) > 0) & F.exists(out, lambda o: F.size(F.array_except(words, content_words(o, 64))) == 0)
-        drop = F.array_contains(out, line) | (shape >= 2) | nothing | (F.size(out) >= most)
-        return F.when(drop, out).otherwise(F.concat(out, F.array(line)))
+    hits: array<struct<title, text>>, the winner first. Each text's words are cut out once.
+    """
+    words = F.transform(hits, lambda h: F.struct(h.title.alias("title"), h.text.alias("text"), content_words(h.text).alias("a"), content_words(h.text, 64).alias("b")))
 
-    return F.aggregate(lines, F.array().cast("array<string>"), add)
+    def add(out: Column, h: Column) -> Column:
+        shape = F.size(F.filter(out, lambda o: F.substring(o.text, 1, 20) == F.substring(h.text, 1, 20)))
+        same = F.exists(out, lambda o: o.text == h.text)
+        drop = same | (shape >= 2) | adds_nothing(h.a, F.transform(out, lambda o: o.b)) | (F.size(out) >= most)
+        return F.when(drop, out).otherwise(F.concat(out, F.array(h)))
+
+    none = F.array().cast("array<struct<title: string, text: string, a: array<string>, b: array<string>>>")
+    return F.aggregate(words, none, add, lambda out: F.transform(out, lambda o: F.struct(o.title.alias("title"), o.text.alias("text"))))
+
+
+def fact_prompt(system: str, question: Column, facts: Column, suggested: Column, mode: Column, first_limit: int = 600, limit: int = 200) -> Column:
+    """A prompt with facts (array<struct<title, text>>): the reader's suggestion, the facts by title, the question and what it asks for."""
+    line = lambda f, i: F.concat(F.lit("- ["), f.title, F.lit("] "), F.when(i == 0, trimmed(f.text, first_limit)).otherwise(trimmed(f.text, limit)), F.lit("\n"))
+    hint = F.coalesce(F.concat(F.lit("(The reader suggests the answer is: "), suggested, F.lit(")\n")), F.lit(""))
+    marks = F.length(question) - F.length(F.replace(question, F.lit("?"), F.lit("")))
+    two = F.when((marks >= 2) & (mode == "normal"), "\n(Two questions - answer both, in order.)").otherwise("")
+    wide = F.when(mode == "normal", "\n(Answer in one or two plain sentences using the facts above.)").otherwise("")
+    note = F.when(mode == "age", "\n(Use only the birth date or age written in the facts.)").when(mode == "live", "\n(Say that live information is not available.)").when(mode == "bored", "\n(Recommend something and suggest a question.)").otherwise("")
+    body = F.concat(hint, F.lit("FACTS:\n"), F.array_join(F.transform(facts, line), ""), F.lit("\nQUESTION: "), question, two, wide, note)
+    return F.concat(F.lit(f"<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n"), body, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
 
 
 def trimmed(text: Column, limit: int) -> Column:

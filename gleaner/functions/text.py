@@ -204,6 +204,7 @@ def unescaped(text: Column) -> Column:
     return F.when(text.contains("&"), whole).otherwise(text)
 
 
+# The patterns of pages below (content element, footer, references, edit links, removed elements, paragraphs).
 def body_of(html: Column) -> Column:
     """What follows the parser-output element, if there is one, up to the archive's footer."""
     inner = F.regexp_extract(html, r'(?s)class="[^"]*mw-parser-output[^"]*"[^>]*>(.*)', 1)

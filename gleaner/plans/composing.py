@@ -45,11 +45,21 @@ def same_shape_cap(spark, sf_dir):
     return passages(spark, sf_dir).withColumn("n", F.row_number().over(own)).where("n <= 2").select("passage_id")
 
 
-@query("fact_select")
+def _fold(item: str, source: str, key: str, order: str, most: int) -> str:
+    """Facts in SQL: rows of `source` (title, text, a, b) by `order`, folded by list_reduce; `item` groups them."""
+    kind = "STRUCT(title VARCHAR, text VARCHAR, b VARCHAR[])[]"
+    return f"""{item} AS (SELECT {key}, list_reduce(list_prepend({{'o': []::{kind}, 'a': []::VARCHAR[]}}, list({{'o': [{{'title': title, 'text': text, 'b': b}}]::{kind}, 'a': a}} ORDER BY {order})),
+  lambda s, x: {{'o': CASE WHEN len(s.o) >= {most} OR len(list_filter(s.o, lambda o: o.text = x.o[1].text)) > 0 OR len(list_filter(s.o, lambda o: o.text[1:20] = x.o[1].text[1:20])) >= 2
+    OR (len(x.a) > 0 AND len(list_filter(s.o, lambda o: len(list_filter(x.a, lambda w: NOT list_contains(o.b, w))) = 0)) > 0) THEN s.o ELSE list_append(s.o, x.o[1]) END, 'a': s.a}}).o AS facts FROM {source} GROUP BY {key})"""
+
+
+@query("fact_select", f"""WITH {PASSAGES}, l AS (SELECT article_id, passage_id, '' AS title, text, {_cw("text")} AS a, {_cw("text", 64)} AS b FROM passages), {_fold("f", "l", "article_id", "passage_id", 6)}
+SELECT article_id, list_transform(facts, lambda f: f.text) AS facts FROM f""")
 def fact_select(spark, sf_dir):
-    """Rows only: an ordered fold over all lines of every article; its rules are compared one by one and tested on small cases."""
+    """The facts among all lines of every article, an ordered fold."""
     lines = passages(spark, sf_dir).groupBy("article_id").agg(F.array_sort(F.collect_list(F.struct("passage_id", "text"))).alias("l"))
-    return lines.select("article_id", K.selected_facts(F.transform("l", lambda x: x.text)).alias("facts"))
+    facts = K.facts_of(F.transform("l", lambda x: F.struct(F.lit("").alias("title"), x.text.alias("text"))), 6)
+    return lines.select("article_id", F.transform(facts, lambda f: f.text).alias("facts"))
 
 
 @query("fact_trim", f"""WITH {PASSAGES}, c AS (SELECT passage_id, text, text[1:240] AS cut FROM passages), s AS (SELECT *, regexp_extract(cut, '^(.*) [^ ]*$', 1, 's') AS sp FROM c)
@@ -283,6 +293,31 @@ def chat_json(spark, sf_dir):
     return j.select("question_id", "j.reply", "j.used_facts", f"{r}.question", f"{r}.answer", f"{r}.title", f"{r}.confidence", F.size(f"{r}.hits").cast("long").alias("n_hits"), _hit_digest(F.col(f"{r}.hits")).alias("hits"))
 
 
+def _cut(n: int) -> str:
+    spaced = f"regexp_extract(f.text[1:{n}], '^(.*) [^ ]*$', 1, 's')"
+    return f"CASE WHEN length(f.text) <= {n} THEN f.text WHEN length({spaced}) > {n // 2} THEN {spaced} || ' ...' ELSE f.text[1:{n}] || ' ...' END"
+
+
+@query("answer_prompt", f"""{_CHAIN}, ln AS (SELECT h.question_id, h.title, h.passage AS text, h.passage_id <> w.doc_id AS later, h.rank, {_cw("h.passage")} AS a, {_cw("h.passage", 64)} AS b FROM hit h JOIN w1 w USING (question_id)), {_fold("fx", "ln", "question_id", "later, rank", 3)},
+wc AS (SELECT question_id, question, answer, {_CONF} AS confidence, {_pad()} AS nn FROM (SELECT *, question AS text FROM w1)),
+pr AS (SELECT question_id, len(facts) AS n, CASE WHEN confidence >= 0.45 AND answer <> '' AND strlen(answer) < 160 THEN '(The reader suggests the answer is: ' || CASE WHEN instr(answer, '. ') > 13 THEN split_part(answer, '. ', 1) ELSE answer END || ')' || chr(10) ELSE '' END AS hint,
+  array_to_string(list_transform(facts, lambda f, i: '- [' || f.title || '] ' || CASE WHEN i = 1 THEN {_cut(600)} ELSE {_cut(200)} END || chr(10)), '') AS lines, question, {{MODE}} AS mode FROM fx JOIN wc USING (question_id))
+SELECT question_id, n, hint <> '' AS hinted, md5('<|im_start|>system' || chr(10) || 'Answer briefly.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || hint || 'FACTS:' || chr(10) || lines || chr(10) || 'QUESTION: ' || question
+  || CASE WHEN mode = 'normal' AND length(question) - length(replace(question, '?', '')) >= 2 THEN chr(10) || '(Two questions - answer both, in order.)' ELSE '' END || CASE WHEN mode = 'normal' THEN chr(10) || '(Answer in one or two plain sentences using the facts above.)' ELSE '' END
+  || CASE mode WHEN 'age' THEN chr(10) || '(Use only the birth date or age written in the facts.)' WHEN 'live' THEN chr(10) || '(Say that live information is not available.)' WHEN 'bored' THEN chr(10) || '(Recommend something and suggest a question.)' ELSE '' END
+  || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS digest FROM pr""".replace("{MODE}", _MODE.replace("contains(n,", "contains(nn,")))
+def answer_prompt(spark, sf_dir):
+    """The composer's prompt of each benchmark text: the reader's suggestion, the winner's passage first, then hits that add something."""
+    won = winners(spark, sf_dir)
+    h = hits(spark, sf_dir).join(won.select("question_id", F.col("doc_id").alias("best")), "question_id")
+    h = h.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct((F.col("passage_id") != F.col("best")).alias("later"), "rank", "title", F.col("passage").alias("text")))).alias("h"))
+    h = h.select("question_id", K.facts_of(F.transform("h", lambda x: F.struct(x.title.alias("title"), x.text.alias("text")))).alias("facts"))
+    confidence = A.confidence(F.col("margin"), F.col("dense"), F.col("coverage"))
+    rows = won.withColumn("hint", K.suggested_span(F.col("answer"), confidence, "-")).join(h, "question_id")
+    prompt_ = K.fact_prompt("Answer briefly.", F.col("question"), F.col("facts"), F.col("hint"), G.mode(F.col("question")))
+    return rows.select("question_id", F.size("facts").cast("long").alias("n"), F.col("hint").isNotNull().alias("hinted"), F.md5(prompt_).alias("digest"))
+
+
 @query("alternates", f"WITH {_CAND} SELECT question_id, list(answer ORDER BY rank)[2:5] AS alternates FROM cand GROUP BY ALL")
 def alternates(spark, sf_dir):
     rows = _candidates(spark, sf_dir).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "answer"))).alias("l"))

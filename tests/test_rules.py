@@ -159,7 +159,8 @@ def test_grounded(spark):
 
 def test_facts(spark):
     lines = ["Leo is the minister of finance.", "The minister is Leo", "Leo is the minister of finance.", "another line"]
-    assert value(spark, K.selected_facts(F.col("a")), a=lines) == [lines[0], lines[3]]
+    facts = K.facts_of(F.transform("a", lambda t: F.struct(F.lit("T").alias("title"), t.alias("text"))), 6)
+    assert [(f.title, f.text) for f in value(spark, facts, a=lines)] == [("T", lines[0]), ("T", lines[3])]
 
 
 def test_grade_and_bucket(spark):
