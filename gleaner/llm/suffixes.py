@@ -5,7 +5,8 @@ A suffix starts at every byte; those whose next LENGTH bytes also start elsewher
 Buckets and pointers. A bucket identifier of 2L bytes at p is made of the identifiers of L bytes at p and at
 the later offset p + L, so each level reuses the last one's, from single bytes to Q-grams (the first buckets) and
 2Q-grams. Any longer string is named by the identifiers that its first bytes and its later offsets point to; no
-bytes are compared or hashed anew.
+bytes are compared or hashed anew. Identifiers of Q-grams aren't stored for every byte, which would be eight times
+the text: the doubling is repeated where a round needs some.
 
 Neighbouring suffixes share one pointer: of the Q-grams inside a suffix's LENGTH bytes the one with the
 smallest identifier (leftmost on ties), its anchor. The anchor depends on those bytes alone, so equal
@@ -14,10 +15,12 @@ the text.
 
 Refinement. A bucket holds runs of suffixes with the same anchor Q-gram. It is sorted by the identifiers at the
 offsets around the anchor. A bucket with one member is finished: its suffixes are unique. Members that agree
-in all bytes that their suffixes cover are finished too: the run repeats as a whole. The others get new buckets
-of less width, again sorted by identifiers at later offsets: steps of STEP suffixes (bucket: the bytes common to
-a step's suffixes; finished if all that it covers agrees), then single suffixes, whose LENGTH bytes are the bucket
-at p and the bucket at p + LENGTH - 2Q. Each round takes only what the last one left open, and of equal
+in all bytes that their suffixes cover are finished too: the run repeats as a whole. The others stay open and keep
+their bucket, which the next round refines: an open run's bucket is split into those of steps of STEP suffixes by
+the identifiers at the first and the last offset of the bytes common to a step's suffixes (finished if all
+that it covers agrees), and an open step's bucket, so refined, into those of single suffixes by the identifier at p;
+the identifier at p + LENGTH - 2Q decides the rest. So a round reuses the updates of all rounds before it, and
+members that were parted once never meet again. Each round takes only what the last one left open, and of equal
 members one as the others' partner, so a group of m copies is m rows, once. Identifiers are hashes
 instead of ranks, since ranks of all corpora would need a global sort in every round; two strings count as
 equal by two 64-bit identifiers. No step is capped or sampled.
@@ -117,17 +120,26 @@ def _windows(data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield np.flatnonzero(window == w), _identifiers(data[begin : begin + grams.SLICE_BYTES + 6 * Q])[1], begin
 
 
+def _name(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Names of the bytes i to j + 2Q, 2Q to 6Q of them, from the identifiers at the first and at two later offsets."""
+    x = ids[i] * np.uint64(0x94D049BB133111EB) + ids[np.minimum(i + 2 * Q, j)]
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + ids[j]
+    return grams.mix(x + (j - i).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _names(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Names of data[a:b], of 2Q to 6Q bytes, from the identifiers at the first and at two later offsets."""
+    """Names of data[a:b]."""
     out = np.empty(len(a), np.uint64)
     for which, ids, begin in _windows(data, a):
-        i, j = a[which] - begin, b[which] - 2 * Q - begin
-        x = ids[i] * np.uint64(0x94D049BB133111EB) + ids[np.minimum(i + 2 * Q, j)]
-        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + ids[j]
-        out[which] = grams.mix(x + (j - i).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        out[which] = _name(ids, a[which] - begin, b[which] - 2 * Q - begin)
     return out.view(np.int64)
 
 
+def _refined(bucket: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """The buckets that members of a bucket get by an identifier at another offset."""
+    return grams.mix(bucket * np.uint64(0xD6E8FEB86659FD93) + by)
+
+
 class _Rows:
     """Gathers columns of several documents into one batch."""
 
@@ -145,30 +157,30 @@ class _Rows:
 
 
 class _Lists:
-    """The numbers that a folder holds for each row; the folder has one part for each file of texts."""
+    """What a folder holds for each row, in the order of `value`; the folder has one part for each file of texts."""
 
-    def __init__(self, folder: str):
-        self.folder, self.part = folder, None
+    def __init__(self, folder: str, *more: str):
+        self.folder, self.part, self.names = folder, None, ["doc", "value", *more]
 
-    def of(self, doc: int) -> np.ndarray:
+    def of(self, doc: int) -> list[np.ndarray]:
         if doc >> _ROW_BITS != self.part:
             self.part = doc >> _ROW_BITS
             self._load()
-        a, b = np.searchsorted(self.docs, [doc, doc + 1])
-        return self.values[a:b]
+        a, b = np.searchsorted(self.columns[0], [doc, doc + 1])
+        return [x[a:b] for x in self.columns[1:]]
 
     def _load(self) -> None:
         store, root = pafs.FileSystem.from_uri(self.folder)
         found = store.get_file_info(pafs.FileSelector(f"{root}/part={self.part}", allow_not_found=True))
-        docs, values = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        parts = [[np.zeros(0, np.int64)] for _ in self.names]
         for info in found:
             if info.path.endswith(".parquet"):
-                table = pq.read_table(info.path, filesystem=store, columns=["doc", "value"], partitioning=None)
-                docs.append(table.column(0).to_numpy())
-                values.append(table.column(1).to_numpy())
-        docs, values = np.concatenate(docs), np.concatenate(values)
-        order = np.lexsort((values, docs))
-        self.docs, self.values = docs[order], values[order]
+                table = pq.read_table(info.path, filesystem=store, columns=self.names, partitioning=None)
+                for k, name in enumerate(self.names):
+                    parts[k].append(table.column(name).to_numpy())
+        columns = [np.concatenate(x) for x in parts]
+        order = np.lexsort((columns[1], columns[0]))
+        self.columns = [x[order] for x in columns]
 
 
 # A place packs a run into one long. Of a run of one anchor: anchor, distances back and ahead (8 bits
@@ -197,34 +209,42 @@ def _run_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _steps(runs: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
-    """(place, step, common bytes from a to b, covered bytes from c to d) of the steps of runs in a text of n bytes."""
+    """(run, place, step, common bytes from a to b, covered bytes from c to d) of the steps of runs in a text of n bytes."""
     at, back, ahead, known = runs >> 17, runs >> 9 & 255, runs >> 1 & 255, runs & 1
     low = ahead // STEP
     size = back // STEP + 1 - low
-    at, back, ahead, known, low = (np.repeat(x, size) for x in (at, back, ahead, known, low))
+    run = np.repeat(np.arange(len(runs)), size)
+    at, back, ahead, known, low = (x[run] for x in (at, back, ahead, known, low))
     step = low + np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
     near, far = step * STEP, np.minimum(step * STEP + STEP, SPREAD) - 1
     first, last = at - np.minimum(far, back), at - np.maximum(near, ahead)
     whole = (at >= far) & (at - near + LENGTH <= n)
-    return first << 5 | last - first << 1 | known, step, at - near, at - far + LENGTH, np.where(whole, at - far, first), np.where(whole, at - near, last) + LENGTH
+    return run, first << 5 | last - first << 1 | known, step, at - near, at - far + LENGTH, np.where(whole, at - far, first), np.where(whole, at - near, last) + LENGTH
 
 
 def _step_rows(folder: str) -> callable:
-    """bucket: the bytes common to a step's suffixes; full: those that it covers. folder: open runs."""
+    """bucket: that of the step's run, refined by the bytes common to the step's suffixes; full: those that it covers.
+
+    folder: open runs with their buckets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, open_runs = _Rows(ROWS), _Lists(folder)
+        rows, open_runs = _Rows(ROWS), _Lists(folder, "bucket")
         for batch in batches:
             for k, doc in enumerate(batch.column(0).to_pylist()):
-                runs = open_runs.of(doc)
+                runs, held = open_runs.of(doc)
                 if not len(runs):
                     continue
                 data = np.frombuffer(batch.column(1)[k].as_py().encode(), np.uint8)
-                place, step, a, b, c, d = _steps(runs, len(data))
+                own, place, step, a, b, c, d = _steps(runs, len(data))
                 # A step's number is part of the bucket; where its covered bytes begin and end in it, part of their name.
-                bucket = _names(data, a, b) ^ grams.mix(step.astype(np.uint64) + np.uint64(1)).view(np.int64)
-                full = _names(data, c, d) ^ grams.mix(((a - c) << 8 | d - c).astype(np.uint64)).view(np.int64)
-                rows.add(np.full(len(place), doc), place, bucket, full)
+                bucket = _refined(held.view(np.uint64)[own], step.astype(np.uint64))
+                full = grams.mix(((a - c) << 8 | d - c).astype(np.uint64))
+                for which, ids, begin in _windows(data, c):
+                    first, last = a[which] - begin, b[which] - 2 * Q - begin
+                    bucket[which] = _refined(_refined(bucket[which], ids[first]), ids[last])
+                    full[which] ^= _name(ids, c[which] - begin, d[which] - 2 * Q - begin)
+                rows.add(np.full(len(place), doc), place, bucket.view(np.int64), full.view(np.int64))
                 yield from rows.taken(50_000)
         yield from rows.taken()
 
@@ -232,22 +252,27 @@ def _step_rows(folder: str) -> callable:
 
 
 def _suffix_rows(folder: str) -> callable:
-    """bucket and full: the buckets of 2Q bytes at a suffix and at its last offset. folder: open steps."""
+    """bucket: that of the suffix's step, refined by the suffix's first bytes; full: the identifier at its last offset.
+
+    folder: open steps with their buckets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, open_steps = _Rows(ROWS), _Lists(folder)
+        rows, open_steps = _Rows(ROWS), _Lists(folder, "bucket")
         for batch in batches:
             for k, doc in enumerate(batch.column(0).to_pylist()):
-                steps = open_steps.of(doc)
+                steps, held = open_steps.of(doc)
                 if not len(steps):
                     continue
                 data = np.frombuffer(batch.column(1)[k].as_py().encode(), np.uint8)
                 size = (steps >> 1 & 15) + 1
-                at = np.repeat(steps >> 5, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                one, two = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+                own = np.repeat(np.arange(len(steps)), size)
+                at = (steps >> 5)[own] + np.arange(len(own)) - (np.cumsum(size) - size)[own]
+                bucket, full = held.view(np.uint64)[own], np.empty(len(at), np.uint64)
                 for which, ids, begin in _windows(data, at):
-                    one[which], two[which] = ids[at[which] - begin], ids[at[which] - begin + LENGTH - 2 * Q]
-                rows.add(np.full(len(at), doc), at << 1 | np.repeat(steps & 1, size), grams.mix(one).view(np.int64), grams.mix(two).view(np.int64))
+                    bucket[which] = _refined(bucket[which], ids[at[which] - begin])
+                    full[which] = ids[at[which] - begin + LENGTH - 2 * Q]
+                rows.add(np.full(len(at), doc), at << 1 | (steps & 1)[own], bucket.view(np.int64), grams.mix(full).view(np.int64))
                 yield from rows.taken(50_000)
         yield from rows.taken()
 
@@ -259,7 +284,7 @@ class _Spans(_Lists):
 
     def pieces(self, doc: int) -> list[tuple[int, int]]:
         """(first byte, end) in order, apart from each other."""
-        spans = self.of(doc)
+        (spans,) = self.of(doc)
         if not len(spans):
             return []
         first, end = spans >> 32, np.maximum.accumulate((spans & 0xFFFFFFFF) + LENGTH)
@@ -315,7 +340,7 @@ def _without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
 
 
 def _resolved(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(doc, place, many, goes_on) of the rows that aren't alone in their bucket.
+    """(doc, place, bucket, many, goes_on) of the rows that aren't alone in their bucket; bucket: of those that go on.
 
     many: another row has the same bucket and full. goes_on: the bucket also has other rows, and this row has no
     equal or is their partner. Buckets are dealt by hash, each sorted by full in one pass. Hot buckets are dealt
@@ -336,26 +361,27 @@ def _resolved(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         names = [r.name for r in sample.groupBy(equal.alias("name")).count().where(F.col("count") >= least).collect()]
         same = F.col("bucket").isin(hot) & equal.isin(names)
         partners = [r.p for r in hot_rows.where(same).groupBy(*key).agg(F.min(row).alias("p"), F.count("*").alias("n")).where("n > 1").collect()]
-        whole = hot_rows.where(same).select("doc", "place", F.lit(True).alias("many"), (mixed & row.isin(partners)).alias("goes_on"))
+        whole = hot_rows.where(same).select("doc", "place", "bucket", F.lit(True).alias("many"), (mixed & row.isin(partners)).alias("goes_on"))
         rest = rows.where(~same).withColumn("hot_mixed", F.when(F.col("bucket").isin(hot), mixed))
     salt = F.when(F.col("hot_mixed").isNotNull(), F.pmod("full", F.lit(SALTS))).otherwise(0).cast("int")
     rest = rest.withColumn("salt", salt).repartition("bucket", "salt")
     own, same = Window.partitionBy("bucket", "salt"), Window.partitionBy("bucket", "salt", "full")
     rest = rest.select(
-        "doc", "place", "hot_mixed",
+        "doc", "place", "bucket", "hot_mixed",
         F.row_number().over(same.orderBy("doc", "place")).alias("number"), F.count("*").over(same).alias("n"),
         F.count("*").over(own).alias("members"), (F.min("full").over(own) != F.max("full").over(own)).alias("mixed"),
     )
     rest = rest.where((F.col("members") > 1) | F.col("hot_mixed").isNotNull())
-    rest = rest.select("doc", "place", (F.col("n") > 1).alias("many"), (F.coalesce("hot_mixed", "mixed") & (F.col("number") == 1)).alias("goes_on"))
-    return scratch.save((rest if whole is None else rest.unionByName(whole)).where("many or goes_on"), name)
+    rest = rest.select("doc", "place", "bucket", (F.col("n") > 1).alias("many"), (F.coalesce("hot_mixed", "mixed") & (F.col("number") == 1)).alias("goes_on"))
+    found = (rest if whole is None else rest.unionByName(whole)).where("many or goes_on")
+    return scratch.save(found.withColumn("bucket", F.when(F.col("goes_on"), F.col("bucket"))), name)
 
 
 def _delivered(rows: DataFrame, scratch: Scratch, name: str) -> str:
-    """Writes rows (doc, value) into a folder with one part for each file of texts, and gives the folder."""
+    """Writes rows (doc, value, and their bucket if they have one) into a folder with one part for each file of texts, and gives the folder."""
     where = scratch.path(name)
     part = F.shiftright("doc", _ROW_BITS).cast("int").alias("part")
-    rows.select("doc", "value", part).repartition("part").write.partitionBy("part").parquet(where)
+    rows.select("*", part).repartition("part").write.partitionBy("part").parquet(where)
     return where
 
 
@@ -370,12 +396,12 @@ def _repeats(texts: DataFrame, scratch: Scratch) -> str:
     found = _resolved(runs, scratch, "first")
     anchor = F.shiftright(p, 17)
     spans = found.where("many").select("doc", span(anchor - bits(9), anchor - bits(1)))
-    folder = _delivered(found.where("goes_on").select("doc", more), scratch, "open-runs")
+    folder = _delivered(found.where("goes_on").select("doc", more, "bucket"), scratch, "open-runs")
     steps = scratch.save(texts.mapInArrow(trimmed(_step_rows(folder)), ROWS), "rows")
     found = _resolved(steps, scratch, "second")
     first = F.shiftright(p, 5)
     spans = spans.unionByName(found.where(F.col("many") & ~known).select("doc", span(first, first + F.shiftright(p, 1).bitwiseAND(15))))
-    folder = _delivered(found.where("goes_on").select("doc", more), scratch, "open-steps")
+    folder = _delivered(found.where("goes_on").select("doc", more, "bucket"), scratch, "open-steps")
     last = scratch.save(texts.mapInArrow(trimmed(_suffix_rows(folder)), ROWS), "rows")
     found = _resolved(last, scratch, "third")
     spans = spans.unionByName(found.where(F.col("many") & ~known).select("doc", span(F.shiftright(p, 1), F.shiftright(p, 1))))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -305,6 +306,32 @@ def test_names_of_windows(monkeypatch):
     assert (suffixes._names(twice, a, b) == suffixes._names(twice, a + 5000, b + 5000)).all()
 
 
+def test_rounds_refine_the_buckets_before(tmp_path):
+    """Steps and suffixes of equal bytes share a bucket exactly if their runs did."""
+    text = " ".join(np.random.default_rng(4).choice(WORDS, 90))
+    first, last, anchor, gram = suffixes._runs(np.frombuffer(text.encode(), np.uint8))
+    place = anchor << 17 | (anchor - first) << 9 | (anchor - last) << 1
+
+    def delivered(name, values, buckets):
+        (tmp_path / name / "part=0").mkdir(parents=True)
+        columns = {"doc": np.repeat(np.arange(3), len(values)), "value": np.tile(values, 3), "bucket": np.concatenate(buckets)}
+        pq.write_table(pa.table(columns), tmp_path / name / "part=0" / "a.parquet")
+        return (tmp_path / name).as_uri()
+
+    texts = pa.RecordBatch.from_arrays([pa.array([0, 1, 2]), pa.array([text] * 3)], ["doc", "text"])
+    gram = gram.view(np.int64)
+    rows = pa.Table.from_batches(suffixes._step_rows(delivered("runs", place, [gram, gram, gram + 1]))(iter([texts]))).to_pandas()
+    steps = [rows[rows.doc == k].reset_index(drop=True) for k in range(3)]
+    assert steps[0].place.equals(steps[1].place) and steps[0].bucket.equals(steps[1].bucket) and steps[0].full.equals(steps[1].full)
+    assert (steps[0].bucket != steps[2].bucket).all() and steps[0].full.equals(steps[2].full)
+    where = delivered("steps", steps[0].place.to_numpy(), [x.bucket.to_numpy() for x in steps])
+    rows = pa.Table.from_batches(suffixes._suffix_rows(where)(iter([texts]))).to_pandas()
+    single = [rows[rows.doc == k].reset_index(drop=True) for k in range(3)]
+    assert sorted(single[0].place // 2) == list(range(len(text) - 199))
+    assert single[0].bucket.equals(single[1].bucket) and (single[0].bucket != single[2].bucket).all()
+    assert single[0].bucket.is_unique and single[0].full.equals(single[2].full)
+
+
 def test_windows_of_long_texts(monkeypatch):
     monkeypatch.setattr(grams, "SLICE_BYTES", 500)
     data = np.frombuffer(" ".join(np.random.default_rng(1).choice(WORDS, 900)).encode(), np.uint8)
