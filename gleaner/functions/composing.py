@@ -96,6 +96,24 @@ def first_grounded(answer: Column, title: Column, confidence: Column, wide: Colu
     return F.coalesce(*tried, last, replies[0])
 
 
+def cascade(answer: Column, title: Column, confidence: Column, wide: Column, first: Column, second: Column, focused: Column) -> Column:
+    """struct<used, reply>: the first reply if it is grounded, else the second, decoded otherwise.
+
+    If neither is, a confident wide answer gets the reply to the focused prompt, or is told as it is; others keep the first reply.
+    """
+    chosen = lambda used, reply: F.struct(F.lit(used).alias("used"), reply.alias("reply"))
+    good = lambda used, reply: F.when(grounded(answer, reply, confidence, wide), chosen(used, reply))
+    told = chosen("told", F.concat(answer, F.lit(" (Wikipedia, "), title, F.lit(")")))
+    last = F.when(wide & (confidence >= 0.6), F.coalesce(good("focused", focused), told))
+    return F.coalesce(good("first", first), good("second", second), last, chosen("ungrounded", first))
+
+
+def focus_prompt(system: str, title: Column, passage: Column, question: Column, answer: Column) -> Column:
+    """The prompt of the last attempt, without history: one fact, the question, and the answer beside it."""
+    body = F.concat(F.lit("FACT ["), title, F.lit("]\n"), passage, F.lit("\n\nQUESTION: "), question, F.lit("\n(The answer is "), answer, F.lit(": give it in one sentence that names what is asked about.)"))
+    return F.concat(F.lit(f"<|im_start|>system\n{system}<|im_end|>\n<|im_start|>user\n"), body, F.lit("<|im_end|>\n<|im_start|>assistant\n"))
+
+
 def turn_block(role: Column, text: Column) -> Column:
     return F.concat(F.lit("<|im_start|>"), F.when(role == "assistant", "assistant").otherwise("user"), F.lit("\n"), text, F.lit("<|im_end|>\n"))
 

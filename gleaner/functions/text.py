@@ -86,11 +86,21 @@ def second_question(text: Column) -> Column:
     return F.when(F.octet_length(rest) >= 6, rest)
 
 
+def _pair_parts(question: Column, context: Column, most: int) -> tuple[Column, Column]:
+    q = F.slice(question, 1, 62)
+    return q, F.slice(context, 1, F.greatest(F.lit(0), most - 3 - F.size(q)))
+
+
 def encoded_pair(question: Column, context: Column, most: int = 384) -> Column:
     """[CLS] question [SEP] context [SEP]; the context is cut, the question has at most 62 tokens."""
-    q = F.slice(question, 1, 62)
-    room = F.greatest(F.lit(0), most - 3 - F.size(q))
-    return F.concat(F.array(F.lit("[CLS]")), q, F.array(F.lit("[SEP]")), F.slice(context, 1, room), F.array(F.lit("[SEP]")))
+    q, c = _pair_parts(question, context, most)
+    return F.concat(F.array(F.lit("[CLS]")), q, F.array(F.lit("[SEP]")), c, F.array(F.lit("[SEP]")))
+
+
+def pair_types(question: Column, context: Column, most: int = 384) -> Column:
+    """Of each token of encoded_pair its type: 0 up to the first [SEP], 1 behind it."""
+    q, c = _pair_parts(question, context, most)
+    return F.concat(F.array_repeat(F.lit(0), F.size(q) + 2), F.array_repeat(F.lit(1), F.size(c) + 1))
 
 
 def bound(value: Column, then) -> Column:

@@ -111,6 +111,25 @@ def retry_cascade(spark, sf_dir):
     return rows.select("question_id", "rank", F.when(out == F.col("reply"), "reply").otherwise("answer").alias("used"))
 
 
+def _held(reply: str) -> str:
+    """SQL: most of the answer's words are in the reply, where that is asked for."""
+    return f"(free OR len(list_filter(a, lambda w: list_contains({_cw(reply, 400)}, w))) * 10 >= len(a) * 7)"
+
+
+@query("reply_cascade", f"""WITH {_CAND}, three AS (SELECT question_id, rank, title, answer, rank % 2 = 1 AS wide, {_CONF} AS confidence, coalesce(lead(passage, 1) OVER w, '') AS r1, coalesce(lead(passage, 2) OVER w, '') AS r2, first_value(passage) OVER w AS r3
+  FROM cand WINDOW w AS (PARTITION BY question_id ORDER BY rank)), asked AS (SELECT *, {_cw("answer")} AS a, confidence < CASE WHEN wide THEN 0.5 ELSE 0.6 END OR answer = '' OR strlen(answer) > 100 OR len({_cw("answer")}) = 0 AS free FROM three),
+chosen AS (SELECT *, CASE WHEN {_held("r1")} THEN 'first' WHEN {_held("r2")} THEN 'second' WHEN wide AND confidence >= 0.6 THEN CASE WHEN {_held("r3")} THEN 'focused' ELSE 'told' END ELSE 'ungrounded' END AS used FROM asked)
+SELECT question_id, rank, used, md5(CASE used WHEN 'second' THEN r2 WHEN 'focused' THEN r3 WHEN 'told' THEN answer || ' (Wikipedia, ' || title || ')' ELSE r1 END) AS digest FROM chosen""")
+def reply_cascade(spark, sf_dir):
+    """Three replies to each candidate, for which passages of the question's other candidates stand: the next two and the best; odd ranks count as wide."""
+    own = Window.partitionBy("question_id").orderBy("rank")
+    later = lambda n: F.coalesce(F.lead("passage", n).over(own), F.lit(""))
+    rows = _candidates(spark, sf_dir).select("question_id", "rank", "title", "answer", (F.col("rank") % 2 == 1).alias("wide"),
+        A.confidence(F.col("margin"), F.col("dense"), F.col("coverage")).alias("confidence"), later(1).alias("r1"), later(2).alias("r2"), F.first("passage").over(own).alias("r3"))
+    out = K.cascade(*(F.col(c) for c in ("answer", "title", "confidence", "wide", "r1", "r2", "r3")))
+    return rows.select("question_id", "rank", out.alias("o")).select("question_id", "rank", "o.used", F.md5("o.reply").alias("digest"))
+
+
 @query("token_budget", f"SELECT conv_id, turn, CASE WHEN len(list_filter({strings(K.LISTY)}, lambda p: contains(lower(text), p))) > 0 THEN 260 ELSE 160 END AS budget FROM conversations")
 def token_budget(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", K.token_budget(F.col("text")).alias("budget"))
@@ -318,6 +337,15 @@ def answer_prompt(spark, sf_dir):
     return rows.select("question_id", F.size("facts").cast("long").alias("n"), F.col("hint").isNotNull().alias("hinted"), F.md5(prompt_).alias("digest"))
 
 
+@query("focus_prompt", f"""{_CHAIN} SELECT question_id, {_CONF} >= 0.6 AS asked, md5('<|im_start|>system' || chr(10) || 'Answer briefly.<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || 'FACT [' || title || ']' || chr(10) || passage || chr(10) || chr(10) || 'QUESTION: ' || question
+  || chr(10) || '(The answer is ' || answer || ': give it in one sentence that names what is asked about.)<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)) AS digest FROM w1""")
+def focus_prompt(spark, sf_dir):
+    """The focused prompt of each benchmark text's winner, and whether its confidence allows it."""
+    asked = A.confidence(F.col("margin"), F.col("dense"), F.col("coverage")) >= 0.6
+    text = K.focus_prompt("Answer briefly.", F.col("title"), F.col("passage"), F.col("question"), F.col("answer"))
+    return winners(spark, sf_dir).select("question_id", asked.alias("asked"), F.md5(text).alias("digest"))
+
+
 @query("alternates", f"WITH {_CAND} SELECT question_id, list(answer ORDER BY rank)[2:5] AS alternates FROM cand GROUP BY ALL")
 def alternates(spark, sf_dir):
     rows = _candidates(spark, sf_dir).groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "answer"))).alias("l"))

@@ -52,6 +52,18 @@ def tok_pair(spark, sf_dir):
     return p.select("item_id", F.size("p").cast("long").alias("n_pair"), F.md5(F.array_join("p", " ")).alias("digest"))
 
 
+@query("tok_types", f"""WITH b AS (SELECT item_id, {sql_tokens("text")} AS t FROM benchmark), d AS (SELECT doc_id, {sql_tokens("text")} AS c FROM documents),
+n AS (SELECT item_id, len(t[1:62]) + 2 AS first, len(c[1:(381 - len(t[1:62]))]) + 1 AS second FROM b JOIN d ON doc_id = item_id)
+SELECT item_id, first AS n_first, second AS n_second, md5(repeat('0', first) || repeat('1', second)) AS digest FROM n""")
+def tok_types(spark, sf_dir):
+    """The token types of each pair."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("q"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), T.tokens(F.col("text")).alias("c"))
+    rows = b.join(d, "item_id").select("item_id", T.pair_types(F.col("q"), F.col("c")).alias("y"))
+    n = lambda kind: F.size(F.filter("y", lambda t: t == kind)).cast("long")
+    return rows.select("item_id", n(0).alias("n_first"), n(1).alias("n_second"), F.md5(F.array_join(F.col("y").cast("array<string>"), "")).alias("digest"))
+
+
 @query("token_spans", f"""WITH p AS (SELECT doc_id, unnest(a) AS source, generate_subscripts(a, 1) - 1 AS n FROM (SELECT doc_id, {sql_pieces("text")} AS a FROM documents)),
 o AS (SELECT *, sum(strlen(source)) OVER (PARTITION BY doc_id ORDER BY n) AS upto FROM p),
 t AS (SELECT doc_id, n, strip_accents(lower(source)) AS token, upto - strlen(source) AS a, upto AS z FROM o WHERE n % 2 = 1)

@@ -242,3 +242,23 @@ def test_stream(spark, tmp_path):
 
 def test_config():
     assert RetrievalConfig(prerank=99).prerank_clamped == 32
+
+
+def test_cascade_of_replies(spark):
+    held, lost = "The king lives at Coastburgh Castle.", "He lives somewhere."
+    rows = [
+        (1, 0.9, True, held, lost, lost), (2, 0.9, True, lost, held, lost), (3, 0.9, True, lost, lost, held), (4, 0.9, True, lost, lost, lost),
+        (5, 0.9, False, lost, lost, held), (6, 0.55, True, lost, lost, held), (7, 0.55, False, lost, held, held), (8, 0.2, True, lost, held, held),
+    ]
+    frame = spark.createDataFrame(rows, "id int, confidence double, wide boolean, a string, b string, c string")
+    out = K.cascade(F.lit("Coastburgh Castle"), F.lit("King"), F.col("confidence"), F.col("wide"), F.col("a"), F.col("b"), F.col("c"))
+    got = {r.id: (r.o.used, r.o.reply) for r in frame.select("id", out.alias("o")).collect()}
+    told = "Coastburgh Castle (Wikipedia, King)"
+    assert got == {1: ("first", held), 2: ("second", held), 3: ("focused", held), 4: ("told", told), 5: ("ungrounded", lost), 6: ("ungrounded", lost), 7: ("first", lost), 8: ("first", lost)}
+
+
+def test_types_of_pairs(spark):
+    rows = spark.createDataFrame([(["a"], ["b", "c"]), ([], []), (["q"] * 70, ["c"] * 400)], "q array<string>, c array<string>")
+    got = [(r.p, r.y) for r in rows.select(T.encoded_pair(F.col("q"), F.col("c")).alias("p"), T.pair_types(F.col("q"), F.col("c")).alias("y")).collect()]
+    assert [len(p) for p, _ in got] == [len(y) for _, y in got] == [6, 3, 384]
+    assert got[0][1] == [0, 0, 0, 1, 1, 1] and got[1][1] == [0, 0, 1] and sum(got[2][1]) == 384 - 64
