@@ -16,14 +16,14 @@ def best_spans(tokens: DataFrame, by: str = "question_id") -> DataFrame:
     """(by, i, j, span_score): the best start and end at most SPAN - 1 apart, for tokens (by, pos, start, end, echo).
 
     A span made only of echo tokens (those of the question) doesn't count; of equal sums the first start,
-    then the first end wins. Starts meet only the ends of their own range, by a generated position.
+    then the first end wins; sums are rounded to six decimals, as those of equal numbers may differ in the last bit. Starts meet only the ends of their own range, by a generated position.
     """
     starts = tokens.select(by, F.col("pos").alias("i"), "start", F.explode(F.sequence(F.col("pos"), F.col("pos") + SPAN - 1)).alias("pos"))
     ends = tokens.select(by, "pos", "end", F.sum(F.when(F.col("echo"), 0).otherwise(1)).over(Window.partitionBy(by).orderBy("pos")).alias("own"))
     before = tokens.select(by, F.col("pos").alias("i"), (F.sum(F.when(F.col("echo"), 0).otherwise(1)).over(Window.partitionBy(by).orderBy("pos")) - F.when(F.col("echo"), 0).otherwise(1)).alias("base"))
     spans = starts.join(ends, [by, "pos"]).join(before, [by, "i"]).where("own > base")
     best = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("span_score"), "i", "j"))
-    spans = spans.select(by, "i", F.col("pos").alias("j"), (F.col("start") + F.col("end")).alias("span_score"))
+    spans = spans.select(by, "i", F.col("pos").alias("j"), F.round(F.col("start") + F.col("end"), 6).alias("span_score"))
     return spans.withColumn("n", best).where("n = 1").drop("n")
 
 

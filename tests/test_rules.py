@@ -262,3 +262,10 @@ def test_types_of_pairs(spark):
     got = [(r.p, r.y) for r in rows.select(T.encoded_pair(F.col("q"), F.col("c")).alias("p"), T.pair_types(F.col("q"), F.col("c")).alias("y")).collect()]
     assert [len(p) for p, _ in got] == [len(y) for _, y in got] == [6, 3, 384]
     assert got[0][1] == [0, 0, 0, 1, 1, 1] and got[1][1] == [0, 0, 1] and sum(got[2][1]) == 384 - 64
+
+
+def test_span_of_equal_sums_is_the_first(spark):
+    """3.3 + 4.4 and 0.1 + 7.6 are equal, though not as sums of doubles."""
+    rows = spark.createDataFrame([(1, 0, 0.1, 7.6, False), (1, 30, 3.3, 4.4, False)], "question_id long, pos int, start double, end double, echo boolean")
+    found = A.best_spans(rows).collect()
+    assert 3.3 + 4.4 != 0.1 + 7.6 and [(r.i, r.j) for r in found] == [(0, 0)]
