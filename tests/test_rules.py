@@ -269,3 +269,11 @@ def test_span_of_equal_sums_is_the_first(spark):
     rows = spark.createDataFrame([(1, 0, 0.1, 7.6, False), (1, 30, 3.3, 4.4, False)], "question_id long, pos int, start double, end double, echo boolean")
     found = A.best_spans(rows).collect()
     assert 3.3 + 4.4 != 0.1 + 7.6 and [(r.i, r.j) for r in found] == [(0, 0)]
+
+
+def test_related_terms_of_few_characters(spark, tmp_path):
+    """Three characters may have more than four bytes."""
+    from gleaner.plans import lexical as X
+
+    spark.createDataFrame([(0, "мир мира")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted((r.a, r.b) for r in X.related_terms(spark, str(tmp_path)).collect()) == [("мир", "мира")]
