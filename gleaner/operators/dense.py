@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import vectors as V
+from gleaner.operators import lexical as L
 from gleaner.operators import retrieve as R
 from gleaner.ship import ship
 
@@ -144,12 +145,15 @@ def fused_top(rows: DataFrame, queries: DataFrame, lexical: DataFrame, k: int, w
         score = F.round(F.lit(weight) * F.col("dense") + F.lit(1.0 - weight) * share, DIGITS)
         return both.select("question_id", "passage_id", "dense", F.coalesce("lexical", F.lit(0.0)).alias("lexical"), score.alias("score"))
 
-    known = first.join(lexical, ["question_id", "passage_id"], "left").join(most, "question_id", "left")
+    first = first.persist()
+    # Of all lexical pairs only those of the first candidates and those over the bound are kept; the sides they meet are small.
+    theirs = lexical.join(L.small(first, 2_000_000), ["question_id", "passage_id"])
+    known = first.join(theirs, ["question_id", "passage_id"], "left").join(most, "question_id", "left")
     known = scored(known).persist()
     kth = R.top_k(known, k).groupBy("question_id").agg(F.min("score").alias("t"))
     bound = kth.join(floor, "question_id").join(most, "question_id")
     # Scores are rounded, so the bound gives way by what rounding can add. A question with fewer than k dense rows has them all.
     enough = F.lit(weight) * F.col("floor") + F.lit(1.0 - weight) * share >= F.col("t") - 4 * 10.0**-DIGITS
-    more = lexical.join(bound, "question_id").where((F.col("listed") >= k) & enough).select("question_id", "passage_id", "lexical", "top")
-    more = more.join(first, ["question_id", "passage_id"], "left_anti")
+    more = lexical.join(L.small(bound), "question_id").where((F.col("listed") >= k) & enough).select("question_id", "passage_id", "lexical", "top")
+    more = more.join(L.small(first, 2_000_000), ["question_id", "passage_id"], "left_anti")
     return R.top_k(known.unionByName(scored(more)), k)

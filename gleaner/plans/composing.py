@@ -10,6 +10,7 @@ from gleaner.functions import routing as G
 from gleaner.operators import answers as A
 from gleaner.operators import lexical as L
 from gleaner.operators import retrieve as R
+from gleaner.operators import scoring as S
 from gleaner.streaming import talk as TK
 
 from .answering import _CAND, _CHAIN, _CONF, _candidates, answers, hits
@@ -245,8 +246,7 @@ SELECT count(*) AS items, count(*) FILTER (WHERE held) AS found, count(*) FILTER
 def retrieval_at_8(spark, sf_dir):
     """Retrieval at 8: for how many benchmark texts the eight best documents by BM25 hold one that has the whole text."""
     items = questions(spark, sf_dir)
-    scored = L.bm25(L.question_terms(items).withColumn("weight", F.lit(1.0)), index(spark, sf_dir, "documents"))
-    top = R.top_k(scored.withColumn("score", F.round("lexical", 9)), 8).select("question_id", "passage_id", "rank")
+    top = S.bm25_top(L.question_terms(items).withColumn("weight", F.lit(1.0)), index(spark, sf_dir, "documents"), 8).select("question_id", "passage_id", "rank")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("doc"))
     rows = docs.join(L.small(top), "passage_id").join(L.small(items), "question_id").where(F.col("doc").contains(F.col("text")))
     found = rows.groupBy("question_id").agg(F.min("rank").alias("at"))

@@ -11,6 +11,7 @@ from gleaner.functions import vectors as V
 from gleaner.operators import dense as D
 from gleaner.operators import lexical as L
 from gleaner.operators import retrieve as R
+from gleaner.operators import scoring as S
 
 from .binding import index, questions, sql_question_terms, sql_related, sql_tokens, strings, table
 from .lexical import BM25
@@ -140,9 +141,13 @@ tf AS (SELECT passage_id, term, count(*) AS tf FROM (SELECT passage_id, unnest({
 lengths AS (SELECT passage_id, sum(tf) AS doclen FROM tf GROUP BY ALL), stats AS (SELECT count(*) AS n, avg(doclen) AS avgdl FROM lengths), dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL)"""
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 of documents for every benchmark text."""
-    return L.bm25(L.question_terms(questions(spark, sf_dir)).withColumn("weight", F.lit(1.0)), index(spark, sf_dir, "documents"))
+def _weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.question_terms(questions(spark, sf_dir)).withColumn("weight", F.lit(1.0))
+
+
+def _best(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
+    """The best documents by BM25 for every benchmark text."""
+    return S.bm25_top(_weighted(spark, sf_dir), index(spark, sf_dir, "documents"), most)
 
 
 _HYBRID = f"""WITH {_Q}, {DOCS}, w AS (SELECT *, 1.0 AS weight FROM ({sql_question_terms()})), {BM25.replace("scored AS", "lex AS")},
@@ -157,7 +162,7 @@ def _fused(spark: SparkSession, sf_dir: str, k: int, weight: float) -> DataFrame
     found = _embeddings(spark, sf_dir)
     items = questions(spark, sf_dir).select(F.col("question_id").alias("vec_id"))
     own = found.select(F.col("vec_id").alias("passage_id"))
-    lexical = _scored(spark, sf_dir).join(own, "passage_id", "left_semi")
+    lexical = S.bm25(_weighted(spark, sf_dir), index(spark, sf_dir, "documents"), own)
     return D.fused_top(_rows(found), _asked(found.join(items, "vec_id", "left_semi")), lexical, k, weight)
 
 
@@ -184,7 +189,7 @@ FROM hits JOIN benchmark b ON b.item_id = question_id JOIN documents d ON d.doc_
 
 def _text_pairs(spark: SparkSession, sf_dir: str, most: int = 8) -> DataFrame:
     """(question_id, passage_id, base, question, text) of the best documents; base is their share of the best BM25 score."""
-    hits = R.top_k(_scored(spark, sf_dir).withColumn("score", F.round("lexical", 9)), most)
+    hits = _best(spark, sf_dir, most)
     hits = hits.withColumn("base", F.col("lexical") / F.max("lexical").over(Window.partitionBy("question_id"))).select("question_id", "passage_id", "base")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), "text")
     return docs.join(L.small(hits), "passage_id").join(L.small(questions(spark, sf_dir).withColumnRenamed("text", "question")), "question_id")
@@ -262,8 +267,7 @@ def interleave_two(spark, sf_dir):
     second = two.select("question_id", T.second_question(F.col("text")).alias("text")).where("text is not null")
 
     def ranked(texts: DataFrame) -> DataFrame:
-        scored = L.bm25(L.question_terms(texts).withColumn("weight", F.lit(1.0)), found)
-        return R.top_k(scored.withColumn("score", F.round("lexical", 9)), DEFAULT.top)
+        return S.bm25_top(L.question_terms(texts).withColumn("weight", F.lit(1.0)), found, DEFAULT.top)
 
     return R.interleaved(ranked(two), ranked(second)).withColumn("rank", F.col("rank").cast("long"))
 

@@ -11,6 +11,7 @@ from gleaner.operators import answers as A
 from gleaner.operators import lexical as L
 from gleaner.operators import reading as N
 from gleaner.operators import retrieve as R
+from gleaner.operators import scoring as S
 
 from .answering import _CHAIN, _CONF, _PUNCT, _TITLED
 from .binding import STRIDE, TF, articles, index, passages, questions, saved, sql_question_terms, sql_related
@@ -25,8 +26,7 @@ def _make_home(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_id, question, top_title, segments, context, coverage): up to six of the eight best passages as one context."""
     found = index(spark, sf_dir)
     items = questions(spark, sf_dir)
-    scored = L.bm25(L.with_fuzzy(L.question_terms(items), found.dfs), found).withColumn("score", F.round("lexical", 9))
-    top = R.top_k(scored, DEFAULT.top).select("question_id", "passage_id", "rank")
+    top = S.bm25_top(L.with_fuzzy(L.question_terms(items), found.dfs), found, DEFAULT.top).select("question_id", "passage_id", "rank")
     rows = passages(spark, sf_dir).join(L.small(top), "passage_id").join(articles(spark, sf_dir).select("article_id", "title"), "article_id")
     rows = rows.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "passage_id", "title", "text"))).alias("h"))
     rows = rows.select("question_id", "h", A.assembled(F.transform("h", lambda x: x.text)).alias("segments"))

@@ -18,7 +18,7 @@ from gleaner.operators import reading as N
 from gleaner.operators import retrieve as R
 
 from .binding import index, questions, saved, sql_pieces, sql_tokens, strings, table
-from .dense import _HITS, _PHRASE, _Q, DOCS, _embeddings, _scored, coverage_ctes
+from .dense import _HITS, _PHRASE, _Q, DOCS, _best, _embeddings, coverage_ctes
 
 TITLE = "array_to_string(regexp_split_to_array(d.text, '\\s+')[1:3], ' ')"
 
@@ -33,7 +33,7 @@ def standin(tokens: DataFrame) -> DataFrame:
 def _make_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_id, passage_id, rank, score, first, title, passage, question, coverage, phrase, dense): the eight best of 24 pre-ranked documents."""
     found = index(spark, sf_dir, "documents")
-    hits = R.top_k(_scored(spark, sf_dir).withColumn("score", F.round("lexical", 9)), DEFAULT.prerank_clamped)
+    hits = _best(spark, sf_dir, DEFAULT.prerank_clamped)
     hits = hits.withColumn("base", F.col("lexical") / F.max("lexical").over(Window.partitionBy("question_id"))).select("question_id", "passage_id", "base")
     title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), title.alias("title"), F.col("text").alias("passage"))
