@@ -83,3 +83,20 @@ def test_piece_frequencies(spark):
     cut = W.term_pieces(index.dfs, ["a", "##a", "##b", "b", W.UNKNOWN])
     got = {tuple(r) for r in W.piece_frequencies(index, cut).collect()}
     assert got == {(1, "a", 2), (1, "##a", 2), (1, "##b", 2), (1, "b", 1), (2, W.UNKNOWN, 3)}
+
+
+def test_writing_blocks_shuffles_once(spark, monkeypatch, tmp_path):
+    """Only the few terms over the cap are looked up, by broadcast; before, beyond 200,000 terms, all postings met theirs in a shuffle of its own."""
+    monkeypatch.setattr(L, "small", lambda df, rows=200_000: F.broadcast(df) if df.limit(21).count() <= 20 else df)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, index = small_index(spark)
+        index = L.Index.save(index.tf, f"file://{tmp_path}/index")
+        joined = []
+        real = type(index.tf).join
+        monkeypatch.setattr(type(index.tf), "join", lambda self, other, *a, **k: joined.append((other.count(), a[-1])) or real(self, other, *a, **k))
+        blocks = P.write_blocks(index, f"file://{tmp_path}/blocks", RetrievalConfig(df_cap_floor=850))
+        assert joined == [(sum(r.df > 850 for r in index.dfs.collect()), "left_anti")]
+        assert sum(r.n for r in blocks.collect()) == sum(r.df for r in index.dfs.where("df <= 850").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

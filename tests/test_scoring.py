@@ -29,3 +29,16 @@ def test_only_the_best_leave_a_task(spark, tmp_path):
     every = S.bm25(asked, index, rows.where("passage_id < 50").select("passage_id"))
     assert every.count() == L.bm25(asked, index).where("passage_id < 50").count()
     assert S.bm25_top(asked.limit(0), index, 6).count() == 0
+
+
+def test_best_by_blocks(spark, tmp_path):
+    """Postings of a passage come from the blocks of several terms; only the best of each task leave it."""
+    from gleaner.operators import postings as P
+
+    rows = spark.createDataFrame([(p, " ".join(w for k, w in enumerate(("ab", "cd", "ef", "gh")) if p % (k + 2))) for p in range(400)], "passage_id long, text string")
+    index = L.Index.build(rows, f"file://{tmp_path}/index")
+    blocks = P.write_blocks(index, f"file://{tmp_path}/blocks")
+    asked = spark.createDataFrame([(q, w, 1.0) for q in range(3) for w in ("ab", "cd", "ef", "gh")[q:]], "question_id long, term string, weight double")
+    want = R.top_k(P.bm25(asked, blocks, index).withColumn("score", F.round("lexical", 9)), 5)
+    key = lambda df: sorted((r.question_id, r.rank, r.passage_id, round(r.lexical, 9)) for r in df.collect())
+    assert key(S.bm25_top_of_blocks(asked, blocks, index, 5)) == key(want)
