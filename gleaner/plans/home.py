@@ -22,17 +22,25 @@ from .registry import query
 from .routing import _ARITH, _ENT, _HAS, _MODE, _NORM, _PH, _TIER, _entities, _titles, _with_entity
 
 
-def _make_home(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(question_id, question, top_title, segments, context, coverage): up to six of the eight best passages as one context."""
+def _make_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = index(spark, sf_dir)
-    items = questions(spark, sf_dir)
-    top = S.bm25_top(L.with_fuzzy(L.question_terms(items), found.dfs), found, DEFAULT.top).select("question_id", "passage_id", "rank")
+    return S.bm25_top(L.with_fuzzy(L.question_terms(questions(spark, sf_dir)), found.dfs), found, DEFAULT.top).select("question_id", "passage_id", "rank")
+
+
+def _make_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, top_title, segments, context): up to six of the eight best passages, which are scored once and saved, as one context."""
+    top = saved(spark, sf_dir, "home-top", _make_top)
     rows = passages(spark, sf_dir).join(L.small(top), "passage_id").join(articles(spark, sf_dir).select("article_id", "title"), "article_id")
     rows = rows.groupBy("question_id").agg(F.sort_array(F.collect_list(F.struct("rank", "passage_id", "title", "text"))).alias("h"))
     rows = rows.select("question_id", "h", A.assembled(F.transform("h", lambda x: x.text)).alias("segments"))
     its = lambda s, c: F.get("h", s.place)[c].alias(c)
     rows = rows.withColumn("segments", F.transform("segments", lambda s: F.struct(s.place, s.text, s.from_byte, s.to_byte, its(s, "passage_id"), its(s, "title"))))
-    rows = rows.select("question_id", F.col("h")[0]["title"].alias("top_title"), "segments", A.context_of(F.col("segments")).alias("context"))
+    return rows.select("question_id", F.col("h")[0]["title"].alias("top_title"), "segments", A.context_of(F.col("segments")).alias("context"))
+
+
+def _make_home(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contexts with question and coverage."""
+    found, items, rows = index(spark, sf_dir), questions(spark, sf_dir), saved(spark, sf_dir, "home-contexts", _make_contexts)
     pairs = rows.select("question_id", F.lit(0).cast("long").alias("passage_id"), F.col("context").alias("text")).join(items.withColumnRenamed("text", "question"), "question_id")
     covered = R.coverage(pairs, found.dfs, found.stats.select("n")).select("question_id", "question", "coverage")
     return rows.join(covered, "question_id")

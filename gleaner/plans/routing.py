@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import routing as G
 
-from .binding import strings, table
+from .binding import strings, table, title_of
 from .registry import query
 
 PHRASES = (
@@ -71,8 +71,7 @@ _ENT = f"""words AS (SELECT DISTINCT lower(w) AS word FROM (SELECT unnest(regexp
 
 def _entities(spark, sf_dir):
     """Distinct lower-case title words of 3 to 40 characters without the skip list."""
-    title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ")
-    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(title, F.lit("[A-Za-z0-9][A-Za-z0-9']*"), F.lit(0))).alias("w"))
+    words = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(title_of("text"), F.lit("[A-Za-z0-9][A-Za-z0-9']*"), F.lit(0))).alias("w"))
     return words.where(F.length("w").between(3, 40)).select(F.lower("w").alias("word")).where(~F.col("word").isin(G.TITLE_SKIP)).distinct()
 
 
