@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
@@ -29,14 +30,54 @@ def token_spans(rows: DataFrame, key: list[str], text: str = "text") -> DataFram
     """(key..., place, token, source, from_byte, to_byte): a row for each token, from the first on, with its bytes [from, to) in the text.
 
     `token` is normalised, `source` as it stands; words of which nothing stays are left out. A text's tokens are
-    numbered by a window over the text alone.
+    numbered where the text is read, and nothing is shuffled.
     """
-    pieces = rows.select(*key, F.posexplode(T.token_pieces(F.col(text))).alias("n", "source"))
-    own = Window.partitionBy(*key).orderBy("n")
-    pieces = pieces.withColumn("to_byte", F.sum(F.octet_length("source")).over(own))
-    found = pieces.where("n % 2 = 1").select(*key, "n", T.normalised(F.col("source")).alias("token"), "source", (F.col("to_byte") - F.octet_length("source")).alias("from_byte"), "to_byte")
-    place = (F.row_number().over(own) - 1).alias("place")
-    return found.where("token <> ''").select(*key, place, "token", "source", "from_byte", "to_byte")
+    return _located(rows, key, text).select(*key, F.inline("spans"))
+
+
+def _located(rows: DataFrame, key: list[str], text: str, most: F.Column | None = None) -> DataFrame:
+    """(key..., n_tokens, spans): a row for each text with its tokens, the first `most` of them if that is given."""
+    ship(rows.sparkSession)
+    normal = lambda words: F.transform(words, T.normalised)
+
+    def first(words: F.Column) -> F.Column:
+        """Twice as many words as tokens are wanted; all of them if too many of these are empty."""
+        enough = lambda some: F.when((F.size(words) <= 2 * INPUT) | (F.size(F.filter(some, lambda w: w != "")) >= most), some).otherwise(normal(words))
+        return T.bound(normal(F.slice(words, 1, 2 * INPUT)), enough)
+
+    pieces = rows.select(*key, T.token_pieces(F.col(text)).alias("pieces"), (F.lit(None) if most is None else most).cast("long").alias("most"))
+    words = F.filter("pieces", lambda p, n: n % 2 == 1)
+    pieces = pieces.withColumn("words", normal(words) if most is None else T.bound(words, first))
+    kinds = dict(rows.select(*key).dtypes)
+    spans = "array<struct<place: int, token: string, source: string, from_byte: long, to_byte: long>>"
+    return pieces.mapInArrow(_numbered(key), ", ".join([*(f"`{c}` {kinds[c]}" for c in key), "n_tokens long", f"spans {spans}"]))
+
+
+def _numbered(key: list[str]) -> Callable:
+    """From texts' pieces, and their words as tokens or empty, to the tokens with their places and bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pieces, words = batch.column("pieces"), batch.column("words")
+            size = lambda lists: pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            starts = lambda n: np.cumsum(n) - n
+            source, token = pieces.flatten(), words.flatten()
+            length = pc.binary_length(source).to_numpy(zero_copy_only=False).astype(np.int64)
+            upto, n = np.concatenate([[0], np.cumsum(length)]), size(words)
+            row, first = np.repeat(np.arange(len(n)), n), starts(size(pieces))
+            at = first[row] + 2 * (np.arange(len(row)) - starts(n)[row]) + 1
+            kept = pc.binary_length(token).to_numpy(zero_copy_only=False) > 0
+            seen = np.concatenate([[0], np.cumsum(kept)])
+            place = seen[:-1] - seen[starts(n)][row]
+            kept &= place < batch.column("most").fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)[row]
+            row, at, place, token = row[kept], at[kept], place[kept], token.take(pa.array(np.flatnonzero(kept)))
+            of = upto[first[row]]
+            columns = [pa.array(place.astype(np.int32)), token, source.take(pa.array(at)), pa.array(upto[at] - of), pa.array(upto[at + 1] - of)]
+            n = np.bincount(row, minlength=len(n))
+            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.StructArray.from_arrays(columns, ["place", "token", "source", "from_byte", "to_byte"]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in key), pa.array(n), spans], [*key, "n_tokens", "spans"])
+
+    return run
 
 
 def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,13 +105,12 @@ def _best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read(pairs: DataFrame, reader: Reader, context: str = "context") -> DataFrame:
     """(question_id, passage_id, answer, span_score, null_score, i, j, from_byte, to_byte) of pairs (question_id, passage_id, question, context).
 
-    The context's tokens are those that fit beside the question's. The answer is what stands between the span's bytes, at most 500
+    The context's tokens are those that fit beside the question's; no others leave the task that cuts it. The answer is what stands between the span's bytes, at most 500
     of them, without closing punctuation; it may be empty. A context without a usable token has no row.
     """
-    ship(pairs.sparkSession)
-    asked = pairs.select(*PAIR, T.truncated(T.tokens(F.col("question")), ASKED).alias("asked"))
-    tokens = token_spans(pairs, PAIR, context).join(asked, PAIR).where(F.col("place") < INPUT - 3 - F.size("asked"))
-    tokens = tokens.withColumns({"echo": F.array_contains("asked", F.col("token")), "n_tokens": F.count("*").over(Window.partitionBy(*PAIR))})
+    asked = pairs.select(*PAIR, T.truncated(T.tokens(F.col("question")), ASKED).alias("asked"), context)
+    tokens = _located(asked, [*PAIR, "asked"], context, INPUT - 3 - F.size("asked"))
+    tokens = tokens.select(*PAIR, "asked", "n_tokens", F.inline("spans")).withColumn("echo", F.array_contains("asked", F.col("token")))
     tokens = reader(tokens)
     grouped = tokens.groupBy(*PAIR).agg(F.sort_array(F.collect_list(F.struct("place", "start", "end", "echo", "from_byte", "to_byte"))).alias("t"), F.max("null_score").alias("null_score"))
     numbers = "span_score double, i long, j long, from_byte long, to_byte long"

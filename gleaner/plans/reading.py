@@ -17,7 +17,7 @@ from gleaner.operators import lexical as L
 from gleaner.operators import reading as N
 from gleaner.operators import retrieve as R
 
-from .binding import index, questions, saved, sql_pieces, sql_tokens, strings, table
+from .binding import index, questions, saved, sql_pieces, sql_tokens, strings, table, title_of
 from .dense import _HITS, _PHRASE, _Q, DOCS, _best, _embeddings, coverage_ctes
 
 TITLE = "array_to_string(regexp_split_to_array(d.text, '\\s+')[1:3], ' ')"
@@ -30,15 +30,24 @@ def standin(tokens: DataFrame) -> DataFrame:
     return tokens.withColumns({"start": part(at * 37 + q * 11 + p * 7, 101), "end": part(at * 53 + q * 5 + p * 3, 97), "null_score": F.round(part(q * 13 + p * 29, 60) + F.pmod(q, F.lit(5)) * 4 + F.floor(F.col("n_tokens") / 40), 6)})
 
 
+def _make_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = _best(spark, sf_dir, DEFAULT.prerank_clamped)
+    return hits.withColumn("base", F.col("lexical") / F.max("lexical").over(Window.partitionBy("question_id"))).select("question_id", "passage_id", "base")
+
+
+def _make_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(question_id, passage_id, base, title, passage, question, text) of the 24 best documents, scored once and saved; titles are those of hits alone."""
+    hits = saved(spark, sf_dir, "best", _make_best)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), F.col("text").alias("passage"))
+    pairs = docs.join(L.small(hits), "passage_id").join(L.small(questions(spark, sf_dir).withColumnRenamed("text", "question")), "question_id")
+    pairs = pairs.withColumn("title", title_of("passage"))
+    return pairs.withColumn("text", F.concat("title", F.lit(": "), "passage"))
+
+
 def _make_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(question_id, passage_id, rank, score, first, title, passage, question, coverage, phrase, dense): the eight best of 24 pre-ranked documents."""
     found = index(spark, sf_dir, "documents")
-    hits = _best(spark, sf_dir, DEFAULT.prerank_clamped)
-    hits = hits.withColumn("base", F.col("lexical") / F.max("lexical").over(Window.partitionBy("question_id"))).select("question_id", "passage_id", "base")
-    title = F.array_join(F.slice(F.split("text", r"\s+"), 1, 3), " ")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("passage_id"), title.alias("title"), F.col("text").alias("passage"))
-    pairs = docs.join(L.small(hits), "passage_id").join(L.small(questions(spark, sf_dir).withColumnRenamed("text", "question")), "question_id")
-    pairs = pairs.withColumn("text", F.concat("title", F.lit(": "), "passage"))
+    pairs = saved(spark, sf_dir, "pairs", _make_pairs)
     rows = R.phrase_match(R.coverage(pairs, found.dfs, found.stats.select("n"), skip_short_unseen=True))
     score = R.prerank_score(F.col("base"), F.col("coverage"), F.col("phrase"))
     top = R.top_k(rows.withColumn("score", F.round(score, 9)), DEFAULT.read_top)

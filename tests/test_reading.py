@@ -62,3 +62,17 @@ def test_long_answers_are_clipped_at_characters(spark):
     one = F.when(F.col("place") == 0, 1.0).otherwise(0.0)
     found = N.read(frame, lambda t: t.withColumns({"start": one, "end": one, "null_score": F.lit(0.0)})).first()
     assert found.answer == "é" * 250 and (found.from_byte, found.to_byte) == (0, 800)
+
+
+def test_tokens_are_numbered_where_the_text_is_read(spark):
+    """Neither numbering a text's tokens nor cutting them to a reader's input shuffles them; words of which nothing stays don't count."""
+    text = "́ " * 900 + "a b " * 500
+    rows = spark.createDataFrame([(1, 1, "q", text)], "question_id long, passage_id long, question string, context string")
+    found = N.token_spans(rows, ["question_id", "passage_id"], "context")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    seen = []
+    N.read(rows, lambda t: seen.append(t) or t.withColumns({c: F.lit(0.0) for c in ("start", "end", "null_score")}))
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    got = seen[0].orderBy("place").collect()
+    assert [r.token for r in got] == ["a", "b"] * 190 and [r.place for r in got] == list(range(380)) and {r.n_tokens for r in got} == {380}
+    assert found.count() == 1000 and got[0].from_byte == 900 * 3

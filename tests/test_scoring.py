@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pytest
 from gleaner.operators import lexical as L
 from gleaner.operators import retrieve as R
 from gleaner.operators import scoring as S
+from gleaner.plans import registry
+from gleaner.plans.binding import index
 from pyspark.sql import functions as F
 
 
@@ -42,3 +47,22 @@ def test_best_by_blocks(spark, tmp_path):
     want = R.top_k(P.bm25(asked, blocks, index).withColumn("score", F.round("lexical", 9)), 5)
     key = lambda df: sorted((r.question_id, r.rank, r.passage_id, round(r.lexical, 9)) for r in df.collect())
     assert key(S.bm25_top_of_blocks(asked, blocks, index, 5)) == key(want)
+
+
+@pytest.mark.parametrize("name, of", [("alternates", "documents"), ("home_answers", "passages")])
+def test_passages_are_scored_once(spark, sf, tmp_path, monkeypatch, name, of):
+    """A chain's hits are scored in one pass over the index, however many steps read them."""
+    marks, real = str(tmp_path), S._scored
+
+    def marked(*given):
+        def run(batches, scored=real(*given)):
+            open(f"{marks}/{uuid.uuid4().hex}.mark", "w").close()
+            return scored(batches)
+
+        return run
+
+    monkeypatch.setattr(S, "_scored", marked)
+    tables = tmp_path / "tables"
+    tables.symlink_to(sf)
+    assert registry.queries()[name](spark, str(tables)).count() == 40
+    assert len(list(tmp_path.glob("*.mark"))) <= index(spark, str(tables), of).tf.rdd.getNumPartitions()
