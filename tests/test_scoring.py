@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 import pytest
+from gleaner.functions import text as T
 from gleaner.operators import lexical as L
+from gleaner.operators import plaintext as X
 from gleaner.operators import retrieve as R
 from gleaner.operators import scoring as S
 from gleaner.plans import registry
@@ -66,3 +69,17 @@ def test_passages_are_scored_once(spark, sf, tmp_path, monkeypatch, name, of):
     tables.symlink_to(sf)
     assert registry.queries()[name](spark, str(tables)).count() == 40
     assert len(list(tmp_path.glob("*.mark"))) <= index(spark, str(tables), of).tf.rdd.getNumPartitions()
+
+
+def test_plain_texts_have_the_same_tokens(spark):
+    """Every plain character, within a word, alone and beside a point, and rows at the edges of chunks: as the expression cuts them."""
+    codes = [k for low, high in X.PLAIN for k in range(low, high + 1)]
+    texts = [f"Ab{chr(k)}cD {chr(k)} {chr(k)}.{chr(k)}{chr(k)}" for k in codes] + ["", " ", "x", "À la 漢字b c­d\x00e", "end\n"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = rows.select("text", X.is_plain(F.col("text")).alias("plain"), T.tokens(F.col("text")).alias("t")).collect()
+    assert all(r.plain for r in got)
+    size, found = X.tokens(pa.array([r.text for r in got]))
+    found, ends = found.to_pylist(), size.cumsum()
+    assert [found[e - n : e] for n, e in zip(size, ends)] == [r.t for r in got]
+    assert not any(r[0] for r in spark.createDataFrame([("İ",), ("ΑΣ",), ("e\u0301",), ("a😀",)], "t string").select(X.is_plain(F.col("t"))).collect())
+    assert [b - a for a, b in X.chunks(pa.array(["a" * X.CHUNK, "b", "c" * X.CHUNK * 2, "d"]))] == [1, 1, 1, 1]
