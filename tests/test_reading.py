@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 from gleaner.operators import answers as A
+from gleaner.operators import plaintext as X
 from gleaner.operators import reading as N
+from gleaner.plans import registry
 
 TEXTS = ["", "Ab cd.", "é́x 漢字 a­b", "\x01a\x01\x02b  c", "  ́ x", "naïve—Ünï, (ß)\r\n\tİx", "a\x00b", "don't stop", "﻿word​ end", "x" * 300, "À la carte 12,5 €"]
 
@@ -76,3 +81,28 @@ def test_tokens_are_numbered_where_the_text_is_read(spark):
     got = seen[0].orderBy("place").collect()
     assert [r.token for r in got] == ["a", "b"] * 190 and [r.place for r in got] == list(range(380)) and {r.n_tokens for r in got} == {380}
     assert found.count() == 1000 and got[0].from_byte == 900 * 3
+
+
+def test_digests_are_made_where_texts_are_read(spark, sf):
+    """No token of the registered query is shuffled; rows of one id, or without one, are still one digest."""
+    plan = registry.queries()["token_spans"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "collect_list" not in plan
+    rows = [(k, text) for k, text in enumerate(TEXTS)] + [(100, None), (101, "ab c"), (101, "d ef"), (None, "x y"), (None, "é z"), (102, "漢字 " * 3000)]
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    want = {}
+    for r in N.token_spans(frame, ["id"]).collect():
+        want.setdefault(r.id, []).append((r.place, f"{r.token}:{r.from_byte}-{r.to_byte}", r.to_byte))
+    want = {k: (len(v), max(x[2] for x in v), hashlib.md5(" ".join(x[1] for x in sorted(v)).encode()).hexdigest()) for k, v in want.items()}
+    got = N.span_digests(frame, "id").collect()
+    assert len(got) == len(want) and {r.id: (r.n, r.last_byte, r.digest) for r in got} == want and {101, 102, None} <= set(want)
+
+
+def test_plain_texts_have_the_same_pieces(spark):
+    """Every plain character within a word, alone, at its end and beside a point, cut as the expression cuts it; so are rows at the edges of chunks."""
+    codes = [k for low, high in X.PLAIN for k in range(low, high + 1) if k != 1]
+    texts = [f"Ab{chr(k)}cD{chr(k)} {chr(k)} {chr(k)}.{chr(k)}{chr(k)}e" for k in codes] + ["", " ", "x", "À la 漢字b c­d\x00e ", "end\n", "­", "ab cd " * 9]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = rows.withColumn("pieces", T.token_pieces(F.col("text"))).withColumn("words", F.transform(F.filter("pieces", lambda p, n: n % 2 == 1), T.normalised))
+    want = {r.text: (r.pieces, r.words) for r in rows.collect()}
+    pieces, words = X.pieces(pa.array(texts))
+    assert [want[t] for t in texts] == list(zip(pieces.to_pylist(), words.to_pylist()))
