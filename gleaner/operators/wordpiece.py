@@ -1,20 +1,24 @@
-"""Word pieces by greedy longest match, cut once for each distinct term, and the lexical index over pieces."""
+"""Word pieces by greedy longest match, cut once for each distinct term that a task reads, and the lexical index over pieces."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators import lexical as L
+from gleaner.operators import plaintext as X
 from gleaner.ship import ship
 
 UNKNOWN = "[UNK]"
 #: Characters of a word beyond which it is unknown.
 LONGEST = 100
+#: Terms of passages that are put in pieces at once, and terms whose pieces a task keeps.
+CHUNK = 1 << 18
 
 
 def vocabulary(path: str) -> list[str]:
@@ -64,6 +68,59 @@ def term_pieces(terms: DataFrame, pieces: list[str]) -> DataFrame:
     return terms.select("term").mapInArrow(run, "term string, pieces array<string>")
 
 
+def piece_index(index: L.Index, pieces: list[str], folder: str) -> L.Index:
+    """The lexical index over pieces of an index over words; a passage's pieces are counted in the task that reads its terms."""
+    spark = ship(index.tf.sparkSession)
+    bags = index.bags
+    if bags is None:
+        bags = index.tf.groupBy("passage_id").agg(F.collect_list(F.struct("term", "tf")).alias("terms"))
+    form, where = L.bag_form(bags), f"{folder}/bags"
+    bags.select("passage_id", "terms").mapInArrow(_counted(spark.sparkContext.broadcast(pieces)), form).write.parquet(where)
+    return L.Index.of_bags(spark.read.schema(form).parquet(where), folder)
+
+
+def _counted(shared) -> Callable:
+    """Rows (passage_id, terms) over words: how many pieces each has, and each distinct one with its number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Pieces(shared.value)
+        code = {p: k for k, p in enumerate(dict.fromkeys([UNKNOWN, *shared.value]))}
+        names = pa.array(list(code), pa.string())
+        cut: dict[str, list[int]] = {}
+
+        def codes(term: str) -> list[int]:
+            if term not in cut:
+                cut[term] = [code[p] for p in known.cut(term)]
+            return cut[term]
+
+        for batch in batches:
+            for at, to in X.cuts(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False), CHUNK):
+                if len(cut) > CHUNK:
+                    cut.clear()
+                yield _bags(batch.slice(at, to - at), codes, names)
+
+    return run
+
+
+def _bags(batch: pa.RecordBatch, codes: Callable[[str], list[int]], names: pa.Array) -> pa.RecordBatch:
+    lists = batch.column("terms")
+    term, tf = lists.flatten().flatten()
+    coded = term.dictionary_encode()
+    found = [codes(t) for t in coded.dictionary.to_pylist()]
+    size, of = np.array([len(f) for f in found], np.int64), coded.indices.to_numpy(zero_copy_only=False)
+    n = size[of]
+    piece = np.array([k for f in found for k in f], np.int64)[np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[of] - (np.cumsum(n) - n), n)]
+    row = np.repeat(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), n)
+    key, which = np.unique(row * len(names) + piece, return_inverse=True)
+    times = np.bincount(which, np.repeat(tf.to_numpy(zero_copy_only=False), n), len(key)).astype(np.int64)
+    row, piece = np.divmod(key, len(names))
+    terms = pa.StructArray.from_arrays([names.take(pa.array(piece)), pa.array(times)], ["term", "tf"])
+    ends = np.concatenate([[0], np.searchsorted(row, np.arange(len(lists)), "right")])
+    doclen = np.bincount(row, times, len(lists)).astype(np.int64)
+    bags = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), terms)
+    return pa.RecordBatch.from_arrays([batch.column("passage_id"), pa.array(doclen), bags], ["passage_id", "doclen", "terms"])
+
+
 def piece_frequencies(index: L.Index, cut: DataFrame) -> DataFrame:
     """(passage_id, term, tf, doclen) over pieces, from an index over words and its terms' pieces (term, pieces); doclen counts pieces."""
     each = cut.select("term", F.explode("pieces").alias("piece")).groupBy("term", "piece").agg(F.count("*").alias("times"))

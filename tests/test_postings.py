@@ -9,6 +9,7 @@ from gleaner.config import RetrievalConfig
 from gleaner.operators import lexical as L
 from gleaner.operators import postings as P
 from gleaner.operators import wordpiece as W
+from gleaner.plans import registry
 
 
 def plain_varints(values):
@@ -85,6 +86,45 @@ def test_piece_frequencies(spark):
     assert got == {(1, "a", 2), (1, "##a", 2), (1, "##b", 2), (1, "b", 1), (2, W.UNKNOWN, 3)}
 
 
+def test_pieces_are_counted_where_terms_are_read(spark, tmp_path, monkeypatch):
+    """The index over pieces shuffles no postings, and its scores no pairs; it equals that of the join, however the terms are cut into chunks."""
+    random = np.random.default_rng(4)
+    text = [" ".join("".join(random.choice(list("abcz"), int(random.integers(1, 6)))) for _ in range(int(random.integers(1, 40)))) for _ in range(300)]
+    rows = spark.createDataFrame([(p, t) for p, t in enumerate(text)] + [(0, "abc c"), (301, "z" * 101), (302, ""), (None, "ab")], "passage_id long, text string").repartition(3)
+    index, pieces = L.Index.build(rows, f"file://{tmp_path}/index"), ["a", "##a", "##b", "b", "ab", "##c", "c", "##abc"]
+    cut = W.term_pieces(index.dfs, [*pieces, W.UNKNOWN])
+    tf = W.piece_frequencies(index, cut)
+    key = lambda df: sorted(map(str, (tuple(r[c] for c in ("passage_id", "term", "tf", "doclen")) for r in df.collect())))
+    want = key(tf.join(tf.groupBy(F.col("passage_id").alias("p")).agg(F.sum("tf").alias("doclen")), F.col("passage_id").eqNullSafe(F.col("p"))))
+    plans, writer = [], type(rows.write)
+    real = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or real(self, *a, **k))
+    found = W.piece_index(index, pieces, f"file://{tmp_path}/pieces")
+    assert len(plans) == 3 and not any("hashpartitioning(passage_id" in p for p in plans)
+    assert key(found.tf) == want and any(W.UNKNOWN in r for r in want)
+    assert "Exchange" not in found.tf._jdf.queryExecution().executedPlan().toString()
+    assert found.dfs.count() == tf.select("term").distinct().count() and found.stats.first().n == found.lengths.count() == 302
+    monkeypatch.setattr(W, "CHUNK", 3)
+    batch = [b for b in index.bags.select("passage_id", "terms").toArrow().to_batches() if b.num_rows]
+    parts = [b for b in W._counted(type("Shared", (), {"value": pieces}))(iter(batch))]
+    assert len(parts) > 100 and sum(b.num_rows for b in parts) == 302
+    assert sorted(str((r["passage_id"], t["term"], t["tf"], r["doclen"])) for b in parts for r in b.to_pylist() for t in r["terms"]) == want
+    plain = L.Index(index.tf, index.lengths, index.dfs, index.stats)
+    assert key(W.piece_index(plain, pieces, f"file://{tmp_path}/plain").tf) == want
+
+
+def test_piece_queries_shuffle_no_postings(spark, sf, monkeypatch, tmp_path):
+    tables = tmp_path / "tables"
+    tables.symlink_to(sf)
+    plans, writer = [], type(spark.range(1).write)
+    real = writer.parquet
+    monkeypatch.setattr(writer, "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or real(self, *a, **k))
+    for name in ("tf_pieces",):
+        plans.append(registry.queries()[name](spark, str(tables))._jdf.queryExecution().executedPlan().toString())
+    shuffled = [line for p in plans for line in p.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and not any("passage_id" in line for line in shuffled)
+
+
 def test_writing_blocks_shuffles_once(spark, monkeypatch, tmp_path):
     """Only the few terms over the cap are looked up, by broadcast; before, beyond 200,000 terms, all postings met theirs in a shuffle of its own."""
     monkeypatch.setattr(L, "small", lambda df, rows=200_000: F.broadcast(df) if df.limit(21).count() <= 20 else df)
