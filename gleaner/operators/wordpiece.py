@@ -17,8 +17,10 @@ from gleaner.ship import ship
 UNKNOWN = "[UNK]"
 #: Characters of a word beyond which it is unknown.
 LONGEST = 100
-#: Terms of passages that are put in pieces at once, and terms whose pieces a task keeps.
-CHUNK = 1 << 18
+#: Terms of passages that are put in pieces at once, about.
+CHUNK = 1 << 20
+#: Terms whose pieces a task keeps, about.
+KEPT = 1 << 19
 
 
 def vocabulary(path: str) -> list[str]:
@@ -79,42 +81,55 @@ def piece_index(index: L.Index, pieces: list[str], folder: str) -> L.Index:
     return L.Index.of_bags(spark.read.schema(form).parquet(where), folder)
 
 
+class Cuts:
+    """The pieces of terms as numbers of names; a term is cut when it is first asked for, and kept until there are KEPT of them."""
+
+    def __init__(self, pieces: list[str]):
+        self.known, self.code = Pieces(pieces), {p: k for k, p in enumerate(dict.fromkeys([UNKNOWN, *pieces]))}
+        self.names = pa.array(list(self.code), pa.string())
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {}
+        self.size, self.piece = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def of(self, terms: list[str]) -> np.ndarray:
+        """Of each of different terms its place among the kept ones."""
+        if len(self.at) > KEPT:
+            self.clear()
+        new = [t for t in terms if t not in self.at]
+        found = [self.known.cut(t) for t in new]
+        self.at.update(zip(new, range(len(self.at), len(self.at) + len(new))))
+        self.size = np.concatenate([self.size, np.array([len(f) for f in found], np.int64)])
+        self.piece = np.concatenate([self.piece, np.array([self.code[p] for f in found for p in f], np.int64)])
+        return np.fromiter(map(self.at.__getitem__, terms), np.int64, len(terms))
+
+
 def _counted(shared) -> Callable:
     """Rows (passage_id, terms) over words: how many pieces each has, and each distinct one with its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Pieces(shared.value)
-        code = {p: k for k, p in enumerate(dict.fromkeys([UNKNOWN, *shared.value]))}
-        names = pa.array(list(code), pa.string())
-        cut: dict[str, list[int]] = {}
-
-        def codes(term: str) -> list[int]:
-            if term not in cut:
-                cut[term] = [code[p] for p in known.cut(term)]
-            return cut[term]
-
+        cuts = Cuts(shared.value)
         for batch in batches:
             for at, to in X.cuts(batch.column("terms").value_lengths().to_numpy(zero_copy_only=False), CHUNK):
-                if len(cut) > CHUNK:
-                    cut.clear()
-                yield _bags(batch.slice(at, to - at), codes, names)
+                yield _bags(batch.slice(at, to - at), cuts)
 
     return run
 
 
-def _bags(batch: pa.RecordBatch, codes: Callable[[str], list[int]], names: pa.Array) -> pa.RecordBatch:
+def _bags(batch: pa.RecordBatch, cuts: Cuts) -> pa.RecordBatch:
     lists = batch.column("terms")
     term, tf = lists.flatten().flatten()
     coded = term.dictionary_encode()
-    found = [codes(t) for t in coded.dictionary.to_pylist()]
-    size, of = np.array([len(f) for f in found], np.int64), coded.indices.to_numpy(zero_copy_only=False)
-    n = size[of]
-    piece = np.array([k for f in found for k in f], np.int64)[np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[of] - (np.cumsum(n) - n), n)]
+    of = cuts.of(coded.dictionary.to_pylist())[coded.indices.to_numpy(zero_copy_only=False)]
+    n = cuts.size[of]
+    first = np.cumsum(cuts.size) - cuts.size
+    piece = cuts.piece[np.arange(n.sum()) + np.repeat(first[of] - (np.cumsum(n) - n), n)]
     row = np.repeat(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), n)
-    key, which = np.unique(row * len(names) + piece, return_inverse=True)
+    key, which = np.unique(row * len(cuts.names) + piece, return_inverse=True)
     times = np.bincount(which, np.repeat(tf.to_numpy(zero_copy_only=False), n), len(key)).astype(np.int64)
-    row, piece = np.divmod(key, len(names))
-    terms = pa.StructArray.from_arrays([names.take(pa.array(piece)), pa.array(times)], ["term", "tf"])
+    row, piece = np.divmod(key, len(cuts.names))
+    terms = pa.StructArray.from_arrays([cuts.names.take(pa.array(piece)), pa.array(times)], ["term", "tf"])
     ends = np.concatenate([[0], np.searchsorted(row, np.arange(len(lists)), "right")])
     doclen = np.bincount(row, times, len(lists)).astype(np.int64)
     bags = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), terms)

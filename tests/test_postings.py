@@ -105,6 +105,7 @@ def test_pieces_are_counted_where_terms_are_read(spark, tmp_path, monkeypatch):
     assert "Exchange" not in found.tf._jdf.queryExecution().executedPlan().toString()
     assert found.dfs.count() == tf.select("term").distinct().count() and found.stats.first().n == found.lengths.count() == 302
     monkeypatch.setattr(W, "CHUNK", 3)
+    monkeypatch.setattr(W, "KEPT", 50)  # kept terms are forgotten and cut again
     batch = [b for b in index.bags.select("passage_id", "terms").toArrow().to_batches() if b.num_rows]
     parts = [b for b in W._counted(type("Shared", (), {"value": pieces}))(iter(batch))]
     assert len(parts) > 100 and sum(b.num_rows for b in parts) == 302
@@ -119,7 +120,7 @@ def test_piece_queries_shuffle_no_postings(spark, sf, monkeypatch, tmp_path):
     plans, writer = [], type(spark.range(1).write)
     real = writer.parquet
     monkeypatch.setattr(writer, "parquet", lambda self, *a, **k: plans.append(self._df._jdf.queryExecution().executedPlan().toString()) or real(self, *a, **k))
-    for name in ("tf_pieces",):
+    for name in ("tf_pieces", "bm25_pieces"):
         plans.append(registry.queries()[name](spark, str(tables))._jdf.queryExecution().executedPlan().toString())
     shuffled = [line for p in plans for line in p.splitlines() if "Exchange hashpartitioning" in line]
     assert shuffled and not any("passage_id" in line for line in shuffled)
